@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from nearfield.schema import VECTOR
+
 
 
 def _sum(values: Column) -> Column:
@@ -69,7 +71,7 @@ def similarity_score(distance: Column, metric: str) -> Column:
     return distance if metric in ("ip", "cosine") else -distance
 
 
-@F.arrow_udf("array<float>")
+@F.arrow_udf(VECTOR)
 def cast_half(vectors: pa.Array) -> pa.Array:
     """Values rounded to half precision (held as float; Spark has no half type)."""
     values = vectors.values.to_numpy(zero_copy_only=False).astype(np.float16)
