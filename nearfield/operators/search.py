@@ -76,12 +76,12 @@ def captions_by_image(
     image that owns a third of the captions is spread over many tasks.
     """
     named = captions.where(F.col(image).isNotNull() & (F.col(image).cast("string") != ""))
-    placed = row_index(named, [image, *order], "_at")
-    first = placed.groupBy(image).agg(F.min("_at").alias("_first"))
+    placed = row_index(named, [image, *order], "_row")
+    first = placed.groupBy(image).agg(F.min("_row").alias("_first"))
     return (
         placed.join(first, image)
-        .withColumn("position", F.col("_at") - F.col("_first"))
-        .drop("_at", "_first")
+        .withColumn("position", F.col("_row") - F.col("_first"))
+        .drop("_row", "_first")
     )
 
 
