@@ -52,7 +52,7 @@ from nearfield.sources.csv import (
     relevant_ids_by_query,
 )
 from nearfield.sources.embeddings import project_relevance, read_split
-from nearfield.sources.images import image_rows, image_rows_by_name
+from nearfield.sources.images import get_dataset, image_rows, image_rows_by_name
 from nearfield.sources.shards import (
     checked_pairs,
     convert_rows,
@@ -126,6 +126,21 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return image_rows_by_name(named).select("id", F.md5("image").alias("digest"))
 
 
+@query(
+    "dataset_registry",
+    "SELECT CAST(page_id AS VARCHAR) AS id, length(html) AS n FROM pages",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    config = {
+        "dataset": "inquire",
+        "path": f"{sf}/pages.parquet",
+        "image_column": "url",
+        "kwargs": {"id_column": "page_id", "image_column": "html"},
+    }
+    rows = get_dataset(spark, config)
+    return rows.select("id", F.length("image").cast("long").alias("n"))
+
+
 @query(
     "resolve_image_id",
     "SELECT c_custkey, CAST(row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS VARCHAR)"

@@ -152,6 +152,16 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return elements(encode_column(rows, "text", get_encoder(ENCODER)).select("id", "embedding"))
 
 
+@query(
+    "encoder_registry",
+    "SELECT CAST(doc_id AS VARCHAR) AS id, 24 AS dim FROM documents",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    encoder = get_encoder({"model": "hash", "dim": 8, "kwargs": {"dim": 24}})
+    rows = encode_column(documents(spark, sf), "text", encoder)
+    return rows.select("id", F.size("embedding").alias("dim"))
+
+
 EMBED_SQL = (
     f"WITH {CAPTIONS_SQL}, {encoded_ctes('h', 'captions', 'index', 'caption')}"
     " SELECT c.index, c.caption_id AS id, c.image_id, 'hash' AS model_name,"

@@ -216,7 +216,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _flat_query(metric: str) -> None:
-    @query(f"knn_flat_{metric}", W + "," + knn_ctes(metric, 10) + HITS + "h")
+    @query("knn_flat" if metric == "cosine" else f"knn_flat_{metric}", W + "," + knn_ctes(metric, 10) + HITS + "h")
     def _(spark: SparkSession, sf: str) -> DataFrame:
         return rounded(knn_flat(gallery(spark, sf), asked(spark, sf), 10, metric))
 
@@ -333,7 +333,7 @@ def _lists_sql(metric: str, nprobe: int, k: int) -> str:
 
 
 def _lists_query(metric: str) -> None:
-    @query(f"knn_ivf_flat_{metric}", _lists_sql(metric, 3, 10))
+    @query("knn_ivf_flat" if metric == "cosine" else f"knn_ivf_flat_{metric}", _lists_sql(metric, 3, 10))
     def _(spark: SparkSession, sf: str) -> DataFrame:
         rows = gallery(spark, sf)
         lists = build_lists(rows, label_centroids(rows), metric)

@@ -88,27 +88,31 @@ def _cells_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _offer_batch(
-    state: BestK, match: Match, queries: pa.Table, q_cells: Cells | None, rows: pa.RecordBatch
-) -> None:
-    block = match.vectors(rows)
-    ids = rows["id"]
-    if isinstance(ids, pa.ChunkedArray):
-        ids = ids.combine_chunks()
-    if match.routing is None:
-        state.offer(block, ids)
-        return
-    if match.routing == "list":
-        for picked, found in q_cells.shared(Cells(rows["cells"])):
-            state.offer(block, ids, picked, found)
-        return
-    mine, theirs = _cells_matrix(queries["cells"]), _cells_matrix(rows["cells"])
-    for table in range(mine.shape[1]):
-        left = Cells(pa.array(mine[:, [table]].tolist(), pa.list_(pa.int64())))
-        right = Cells(pa.array(theirs[:, [table]].tolist(), pa.list_(pa.int64())))
-        keep = first_shared_table(mine, theirs, table)
-        for picked, found in left.shared(right):
-            state.offer(block, ids, picked, found, keep)
+class _Route:
+    """The query side of a routing rule, prepared once per task or batch."""
+
+    def __init__(self, match: Match, queries: pa.Table | pa.RecordBatch):
+        self.rule = match.routing
+        if self.rule == "list":
+            self.cells = Cells.of_lists(queries["cells"])
+        elif self.rule == "hash":
+            self.buckets = _cells_matrix(queries["cells"])
+            self.tables = Cells.of_tables(self.buckets)
+
+    def offer(self, state: BestK, match: Match, rows: pa.RecordBatch | pa.Table) -> None:
+        block = match.vectors(rows)
+        ids = rows["id"]
+        if isinstance(ids, pa.ChunkedArray):
+            ids = ids.combine_chunks()
+        if self.rule is None:
+            state.offer(block, ids)
+        elif self.rule == "list":
+            state.offer_cells(block, ids, self.cells.shared(Cells.of_lists(rows["cells"])))
+        else:
+            theirs = _cells_matrix(rows["cells"])
+            for table, cells in enumerate(Cells.of_tables(theirs)):
+                keep = first_shared_table(self.buckets, theirs, table)
+                state.offer_cells(block, ids, self.tables[table].shared(cells), keep)
 
 
 def _empty(batch: pa.RecordBatch | pa.Table) -> bool:
@@ -153,10 +157,10 @@ def _scan_gallery(gallery: DataFrame, queries: DataFrame, match: Match, out) ->
         if _empty(table):
             return
         state = match.state(match.vectors(table))
-        cells = Cells(table["cells"]) if match.routing == "list" else None
+        route = _Route(match, table)
         for batch in batches:
             if not _empty(batch):
-                _offer_batch(state, match, table, cells, batch)
+                route.offer(state, match, batch)
         yield from state.result(table["qid"].combine_chunks(), HIT_NAMES).to_batches()
 
     partial = gallery.coalesce(MAX_SCAN_TASKS).mapInArrow(scan, out)
@@ -175,8 +179,7 @@ def _scan_queries(gallery: DataFrame, queries: DataFrame, match: Match, out) ->
             if _empty(batch):
                 continue
             state = match.state(match.vectors(batch))
-            cells = Cells(batch["cells"]) if match.routing == "list" else None
-            _offer_batch(state, match, pa.table(batch), cells, rows)
+            _Route(match, batch).offer(state, match, rows)
             yield from state.result(batch["qid"], HIT_NAMES).to_batches()
 
     return queries.mapInArrow(scan, out)

@@ -129,12 +129,15 @@ class _Books:
         keys = np.zeros((len(asked), len(codes)))
         for s, part in enumerate(np.split(parts, self.m, axis=1)):
             if metric == "l2":
-                table = ((part[:, None, :] - book[s][None, :, :]) ** 2).sum(axis=2)
+                table = -2.0 * (part @ book[s].T) + (book[s] ** 2).sum(axis=1)
+                table += (part**2).sum(axis=1)[:, None]
             else:
                 table = -(part @ book[s].T)
             keys += table[:, codes[:, s]]
         if metric != "l2":
             keys -= (asked @ center)[:, None]
+        else:
+            np.maximum(keys, 0.0, out=keys)
         return keys
 
 
@@ -312,17 +315,19 @@ def knn_ivf_pq(
         return np.frombuffer(raw, settings.code_type).reshape(len(column), settings.m)
 
     def offer(state, tables, vectors, picked, list_id, found, codes, ids) -> None:
-        # Tiles keep the score block within bounds when a list is long.
-        step = max(256, (32 << 20) // (8 * max(1, len(picked))))
-        for start in range(0, len(found), step):
-            part = found[start : start + step]
-            keys = tables.score(vectors[picked], list_id, codes[part], metric)
-            best = keys <= state.reach[picked][:, None]
-            if len(part) > wider:
-                kth = np.partition(keys, wider - 1, axis=1)[:, wider - 1]
-                best &= keys <= kth[:, None]
-            at_q, at_g = np.nonzero(best)
-            state.add(picked[at_q], keys[at_q, at_g], part[at_g], ids)
+        # Tiles keep the score block within bounds when a list is long or probed by many.
+        for asks in np.array_split(picked, -(-len(picked) // 2048)):
+            step = max(256, (32 << 20) // (8 * len(asks)))
+            for start in range(0, len(found), step):
+                part = found[start : start + step]
+                keys = tables.score(vectors[asks], list_id, codes[part], metric)
+                bound = state.reach[asks].copy()
+                open_ended = np.isinf(bound)
+                if len(part) > wider and open_ended.any():
+                    kth = np.partition(keys[open_ended], wider - 1, axis=1)[:, wider - 1]
+                    bound[open_ended] = kth
+                at_q, at_g = np.nonzero(keys <= bound[:, None])
+                state.add(asks[at_q], keys[at_q, at_g], part[at_g], ids)
 
     def prepared(table: pa.Table):
         matrix = to_matrix(table["embedding"])
@@ -338,7 +343,7 @@ def knn_ivf_pq(
             if not table.num_rows:
                 return
             tables, vectors, state = prepared(table)
-            cells = Cells(table["cells"])
+            cells = Cells.of_lists(table["cells"])
             for batch in batches:
                 if not batch.num_rows:
                     continue

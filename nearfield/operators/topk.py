@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 METRICS = ("l2", "ip", "cosine")
 SCREEN_BYTES = 32 << 20
 PAIR_BYTES = 32 << 20
+BLOCK_PAIRS = 16_384
 
 
 def smaller_is_better(metric: str) -> bool:
@@ -162,6 +163,47 @@ class BestK:
                 qi, gi = qi[keep], gi[keep]
             self.add(qi, self.exact(block, qi, gi), gi, ids)
 
+    def offer_cells(self, block: Vectors, ids: pa.Array, groups, keep_pair=None) -> None:
+        """Score groups of (queries, rows) that share a cell.
+
+        Large groups are scored as blocks. Small ones are pooled into lists of pairs, since a
+        matrix product per handful of rows would cost more than its arithmetic.
+        """
+        pool_q, pool_g, pooled = [], [], 0
+        limit = max(1, PAIR_BYTES // (8 * max(1, self.queries.dim)))
+        for picked, rows in groups:
+            size = len(picked) * len(rows)
+            if size >= BLOCK_PAIRS:
+                self.offer(block, ids, picked, rows, keep_pair)
+                continue
+            pool_q.append(np.repeat(picked, len(rows)))
+            pool_g.append(np.tile(rows, len(picked)))
+            pooled += size
+            if pooled >= limit:
+                self._offer_pairs(block, ids, pool_q, pool_g, keep_pair)
+                pool_q, pool_g, pooled = [], [], 0
+        if pooled:
+            self._offer_pairs(block, ids, pool_q, pool_g, keep_pair)
+
+    def _offer_pairs(self, block, ids, pool_q, pool_g, keep_pair) -> None:
+        if block.dim != self.queries.dim:
+            raise ValueError(
+                f"Expected vectors of dimension {self.queries.dim}, received {block.dim}"
+            )
+        qi, gi = np.concatenate(pool_q), np.concatenate(pool_g)
+        if keep_pair is not None:
+            keep = keep_pair(qi, gi)
+            qi, gi = qi[keep], gi[keep]
+        product = np.einsum("ij,ij->i", self.queries.screen[qi], block.screen[gi])
+        if self.metric == "l2":
+            approx = self.queries.squared[qi] + block.squared[gi] - 2.0 * product
+        else:
+            approx = -product
+        everyone = np.arange(self.queries.rows)
+        near = approx <= (self.reach + self._slack(everyone, block))[qi]
+        qi, gi = qi[near], gi[near]
+        self.add(qi, self.exact(block, qi, gi), gi, ids)
+
     def add(self, qi: np.ndarray, keys: np.ndarray, gi: np.ndarray, ids: pa.Array) -> None:
         within = keys <= self.reach[qi]
         if not within.all():
@@ -225,15 +267,27 @@ def _rank_in_runs(values: np.ndarray) -> np.ndarray:
 class Cells:
     """Which queries look into which cell (inverted list or hash bucket)."""
 
-    def __init__(self, column: pa.Array | pa.ChunkedArray):
-        if isinstance(column, pa.ChunkedArray):
-            column = column.combine_chunks()
-        cells = column.flatten().to_numpy(zero_copy_only=False)
-        owner = pc.list_parent_indices(column).to_numpy(zero_copy_only=False)
+    def __init__(self, cells: np.ndarray, owner: np.ndarray):
         order = np.argsort(cells, kind="stable")
         self.keys, starts = np.unique(cells[order], return_index=True)
         self.members = np.split(owner[order], starts[1:]) if len(starts) else []
 
+    @classmethod
+    def of_lists(cls, column: pa.Array | pa.ChunkedArray) -> Cells:
+        """From a list column: every entry of a row is a cell of that row."""
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks()
+        return cls(
+            column.flatten().to_numpy(zero_copy_only=False),
+            pc.list_parent_indices(column).to_numpy(zero_copy_only=False),
+        )
+
+    @classmethod
+    def of_tables(cls, cells: np.ndarray) -> list[Cells]:
+        """One per hash table, from a (rows, tables) matrix."""
+        rows = np.arange(len(cells))
+        return [cls(cells[:, table], rows) for table in range(cells.shape[1])]
+
     def __getitem__(self, cell: int) -> np.ndarray:
         at = np.searchsorted(self.keys, cell)
         if at < len(self.keys) and self.keys[at] == cell:
