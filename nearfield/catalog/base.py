@@ -107,7 +107,7 @@ HITS = "SELECT qid, rank, id, round(score, 6) AS score FROM "
 def encoded_ctes(name: str, source: str, key: str, text: str, dim: int = 64) -> str:
     """Signed token hashing in SQL: CTEs ending in ``name(id, v, len, w)``."""
     return f"""
-{name}_t AS (SELECT {key} AS id, unnest(string_split_regex(lower({text}), '\\s+')) AS tok
+{name}_t AS (SELECT {key} AS id, unnest(string_split_regex(lower({text}), '[\\s\\x0B]+')) AS tok
              FROM {source}),
 {name}_b AS (SELECT id, ('0x' || substr(md5(tok), 1, 8))::BIGINT % {dim} AS b,
                     sum(CASE WHEN substr(md5(tok), 9, 1) < '8' THEN 1 ELSE -1 END) AS s

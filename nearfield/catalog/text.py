@@ -18,7 +18,7 @@ from nearfield.catalog.base import (
     scratch,
     table,
 )
-from nearfield.functions.encoders import HashEncoder, encode_column, get_encoder
+from nearfield.functions.encoders import HashEncoder, encode_column, get_encoder, spread
 from nearfield.functions.ids import caption_id, image_id_of, row_index
 from nearfield.operators.knn import nearest
 from nearfield.operators.search import (
@@ -140,7 +140,8 @@ ELEMENTS_SQL = """SELECT id, CAST(pos - 1 AS INTEGER) AS pos, round(x, 6) AS val
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    rows = table(spark, sf, "documents")
+    return spread(rows.select(F.col("doc_id").cast("string").alias("id"), "text"))
 
 
 HASH_SQL = f"WITH {encoded_ctes('h', f'({DOCS})', 'doc', 'text')} " + ELEMENTS_SQL.format("h")
@@ -285,8 +286,10 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """Every turn of every conversation, named by its caption id, against all documents."""
-    turns = table(spark, sf, "conversations").select(
-        F.concat_ws("#", "conv_id", "turn").alias("id"), "text"
+    turns = spread(
+        table(spark, sf, "conversations").select(
+            F.concat_ws("#", "conv_id", "turn").alias("id"), "text"
+        )
     )
     encoded = encode_column(turns, "text", get_encoder(ENCODER))
     ids = turns.select(F.col("id").alias("qid"), F.col("id").alias("caption_id"))

@@ -51,17 +51,7 @@ class HashEncoder:
         self.dim, self.normalize, self.name = int(dim), bool(normalize), name
 
     def build(self) -> None:
-        self._known: dict[Any, tuple[int, float]] = {}
-
-    def _vote(self, token: Any) -> tuple[int, float]:
-        found = self._known.get(token)
-        if found is None:
-            raw = token if isinstance(token, bytes) else token.encode()
-            digest = hashlib.md5(raw).hexdigest()
-            found = int(digest[:8], 16) % self.dim, 1.0 if int(digest[8], 16) < 8 else -1.0
-            if len(self._known) < 1_000_000:
-                self._known[token] = found
-        return found
+        """Nothing to load."""
 
     def _tokens(self, values: pa.Array) -> pa.ListArray:
         if pa.types.is_binary(values.type) or pa.types.is_large_binary(values.type):
@@ -70,19 +60,27 @@ class HashEncoder:
                 for v in values.to_pylist()
             ]
             return pa.array(blocks, pa.list_(pa.binary()))
-        return pc.split_pattern_regex(pc.utf8_lower(values.fill_null("")), r"\s+")
+        return pc.ascii_split_whitespace(pc.utf8_lower(values.fill_null("")))
+
+    def _votes(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Bucket and sign of each distinct word; empty words do not vote."""
+        raw = words.cast(pa.binary()).to_pylist()
+        digests = b"".join([hashlib.md5(w).digest() for w in raw])
+        parts = np.frombuffer(digests, np.uint8).reshape(-1, 16)
+        bucket = np.ascontiguousarray(parts[:, :4]).view(">u4")[:, 0].astype(np.int64) % self.dim
+        sign = np.where(parts[:, 4] < 128, 1.0, -1.0)
+        sign[[i for i, w in enumerate(raw) if not w]] = 0.0
+        return bucket, sign
 
     def encode_batch(self, texts=None, images=None) -> np.ndarray:
         tokens = self._tokens(one_input(texts, images))
         rows = pc.list_parent_indices(tokens).to_numpy(zero_copy_only=False)
         words = tokens.flatten().dictionary_encode()
-        votes = [self._vote(w) if w else (0, 0.0) for w in words.dictionary.to_pylist()]
         out = np.zeros((len(tokens), self.dim))
-        if votes:
+        if len(words):
+            bucket, sign = self._votes(words.dictionary)
             at = words.indices.to_numpy(zero_copy_only=False)
-            bucket = np.array([v[0] for v in votes])[at]
-            sign = np.array([v[1] for v in votes])[at]
-            flat = np.bincount(rows * self.dim + bucket, sign, minlength=out.size)
+            flat = np.bincount(rows * self.dim + bucket[at], sign[at], minlength=out.size)
             out = flat.reshape(out.shape)
         if self.normalize:
             norms = np.linalg.norm(out, axis=1, keepdims=True)
@@ -141,6 +139,16 @@ def worker_encoder(encoder: Encoder) -> Encoder:
     return _built[key]
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Give a table that arrives in few splits to all cores.
+
+    Meant for plain scans, whose split count is known without running anything. A table with
+    enough splits is left alone: at scale there is no shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() * 2 <= cores else scan
+
+
 def encode_column(
     df: DataFrame, column: str, encoder: Encoder, output: str = "embedding"
 ) -> DataFrame:

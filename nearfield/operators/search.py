@@ -12,6 +12,7 @@ from nearfield.functions.ids import image_path, row_index
 from nearfield.functions.labels import strip
 from nearfield.functions.vectors import similarity_score
 from nearfield.operators.knn import nearest
+from nearfield.session import materialise
 
 Search = Callable[..., DataFrame]
 CAPTIONS_PER_HIT = 5
@@ -31,7 +32,8 @@ def search_by_text(
     asked = texts.select("qid", strip(F.col("text")).alias("text"))
     if asked.where((F.col("text") == "") | F.col("text").isNull()).head(1):
         raise ValueError("Text query must not be empty")
-    queries = encode_column(asked, "text", encoder).select("qid", "embedding")
+    # Encoded once; the search reads the vectors more than one time.
+    queries = materialise(encode_column(asked, "text", encoder).select("qid", "embedding"))
     return search(gallery, queries, k, metric, **options)
 
 
@@ -39,7 +41,7 @@ def vectors_of(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """``qid, embedding`` of the named rows; an unknown id is a KeyError."""
     named = ids.select("qid", F.col(key).alias("_key"))
     held = table.select(F.col("id").alias("_key"), "embedding")
-    found = named.join(held, "_key", "left")
+    found = materialise(named.join(held, "_key", "left"))
     absent = found.where(F.col("embedding").isNull()).head(1)
     if absent:
         raise KeyError(absent[0]["_key"])
