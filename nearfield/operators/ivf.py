@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from nearfield.functions.pooling import mean_pool
 from nearfield.functions.vectors import l2_normalize
 from nearfield.operators.knn import (
     DEFAULT_LIMITS,
@@ -57,6 +58,11 @@ def train_centroids(
     vector = F.col("embedding")
     if check_metric(metric) == "cosine":
         vector = l2_normalize(vector)
+    if nlist == 1:
+        single = gallery.select(F.lit(0).cast("long").alias("list_id"), vector.alias("embedding"))
+        return mean_pool(single, "list_id", normalize=False).select(
+            "list_id", F.col("embedding").cast("array<float>").alias("embedding")
+        )
     points = training_sample(gallery, nlist * points_per_list, seed, total).select(
         array_to_vector(vector).alias("features")
     )
