@@ -508,7 +508,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "store_changes",
     f"SELECT * FROM ({UPSERT_SQL}) WHERE key NOT IN (SELECT s_suppkey FROM supplier)"
-    " UNION ALL SELECT n_nationkey, 0.5 FROM nation",
+    " AND key NOT IN (SELECT n_nationkey FROM nation) UNION ALL SELECT n_nationkey, 0.5 FROM nation",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """Upsert, upsert, delete, compact, upsert again: the final state of a keyed table."""
