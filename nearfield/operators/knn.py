@@ -33,10 +33,13 @@ from nearfield.operators.topk import (
     to_matrix,
 )
 from nearfield.schema import require_columns, require_positive, require_unique, vector_stats
+from nearfield.session import materialise
 
 # A gallery of 800,000 splits would emit k rows per query from each of them; scans are folded
 # into at most this many tasks (no shuffle) so that the merge stays small.
 MAX_SCAN_TASKS = 16_384
+# Rows of the (cell, tile counts) table that are still sent to every executor.
+BROADCAST_CELLS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -185,33 +188,37 @@ def _scan_queries(gallery: DataFrame, queries: DataFrame, match: Match, out) ->
     return queries.mapInArrow(scan, out)
 
 
-def tile(
-    df: DataFrame, key: str, tiles: DataFrame, own: str, other: str, cell: str = "cell"
-) -> DataFrame:
-    """Place each row in one tile of its cell and copy it to the tiles it must meet.
-
-    ``tiles`` holds, per cell, how many tiles each side is cut into. Ids are unique, so hashing
-    them spreads even a cell that holds most of the table.
-    """
-    return (
-        df.join(tiles, cell)
-        .withColumn(own, F.pmod(F.xxhash64(key), F.col(f"n_{own}")).cast("int"))
-        .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1)))
-        .drop(f"n_{own}", f"n_{other}")
-    )
-
-
 def tiles_per_cell(
     gallery: DataFrame, queries: DataFrame, dim: int, limits: Limits
 ) -> DataFrame:
-    """Tile counts for every cell that both sides hold."""
+    """How many tiles each side of a cell is cut into, for the cells that both sides hold.
+
+    One row per cell. It is written once and counted, so that the hint below rests on a checked
+    size; a join on the cell would send a crowded cell to a single task.
+    """
 
     def counts(df: DataFrame, name: str, rows: int) -> DataFrame:
         return df.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(rows)).cast("int").alias(name))
 
     g_rows = limits.rows(limits.gallery_tile_bytes, dim)
     q_rows = limits.rows(limits.query_tile_bytes, dim)
-    return counts(gallery, "n_gt", g_rows).join(counts(queries, "n_qt", q_rows), "cell")
+    tiles = materialise(
+        counts(gallery, "n_gt", g_rows).join(counts(queries, "n_qt", q_rows), "cell")
+    )
+    return F.broadcast(tiles) if tiles.count() <= BROADCAST_CELLS else tiles
+
+
+def tile(df: DataFrame, key: str, tiles: DataFrame, own: str, other: str) -> DataFrame:
+    """Place each row in one tile of its cell and copy it to the tiles it must meet.
+
+    Ids are unique, so hashing them spreads even a cell that holds most of the table.
+    """
+    return (
+        df.join(tiles, "cell")
+        .withColumn(own, F.pmod(F.xxhash64(key), F.col(f"n_{own}")).cast("int"))
+        .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1)))
+        .drop(f"n_{own}", f"n_{other}")
+    )
 
 
 def _tile_pairs(

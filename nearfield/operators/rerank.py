@@ -26,13 +26,14 @@ def rerank_exact(
     metric = check_metric(metric)
     unit = metric == "cosine" if normalize is None else bool(normalize)
 
-    def vector(column: str):
-        return l2_normalize(F.col(column)) if unit else F.col(column)
-
+    # Plain float vectors travel through the joins; unit vectors (doubles) are made afterwards.
     pairs = (
         candidates.select("qid", "id")
-        .join(gallery.select("id", vector("embedding").alias("g_vector")), "id")
-        .join(queries.select("qid", vector("embedding").alias("q_vector")), "qid")
+        .join(gallery.select("id", F.col("embedding").alias("g_vector")), "id")
+        .join(queries.select("qid", F.col("embedding").alias("q_vector")), "qid")
     )
-    score = pair_score(F.col("q_vector"), F.col("g_vector"), "ip" if unit and metric == "cosine" else metric)
+    left, right = F.col("q_vector"), F.col("g_vector")
+    if unit:
+        left, right = l2_normalize(left), l2_normalize(right)
+    score = pair_score(left, right, "l2" if metric == "l2" else "ip")
     return merge_hits(pairs.select("qid", "id", score.alias("score")), k, metric)

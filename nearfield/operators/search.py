@@ -148,31 +148,13 @@ def corpus_status(
     images: DataFrame, captions: DataFrame | None, order: Sequence[str], samples: int = 5
 ) -> DataFrame:
     """Counts, loaded flags and the first few captions in one row."""
-    status = images.agg(F.count("*").alias("image_count")).withColumn(
-        "images_loaded", F.lit(True)
-    )
-    if captions is None:
-        return status.withColumns(
-            {
-                "caption_count": F.lit(0).cast("long"),
-                "caption_embeddings_loaded": F.lit(False),
-                "sample_captions": F.array().cast("array<string>"),
-            }
-        )
-    # Both sides are single aggregated rows, joined on a constant key.
-    counted = captions.agg(F.count("*").alias("caption_count")).withColumn("_one", F.lit(1))
-    first = (
-        captions.orderBy(*order)
-        .limit(samples)
-        .select(F.struct(*order, F.col("id").cast("string").alias("id")).alias("s"))
-        .agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["id"]).alias("ids"))
-        .withColumnRenamed("ids", "sample_captions")
-        .withColumn("_one", F.lit(1))
-    )
-    return (
-        status.withColumn("_one", F.lit(1))
-        .join(counted, "_one")
-        .join(first, "_one")
-        .drop("_one")
-        .withColumn("caption_embeddings_loaded", F.lit(True))
+    held, first = 0, []
+    if captions is not None:
+        held = captions.count()
+        first = [row["id"] for row in captions.orderBy(*order).limit(samples).collect()]
+    row = (images.count(), True, held, captions is not None, [str(name) for name in first])
+    return images.sparkSession.createDataFrame(
+        [row],
+        "image_count long, images_loaded boolean, caption_count long,"
+        " caption_embeddings_loaded boolean, sample_captions array<string>",
     )

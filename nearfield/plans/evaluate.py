@@ -33,8 +33,8 @@ from nearfield.sources.embeddings import (
     CorpusSpec,
     QuerySpec,
     project_embeddings,
-    project_relevance,
     read_embeddings,
+    relevance_labels,
 )
 from nearfield.sources.sinks import union_all, write_detail_tables, write_summary_csv
 
@@ -165,12 +165,11 @@ def load_queries(spark: SparkSession, spec: QuerySpec) -> DataFrame:
     table = read_embeddings(spark, spec)
     skip = [spec.id_column, spec.embedding_column, spec.relevance_column]
     keep = metadata_columns(table.columns, skip)
-    vectors = project_embeddings(table, spec.id_column, spec.embedding_column, keep)
     if spec.relevance_column:
-        labels = project_relevance(table, spec.relevance_column, spec.id_column)
-        vectors = vectors.join(
-            labels.withColumnRenamed("relevant_ids", "relevant_labels"), "id", "left"
-        )
+        labels = relevance_labels(table, spec.relevance_column)
+        table = table.withColumn("relevant_labels", labels)
+        keep.append("relevant_labels")
+    vectors = project_embeddings(table, spec.id_column, spec.embedding_column, keep)
     return row_index(vectors.withColumnRenamed("id", "qid"), ["qid"], "query_index")
 
 

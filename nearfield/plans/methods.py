@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
 from typing import Any, ClassVar
 
 from pyspark.sql import DataFrame
@@ -182,7 +182,8 @@ class Prepared:
             if settings.method == "ivf_pq":
                 pq = PqSettings(settings.m, settings.nbits)
                 books = materialise(train_codebooks(self.lists, pq, limits=limits))
-                self.index = build_codes(self.lists, books, pq, limits)
+                index = build_codes(self.lists, books, pq, limits)
+                self.index = replace(index, codes=materialise(index.codes))
         elif isinstance(settings, TreeSettings) and settings.num_leaves is not None:
             self._file(settings.num_leaves)
 

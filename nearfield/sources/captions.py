@@ -2,32 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nearfield.functions.ids import caption_id, image_id_of, row_index
+from nearfield.functions.ids import caption_id, image_id_of
 from nearfield.schema import CAPTION_ROW
+from nearfield.session import materialise
 
 
 def read_captions_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """``index, caption_id, caption, image, image_id`` in file order.
-
-    The position of a line is (file, offset of its split, row in the split): the scan keeps that
-    order, so no global sort is needed to number the captions.
-    """
+    """``index, caption_id, caption, image, image_id`` in file order."""
     lines = spark.read.text(path).select(
         "value",
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_line"),
     )
-    return caption_rows(lines.where(F.col("value").rlike(r"\S")), ["_file", "_block", "_line"])
+    return number_in_file_order(
+        explode_captions(lines.where(F.col("value").rlike(r"\S")), ["_file", "_block"])
+    ).select(*CAPTION_ROW.fieldNames())
+
 
+def number_in_file_order(rows: DataFrame) -> DataFrame:
+    """Global 0-based ``index`` of scanned rows, without moving them.
 
-def caption_rows(lines: DataFrame, order: list[str]) -> DataFrame:
-    """Parse JSON lines, give each caption its ids and its place in the whole corpus."""
-    exploded = explode_captions(lines, order)
-    return row_index(exploded, [*order, "_pos"]).select(*CAPTION_ROW.fieldNames())
+    A task reads its splits one after the other and keeps their line order, so a row's place is
+    its place in the split plus the rows of all splits before it. The rows are written once
+    first: the numbers must come from the very splits that are counted.
+    """
+    held = materialise(rows.withColumn("_at", F.monotonically_increasing_id()))
+    splits = held.groupBy("_file", "_block").agg(F.count("*").alias("n"), F.min("_at").alias("low"))
+    # One row per split of the input, whatever its size: a running total over a short table.
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return (
+        held.join(starts.drop("n"), ["_file", "_block"])
+        .withColumn("index", F.col("start") + F.col("_at") - F.col("low"))
+        .drop("_file", "_block", "_at", "low", "start")
+    )
 
 
 def explode_captions(lines: DataFrame, keep: list[str]) -> DataFrame:

@@ -78,21 +78,15 @@ class _NpyReader(DataSourceReader):
     def read(self, partition: _RowRange) -> Iterator[pa.RecordBatch]:
         if partition.start >= partition.stop:
             return
-        with _open(partition.path) as handle:
-            (_, dim), kind, origin = _npy_header(handle)
-            handle.seek(origin + partition.start * dim * kind.itemsize)
-            for at in range(partition.start, partition.stop, ROWS_PER_BATCH):
-                rows = min(ROWS_PER_BATCH, partition.stop - at)
-                raw = np.frombuffer(handle.read(rows * dim * kind.itemsize), kind)
-                vectors = pa.FixedSizeListArray.from_arrays(pa.array(raw.astype(np.float32)), dim)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([partition.path] * rows),
-                        pa.array(np.arange(at, at + rows, dtype=np.int64)),
-                        vectors.cast(pa.list_(pa.float32())),
-                    ],
-                    names=["path", "row_pos", "embedding"],
-                )
+        at = partition.start
+        for vectors in _row_range(partition.path, partition.start, partition.stop):
+            rows = len(vectors)
+            places = pa.array(np.arange(at, at + rows, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([partition.path] * rows), places, vectors],
+                names=["path", "row_pos", "embedding"],
+            )
+            at += rows
 
 
 def read_npy_shards(spark: SparkSession, paths: list[str], rows_per_partition: int | None = None):
@@ -103,6 +97,110 @@ def read_npy_shards(spark: SparkSession, paths: list[str], rows_per_partition: i
     return reader.load()
 
 
+@dataclass
+class _ZipRange(InputPartition):
+    shard: int
+    meta_path: str
+    npy_path: str
+    start: int
+    stop: int
+
+
+class ZippedShards(DataSource):
+    """Metadata rows next to their matrix rows: each task reads one row range of both files.
+
+    Row i belongs to row i, so nothing has to be joined or shuffled.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "zipped_shards"
+
+    def schema(self) -> str:
+        return "shard bigint, row_pos bigint, image_path string, embedding array<float>"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _ZipReader(self.options)
+
+
+class _ZipReader(DataSourceReader):
+    def __init__(self, options) -> None:
+        # Options keep strings only: one line per shard.
+        lines = [line.split("\t") for line in options.get("pairs", "").split("\n") if line]
+        self.pairs = [(int(n), meta, npy, int(rows)) for n, meta, npy, rows in lines]
+        self.rows = int(options.get("rowsPerPartition", ROWS_PER_PARTITION))
+
+    def partitions(self) -> list[InputPartition]:
+        ranges: list[InputPartition] = [
+            _ZipRange(shard, meta, npy, at, min(at + self.rows, total))
+            for shard, meta, npy, total in self.pairs
+            for at in range(0, total, self.rows)
+        ]
+        return ranges or [_ZipRange(0, "", "", 0, 0)]
+
+    def read(self, partition: _ZipRange) -> Iterator[pa.RecordBatch]:
+        if partition.start >= partition.stop:
+            return
+        names = _column_range(partition.meta_path, "image_path", partition.start, partition.stop)
+        matrix = _row_range(partition.npy_path, partition.start, partition.stop)
+        at = partition.start
+        for name, vectors in _in_step(names, matrix):
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(name), partition.shard, np.int64)),
+                    pa.array(np.arange(at, at + len(name), dtype=np.int64)),
+                    name,
+                    vectors,
+                ],
+                names=["shard", "row_pos", "image_path", "embedding"],
+            )
+            at += len(name)
+
+
+def _in_step(names: Iterator[pa.Array], matrix: Iterator[pa.Array]):
+    """Cut two streams of arrays at common row boundaries."""
+    left, right = pa.array([], pa.string()), None
+    for right in matrix:
+        while len(right):
+            if not len(left):
+                left = next(names)
+            rows = min(len(left), len(right))
+            yield left[:rows], right[:rows]
+            left, right = left[rows:], right[rows:]
+
+
+def _row_range(path: str, start: int, stop: int) -> Iterator[pa.Array]:
+    """Rows of a matrix file as float32 lists, a batch at a time."""
+    with _open(path) as handle:
+        (_, dim), kind, origin = _npy_header(handle)
+        handle.seek(origin + start * dim * kind.itemsize)
+        for at in range(start, stop, ROWS_PER_BATCH):
+            rows = min(ROWS_PER_BATCH, stop - at)
+            raw = np.frombuffer(handle.read(rows * dim * kind.itemsize), kind)
+            vectors = pa.FixedSizeListArray.from_arrays(pa.array(raw.astype(np.float32)), dim)
+            yield vectors.cast(pa.list_(pa.float32()))
+
+
+def _column_range(path: str, column: str, start: int, stop: int) -> Iterator[pa.Array]:
+    """One text column of a Parquet file between two rows; other row groups are not read."""
+    with _open(path) as handle:
+        file = pq.ParquetFile(handle)
+        first = 0
+        for group in range(file.num_row_groups):
+            rows = file.metadata.row_group(group).num_rows
+            low, high = max(start - first, 0), min(stop - first, rows)
+            if low < high:
+                data = file.read_row_group(group, columns=[column])[column].combine_chunks()
+                yield data[low:high].cast(pa.string())
+            first += rows
+
+
+def shard_sizes(row: dict) -> tuple[int, int]:
+    """Rows of both files of a shard, from their headers."""
+    with _open(row["meta_path"]) as meta, _open(row["npy_path"]) as npy:
+        return pq.ParquetFile(meta).metadata.num_rows, _npy_header(npy)[0][0]
+
+
 def read_half_parquet(files: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Parquet files whose vectors are float16, which Spark's own reader refuses.
 
@@ -182,7 +280,7 @@ def convert_rows(
     budget: int | None = None,
     done: DataFrame | None = None,
 ) -> DataFrame:
-    """Zip ``shard, row_pos, image_path`` with ``shard, row_pos, embedding``.
+    """Zip two tables, ``shard, row_pos, image_path`` and ``shard, row_pos, embedding``.
 
     A shard whose sides differ in length fails the job. ``budget`` limits the rows over all
     shards in shard order; shards in ``done`` are skipped and use none of it.
@@ -207,14 +305,19 @@ def convert_rows(
         metadata.join(vectors, ["shard", "row_pos"])
         .join(quota, "shard")
         .where(F.col("row_pos") < F.col("n_write"))
-        .select(
-            "shard",
-            F.col("image_path").cast("string").alias("id"),
-            F.col("image_path").cast("string").alias("image_path"),
-            F.lit(model_name).alias("model_name"),
-            F.lit(dataset_name).alias("dataset_name"),
-            F.col("embedding").cast("array<float>").alias("embedding"),
-        )
+        .transform(embedding_rows, model_name, dataset_name)
+    )
+
+
+def embedding_rows(zipped: DataFrame, model_name: str, dataset_name: str) -> DataFrame:
+    """The published columns; the path is also the id."""
+    return zipped.select(
+        "shard",
+        F.col("image_path").cast("string").alias("id"),
+        F.col("image_path").cast("string").alias("image_path"),
+        F.lit(model_name).alias("model_name"),
+        F.lit(dataset_name).alias("dataset_name"),
+        F.col("embedding").cast("array<float>").alias("embedding"),
     )
 
 
@@ -237,34 +340,35 @@ def convert_shards(
             list_files(spark, vectors_dir, "img_emb_*.npy"),
         )
     )
-    # The listing is one row per file; it names the paths to read.
-    listed = pairs.orderBy("shard").collect()
-    meta_of = F.col("_metadata.file_path")
-    metadata = spark.read.parquet(*[row["meta_path"] for row in listed]).select(
-        shard_number(F.substring_index(meta_of, "/", -1), "metadata_").alias("shard"),
-        F.col("_metadata.row_index").alias("row_pos"),
-        "image_path",
-    )
-    vectors = read_npy_shards(spark, [row["npy_path"] for row in listed]).select(
-        shard_number(F.substring_index("path", "/", -1), "img_emb_").alias("shard"),
-        "row_pos",
-        "embedding",
-    )
-    done = None
+    done: set[int] = set()
     if not overwrite:
         try:
-            done = spark.read.parquet(output).select(F.col("shard").cast("bigint"))
+            held = spark.read.parquet(output).select(F.col("shard").cast("bigint")).distinct()
+            done = {row["shard"] for row in held.collect()}
         except Exception as error:
             if "PATH_NOT_FOUND" not in str(error):
                 raise
-    rows = convert_rows(
-        metadata,
-        vectors,
-        model_name=model_name,
-        dataset_name=dataset_name,
-        budget=budget,
-        done=done,
-    )
+    # The listing is one row per file pair, and only headers are read here.
+    listed = [row.asDict() for row in pairs.orderBy("shard").collect()]
+    sizes = []
+    for row in listed:
+        n_rows, n_vectors = shard_sizes(row)
+        skipped = row["shard"] in done
+        if n_rows != n_vectors and not skipped:
+            raise ValueError(
+                f"Shard size mismatch: {row['meta_path']} has {n_rows} rows,"
+                f" {row['npy_path']} has {n_vectors}"
+            )
+        sizes.append((row["shard"], n_rows, skipped))
+    counts = spark.createDataFrame(sizes, "shard bigint, n_rows bigint, skipped boolean")
+    quota = {r["shard"]: r["n_write"] for r in running_limit(counts, budget).collect()}
+    lines = [
+        f"{row['shard']}\t{row['meta_path']}\t{row['npy_path']}\t{quota[row['shard']]}"
+        for row in listed
+    ]
+    spark.dataSource.register(ZippedShards)
+    zipped = spark.read.format("zipped_shards").option("pairs", "\n".join(lines)).load()
+    rows = embedding_rows(zipped, model_name, dataset_name)
     (
         rows.write.mode("overwrite" if overwrite else "append")
         .option("partitionOverwriteMode", "dynamic")
