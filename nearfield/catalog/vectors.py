@@ -61,8 +61,8 @@ from nearfield.plans.scoring import (
     query_metadata,
     score_hits,
     score_queries,
+    truth_pairs,
 )
-from nearfield.functions.labels import truth_info
 
 from nearfield.session import materialise
 from nearfield.sources.embeddings import (
@@ -546,8 +546,7 @@ def cosine_hits(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("join_truth", SCORED_SQL + " SELECT qid, rank, id, is_relevant FROM f")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    queries = truth_info(truth(spark, sf), "relevant_ids").select("qid", "normalised")
-    flagged = join_truth(cosine_hits(spark, sf), queries)
+    flagged = join_truth(cosine_hits(spark, sf), truth_pairs(truth(spark, sf), "relevant_ids"))
     return flagged.select("qid", "rank", "id", "is_relevant")
 
 
@@ -584,13 +583,14 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "score_queries",
     PER_QUERY_SQL
-    + " SELECT qid, CAST(n AS INTEGER) AS n_labels, any_hit, "
+    + " SELECT qid, n AS n_labels, any_hit, "
     + ", ".join(f"round(r{p}, 6) AS recall_{p}" for p in POINTS)
     + " FROM s",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    queries = truth_info(truth(spark, sf), "relevant_ids").select("qid", "normalised")
-    scores = score_queries(join_truth(cosine_hits(spark, sf), queries), queries, POINTS)
+    queries = truth(spark, sf)
+    pairs = truth_pairs(queries, "relevant_ids")
+    scores = score_queries(join_truth(cosine_hits(spark, sf), pairs), queries, pairs, POINTS)
     return scores.select(
         "qid",
         "n_labels",

@@ -43,16 +43,29 @@ def effective_k(top_k: int, recall_at: Sequence[int]) -> int:
     return max(int(top_k), max((int(p) for p in recall_at), default=0))
 
 
-def join_truth(hits: DataFrame, truth: DataFrame) -> DataFrame:
-    """Flag hits whose normalised id is one of the query's normalised labels.
+def truth_pairs(queries: DataFrame, relevance: str) -> DataFrame:
+    """Normalised labels in long form, ``qid, label``, each pair once."""
+    return truth_info(queries, relevance).select("qid", F.explode("normalised").alias("label"))
 
-    ``truth`` holds ``qid, normalised``. The labels are exploded and joined on (qid, label), so a
-    query with very many labels is spread out instead of being searched row by row. An equal raw
-    label always has an equal normalised form, so one equi join covers both tests.
+
+def pairs_of_annotations(annotations: DataFrame) -> DataFrame:
+    """The same long form straight from ``query_id, image_path`` rows.
+
+    No list per query is built, so a query that owns most of the annotations stays spread out.
     """
-    wanted = truth.select("qid", F.explode("normalised").alias("label")).withColumn(
-        "_hit", F.lit(True)
-    )
+    label = normalize_label(F.col("image_path").cast("string"))
+    named = annotations.select(F.col("query_id").cast("string").alias("qid"), label.alias("label"))
+    return named.distinct()
+
+
+def join_truth(hits: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Flag hits whose normalised id is one of the query's labels.
+
+    The join key is (qid, label): a query with very many labels is spread out instead of being
+    searched row by row. An equal raw label always has an equal normalised form, so one equi join
+    covers both tests.
+    """
+    wanted = pairs.select("qid", "label").withColumn("_hit", F.lit(True))
     return (
         hits.withColumn("label", normalize_label(F.col("id").cast("string")))
         .join(wanted, ["qid", "label"], "left")
@@ -62,33 +75,32 @@ def join_truth(hits: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def score_queries(
-    flagged: DataFrame, truth: DataFrame, points: Sequence[int]
+    flagged: DataFrame, asked: DataFrame, pairs: DataFrame, points: Sequence[int]
 ) -> DataFrame:
     """Per query: any relevant hit, and found / relevant labels at every recall point.
 
     A label counts from its best rank on, so one pass serves all points.
     """
+    points = recall_points(points)
     best = (
         flagged.where("is_relevant").groupBy("qid", "label").agg(F.min("rank").alias("first_rank"))
     )
     found = best.groupBy("qid").agg(
         F.lit(True).alias("any_hit"),
-        *[
-            F.count(F.when(F.col("first_rank") <= p, 1)).alias(f"found@{p}")
-            for p in recall_points(points)
-        ],
+        *[F.count(F.when(F.col("first_rank") <= p, 1)).alias(f"found@{p}") for p in points],
     )
-    labels = truth.select("qid", F.size("normalised").alias("n_labels"))
-    return labels.join(found, "qid", "left").select(
+    labels = pairs.groupBy("qid").agg(F.count("*").alias("n_labels"))
+    per_query = asked.select("qid").join(labels, "qid", "left").join(found, "qid", "left")
+    return per_query.select(
         "qid",
-        "n_labels",
+        F.coalesce("n_labels", F.lit(0)).alias("n_labels"),
         F.coalesce("any_hit", F.lit(False)).alias("any_hit"),
         *[
             F.when(
                 F.col("n_labels") > 0,
                 F.coalesce(F.col(f"`found@{p}`"), F.lit(0)) / F.col("n_labels"),
             ).alias(f"recall@{p}")
-            for p in recall_points(points)
+            for p in points
         ],
     )
 
@@ -103,19 +115,27 @@ def summarise(per_query: DataFrame, points: Sequence[int]) -> DataFrame:
 
 
 def score_hits(
-    hits: DataFrame, queries: DataFrame, relevance: str | None, points: Sequence[int]
+    hits: DataFrame,
+    queries: DataFrame,
+    relevance: str | None,
+    points: Sequence[int],
+    pairs: DataFrame | None = None,
 ) -> DataFrame:
-    """One row: ``accuracy, recall@p..., num_queries``; all null scores without a truth column."""
+    """One row: ``accuracy, recall@p..., num_queries``; null scores when there is no truth.
+
+    Truth is a column of ``queries`` or, in long form, ``pairs`` of ``qid, label``.
+    """
     points = recall_points(points)
-    if relevance is None:
-        empty = {f"recall@{p}": F.lit(None).cast("double") for p in points}
+    if relevance is None and pairs is None:
+        nothing = F.lit(None).cast("double")
         return queries.agg(
-            F.lit(None).cast("double").alias("accuracy"),
-            *[column.alias(name) for name, column in empty.items()],
+            nothing.alias("accuracy"),
+            *[nothing.alias(f"recall@{p}") for p in points],
             F.count("*").alias("num_queries"),
         )
-    truth = truth_info(queries, relevance).select("qid", "normalised")
-    return summarise(score_queries(join_truth(hits, truth), truth, points), points)
+    if pairs is None:
+        pairs = truth_pairs(queries, relevance)
+    return summarise(score_queries(join_truth(hits, pairs), queries, pairs, points), points)
 
 
 def metadata_columns(columns: Sequence[str], exclude: Sequence[str]) -> list[str]:
@@ -155,7 +175,8 @@ def detail_rows(
         ]
         missing = F.lit(None).cast("boolean")
     else:
-        flagged = join_truth(hits, base.select("qid", "normalised"))
+        labels = base.select("qid", F.explode("normalised").alias("label"))
+        flagged = join_truth(hits, labels)
         info = [F.col("joined").alias("relevant_ids"), F.size("labels").alias("relevant_count")]
         missing = F.lit(False)
     asked = base.select(

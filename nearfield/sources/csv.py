@@ -26,7 +26,11 @@ def read_csv_drop_index(
 
 
 def relevant_ids_by_query(annotations: DataFrame) -> DataFrame:
-    """``query_id, relevant_ids``: sorted distinct paths per query."""
+    """``query_id, relevant_ids``: sorted distinct paths per query, as the query table stores them.
+
+    The list is one cell of the result. To score against more annotations than a row should hold,
+    use the long form (``plans.scoring.pairs_of_annotations``).
+    """
     missing = {"query_id", "image_path"} - set(annotations.columns)
     if missing:
         raise ValueError(f"Annotation columns missing: {', '.join(sorted(missing))}")

@@ -13,6 +13,7 @@ from nearfield.plans.scoring import (
     effective_k,
     join_truth,
     order_detail_columns,
+    pairs_of_annotations,
     query_metadata,
     recall_points,
     score_hits,
@@ -189,6 +190,20 @@ def test_flags_match_a_plain_loop(spark):
     hits = spark.createDataFrame(
         [("q", i, name, 1.0) for i, name in enumerate(["a.png", "b", " c.JPEG ", "d"], 1)], HITS
     )
-    truth = spark.createDataFrame([("q", ["a", "c", "D"])], "qid string, normalised array<string>")
+    truth = spark.createDataFrame([("q", "a"), ("q", "c"), ("q", "D")], "qid string, label string")
     flags = {r["rank"]: r["is_relevant"] for r in join_truth(hits, truth).collect()}
     assert flags == {1: True, 2: False, 3: True, 4: False}
+
+
+def test_truth_in_long_form(spark):
+    """A query that owns nearly all annotations is never gathered into one list."""
+    marks = spark.range(4000).select(
+        F.when(F.col("id") < 3999, "hot").otherwise("q2").alias("query_id"),
+        F.concat(F.col("id") % 2000, F.lit(".jpg")).alias("image_path"),
+    )
+    pairs = pairs_of_annotations(marks)
+    hits = spark.createDataFrame([("hot", i + 1, str(i), 1.0) for i in range(50)], HITS)
+    queries = spark.createDataFrame([("hot",), ("q2",), ("q3",)], "qid string")
+    got = score_hits(hits, queries, None, [10, 50], pairs=pairs).first()
+    assert got["accuracy"] == pytest.approx(1 / 3)
+    assert got["recall@50"] == pytest.approx((50 / 2000 + 0) / 2)
