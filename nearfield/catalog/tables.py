@@ -17,10 +17,8 @@ from pyspark.sql import types as T
 from nearfield.catalog.base import elements, gallery, query, scratch, table
 from nearfield.functions.ids import image_path, prompt_prefix, resolve_image_id, row_index
 from nearfield.functions.labels import (
-    joined_labels,
     label_set,
     normalize_label,
-    normalized_set,
     serialize_metadata,
     truth_info,
 )
@@ -281,7 +279,12 @@ def conversation_queries(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("dedup_queries", QUERY_ROWS_SQL.replace("text AS query_text", "' ' || chr(9) || text || chr(10) AS query_text"))
+@query(
+    "dedup_queries",
+    QUERY_ROWS_SQL.replace(
+        "text AS query_text", "' ' || chr(9) || text || chr(10) AS query_text"
+    ),
+)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return dedup_queries(conversation_queries(spark, sf), ["turn"]).drop("turn")
 

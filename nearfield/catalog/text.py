@@ -19,7 +19,6 @@ from nearfield.catalog.base import (
     table,
 )
 from nearfield.functions.encoders import HashEncoder, encode_column, get_encoder, spread
-from nearfield.functions.ids import caption_id, image_id_of, row_index
 from nearfield.operators.knn import nearest
 from nearfield.operators.search import (
     attach_captions,

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import time
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.catalog.base import (
@@ -535,8 +533,9 @@ def truth(spark: SparkSession, sf: str) -> DataFrame:
         .groupBy("qid")
         .agg(F.collect_list(F.concat("id", F.lit(".JPG"))).alias("relevant_ids"))
     )
-    return queries.join(labels, "qid", "left").withColumn(
-        "query_index", F.col("qid").cast("bigint")
+    # Written once: scoring reads the queries several times, and the labels cost a search.
+    return materialise(
+        queries.join(labels, "qid", "left").withColumn("query_index", F.col("qid").cast("bigint"))
     )
 
 
@@ -696,8 +695,7 @@ UNION_SQL = (
 
 def _summary(spark: SparkSession, sf: str) -> DataFrame:
     """Scores of the exact runs, the last one without the columns that get filled in."""
-    rows, queries = gallery(spark, sf), truth(spark, sf)
-    held = materialise(queries)
+    rows, held = gallery(spark, sf), truth(spark, sf)
     parts = []
     for metric in ("cosine", "ip", "l2"):
         hits = nearest(rows, held, 5, metric)
@@ -758,7 +756,7 @@ SMALL_METHODS = [
 
 @query("evaluate_methods")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    queries = materialise(truth(spark, sf))
+    queries = truth(spark, sf)
     return evaluate_methods(
         gallery(spark, sf).select("id", "embedding"),
         queries,

@@ -25,9 +25,7 @@ def norm(vector: Column) -> Column:
 
 def l2_normalize(vector: Column) -> Column:
     """Unit length; a zero vector stays as it is."""
-    length = norm(vector)
-    safe = F.when(length == 0, F.lit(1.0)).otherwise(length)
-    return _divide(vector, safe)
+    return _divide(vector, safe_norm(vector))
 
 
 def l2_normalize_eps(vector: Column, eps: float = 1e-9) -> Column:
@@ -59,6 +57,22 @@ def pair_score_cosine(left: Column, right: Column) -> Column:
     return pair_score_ip(l2_normalize(left), l2_normalize(right))
 
 
+def pair_score_scaled(left: Column, right: Column, left_norm: Column, right_norm: Column) -> Column:
+    """``pair_score_cosine`` for norms that are already known (zero vectors carry norm 1)."""
+    products = F.zip_with(
+        left,
+        right,
+        lambda x, y: (x.cast("double") / left_norm) * (y.cast("double") / right_norm),
+    )
+    return _sum(products)
+
+
+def safe_norm(vector: Column) -> Column:
+    """The divisor that normalises a vector: its norm, or 1 for a zero vector."""
+    length = norm(vector)
+    return F.when(length == 0, F.lit(1.0)).otherwise(length)
+
+
 def pair_score(left: Column, right: Column, metric: str) -> Column:
     scores = {"l2": pair_score_l2, "ip": pair_score_ip, "cosine": pair_score_cosine}
     if metric not in scores:

@@ -114,6 +114,9 @@ def build_lists(
     limits: Limits | None = None,
 ) -> InvertedLists:
     """File rows under the best centroid by the search metric; ties go to the smaller list."""
+    limits = limits or DEFAULT_LIMITS
+    # Building and probing read the centroids several times.
+    centroids = held_if_small(centroids, *vector_stats(centroids), limits)
     filed = with_nearest(
         gallery.select("id", "embedding"),
         "id",

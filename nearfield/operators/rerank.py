@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.functions.vectors import l2_normalize, pair_score
+from nearfield.functions.vectors import (
+    l2_normalize,
+    pair_score,
+    pair_score_scaled,
+    safe_norm,
+)
 from nearfield.operators.knn import check_metric, merge_hits
 
 
@@ -26,14 +31,21 @@ def rerank_exact(
     metric = check_metric(metric)
     unit = metric == "cosine" if normalize is None else bool(normalize)
 
-    # Plain float vectors travel through the joins; unit vectors (doubles) are made afterwards.
+    def side(df: DataFrame, key: str, name: str) -> DataFrame:
+        # The float vector and its norm travel through the joins, not a unit vector of doubles.
+        scale = safe_norm(F.col("embedding")) if unit else F.lit(1.0)
+        return df.select(key, F.col("embedding").alias(f"{name}_vector"), scale.alias(f"{name}_norm"))
+
     pairs = (
         candidates.select("qid", "id")
-        .join(gallery.select("id", F.col("embedding").alias("g_vector")), "id")
-        .join(queries.select("qid", F.col("embedding").alias("q_vector")), "qid")
+        .join(side(gallery, "id", "g"), "id")
+        .join(side(queries, "qid", "q"), "qid")
     )
     left, right = F.col("q_vector"), F.col("g_vector")
-    if unit:
-        left, right = l2_normalize(left), l2_normalize(right)
-    score = pair_score(left, right, "l2" if metric == "l2" else "ip")
+    if not unit:
+        score = pair_score(left, right, metric)
+    elif metric == "l2":
+        score = pair_score(l2_normalize(left), l2_normalize(right), "l2")
+    else:
+        score = pair_score_scaled(left, right, F.col("q_norm"), F.col("g_norm"))
     return merge_hits(pairs.select("qid", "id", score.alias("score")), k, metric)
