@@ -110,12 +110,12 @@ class _Route:
         if self.rule is None:
             state.offer(block, ids)
         elif self.rule == "list":
-            state.offer_cells(block, ids, self.cells.shared(Cells.of_lists(rows["cells"])))
+            state.offer_cells(block, ids, self.cells, Cells.of_lists(rows["cells"]))
         else:
             theirs = _cells_matrix(rows["cells"])
             for table, cells in enumerate(Cells.of_tables(theirs)):
                 keep = first_shared_table(self.buckets, theirs, table)
-                state.offer_cells(block, ids, self.tables[table].shared(cells), keep)
+                state.offer_cells(block, ids, self.tables[table], cells, keep)
 
 
 def _empty(batch: pa.RecordBatch | pa.Table) -> bool:

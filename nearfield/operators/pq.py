@@ -350,7 +350,7 @@ def knn_ivf_pq(
                 codes = unpack(batch["codes"])
                 at = batch["list_id"].to_numpy()
                 for list_id in np.unique(at):
-                    picked = cells[list_id]
+                    picked = cells.of_key(list_id)
                     if len(picked):
                         found = np.flatnonzero(at == list_id)
                         offer(state, tables, vectors, picked, list_id, found, codes, batch["id"])

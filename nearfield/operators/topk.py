@@ -8,8 +8,6 @@ same whatever the batch or partition layout, and equal scores go to the smaller
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,7 +15,7 @@ import pyarrow.compute as pc
 METRICS = ("l2", "ip", "cosine")
 SCREEN_BYTES = 32 << 20
 PAIR_BYTES = 32 << 20
-BLOCK_PAIRS = 16_384
+BLOCK_PAIRS = 512
 
 
 def smaller_is_better(metric: str) -> bool:
@@ -48,10 +46,8 @@ class Vectors:
 
     def __init__(self, matrix: np.ndarray, metric: str, normalize: bool):
         self.rows, self.dim = matrix.shape
-        # (dim, n): reducing over axis 0 adds the dimensions one after the other.
-        self.columns = np.ascontiguousarray(matrix.T)
-        squares = np.square(self.columns, dtype=np.float64)
-        self.squared = np.add.reduce(squares, axis=0) if self.dim else np.zeros(self.rows)
+        self.matrix = matrix
+        self.squared = np.square(matrix, dtype=np.float64).sum(axis=1)
         norms = np.sqrt(self.squared)
         self.scale = None
         screen = matrix
@@ -65,8 +61,8 @@ class Vectors:
         self.screen = np.ascontiguousarray(screen, dtype=np.float64 if wide else np.float32)
 
     def take(self, rows: np.ndarray) -> np.ndarray:
-        block = self.columns[:, rows].astype(np.float64)
-        return block if self.scale is None else block / self.scale[rows]
+        block = self.matrix[rows].astype(np.float64)
+        return block if self.scale is None else block / self.scale[rows, None]
 
 
 class BestK:
@@ -106,10 +102,11 @@ class BestK:
     def _screen(self, picked: np.ndarray, block: Vectors, rows: np.ndarray) -> np.ndarray:
         product = self.queries.screen[picked] @ block.screen[rows].T
         if self.metric != "l2":
-            return -product
-        own = self.queries.squared[picked].astype(product.dtype)
-        other = block.squared[rows].astype(product.dtype)
-        return own[:, None] + other[None, :] - 2 * product
+            return np.negative(product, out=product)
+        product *= -2
+        product += self.queries.squared[picked].astype(product.dtype)[:, None]
+        product += block.squared[rows].astype(product.dtype)[None, :]
+        return product
 
     def exact(self, block: Vectors, qi: np.ndarray, gi: np.ndarray) -> np.ndarray:
         """Sort key (smaller is better) of each (query, row) pair in double precision."""
@@ -121,10 +118,10 @@ class BestK:
             if self.metric == "l2":
                 left -= right
                 left *= left
-                out[start : start + step] = np.add.reduce(left, axis=0)
+                out[start : start + step] = left.sum(axis=1)
             else:
                 left *= right
-                out[start : start + step] = -np.add.reduce(left, axis=0)
+                out[start : start + step] = -left.sum(axis=1)
         return out if self.tie_decimals is None else np.round(out, self.tie_decimals)
 
     def offer(
@@ -154,43 +151,43 @@ class BestK:
             if len(part) > self.k and open_ended.any():
                 kth = np.partition(approx[open_ended], self.k - 1, axis=1)[:, self.k - 1]
                 bound[open_ended] = kth + 2 * slack[open_ended]
-            at_q, at_g = np.nonzero(approx <= bound[:, None])
-            if not len(at_q):
+            # Compared in the block's own type, rounded so that no candidate is lost.
+            reach = np.nextafter(bound.astype(approx.dtype), np.inf, dtype=approx.dtype)
+            near = np.flatnonzero(approx <= reach[:, None])
+            if not len(near):
                 continue
-            qi, gi = picked[at_q], part[at_g]
+            qi, gi = picked[near // len(part)], part[near % len(part)]
             if keep_pair is not None:
                 keep = keep_pair(qi, gi)
                 qi, gi = qi[keep], gi[keep]
             self.add(qi, self.exact(block, qi, gi), gi, ids)
 
-    def offer_cells(self, block: Vectors, ids: pa.Array, groups, keep_pair=None) -> None:
-        """Score groups of (queries, rows) that share a cell.
+    def offer_cells(
+        self, block: Vectors, ids: pa.Array, asked: Cells, held: Cells, keep_pair=None
+    ) -> None:
+        """Score the queries and rows that share a cell.
 
-        Large groups are scored as blocks. Small ones are pooled into lists of pairs, since a
-        matrix product per handful of rows would cost more than its arithmetic.
+        Crowded cells are scored as blocks. The many small ones are pooled into lists of pairs,
+        since a matrix product per handful of rows would cost more than its arithmetic.
         """
-        pool_q, pool_g, pooled = [], [], 0
-        limit = max(1, PAIR_BYTES // (8 * max(1, self.queries.dim)))
-        for picked, rows in groups:
-            size = len(picked) * len(rows)
-            if size >= BLOCK_PAIRS:
-                self.offer(block, ids, picked, rows, keep_pair)
-                continue
-            pool_q.append(np.repeat(picked, len(rows)))
-            pool_g.append(np.tile(rows, len(picked)))
-            pooled += size
-            if pooled >= limit:
-                self._offer_pairs(block, ids, pool_q, pool_g, keep_pair)
-                pool_q, pool_g, pooled = [], [], 0
-        if pooled:
-            self._offer_pairs(block, ids, pool_q, pool_g, keep_pair)
-
-    def _offer_pairs(self, block, ids, pool_q, pool_g, keep_pair) -> None:
+        mine, theirs = asked.shared(held)
+        sizes = asked.counts[mine] * held.counts[theirs]
+        for left, right in zip(mine[sizes >= BLOCK_PAIRS], theirs[sizes >= BLOCK_PAIRS]):
+            self.offer(block, ids, asked.members(left), held.members(right), keep_pair)
+        small = sizes < BLOCK_PAIRS
+        mine, theirs, sizes = mine[small], theirs[small], sizes[small]
+        limit = max(BLOCK_PAIRS, PAIR_BYTES // (8 * max(1, self.queries.dim)))
+        chunk = np.cumsum(sizes) // limit
+        for cut in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(chunk)) + 1):
+            if len(cut):
+                qi, gi = asked.pairs(mine[cut], held, theirs[cut])
+                self._offer_pairs(block, ids, qi, gi, keep_pair)
+
+    def _offer_pairs(self, block, ids, qi, gi, keep_pair) -> None:
         if block.dim != self.queries.dim:
             raise ValueError(
                 f"Expected vectors of dimension {self.queries.dim}, received {block.dim}"
             )
-        qi, gi = np.concatenate(pool_q), np.concatenate(pool_g)
         if keep_pair is not None:
             keep = keep_pair(qi, gi)
             qi, gi = qi[keep], gi[keep]
@@ -269,8 +266,10 @@ class Cells:
 
     def __init__(self, cells: np.ndarray, owner: np.ndarray):
         order = np.argsort(cells, kind="stable")
-        self.keys, starts = np.unique(cells[order], return_index=True)
-        self.members = np.split(owner[order], starts[1:]) if len(starts) else []
+        self.owner = owner[order]
+        self.keys, self.starts, self.counts = np.unique(
+            cells[order], return_index=True, return_counts=True
+        )
 
     @classmethod
     def of_lists(cls, column: pa.Array | pa.ChunkedArray) -> Cells:
@@ -288,19 +287,33 @@ class Cells:
         rows = np.arange(len(cells))
         return [cls(cells[:, table], rows) for table in range(cells.shape[1])]
 
-    def __getitem__(self, cell: int) -> np.ndarray:
+    def members(self, at: int) -> np.ndarray:
+        """Owners in the cell at a position of ``keys``."""
+        return self.owner[self.starts[at] : self.starts[at] + self.counts[at]]
+
+    def of_key(self, cell: int) -> np.ndarray:
         at = np.searchsorted(self.keys, cell)
-        if at < len(self.keys) and self.keys[at] == cell:
-            return self.members[at]
-        return np.empty(0, dtype=np.int64)
+        found = at < len(self.keys) and self.keys[at] == cell
+        return self.members(at) if found else self.owner[:0]
 
-    def shared(self, other: Cells) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Members of both sides for every cell that both sides hold."""
+    def shared(self, other: Cells) -> tuple[np.ndarray, np.ndarray]:
+        """Positions, on both sides, of the cells that both sides hold."""
         _, mine, theirs = np.intersect1d(
             self.keys, other.keys, assume_unique=True, return_indices=True
         )
-        for left, right in zip(mine, theirs, strict=True):
-            yield self.members[left], other.members[right]
+        return mine, theirs
+
+    def pairs(
+        self, mine: np.ndarray, other: Cells, theirs: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Every owner of ``mine[i]`` with every owner of ``theirs[i]``, for all i at once."""
+        rows = other.counts[theirs]
+        sizes = self.counts[mine] * rows
+        group = np.repeat(np.arange(len(mine)), sizes)
+        step = np.arange(len(group)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        left = self.owner[self.starts[mine][group] + step // rows[group]]
+        right = other.owner[other.starts[theirs][group] + step % rows[group]]
+        return left, right
 
 
 def first_shared_table(q_cells: np.ndarray, g_cells: np.ndarray, table: int):

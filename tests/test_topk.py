@@ -117,6 +117,9 @@ def test_ragged_and_null_vectors_are_errors():
 def test_cells_share_members():
     left = Cells.of_lists(pa.array([[3, 1], [1]], pa.list_(pa.int64())))
     right = Cells.of_lists(pa.array([[1], [2], [3]], pa.list_(pa.int64())))
-    pairs = {(a, b) for qs, rows in left.shared(right) for a in qs for b in rows}
-    assert pairs == {(0, 0), (1, 0), (0, 2)}
-    assert list(left[99]) == []
+    mine, theirs = left.shared(right)
+    together = list(zip(*left.pairs(mine, right, theirs)))
+    assert sorted(together) == [(0, 0), (0, 2), (1, 0)]
+    each = {(a, b) for i, j in zip(mine, theirs) for a in left.members(i) for b in right.members(j)}
+    assert each == set(together)
+    assert list(left.of_key(1)) == [0, 1] and list(left.of_key(99)) == []
