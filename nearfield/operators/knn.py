@@ -188,13 +188,14 @@ def _scan_queries(gallery: DataFrame, queries: DataFrame, match: Match, out) ->
     return queries.mapInArrow(scan, out)
 
 
-def tiles_per_cell(
+def with_tiles(
     gallery: DataFrame, queries: DataFrame, dim: int, limits: Limits
-) -> DataFrame:
-    """How many tiles each side of a cell is cut into, for the cells that both sides hold.
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides (``cell`` and a unique key) placed and copied so that their tiles meet.
 
-    One row per cell. It is written once and counted, so that the hint below rests on a checked
-    size; a join on the cell would send a crowded cell to a single task.
+    How many tiles a cell is cut into comes from its counts. That table has one row per cell; it
+    is written once and counted, so the broadcast below rests on a checked size. A join on the
+    cell itself would send a crowded cell to a single task.
     """
 
     def counts(df: DataFrame, name: str, rows: int) -> DataFrame:
@@ -205,39 +206,56 @@ def tiles_per_cell(
     tiles = materialise(
         counts(gallery, "n_gt", g_rows).join(counts(queries, "n_qt", q_rows), "cell")
     )
-    return F.broadcast(tiles) if tiles.count() <= BROADCAST_CELLS else tiles
+    if tiles.count() <= BROADCAST_CELLS:
+        tiles = F.broadcast(tiles)
+    return (
+        place(gallery.join(tiles, "cell"), "id", "gt", "qt"),
+        place(queries.join(tiles, "cell"), "qid", "qt", "gt"),
+    )
 
 
-def tile(df: DataFrame, key: str, tiles: DataFrame, own: str, other: str) -> DataFrame:
-    """Place each row in one tile of its cell and copy it to the tiles it must meet.
+def place(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
+    """One tile of its own side for each row, and a copy for every tile of the other side.
 
-    Ids are unique, so hashing them spreads even a cell that holds most of the table.
+    Keys are unique, so hashing them spreads even a cell that holds most of the table.
     """
     return (
-        df.join(tiles, "cell")
-        .withColumn(own, F.pmod(F.xxhash64(key), F.col(f"n_{own}")).cast("int"))
+        df.withColumn(own, F.pmod(F.xxhash64(key), F.col(f"n_{own}")).cast("int"))
         .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1)))
         .drop(f"n_{own}", f"n_{other}")
     )
 
 
+TILE_KEYS = ("cell", "gt", "qt")
+
+
+def cogrouped_tiles(left: DataFrame, right: DataFrame):
+    """Pairs of tiles. The left columns get fresh names: both sides may be the same table."""
+    left = left.select(*[F.col(name).alias(f"g_{name}") for name in left.columns])
+    keys = [f"g_{name}" for name in TILE_KEYS]
+    return left.groupBy(*keys).cogroup(right.groupBy(*TILE_KEYS))
+
+
 def _tile_pairs(
-    gallery: DataFrame, queries: DataFrame, match: Match, out, dim: int, limits: Limits
+    gallery: DataFrame, queries: DataFrame, match: Match, out, asked: int, dim: int, limits: Limits
 ) -> DataFrame:
     """Both sides large: tiles meet through (cell, gallery tile, query tile)."""
     require_unique(gallery, "id")
     require_unique(queries, "qid")
     if match.routing is None:
-        gallery = gallery.withColumn("cell", F.lit(0).cast("long"))
-        queries = queries.withColumn("cell", F.lit(0).cast("long"))
+        # One cell: its counts are known, nothing has to be joined.
+        n_gt = max(1, -(-gallery.count() // limits.rows(limits.gallery_tile_bytes, dim)))
+        n_qt = max(1, -(-asked // limits.rows(limits.query_tile_bytes, dim)))
+        whole = {"cell": F.lit(0).cast("long"), "n_gt": F.lit(n_gt), "n_qt": F.lit(n_qt)}
+        left = place(gallery.withColumns(whole), "id", "gt", "qt")
+        right = place(queries.withColumns(whole), "qid", "qt", "gt")
     else:
-        gallery = gallery.withColumn("cell", F.explode("cells"))
-        queries = queries.withColumn("cell", F.explode("cells"))
-    tiles = tiles_per_cell(gallery.select("cell"), queries.select("cell"), dim, limits)
-    # Fresh column names on the left: both sides may come from the same table.
-    left = tile(gallery, "id", tiles, "gt", "qt")
-    left = left.select(*[F.col(name).alias(f"g_{name}") for name in left.columns])
-    right = tile(queries, "qid", tiles, "qt", "gt")
+        left, right = with_tiles(
+            gallery.withColumn("cell", F.explode("cells")),
+            queries.withColumn("cell", F.explode("cells")),
+            dim,
+            limits,
+        )
     # Inside a group the cell is fixed; only the hash rule must look at the other tables.
     aligned = match.routing == "hash"
 
@@ -262,8 +280,7 @@ def _tile_pairs(
         state.offer(match.vectors(rows), rows["id"].combine_chunks(), keep_pair=keep)
         return state.result(asked["qid"].combine_chunks(), HIT_NAMES)
 
-    keys = ("cell", "gt", "qt")
-    partial = left.groupBy(*[f"g_{key}" for key in keys]).cogroup(right.groupBy(*keys)).applyInArrow(meet, out)
+    partial = cogrouped_tiles(left, right).applyInArrow(meet, out)
     return merge_hits(partial, match.k, match.metric)
 
 
@@ -307,7 +324,7 @@ def nearest(
     # Counting stops one row above the bound, so a huge gallery is not scanned for it.
     if gallery.select("id").limit(fitting + 1).count() <= fitting:
         return _scan_queries(gallery, queries, match, out)
-    return _tile_pairs(gallery, queries, match, out, dim, limits)
+    return _tile_pairs(gallery, queries, match, out, asked, dim, limits)
 
 
 def knn_flat(gallery: DataFrame, queries: DataFrame, k: int, metric: str = "l2", **options):

@@ -24,12 +24,12 @@ from nearfield.operators.knn import (
     MAX_SCAN_TASKS,
     Limits,
     checked_table,
+    cogrouped_tiles,
     held_if_small,
     keep_first,
     merge_hits,
     overfetch,
-    tile,
-    tiles_per_cell,
+    with_tiles,
 )
 from nearfield.operators.rerank import rerank_exact
 from nearfield.operators.topk import BestK, Cells, Vectors, to_matrix
@@ -364,10 +364,7 @@ def knn_ivf_pq(
         require_unique(asked, "qid")
         rows = index.codes.withColumnRenamed("list_id", "cell")
         asked = asked.select("qid", "embedding", F.explode("cells").alias("cell"))
-        tiles = tiles_per_cell(rows.select("cell"), asked.select("cell"), dim, limits)
-        left = tile(rows, "id", tiles, "gt", "qt")
-        left = left.select(*[F.col(name).alias(f"g_{name}") for name in left.columns])
-        right = tile(asked, "qid", tiles, "qt", "gt")
+        left, right = with_tiles(rows, asked, dim, limits)
 
         def meet(coded: pa.Table, table: pa.Table) -> pa.Table:
             tables, vectors, state = prepared(table)
@@ -384,12 +381,7 @@ def knn_ivf_pq(
                 )
             return state.result(table["qid"].combine_chunks(), HIT_NAMES)
 
-        keys = ("cell", "gt", "qt")
-        partial = (
-            left.groupBy(*[f"g_{key}" for key in keys])
-            .cogroup(right.groupBy(*keys))
-            .applyInArrow(meet, out)
-        )
+        partial = cogrouped_tiles(left, right).applyInArrow(meet, out)
     hits = merge_hits(partial, wider, metric)
     if rerank_k:
         gallery = lists.rows.select("id", "embedding")

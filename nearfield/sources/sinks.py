@@ -82,12 +82,17 @@ def publish_configs(
         whole.write.mode("overwrite" if overwrite else "errorifexists").partitionBy(
             "split"
         ).parquet(f"{root}/{name}")
-        sent = whole.groupBy("split").agg(F.count("*").alias("written"))
-        back = spark.read.parquet(f"{root}/{name}").groupBy("split")
-        found = back.agg(F.count("*").alias("found"))
-        checks.append(
-            sent.join(found, "split", "full_outer").select(
-                F.lit(name).alias("config"), "split", "written", "found"
+        back = spark.read.parquet(f"{root}/{name}")
+        sides = [
+            table_.groupBy("split").agg(
+                F.count("*").alias("n"), F.lit(side).alias("side")
             )
+            for side, table_ in (("written", whole), ("found", back))
+        ]
+        checks.append(
+            union_all(sides)
+            .groupBy("split")
+            .agg(*[F.sum(F.when(F.col("side") == s, F.col("n"))).alias(s) for s in ("written", "found")])
+            .select(F.lit(name).alias("config"), "split", "written", "found")
         )
     return union_all(checks)
