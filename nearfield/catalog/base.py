@@ -126,12 +126,31 @@ HITS = "SELECT qid, rank, id, round(score, 6) AS score FROM "
 
 def encoded_ctes(name: str, source: str, key: str, text: str, dim: int = 64) -> str:
     """Signed token hashing in SQL: CTEs ending in ``name(id, v, len, w)``."""
+    words = f"string_split_regex(lower({text}), '[\\s\\x0B]+')"
     return f"""
-{name}_t AS (SELECT {key} AS id, unnest(string_split_regex(lower({text}), '[\\s\\x0B]+')) AS tok
-             FROM {source}),
-{name}_b AS (SELECT id, ('0x' || substr(md5(tok), 1, 8))::BIGINT % {dim} AS b,
-                    sum(CASE WHEN substr(md5(tok), 9, 1) < '8' THEN 1 ELSE -1 END) AS s
-             FROM {name}_t WHERE tok <> '' GROUP BY 1, 2),
+{name}_t AS (SELECT {key} AS id, unnest({words}) AS tok FROM {source}),
+{name}_d AS (SELECT id, md5(tok) AS d FROM {name}_t WHERE tok <> ''),"""+ hashed_ctes(
+        name, source, key, dim
+    )
+
+
+def block_ctes(name: str, source: str, key: str, text: str, dim: int) -> str:
+    """The same over 64-byte blocks of the text's bytes."""
+    return f"""
+{name}_h AS (SELECT {key} AS id, hex(encode({text})) AS h FROM {source}),
+{name}_t AS (SELECT id, unnest(list_transform(range((len(h) + 127) // 128),
+                    lambda i: substr(h, CAST(i * 128 + 1 AS BIGINT), 128))) AS tok FROM {name}_h),
+{name}_d AS (SELECT id, md5(unhex(tok)) AS d FROM {name}_t),""" + hashed_ctes(
+        name, source, key, dim
+    )
+
+
+def hashed_ctes(name: str, source: str, key: str, dim: int) -> str:
+    """From digests ``name_d(id, d)`` to unit vectors."""
+    return f"""
+{name}_b AS (SELECT id, ('0x' || substr(d, 1, 8))::BIGINT % {dim} AS b,
+                    sum(CASE WHEN substr(d, 9, 1) < '8' THEN 1 ELSE -1 END) AS s
+             FROM {name}_d GROUP BY 1, 2),
 {name}_f AS (SELECT k.id, list(CAST(coalesce(s, 0) AS DOUBLE) ORDER BY r.b) AS c
              FROM (SELECT {key} AS id FROM {source}) k CROSS JOIN range({dim}) r(b)
              LEFT JOIN {name}_b x ON x.id = k.id AND x.b = r.b GROUP BY k.id),

@@ -312,7 +312,10 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return fill_optional(rows)
 
 
-@query("sample_seeded")
+@query(
+    "sample_seeded",
+    "SELECT o_orderkey FROM orders ORDER BY md5('42:' || o_orderkey), o_orderkey LIMIT 1000",
+)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return sample_seeded(table(spark, sf, "orders"), "o_orderkey", 1000).select("o_orderkey")
 

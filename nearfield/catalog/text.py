@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from nearfield.catalog.base import (
     VECTORS,
     asked,
+    block_ctes,
     elements,
     encoded_ctes,
     gallery,
@@ -209,7 +210,14 @@ def document_images(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).select("id", F.encode("text", "UTF-8").alias("image"))
 
 
-@query("embed_images")
+@query(
+    "embed_images",
+    "WITH "
+    + block_ctes(
+        "h", "(SELECT CAST(page_id AS VARCHAR) AS page, html FROM pages)", "page", "html", 16
+    )
+    + ELEMENTS_SQL.format("h"),
+)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     rows = embed_images([HashEncoder(16)], {"pages": page_images(spark, sf)})
     return elements(rows)

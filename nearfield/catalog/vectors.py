@@ -390,7 +390,8 @@ x AS (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS d FROM e),
 bt AS (SELECT id, t, b, CASE WHEN sum(x * s) >= 0 THEN 1 ELSE 0 END AS bit
        FROM x JOIN sg USING (d) GROUP BY 1, 2, 3),
 bk AS (SELECT id, t, sum(bit << b) AS code FROM bt GROUP BY 1, 2),
-cd AS (SELECT DISTINCT a.id AS qid, b.id AS id FROM bk a JOIN bk b ON a.t = b.t AND a.code = b.code),
+cd AS (SELECT DISTINCT a.id AS qid, b.id AS id FROM bk a
+       JOIN bk b ON a.t = b.t AND a.code = b.code),
 p AS (SELECT cd.qid, cd.id, {score_sql("cosine")} AS score
       FROM cd JOIN u q ON q.id = cd.qid JOIN u g ON g.id = cd.id)""" + HITS + (
     f"({ranked_sql('p', 'cosine', 10)})"
@@ -754,12 +755,11 @@ SMALL_METHODS = [
 ]
 
 
-@query("evaluate_methods")
+@query("evaluate_trained_methods")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    queries = truth(spark, sf)
     return evaluate_methods(
         gallery(spark, sf).select("id", "embedding"),
-        queries,
+        truth(spark, sf),
         SMALL_METHODS,
         top_k=10,
         recall_at=POINTS,
@@ -768,6 +768,64 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     ).summary
 
 
+EXACT_METHODS = [
+    {"backend": "FAISS", "method": "flat", "metric": "cosine"},
+    {"backend": "faiss", "method": "flat", "metric": "IP", "use_gpu": True},
+    {"backend": "scann", "name": "exact", "metric": "l2", "num_neighbors": 20},
+]
+
+
+def _summary_sql(backend: str, method: str, metric: str) -> str:
+    parts = ", ".join(
+        f"round(avg(CASE WHEN n > 0 THEN CAST(c{p} AS DOUBLE) / n END), 6) AS recall_{p}"
+        for p in POINTS
+    )
+    counts = ", ".join(f"count(lab) FILTER (rank <= {p}) AS c{p}" for p in POINTS)
+    return f"""SELECT '{backend}' AS backend, '{method}' AS method, '{metric}' AS metric,
+      (SELECT count(*) FROM e) AS ntotal, round(avg(CASE WHEN c10 > 0 THEN 1.0 ELSE 0 END), 6)
+      AS accuracy, {parts}, count(*) AS num_queries, 10 AS top_k FROM (
+      SELECT t.qid, t.n, {counts} FROM truth t JOIN h_{metric} h ON h.qid = t.qid
+      LEFT JOIN labels l ON l.qid = h.qid AND l.lab = h.id GROUP BY t.qid, t.n)"""
+
+
+@query(
+    "evaluate_methods",
+    W + "," + TRUTH_SQL + "," + ",".join(knn_ctes(m, 10, f"h_{m}") for m in ("cosine", "ip", "l2"))
+    + " UNION ALL ".join(
+        _summary_sql(*entry)
+        for entry in (
+            ("faiss", "flat", "cosine"),
+            ("faiss", "flat", "ip"),
+            ("scann", "exact", "l2"),
+            ("bruteforce", "bruteforce", "cosine"),
+            ("bruteforce", "bruteforce", "ip"),
+            ("bruteforce", "bruteforce", "l2"),
+        )
+    ),
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The exact methods, without the columns that hold wall-clock times."""
+    summary = evaluate_methods(
+        gallery(spark, sf).select("id", "embedding"),
+        truth(spark, sf),
+        EXACT_METHODS,
+        top_k=10,
+        recall_at=POINTS,
+        relevance="relevant_ids",
+        bruteforce=distinct_metrics(EXACT_METHODS),
+    ).summary
+    return summary.select(
+        "backend",
+        "method",
+        "metric",
+        "ntotal",
+        F.round("accuracy", 6).alias("accuracy"),
+        *[F.round(f"`recall@{p}`", 6).alias(f"recall_{p}") for p in POINTS],
+        "num_queries",
+        "top_k",
+    )
+
+
 @query("method_timing")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     queries = asked(spark, sf).withColumn("query_index", F.col("qid").cast("bigint"))
@@ -779,8 +837,21 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("evaluate_run")
+RUN_SQL = SCORED_SQL + """, j AS (SELECT qid, string_agg(raw, '; ' ORDER BY raw) AS joined,
+  count(*) AS n FROM labels GROUP BY 1),
+m AS (SELECT * FROM (VALUES ('faiss', 'flat'), ('bruteforce', 'bruteforce')) v(backend, method)),
+o AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS query_index FROM u)
+SELECT o.query_index, o.id AS query_embedding_id, backend, method,
+       backend || '/' || method || ' (cosine)' AS method_label, 'cosine' AS metric,
+       false AS use_gpu, 10 AS top_k, f.rank, f.id AS image_id, round(f.score, 6) AS distance,
+       f.is_relevant, j.joined AS relevant_ids, CAST(coalesce(j.n, 0) AS INTEGER)
+       AS relevant_count
+FROM m, o JOIN f ON f.qid = o.id LEFT JOIN j ON j.qid = o.id"""
+
+
+@query("evaluate_run", RUN_SQL)
 def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Audit rows of a whole run: both corpora read from disk, one method and its baseline."""
     source = scratch(spark, "queries")
     truth(spark, sf).select(F.col("qid").alias("id"), "embedding", "relevant_ids").write.parquet(
         source
@@ -797,12 +868,16 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
             details_path=scratch(spark, "details"),
         ),
     )
-    return outcome.details
+    return outcome.details.withColumn("distance", F.round("distance", 6))
 
 
-@query("spec_summary")
+@query(
+    "spec_summary",
+    "SELECT 'name=embeddings.parquet, split=train, id_column=vec_id, embedding_column=embedding'"
+    " AS summary, format('{:,}', count(*)) AS size FROM embeddings",
+)
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    spec = corpus(sf)
+    spec = CorpusSpec(dataset_name="embeddings.parquet", root=sf, id_column="vec_id")
     size = corpus_size(read_embeddings(spark, spec))
     return spark.createDataFrame([(spec_summary(spec), size)], "summary string, size string")
 

@@ -29,8 +29,12 @@ def distinct_count(df: DataFrame, key: str) -> DataFrame:
 
 
 def sample_seeded(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """``n`` rows in a seeded random order that does not depend on partitions."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(int(n))
+    """``n`` rows in a seeded random order that does not depend on partitions.
+
+    The order is the digest of seed and key; the limit keeps n rows per task before the merge.
+    """
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    return df.orderBy(digest, key).limit(int(n))
 
 
 def head_limit(df: DataFrame, order: Sequence[str], n: int | None) -> DataFrame:

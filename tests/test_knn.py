@@ -239,3 +239,33 @@ def test_plan_reads_only_id_and_vector(spark, vectors):
     assert "EqualTo(label,3)" in plan
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip", "cosine"])
+def test_codes_score_like_the_vectors_they_stand_for(data, lists, vectors, metric):
+    """Searching codes equals an exact search over the decoded vectors."""
+    _, gallery, queries = data
+    built = build_lists(gallery, lists, metric)
+    settings = PqSettings(m=2, nbits=4)
+    books = materialise(train_codebooks(built, settings))
+    index = build_codes(built, books, settings)
+    centers = {r["list_id"]: np.array(r["embedding"]) for r in built.centroids.collect()}
+    parts = {(r["subspace"], r["code"]): np.array(r["embedding"]) for r in books.collect()}
+    decoded = {
+        r["id"]: centers[r["list_id"]]
+        + np.concatenate([parts[s, code] for s, code in enumerate(bytes(r["codes"]))])
+        for r in index.codes.collect()
+    }
+    asked = {r["qid"]: np.array(r["embedding"]) for r in queries.collect()}
+    if metric == "cosine":
+        asked = {name: v / np.linalg.norm(v) for name, v in asked.items()}
+    hits = knn_ivf_pq(index, queries, 6, nprobe=12).collect()
+    for row in hits:
+        gap = asked[row["qid"]] - decoded[row["id"]]
+        score = gap @ gap if metric == "l2" else asked[row["qid"]] @ decoded[row["id"]]
+        assert row["score"] == pytest.approx(score, abs=1e-5)
+    for name, vector in asked.items():
+        gaps = {i: (vector - v) @ (vector - v) if metric == "l2" else -(vector @ v) for i, v in decoded.items()}
+        best = sorted(gaps.values())[:6]
+        found = [r["score"] if metric == "l2" else -r["score"] for r in hits if r["qid"] == name]
+        np.testing.assert_allclose(sorted(found), best, atol=1e-5)
