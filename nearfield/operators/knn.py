@@ -31,6 +31,7 @@ from nearfield.operators.topk import (
     first_shared_table,
     smaller_is_better,
     to_matrix,
+    without_spare_copies,
 )
 from nearfield.schema import require_columns, require_positive, require_unique, vector_stats
 from nearfield.session import materialise
@@ -77,6 +78,18 @@ class Match:
     def vectors(self, table: pa.Table | pa.RecordBatch) -> Vectors:
         return Vectors(to_matrix(table["embedding"]), self.metric, self.normalize)
 
+    def block(self, rows: pa.Table | pa.RecordBatch) -> tuple[Vectors, pa.Table | pa.RecordBatch]:
+        """Gallery rows prepared for scoring, without copies that no query can return."""
+        block = self.vectors(rows)
+        parts = [block.matrix]
+        if self.routing:
+            parts.append(_cells_matrix(rows["cells"]))
+        keep = without_spare_copies(block.fingerprint, parts, _whole(rows["id"]), self.k)
+        if keep is None:
+            return block, rows
+        rows = rows.take(pa.array(keep))
+        return self.vectors(rows), rows
+
 
 def check_metric(metric: str) -> str:
     metric = str(metric).lower()
@@ -85,9 +98,12 @@ def check_metric(metric: str) -> str:
     return metric
 
 
+def _whole(column: pa.Array | pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
 def _cells_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
+    column = _whole(column)
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
@@ -103,10 +119,8 @@ class _Route:
             self.tables = Cells.of_tables(self.buckets)
 
     def offer(self, state: BestK, match: Match, rows: pa.RecordBatch | pa.Table) -> None:
-        block = match.vectors(rows)
-        ids = rows["id"]
-        if isinstance(ids, pa.ChunkedArray):
-            ids = ids.combine_chunks()
+        block, rows = match.block(rows)
+        ids = _whole(rows["id"])
         if self.rule is None:
             state.offer(block, ids)
         elif self.rule == "list":
@@ -272,12 +286,13 @@ def _tile_pairs(
         rows = rows.rename_columns([name.removeprefix("g_") for name in rows.column_names])
         rows, asked = rows.combine_chunks(), asked.combine_chunks()
         state = match.state(match.vectors(asked))
+        block, rows = match.block(rows)
         keep = None
         if aligned:
             mine, theirs = _cells_matrix(asked["cells"]), _cells_matrix(rows["cells"])
             here = int(np.argmax(mine[0] == asked["cell"][0].as_py()))
             keep = first_shared_table(mine, theirs, here)
-        state.offer(match.vectors(rows), rows["id"].combine_chunks(), keep_pair=keep)
+        state.offer(block, _whole(rows["id"]), keep_pair=keep)
         return state.result(asked["qid"].combine_chunks(), HIT_NAMES)
 
     partial = cogrouped_tiles(left, right).applyInArrow(meet, out)

@@ -32,7 +32,13 @@ from nearfield.operators.knn import (
     with_tiles,
 )
 from nearfield.operators.rerank import rerank_exact
-from nearfield.operators.topk import BestK, Cells, Vectors, to_matrix
+from nearfield.operators.topk import (
+    BestK,
+    Cells,
+    Vectors,
+    to_matrix,
+    without_spare_copies,
+)
 from nearfield.schema import VECTOR, require_positive, require_unique, vector_stats
 
 CODEBOOKS = T.StructType(
@@ -315,6 +321,10 @@ def knn_ivf_pq(
         return np.frombuffer(raw, settings.code_type).reshape(len(column), settings.m)
 
     def offer(state, tables, vectors, picked, list_id, found, codes, ids) -> None:
+        # Equal codes in a list score the same: only the smallest ids of a crowd can be returned.
+        stamp = (codes[found].astype(np.int64) * np.arange(1, settings.m + 1)).sum(axis=1)
+        kept = without_spare_copies(stamp, [codes[found]], ids.take(pa.array(found)), wider)
+        found = found if kept is None else found[kept]
         # Tiles keep the score block within bounds when a list is long or probed by many.
         for asks in np.array_split(picked, -(-len(picked) // 2048)):
             step = max(256, (32 << 20) // (8 * len(asks)))

@@ -48,6 +48,7 @@ class Vectors:
         self.rows, self.dim = matrix.shape
         self.matrix = matrix
         self.squared = np.square(matrix, dtype=np.float64).sum(axis=1)
+        self.fingerprint = self.squared
         norms = np.sqrt(self.squared)
         self.scale = None
         screen = matrix
@@ -65,6 +66,35 @@ class Vectors:
         return block if self.scale is None else block / self.scale[rows, None]
 
 
+def without_spare_copies(
+    fingerprint: np.ndarray, parts: list[np.ndarray], ids: pa.Array, k: int
+) -> np.ndarray | None:
+    """Rows worth scoring when some are exact copies; None when all of them are.
+
+    Copies (equal in all ``parts``) score the same against any query, and ties go to the smaller
+    id, so beyond the k smallest ids of a group no copy can be among the best k. The fingerprint
+    is equal for copies; only rows whose fingerprint occurs more than k times are compared.
+    """
+    _, seen, counts = np.unique(fingerprint, return_inverse=True, return_counts=True)
+    crowded = np.flatnonzero(counts[seen] > k)
+    if not len(crowded):
+        return None
+    raw = np.hstack(
+        [np.ascontiguousarray(part[crowded]).view(np.uint8).reshape(len(crowded), -1) for part in parts]
+    )
+    whole = np.ascontiguousarray(raw).view(np.dtype((np.void, raw.shape[1])))[:, 0]
+    _, group = np.unique(whole, return_inverse=True)
+    by_id = np.empty(len(crowded), dtype=np.int64)
+    by_id[pc.sort_indices(ids.take(pa.array(crowded))).to_numpy()] = np.arange(len(crowded))
+    order = np.lexsort((by_id, group))
+    spare = crowded[order[_rank_in_runs(group[order]) >= k]]
+    if not len(spare):
+        return None
+    keep = np.ones(len(fingerprint), dtype=bool)
+    keep[spare] = False
+    return np.flatnonzero(keep)
+
+
 class BestK:
     """Running best k per query over any number of candidate batches."""
 

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from nearfield.operators.topk import BestK, Cells, Vectors, to_matrix
+from nearfield.operators.topk import BestK, Cells, Vectors, to_matrix, without_spare_copies
 
 
 def brute(queries, rows, ids, k, metric, normalize):
@@ -123,3 +123,17 @@ def test_cells_share_members():
     each = {(a, b) for i, j in zip(mine, theirs) for a in left.members(i) for b in right.members(j)}
     assert each == set(together)
     assert list(left.of_key(1)) == [0, 1] and list(left.of_key(99)) == []
+
+
+def test_spare_copies_are_those_beyond_the_smallest_ids():
+    rows = np.zeros((10, 2), np.float32)
+    rows[7] = [3, 4]
+    rows[8] = [4, 3]  # same length as row 7, another vector
+    ids = pa.array(list("jihgfedcba"))
+    norms = (rows.astype(float) ** 2).sum(1)
+    kept = without_spare_copies(norms, [rows], ids, 3)
+    # Copies are rows 0-6 and 9; their three smallest ids are a, d, e.
+    assert [ids[i].as_py() for i in kept] == list("edcba")
+    assert without_spare_copies(norms, [rows], ids, 8) is None
+    cells = np.arange(10)[:, None]  # nobody shares a cell
+    assert without_spare_copies(norms, [rows, cells], ids, 3) is None
