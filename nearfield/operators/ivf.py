@@ -32,6 +32,8 @@ CENTROIDS = T.StructType(
 POINTS_PER_LIST = 256
 # Up to this many probed lists are named in a filter that reaches the scan.
 PUSHED_LISTS = 4096
+# Folders a saved index is divided into at most.
+LIST_PARTS = 4096
 
 
 def training_sample(gallery: DataFrame, rows: int, seed: int, total: int | None = None):
@@ -80,18 +82,9 @@ class InvertedLists:
     metric: str
     normalize: bool | None = None
 
-    def save(self, path: str, files: int = 8) -> None:
-        """Rows sorted by list, so that a filter on ``list_id`` skips files and row groups.
-
-        The id takes part in the range, which splits a list that holds much of the table.
-        """
-        self.centroids.write.mode("overwrite").parquet(f"{path}/centroids")
-        (
-            self.rows.repartitionByRange(files, "list_id", "id")
-            .sortWithinPartitions("list_id", "id")
-            .write.mode("overwrite")
-            .parquet(f"{path}/lists")
-        )
+    def save(self, path: str, files: int = 8, parts: int | None = None) -> None:
+        """Rows in folders of list groups, so that probing reads the probed groups only."""
+        write_by_list(self.centroids, self.rows, path, "lists", files, parts)
 
     @classmethod
     def load(
@@ -105,6 +98,34 @@ class InvertedLists:
         )
 
 
+def write_by_list(
+    centroids: DataFrame,
+    rows: DataFrame,
+    path: str,
+    name: str,
+    files: int,
+    parts: int | None = None,
+) -> None:
+    """Rows under ``part=<n>/``, sorted by list; the centroids remember each list's part.
+
+    One part per list up to ``LIST_PARTS``. The id takes part in the range, which splits a list
+    that holds much of the table over several tasks.
+    """
+    parts = parts or min(LIST_PARTS, max(1, centroids.count()))
+    part = F.pmod(F.col("list_id"), F.lit(parts)).cast("int").alias("part")
+    centroids.select("list_id", "embedding", part).write.mode("overwrite").parquet(
+        f"{path}/centroids"
+    )
+    (
+        rows.select(*[c for c in rows.columns if c != "part"], part)
+        .repartitionByRange(files, "part", "list_id", "id")
+        .sortWithinPartitions("part", "list_id", "id")
+        .write.mode("overwrite")
+        .partitionBy("part")
+        .parquet(f"{path}/{name}")
+    )
+
+
 def build_lists(
     gallery: DataFrame,
     centroids: DataFrame,
@@ -146,17 +167,21 @@ def probes(
     )
 
 
-def probed_rows(rows: DataFrame, asked: DataFrame) -> DataFrame:
+def probed_rows(rows: DataFrame, asked: DataFrame, centroids: DataFrame) -> DataFrame:
     """Only the rows of lists that some query probes.
 
-    Few lists become a literal filter, which Parquet statistics can skip on; with many lists
-    nearly everything is read anyway and the tasks ignore what nobody probes.
+    Few lists become literal filters: on saved lists the one on ``part`` picks folders. With many
+    lists nearly everything is read anyway, and the tasks ignore what nobody probes.
     """
     wanted = asked.select(F.explode("cells").alias("list_id")).distinct().limit(PUSHED_LISTS + 1)
     names = [row["list_id"] for row in wanted.collect()]
     if len(names) > PUSHED_LISTS:
         return rows
-    return rows.where(F.col("list_id").isin(names))
+    chosen = F.col("list_id").isin(names)
+    if "part" in rows.columns and "part" in centroids.columns:
+        parts = centroids.where(chosen).select("part").distinct().collect()
+        rows = rows.where(F.col("part").isin([row["part"] for row in parts]))
+    return rows.where(chosen)
 
 
 def probe_join(asked: DataFrame, rows: DataFrame) -> DataFrame:
@@ -182,7 +207,7 @@ def knn_ivf_flat(
     limits = limits or DEFAULT_LIMITS
     asked = probes(queries, lists, nprobe, limits)
     asked = held_if_small(asked, *vector_stats(queries), limits)
-    rows = probed_rows(lists.rows, asked).select(
+    rows = probed_rows(lists.rows, asked, lists.centroids).select(
         "id", "embedding", F.array(F.col("list_id").cast("long")).alias("cells")
     )
     return nearest(

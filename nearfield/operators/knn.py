@@ -34,13 +34,11 @@ from nearfield.operators.topk import (
     without_spare_copies,
 )
 from nearfield.schema import require_columns, require_positive, require_unique, vector_stats
-from nearfield.session import materialise
+from nearfield.session import short_table
 
 # A gallery of 800,000 splits would emit k rows per query from each of them; scans are folded
 # into at most this many tasks (no shuffle) so that the merge stays small.
 MAX_SCAN_TASKS = 16_384
-# Rows of the (cell, tile counts) table that are still sent to every executor.
-BROADCAST_CELLS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -217,11 +215,9 @@ def with_tiles(
 
     g_rows = limits.rows(limits.gallery_tile_bytes, dim)
     q_rows = limits.rows(limits.query_tile_bytes, dim)
-    tiles = materialise(
+    tiles = short_table(
         counts(gallery, "n_gt", g_rows).join(counts(queries, "n_qt", q_rows), "cell")
     )
-    if tiles.count() <= BROADCAST_CELLS:
-        tiles = F.broadcast(tiles)
     return (
         place(gallery.join(tiles, "cell"), "id", "gt", "qt"),
         place(queries.join(tiles, "cell"), "qid", "qt", "gt"),

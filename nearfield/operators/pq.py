@@ -12,12 +12,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from nearfield.operators.ivf import InvertedLists, probed_rows, probes, training_sample
+from nearfield.operators.ivf import (
+    InvertedLists,
+    probed_rows,
+    probes,
+    training_sample,
+    write_by_list,
+)
 from nearfield.operators.knn import (
     DEFAULT_LIMITS,
     HIT_NAMES,
@@ -78,14 +84,26 @@ class PqIndex:
     codebooks: DataFrame
     settings: PqSettings
 
-    def save(self, path: str, files: int = 8) -> None:
-        self.lists.centroids.write.mode("overwrite").parquet(f"{path}/centroids")
+    def save(self, path: str, files: int = 8, parts: int | None = None) -> None:
+        """Codes next to the saved lists, whose vectors serve the exact rescoring."""
+        self.lists.save(path, files, parts)
         self.codebooks.write.mode("overwrite").parquet(f"{path}/codebooks")
-        (
-            self.codes.repartitionByRange(files, "list_id", "id")
-            .sortWithinPartitions("list_id", "id")
-            .write.mode("overwrite")
-            .parquet(f"{path}/codes")
+        write_by_list(self.lists.centroids, self.codes, path, "codes", files, parts)
+
+    @classmethod
+    def load(
+        cls,
+        spark: SparkSession,
+        path: str,
+        metric: str,
+        settings: PqSettings,
+        normalize: bool | None = None,
+    ) -> PqIndex:
+        return cls(
+            InvertedLists.load(spark, path, metric, normalize),
+            spark.read.parquet(f"{path}/codes"),
+            spark.read.parquet(f"{path}/codebooks"),
+            settings,
         )
 
 
@@ -367,12 +385,15 @@ def knn_ivf_pq(
             yield from state.result(table["qid"].combine_chunks(), HIT_NAMES).to_batches()
 
         partial = (
-            probed_rows(index.codes, asked).coalesce(MAX_SCAN_TASKS).mapInArrow(scan, out)
+            probed_rows(index.codes, asked, lists.centroids)
+            .select("id", "list_id", "codes")
+            .coalesce(MAX_SCAN_TASKS)
+            .mapInArrow(scan, out)
         )
     else:
         require_unique(index.codes, "id")
         require_unique(asked, "qid")
-        rows = index.codes.withColumnRenamed("list_id", "cell")
+        rows = index.codes.select("id", "codes", F.col("list_id").alias("cell"))
         asked = asked.select("qid", "embedding", F.explode("cells").alias("cell"))
         left, right = with_tiles(rows, asked, dim, limits)
 

@@ -7,6 +7,7 @@ import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 # Vector rows are wide: 4,096 of them at 1,024 floats are a 16 MB Arrow batch.
 ARROW_ROWS = 4096
@@ -50,6 +51,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# Rows of a short helper table that are still sent to every executor.
+BROADCAST_ROWS = 1_000_000
+
+
+def short_table(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Write a helper table once, count it, and broadcast it only if it is as short as expected."""
+    held = materialise(df)
+    return broadcast(held) if held.count() <= rows else held
+
+
 _shipped: set[str] = set()
 
 

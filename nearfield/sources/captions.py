@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.ids import caption_id, image_id_of
 from nearfield.schema import CAPTION_ROW
-from nearfield.session import materialise
+from nearfield.session import materialise, short_table
 
 
 def read_captions_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -35,7 +35,7 @@ def number_in_file_order(rows: DataFrame) -> DataFrame:
     before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = splits.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
     return (
-        held.join(starts.drop("n"), ["_file", "_block"])
+        held.join(short_table(starts.drop("n")), ["_file", "_block"])
         .withColumn("index", F.col("start") + F.col("_at") - F.col("low"))
         .drop("_file", "_block", "_at", "low", "start")
     )

@@ -6,11 +6,24 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nearfield.operators.ivf import InvertedLists, build_lists, knn_ivf_flat, knn_tree_rerank
-from nearfield.operators.ivf import train_centroids
+from nearfield.operators.ivf import (
+    InvertedLists,
+    build_lists,
+    knn_ivf_flat,
+    knn_tree_rerank,
+    probed_rows,
+    probes,
+    train_centroids,
+)
 from nearfield.operators.knn import Limits, knn_bruteforce, nearest, with_nearest
 from nearfield.operators.lsh import HashTables, knn_lsh
-from nearfield.operators.pq import PqSettings, build_codes, knn_ivf_pq, train_codebooks
+from nearfield.operators.pq import (
+    PqIndex,
+    PqSettings,
+    build_codes,
+    knn_ivf_pq,
+    train_codebooks,
+)
 from nearfield.operators.rerank import rerank_exact
 from nearfield.session import materialise
 
@@ -147,13 +160,27 @@ def test_recall_grows_with_probes(data, lists):
 def test_lists_survive_a_round_trip(data, lists, spark, tmp_path):
     _, gallery, queries = data
     built = build_lists(gallery, lists, "l2")
-    built.save(str(tmp_path / "ivf"), files=3)
-    again = InvertedLists.load(spark, str(tmp_path / "ivf"), "l2")
-    assert rows_of(knn_ivf_flat(again, queries, 5, nprobe=2)) == rows_of(
-        knn_ivf_flat(built, queries, 5, nprobe=2)
+    path = str(tmp_path / "ivf")
+    built.save(path, files=3)
+    again = InvertedLists.load(spark, path, "l2")
+    few = queries.limit(2)
+    assert rows_of(knn_ivf_flat(again, few, 5, nprobe=2)) == rows_of(
+        knn_ivf_flat(built, few, 5, nprobe=2)
+    )
+    # Probing two queries' lists reads their folders only.
+    asked = probes(few, again, 1)
+    probed = probed_rows(again.rows, asked, again.centroids)
+    plan = probed._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [part" in plan and "In(list_id" in plan
+    assert 1 <= probed.select("part").distinct().count() <= 2
+    # Saving what was loaded, and codes next to the lists.
+    settings = PqSettings(m=4, nbits=3)
+    index = build_codes(again, materialise(train_codebooks(again, settings)), settings)
+    index.save(str(tmp_path / "pq"), files=2, parts=5)
+    loaded = PqIndex.load(spark, str(tmp_path / "pq"), "l2", settings)
+    assert ids_of(knn_ivf_pq(loaded, queries, 5, nprobe=12, rerank_k=240)) == ids_of(
+        nearest(gallery, queries, 5, "l2")
     )
-    plan = again.rows.where(F.col("list_id").isin([1, 2]))._jdf.queryExecution().toString()
-    assert "PushedFilters: [In(list_id" in plan
 
 
 def test_centroid_routing_falls_back_to_a_join(data, lists):
@@ -265,7 +292,9 @@ def test_codes_score_like_the_vectors_they_stand_for(data, lists, vectors, metri
         score = gap @ gap if metric == "l2" else asked[row["qid"]] @ decoded[row["id"]]
         assert row["score"] == pytest.approx(score, abs=1e-5)
     for name, vector in asked.items():
-        gaps = {i: (vector - v) @ (vector - v) if metric == "l2" else -(vector @ v) for i, v in decoded.items()}
-        best = sorted(gaps.values())[:6]
+        best = sorted(
+            (vector - v) @ (vector - v) if metric == "l2" else -(vector @ v)
+            for v in decoded.values()
+        )[:6]
         found = [r["score"] if metric == "l2" else -r["score"] for r in hits if r["qid"] == name]
         np.testing.assert_allclose(sorted(found), best, atol=1e-5)
