@@ -342,7 +342,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "search_results",
     f"WITH {VECTORS}, {knn_ctes('l2', 4)}, {FIVE_SQL}"
-    " SELECT qid, rank, h.id, round(score, 6) AS distance, round(-score, 6) AS score,"
+    " SELECT qid, rank, h.id, round(score, 6) AS distance, round(0 - score, 6) AS score,"
     " 'l2' AS metric, caption, coalesce(ids, '') AS caption_ids,"
     " 'data/images/' || h.id || '.jpg' AS image_path FROM h LEFT JOIN five ON five.id = h.id",
 )

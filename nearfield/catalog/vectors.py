@@ -214,7 +214,9 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _flat_query(metric: str) -> None:
-    @query("knn_flat" if metric == "cosine" else f"knn_flat_{metric}", W + "," + knn_ctes(metric, 10) + HITS + "h")
+    name = "knn_flat" if metric == "cosine" else f"knn_flat_{metric}"
+
+    @query(name, W + "," + knn_ctes(metric, 10) + HITS + "h")
     def _(spark: SparkSession, sf: str) -> DataFrame:
         return rounded(knn_flat(gallery(spark, sf), asked(spark, sf), 10, metric))
 
@@ -291,7 +293,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "similarity_score",
     W + "," + knn_ctes("l2", 5)
-    + " SELECT qid, rank, id, round(score, 6) AS distance, round(-score, 6) AS score FROM h",
+    + " SELECT qid, rank, id, round(score, 6) AS distance, round(0 - score, 6) AS score FROM h",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     hits = nearest(gallery(spark, sf), asked(spark, sf), 5, "l2")

@@ -81,8 +81,8 @@ def pair_score(left: Column, right: Column, metric: str) -> Column:
 
 
 def similarity_score(distance: Column, metric: str) -> Column:
-    """Larger is better for every metric."""
-    return distance if metric in ("ip", "cosine") else -distance
+    """Larger is better for every metric (a distance of zero scores 0.0, not -0.0)."""
+    return distance if metric in ("ip", "cosine") else F.lit(0.0) - distance
 
 
 @F.arrow_udf(VECTOR)

@@ -59,6 +59,7 @@ def read_image_files(spark: SparkSession, path: str, pattern: str = "*") -> Data
 
 Reader = Callable[..., DataFrame]
 
+# The names under which configurations ask for a reader.
 DATASETS: dict[str, Reader] = {
     "inquire": read_image_rows,
     "flickr30k": read_image_rows_by_name,
