@@ -37,7 +37,7 @@ HEADLINE = (
     "upsert",
     "mean_pool",
 )
-RUNS = 3
+RUNS = 4
 
 
 def main() -> None:
