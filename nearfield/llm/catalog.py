@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import mixing, quality, sharding
+from nearfield.llm import (
+    decontaminate,
+    html,
+    jaccard,
+    lm,
+    mixing,
+    pii,
+    quality,
+    repeats,
+    sharding,
+    tokens,
+)
 from nearfield.llm.common import table
 from nearfield.session import ship_package
 
@@ -31,6 +42,17 @@ def op1_quality_rules(spark, sf_dir):
     return quality.judged(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+@query
+def op2_html_extraction(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return html.extracted(pages, html.train(pages))
+
+
+@query
+def op3_kneser_ney(spark, sf_dir):
+    return lm.held_out_scores(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_pareto_mix(spark, sf_dir):
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
@@ -43,6 +65,41 @@ def op4_pareto_mix(spark, sf_dir):
     )
 
 
+@query
+def op5_separator_scan(spark, sf_dir):
+    return tokens.document_tokens(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_jaccard_join(spark, sf_dir):
+    groups = jaccard.linked_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op7_personal_data(spark, sf_dir):
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[F.size(kind.name).cast("long").alias(f"n_{kind.name}") for kind in pii.BASE],
+        F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
+        pii.listed(F.col("spans")).alias("spans"),
+    )
+
+
+@query
+def op8_decontamination(spark, sf_dir):
+    found = decontaminate.contaminated(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+    return found.select("doc_id", "item_id", "matched", "windows")
+
+
+@query
+def op9_repeated_bytes(spark, sf_dir):
+    return repeats.kept_bytes(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_external_shuffle(spark, sf_dir):
     shards = sharding.shuffle_to_shards(table(spark, sf_dir, "documents"))
