@@ -291,7 +291,7 @@ def _stored_pairs(folder: str, part_words: int):
         # By first word: how many words follow once, twice, more often; by second: how many precede.
         first, starts = np.unique(keys >> 32, return_index=True)
         sums = [
-            np.add.reduceat(flag.astype(np.uint32), starts)
+            np.add.reduceat(flag.astype(np.uint32), starts, dtype=np.uint32)
             for flag in (counts == 1, counts == 2, counts > 2)
         ]
         second, precede = np.unique(keys & 0xFFFFFFFF, return_counts=True)
