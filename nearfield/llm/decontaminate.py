@@ -35,9 +35,9 @@ WRITTEN = (
     "hundred|thousand|million"
 )
 _PLACE = f"[{NAME}-{UNIT}]"
-# Everything but letters, digits and placeholders.
-_GAP = rf"[^\p{{L}}\p{{N}}{NAME}-{UNIT}]+"
-_ALONE = r"(?![\p{L}\p{N}])"
+# Everything but letters with their marks, digits and placeholders.
+_GAP = rf"[^\p{{L}}\p{{M}}\p{{N}}{NAME}-{UNIT}]+"
+_ALONE = r"(?![\p{L}\p{M}\p{N}])"
 
 
 def _plain(text: Column) -> Column:
@@ -91,10 +91,16 @@ def item_windows(benchmark: DataFrame, item: str, text: str) -> DataFrame:
     )
     keyed = None
     for width in range(LEAST, WINDOW + 1):
-        part = long_enough.where(F.col("width") == width).withColumn(
-            "keys", window_keys(F.col("tokens"), width)
-        )
-        keyed = part if keyed is None else keyed.unionByName(part)
+        part = long_enough.where(F.col("width") == width)
+        keys = window_keys(F.col("tokens"), width)
+        # Whether an item's first word is a name depends on what stands before it in a document,
+        # so its first window has a second key.
+        opening = F.xxhash64(F.lit(NAME), *[F.get("tokens", F.lit(j)) for j in range(1, width)])
+        for rows in (
+            part.withColumn("keys", keys),
+            part.withColumn("keys", F.array(opening)),
+        ):
+            keyed = rows if keyed is None else keyed.unionByName(rows)
     windows = keyed.select(
         "item_id", "item_mark", "tokens", "values", "width", F.posexplode("keys").alias("at", "key")
     )
@@ -126,7 +132,7 @@ def contaminated(
     repeated rows give one row; equal items match alike; an empty side gives no rows.
     """
     windows = written(item_windows(benchmark, item, item_text), "bench-windows")
-    windows = windows.dropDuplicates(["item_id", "item_mark", "at"])
+    windows = windows.dropDuplicates(["item_id", "item_mark", "at", "key"])
     keys = small(windows.select("item_id", "item_mark", "width", "key", "at"), BROADCAST_WINDOWS)
     widths = [row["width"] for row in windows.select("width").distinct().collect()]
     rows = docs.where(F.col(text).isNotNull()).select(

@@ -385,7 +385,10 @@ def other_layout(content: list[str], other: list[str], elsewhere: list[str], dra
         else:
             tag, name = named("div section ol ul", "comments comment-list replies discussion comments-area respond")
             inner = f"<h3>{some(1, 3)}</h3>" if tag not in ("ul", "ol") else ""
-            child, own = ("li", "") if tag in ("ul", "ol") else named("div article p", "comment reply comment-body")
+            child, own = "li", ""
+            if tag not in ("ul", "ol"):
+                child = pick(["div", "article", "p"])
+                own = f' class="{pick(["comment", "reply", "comment-body"])}"'
             for _ in range(draw.randint(1, 5)):
                 inner += f"<{child}{own}>" + pick(["", f"<b>{some(1, 2)}</b> "])
                 inner += some(5, 60) if child == "p" else f"<p>{some(5, 80)}</p>"
@@ -413,18 +416,21 @@ def other_layout(content: list[str], other: list[str], elsewhere: list[str], dra
             return f"<blockquote>{words}</blockquote>"
         return pick([f"<div>{words}</div>", f"<pre>{words}</pre>", f"<table><tr><td>{words}<td>{words[:20]}</table>"])
 
-    before = [aside(k) for k in ("menu", "header", "notice", "advert", "form", "share") if draw.random() < 0.5]
+    if draw.random() < 0.3:  # short blocks
+        content = [" ".join(text.split()[: draw.randint(3, 25)]) for text in content]
+    share = pick([0.0, 0.5, 0.5, 0.5])  # some pages are nothing but the article
+    before = [aside(k) for k in ("menu", "header", "notice", "advert", "form", "share") if draw.random() < share]
     after = [
         aside(k)
         for k in ("sidebar", "comments", "form", "advert", "share", "notice", "footer", "menu")
-        if draw.random() < 0.5
+        if draw.random() < share
     ]
-    within = [aside(k) for k in ("advert", "sidebar", "share", "form", "notice", "comments") if draw.random() < 0.2]
+    within = [aside(k) for k in ("advert", "sidebar", "share", "form", "notice", "comments") if draw.random() < 0.4 * share]
     draw.shuffle(before)
     draw.shuffle(after)
     blocks = [body_block(text, i == 0 and draw.random() < 0.8) for i, text in enumerate(content)]
     for extra in within:
-        blocks.insert(draw.randint(1, len(blocks)), extra)
+        blocks.insert(draw.randint(0, len(blocks)), extra)
     tag, name = named(
         "article article main div div div section",
         "content post entry entry-content article-body story main-content post-body text prose",
@@ -450,7 +456,7 @@ def fit(pages: list[str], layouts: int = LAYOUTS) -> Model:
         if content:
             labelled.append(page)
             for _ in range(layouts):
-                short = content if len(content) < 12 else content[: draw.randint(3, 12)]
+                short = content[: draw.randint(1, 12)]
                 labelled.append(parse(other_layout(short, other, elsewhere, draw)))
     if not labelled:  # nothing is marked: fall back on layouts alone
         labelled = [parse(other_layout(["a title", "some text"], [], elsewhere, draw)) for _ in range(60)]

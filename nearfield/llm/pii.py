@@ -54,11 +54,11 @@ def mod97(account: Column) -> Column:
 
 
 def _octets(hit: Column) -> Column:
+    """Four parts of at most 255 each; leading zeros do not count."""
     return F.forall(
-        F.split(hit, "\\."),
-        lambda part: (F.length(F.ltrim(part, F.lit("0"))) <= 3)
-        & (F.substring(F.ltrim(part, F.lit("0")), 1, 3).cast("int").isNull()
-           | (F.substring(F.ltrim(part, F.lit("0")), 1, 3).cast("int") <= 255)),
+        F.transform(F.split(hit, "\\."), lambda part: F.ltrim(part, F.lit("0"))),
+        lambda part: (F.length(part) <= 3)
+        & (F.coalesce(F.substring(part, 1, 3).try_cast("int"), F.lit(0)) <= 255),
     )
 
 

@@ -59,7 +59,7 @@ def test_templates_and_values_have_the_same_tokens(make_docs):
     ).collect()
     for r in rows:
         assert len(r["t"]) == len(r["v"])
-    assert decontaminate.NUMBER in rows[0]["t"] and decontaminate.UNIT in rows[0]["t"]
+    assert any(decontaminate.NUMBER in r["t"] and decontaminate.UNIT in r["t"] for r in rows)
 
 
 def test_empty_sides(make_docs, benchmark):

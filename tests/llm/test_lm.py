@@ -35,28 +35,20 @@ def test_many_shards_give_the_same_scores(make_docs, prose):
     few = lm.train(docs.select("text").repartition(7), shard_words=40, shard_tokens=100)
     assert len(few.pairs) > 5 and len(few.words.hashes) > 2
     two = lm.scored(rows, few).orderBy("doc_id").collect()
-    assert [tuple(r) for r in one] == pytest.approx([tuple(r) for r in two], rel=1e-12)
+    assert [tuple(r)[:5] for r in one] == [tuple(r)[:5] for r in two]
+    for column in ("base_score", "score"):
+        assert [r[column] for r in one] == pytest.approx([r[column] for r in two], rel=1e-9)
 
 
 def test_probabilities_sum_to_one(make_docs):
     """Over all words, the end and one unknown word, behind a seen word."""
     docs = make_docs([(i, t) for i, t in enumerate(["a b c", "a b d", "b a a", "c a b b"])])
     model = lm.train(docs.select("text"))
-    prefix = model.score([b"a"])[3][0] - model.score([b"a"])[3][0]
-    assert prefix == 0
     totals = []
     for word in (b"a", b"b", b"d"):
-        alone = model.score([word])[3][0]  # P(word) P(end | word)
-        nexts = []
-        for follow in (b"a", b"b", b"c", b"d", b"unseen"):
-            both = model.score([word + b" " + follow])[3][0]
-            end = model.score([b"x " + follow])[3][0] - model.score([b"x " + follow])[3][0]
-            nexts.append((follow, both + end))
-        assert all(value < 0 for _, value in nexts) and alone < 0
         hashes, ids, sizes = lm.tokenise([word + b" a b c d unseen"])
         numbers, counts = model.words.look_up(hashes)
-        by_word = {w: n for w, n in zip([word], [numbers[ids[0]]], strict=True)}
-        v = by_word[word]
+        v = numbers[ids[0]]
         ahead = model.figures(model.precede, numbers, 1)[:, 0]
         lower = np.maximum(ahead - model.word_discounts[np.minimum(ahead, 3).astype(int)], 0)
         lower = lower / model.different + model.word_rest / (model.words.size + 1)

@@ -44,7 +44,7 @@ def test_order_is_shuffled_and_repeatable(make_docs, prose):
 
 
 def test_a_crowded_id_spreads_over_buckets(make_docs):
-    docs = make_docs([(5, "same words here")] * 200 + [(i, "other") for i in range(100)], parts=8)
+    docs = make_docs([(5, "same words here")] * 200 + [(i, "other") for i in range(10, 110)], parts=8)
     got = sharding.shuffle_to_shards(docs, bucket_bytes=200)
     assert got.where("rec.doc_id = 5").select("slot").distinct().count() == 200
     assert sharding.shuffle_to_shards(docs.limit(0)).collect() == []
