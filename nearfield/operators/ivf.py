@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearfield.functions.pooling import mean_pool
 from nearfield.functions.vectors import l2_normalize
 from nearfield.operators.knn import (
     DEFAULT_LIMITS,
@@ -22,26 +23,93 @@ from nearfield.operators.knn import (
     overfetch,
     with_nearest,
 )
-from nearfield.operators.rerank import rerank_exact
+from nearfield.operators.topk import to_matrix
 from nearfield.schema import VECTOR, require_positive, vector_stats
+from nearfield.session import materialise
 
 CENTROIDS = T.StructType(
     [T.StructField("list_id", T.LongType()), T.StructField("embedding", VECTOR)]
 )
-# Training points per list; more of them do not move the centroids noticeably.
-POINTS_PER_LIST = 256
 # Up to this many probed lists are named in a filter that reaches the scan.
 PUSHED_LISTS = 4096
-# Folders a saved index is divided into at most.
+# Folders a saved index is divided into at most, and bytes of one of its files.
 LIST_PARTS = 4096
+FILE_BYTES = 128 << 20
+# Means are taken of multiples of this, so sums are the same in any order.
+GRAIN = 2.0**-20
+# Partial sums a task holds before it passes them on.
+PARTIAL_BYTES = 64 << 20
 
 
-def training_sample(gallery: DataFrame, rows: int, seed: int, total: int | None = None):
-    """A seeded share of the gallery for training (search always covers every row)."""
-    total = gallery.count() if total is None else total
-    if total <= rows:
-        return gallery
-    return gallery.sample(fraction=rows / total, seed=seed)
+def first_by_digest(rows: DataFrame, n: int, seed: int) -> DataFrame:
+    """The ``n`` rows with the smallest digests of seed and id, numbered from 0 as ``place``."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")))
+    few = rows.withColumn("_digest", digest).orderBy("_digest", "id").limit(int(n))
+    order = Window.orderBy("_digest", "id")
+    return few.withColumn("place", (F.row_number().over(order) - 1).cast("long")).drop("_digest")
+
+
+def group_means(rows: DataFrame, group: str) -> DataFrame:
+    """``group, embedding``: mean vector of every group, the same in any layout.
+
+    Tasks add up what they read, so only one row per group and task is shuffled.
+    """
+    kind = rows.schema[group].dataType
+    out = T.StructType(
+        [
+            T.StructField(group, kind),
+            T.StructField("n", T.LongType()),
+            T.StructField("sums", T.ArrayType(T.DoubleType())),
+        ]
+    )
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, sums, counts = np.zeros(0, np.int64), None, np.zeros(0, np.int64)
+
+        def passed_on():
+            vectors = pa.FixedSizeListArray.from_arrays(pa.array(sums.reshape(-1)), sums.shape[1])
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(keys),
+                    pa.array(counts),
+                    vectors.cast(pa.list_(pa.float64())),
+                ],
+                [group, "n", "sums"],
+            )
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            matrix = to_matrix(batch["embedding"]).astype(np.float64)
+            matrix = np.floor(matrix / GRAIN + 0.5) * GRAIN
+            own, at = np.unique(batch[group].to_numpy(), return_inverse=True)
+            if sums is None:
+                sums = np.zeros((0, matrix.shape[1]))
+            merged = np.union1d(keys, own)
+            grown, grown_counts = np.zeros((len(merged), matrix.shape[1])), np.zeros(len(merged), np.int64)
+            old = np.searchsorted(merged, keys)
+            grown[old], grown_counts[old] = sums, counts
+            new = np.searchsorted(merged, own)[at]
+            np.add.at(grown, new, matrix)
+            grown_counts += np.bincount(new, minlength=len(merged))
+            keys, sums, counts = merged, grown, grown_counts
+            if sums.nbytes > PARTIAL_BYTES:
+                yield passed_on()
+                keys, sums, counts = keys[:0], sums[:0], counts[:0]
+        if len(keys):
+            yield passed_on()
+
+    partial = rows.select(group, "embedding").mapInArrow(add, out)
+    means = (
+        partial.select(group, "n", F.posexplode("sums").alias("pos", "x"))
+        .groupBy(group, "pos")
+        .agg((F.sum("x") / F.sum("n")).cast("float").alias("x"))
+    )
+    return means.groupBy(group).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias(
+            "embedding"
+        )
+    )
 
 
 def train_centroids(
@@ -51,26 +119,34 @@ def train_centroids(
     *,
     seed: int = 42,
     max_iter: int = 10,
-    points_per_list: int = POINTS_PER_LIST,
+    limits: Limits | None = None,
 ) -> DataFrame:
-    """k-means centroids ``list_id, embedding``; fewer when the gallery has fewer rows."""
-    require_positive(nlist=nlist, points_per_list=points_per_list)
-    total = gallery.count()
-    nlist = max(1, min(int(nlist), total))
+    """k-means centroids ``list_id, embedding`` of all rows; fewer when there are fewer rows.
+
+    Lloyd's steps over the whole gallery. Starting points go by the digest of the id, and sums do
+    not depend on their order, so any layout of the gallery gives the same centroids.
+    """
+    require_positive(nlist=nlist, max_iter=max_iter)
     vector = F.col("embedding")
     if check_metric(metric) == "cosine":
-        vector = l2_normalize(vector)
-    if nlist == 1:
-        single = gallery.select(F.lit(0).cast("long").alias("list_id"), vector.alias("embedding"))
-        return mean_pool(single, "list_id", normalize=False).select(
-            "list_id", F.col("embedding").cast("array<float>").alias("embedding")
-        )
-    points = training_sample(gallery, nlist * points_per_list, seed, total).select(
-        array_to_vector(vector).alias("features")
+        vector = l2_normalize(vector).cast("array<float>")
+    points = gallery.select(F.col("id").cast("string").alias("id"), vector.alias("embedding"))
+    centroids = materialise(
+        first_by_digest(points, nlist, seed).select(F.col("place").alias("list_id"), "embedding")
     )
-    model = KMeans(k=nlist, seed=seed, maxIter=max_iter).fit(points)
-    centers = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    return gallery.sparkSession.createDataFrame(centers, CENTROIDS)
+    for _ in range(max_iter):
+        filed = with_nearest(points, "id", centroids, 1, "l2", normalize=False, limits=limits)
+        means = group_means(filed.select(F.col("cells")[0].alias("list_id"), "embedding"), "list_id")
+        # A list that nobody is nearest to stays where it is.
+        moved = materialise(
+            centroids.withColumnRenamed("embedding", "old")
+            .join(means, "list_id", "left")
+            .select("list_id", F.coalesce("embedding", "old").alias("embedding"), "old")
+        )
+        centroids = moved.select("list_id", "embedding")
+        if moved.where("embedding != old").isEmpty():
+            break
+    return centroids
 
 
 @dataclass(frozen=True)
@@ -82,8 +158,11 @@ class InvertedLists:
     metric: str
     normalize: bool | None = None
 
-    def save(self, path: str, files: int = 8, parts: int | None = None) -> None:
-        """Rows in folders of list groups, so that probing reads the probed groups only."""
+    def save(self, path: str, files: int | None = None, parts: int | None = None) -> None:
+        """Rows in folders of list groups, so that probing reads the probed groups only.
+
+        The number of files goes by the bytes of the vectors unless it is given.
+        """
         write_by_list(self.centroids, self.rows, path, "lists", files, parts)
 
     @classmethod
@@ -103,7 +182,7 @@ def write_by_list(
     rows: DataFrame,
     path: str,
     name: str,
-    files: int,
+    files: int | None,
     parts: int | None = None,
 ) -> None:
     """Rows under ``part=<n>/``, sorted by list; the centroids remember each list's part.
@@ -112,6 +191,9 @@ def write_by_list(
     that holds much of the table over several tasks.
     """
     parts = parts or min(LIST_PARTS, max(1, centroids.count()))
+    if files is None:
+        dim = vector_stats(centroids)[1]
+        files = max(1, math.ceil(rows.count() * 4 * dim / FILE_BYTES))
     part = F.pmod(F.col("list_id"), F.lit(parts)).cast("int").alias("part")
     centroids.select("list_id", "embedding", part).write.mode("overwrite").parquet(
         f"{path}/centroids"
@@ -237,16 +319,13 @@ def knn_tree_rerank(
 ) -> DataFrame:
     """Leaves, a wider fetch, exact reorder, first k. Without leaves the scan is exact.
 
-    ``lists`` must be built with the same metric and normalisation.
+    ``lists`` must be built with the same metric and normalisation. Scores of lists are exact
+    already, so the reorder of ``reorder_k`` candidates is their order as found.
     """
     wider = overfetch(overfetch(k, num_neighbors), reorder_k)
     if lists is None:
-        return keep_first(
-            nearest(gallery, queries, wider, metric, normalize=normalize, limits=limits), k
-        )
+        hits = nearest(gallery, queries, wider, metric, normalize=normalize, limits=limits)
+        return keep_first(hits, k)
     leaves = lists.centroids.count()
     search = min(int(num_leaves_to_search or leaves), leaves)
-    hits = knn_ivf_flat(lists, queries, wider, nprobe=search, limits=limits)
-    if reorder_k:
-        hits = rerank_exact(hits, gallery, queries, wider, metric, normalize=normalize)
-    return keep_first(hits, k)
+    return keep_first(knn_ivf_flat(lists, queries, wider, nprobe=search, limits=limits), k)

@@ -8,7 +8,9 @@ Every method returns long form ``qid, rank, id, score`` and shares one engine:
 * neither fits: both sides are cut into tiles of bounded size and each pair of tiles meets in
   one task through an equi key. Nothing is collected and no group outgrows a task.
 
-Pairs are never emitted: tasks reduce them to the best k.
+Pairs are never emitted: tasks reduce them to the best k. All forms answer query by query, not
+id by id: a query id that occurs twice is two queries. Every gallery row is a candidate of its own,
+so an id that occurs twice in the gallery may be returned twice.
 """
 
 from __future__ import annotations
@@ -33,24 +35,27 @@ from nearfield.operators.topk import (
     to_matrix,
     without_spare_copies,
 )
-from nearfield.schema import require_columns, require_positive, require_unique, vector_stats
-from nearfield.session import short_table
+from nearfield.schema import require_columns, require_positive, vector_stats
+from nearfield.session import materialise, short_table
 
-# A gallery of 800,000 splits would emit k rows per query from each of them; scans are folded
-# into at most this many tasks (no shuffle) so that the merge stays small.
-MAX_SCAN_TASKS = 16_384
+# Every scanning task emits k rows per query. Scans are folded (no shuffle) into so few tasks that
+# the merge gets about this many rows, but never into fewer than there are cores.
+MERGE_ROWS, MOST_TASKS = 1 << 31, 1 << 20
+# What a query takes besides its vector: per kept hit, and per cell it looks into.
+HIT_BYTES, CELL_BYTES = 48, 16
 
 
 @dataclass(frozen=True)
 class Limits:
-    """Byte bounds (float32 vectors) that decide between the physical forms."""
+    """Byte bounds (vectors, ids, cells and kept hits) that decide between the physical forms."""
 
     broadcast_bytes: int = 64 << 20
     query_tile_bytes: int = 64 << 20
     gallery_tile_bytes: int = 32 << 20
 
-    def rows(self, budget: int, dim: int) -> int:
-        return max(1, budget // (4 * max(1, dim)))
+    def rows(self, budget: int, dim: int, cells: int = 0, hits: int = 0) -> int:
+        each = 4 * max(1, dim) + CELL_BYTES * cells + HIT_BYTES * hits
+        return max(1, budget // each)
 
 
 DEFAULT_LIMITS = Limits()
@@ -116,8 +121,8 @@ class _Route:
             self.buckets = _cells_matrix(queries["cells"])
             self.tables = Cells.of_tables(self.buckets)
 
-    def offer(self, state: BestK, match: Match, rows: pa.RecordBatch | pa.Table) -> None:
-        block, rows = match.block(rows)
+    def offer(self, state: BestK, block: Vectors, rows: pa.RecordBatch | pa.Table) -> None:
+        """Gallery rows as ``Match.block`` prepares them."""
         ids = _whole(rows["id"])
         if self.rule is None:
             state.offer(block, ids)
@@ -152,10 +157,32 @@ def _hits_schema(queries: DataFrame, gallery: DataFrame) -> T.StructType:
 HIT_NAMES = ("qid", "rank", "id", "score")
 
 
-def merge_hits(partial: DataFrame, k: int, metric: str) -> DataFrame:
+def partial_schema(out: T.StructType) -> T.StructType:
+    """Hits of one task: also the number of the query, which tells equal ids apart."""
+    return T.StructType([*out.fields, T.StructField("asked", T.LongType())])
+
+
+def partial_hits(state: BestK, table: pa.Table | pa.RecordBatch) -> pa.Table:
+    return state.result({"qid": _whole(table["qid"]), "asked": _whole(table["asked"])}).select(
+        [*HIT_NAMES, "asked"]
+    )
+
+
+def numbered(table: pa.Table) -> pa.Table:
+    """Queries with their place as ``asked``."""
+    return table.append_column("asked", pa.array(np.arange(table.num_rows, dtype=np.int64)))
+
+
+def scan_tasks(df: DataFrame, asked: int, k: int) -> int:
+    """Tasks that scan a gallery for so many queries."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return max(cores, min(MOST_TASKS, MERGE_ROWS // max(1, asked * k)))
+
+
+def merge_hits(partial: DataFrame, k: int, metric: str, by: str = "qid") -> DataFrame:
     """Best k per query over partial lists; equal scores go to the smaller id."""
     score = F.col("score").asc() if smaller_is_better(metric) else F.col("score").desc()
-    order = Window.partitionBy("qid").orderBy(score, F.col("id").asc())
+    order = Window.partitionBy(by).orderBy(score, F.col("id").asc())
     return (
         partial.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= int(k))
@@ -165,7 +192,9 @@ def merge_hits(partial: DataFrame, k: int, metric: str) -> DataFrame:
 
 def _scan_gallery(gallery: DataFrame, queries: DataFrame, match: Match, out) -> DataFrame:
     """Queries broadcast (their size is already checked), gallery scanned in place."""
-    shared = queries.sparkSession.sparkContext.broadcast(queries.toArrow())
+    table = numbered(queries.toArrow())
+    tasks = scan_tasks(gallery, table.num_rows, match.k)
+    shared = queries.sparkSession.sparkContext.broadcast(table)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -175,11 +204,11 @@ def _scan_gallery(gallery: DataFrame, queries: DataFrame, match: Match, out) ->
         route = _Route(match, table)
         for batch in batches:
             if not _empty(batch):
-                route.offer(state, match, batch)
-        yield from state.result(table["qid"].combine_chunks(), HIT_NAMES).to_batches()
+                route.offer(state, *match.block(batch))
+        yield from partial_hits(state, table).to_batches()
 
-    partial = gallery.coalesce(MAX_SCAN_TASKS).mapInArrow(scan, out)
-    return merge_hits(partial, match.k, match.metric)
+    partial = gallery.coalesce(tasks).mapInArrow(scan, partial_schema(out))
+    return merge_hits(partial, match.k, match.metric, "asked")
 
 
 def _scan_queries(gallery: DataFrame, queries: DataFrame, match: Match, out) -> DataFrame:
@@ -190,12 +219,13 @@ def _scan_queries(gallery: DataFrame, queries: DataFrame, match: Match, out) ->
         rows = shared.value.combine_chunks()
         if _empty(rows):
             return
+        block, rows = match.block(rows)  # once per task, however many batches follow
         for batch in batches:
             if _empty(batch):
                 continue
             state = match.state(match.vectors(batch))
-            _Route(match, batch).offer(state, match, rows)
-            yield from state.result(batch["qid"], HIT_NAMES).to_batches()
+            _Route(match, batch).offer(state, block, rows)
+            yield from state.result({"qid": batch["qid"]}).select(list(HIT_NAMES)).to_batches()
 
     return queries.mapInArrow(scan, out)
 
@@ -203,7 +233,7 @@ def _scan_queries(gallery: DataFrame, queries: DataFrame, match: Match, out) ->
 def with_tiles(
     gallery: DataFrame, queries: DataFrame, dim: int, limits: Limits
 ) -> tuple[DataFrame, DataFrame]:
-    """Both sides (``cell`` and a unique key) placed and copied so that their tiles meet.
+    """Both sides (``cell``; queries also ``asked``) placed and copied so that their tiles meet.
 
     How many tiles a cell is cut into comes from its counts. That table has one row per cell; it
     is written once and counted, so the broadcast below rests on a checked size. A join on the
@@ -219,18 +249,19 @@ def with_tiles(
         counts(gallery, "n_gt", g_rows).join(counts(queries, "n_qt", q_rows), "cell")
     )
     return (
-        place(gallery.join(tiles, "cell"), "id", "gt", "qt"),
-        place(queries.join(tiles, "cell"), "qid", "qt", "gt"),
+        place(gallery.join(tiles, "cell"), gallery.columns, "gt", "qt"),
+        place(queries.join(tiles, "cell"), ["asked"], "qt", "gt"),
     )
 
 
-def place(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
+def place(df: DataFrame, keys: list[str], own: str, other: str) -> DataFrame:
     """One tile of its own side for each row, and a copy for every tile of the other side.
 
-    Keys are unique, so hashing them spreads even a cell that holds most of the table.
+    Whole gallery rows are hashed, and the numbers of queries: that spreads even a cell or an id
+    that holds most of the table.
     """
     return (
-        df.withColumn(own, F.pmod(F.xxhash64(key), F.col(f"n_{own}")).cast("int"))
+        df.withColumn(own, F.pmod(F.xxhash64(*keys), F.col(f"n_{own}")).cast("int"))
         .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1)))
         .drop(f"n_{own}", f"n_{other}")
     )
@@ -250,15 +281,15 @@ def _tile_pairs(
     gallery: DataFrame, queries: DataFrame, match: Match, out, asked: int, dim: int, limits: Limits
 ) -> DataFrame:
     """Both sides large: tiles meet through (cell, gallery tile, query tile)."""
-    require_unique(gallery, "id")
-    require_unique(queries, "qid")
+    # Written once, as the numbers must be the same wherever they are read.
+    queries = materialise(queries.withColumn("asked", F.monotonically_increasing_id()))
     if match.routing is None:
         # One cell: its counts are known, nothing has to be joined.
         n_gt = max(1, -(-gallery.count() // limits.rows(limits.gallery_tile_bytes, dim)))
         n_qt = max(1, -(-asked // limits.rows(limits.query_tile_bytes, dim)))
         whole = {"cell": F.lit(0).cast("long"), "n_gt": F.lit(n_gt), "n_qt": F.lit(n_qt)}
-        left = place(gallery.withColumns(whole), "id", "gt", "qt")
-        right = place(queries.withColumns(whole), "qid", "qt", "gt")
+        left = place(gallery.withColumns(whole), gallery.columns, "gt", "qt")
+        right = place(queries.withColumns(whole), ["asked"], "qt", "gt")
     else:
         left, right = with_tiles(
             gallery.withColumn("cell", F.explode("cells")),
@@ -277,6 +308,7 @@ def _tile_pairs(
                     ("rank", pa.int32()),
                     ("id", match.id_type),
                     ("score", pa.float64()),
+                    ("asked", pa.int64()),
                 ]
             ).empty_table()
         rows = rows.rename_columns([name.removeprefix("g_") for name in rows.column_names])
@@ -289,10 +321,14 @@ def _tile_pairs(
             here = int(np.argmax(mine[0] == asked["cell"][0].as_py()))
             keep = first_shared_table(mine, theirs, here)
         state.offer(block, _whole(rows["id"]), keep_pair=keep)
-        return state.result(asked["qid"].combine_chunks(), HIT_NAMES)
+        return partial_hits(state, asked)
+
+    partial = cogrouped_tiles(left, right).applyInArrow(meet, partial_schema(out))
+    return merge_hits(partial, match.k, match.metric, "asked")
+
 
-    partial = cogrouped_tiles(left, right).applyInArrow(meet, out)
-    return merge_hits(partial, match.k, match.metric)
+def cells_per_row(df: DataFrame) -> int:
+    return df.agg(F.max(F.size("cells"))).first()[0] or 0
 
 
 def nearest(
@@ -329,10 +365,11 @@ def nearest(
     out = _hits_schema(queries, gallery)
 
     asked, dim = vector_stats(queries)
-    fitting = limits.rows(limits.broadcast_bytes, dim)
-    if asked <= fitting:
+    cells = cells_per_row(queries) if routing else 0
+    if asked <= limits.rows(limits.broadcast_bytes, dim, cells, match.k):
         return _scan_gallery(gallery, queries, match, out)
     # Counting stops one row above the bound, so a huge gallery is not scanned for it.
+    fitting = limits.rows(limits.broadcast_bytes, dim, 1 if routing else 0)
     if gallery.select("id").limit(fitting + 1).count() <= fitting:
         return _scan_queries(gallery, queries, match, out)
     return _tile_pairs(gallery, queries, match, out, asked, dim, limits)
@@ -378,9 +415,12 @@ def with_nearest(
         id_type=pa.int64(),
     )
     if count > limits.rows(limits.broadcast_bytes, dim):
+        # The key of the rows need not be unique: a number of their own joins the answers back.
+        own = "_row"
+        df = materialise(df.withColumn(own, F.monotonically_increasing_id()))
         found = nearest(
             lists,
-            df.select(F.col(key).alias("qid"), "embedding"),
+            df.select(F.col(own).alias("qid"), "embedding"),
             match.k,
             metric,
             normalize=match.normalize,
@@ -391,7 +431,7 @@ def with_nearest(
                 F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda s: s["id"]
             ).alias("cells")
         )
-        return df.join(cells.withColumnRenamed("qid", key), key)
+        return df.join(cells.withColumnRenamed("qid", own), own).drop(own)
 
     shared = df.sparkSession.sparkContext.broadcast(lists.toArrow())
     out = T.StructType([*df.schema.fields, T.StructField("cells", T.ArrayType(T.LongType()))])
@@ -422,17 +462,6 @@ def held_if_small(df: DataFrame, rows: int, dim: int, limits: Limits) -> DataFra
     return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
 
 
-def checked_table(df: DataFrame, limits: Limits) -> pa.Table:
-    """Collect a trained table (centroids, codebooks) whose size is within the bound."""
-    count, dim = vector_stats(df)
-    if count > limits.rows(limits.broadcast_bytes, dim):
-        raise ValueError(
-            f"{count} vectors of width {dim} exceed Limits.broadcast_bytes"
-            f" ({limits.broadcast_bytes}); raise it to what every executor can hold"
-        )
-    return df.toArrow()
-
-
 def overfetch(k: int, wider: int | None) -> int:
     """How many neighbours to fetch before the first k are kept."""
     return max(int(k), int(wider or 0))

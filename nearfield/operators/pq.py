@@ -19,22 +19,25 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from nearfield.operators.ivf import (
     InvertedLists,
+    first_by_digest,
+    group_means,
     probed_rows,
     probes,
-    training_sample,
     write_by_list,
 )
 from nearfield.operators.knn import (
     DEFAULT_LIMITS,
-    HIT_NAMES,
-    MAX_SCAN_TASKS,
     Limits,
-    checked_table,
+    cells_per_row,
     cogrouped_tiles,
     held_if_small,
     keep_first,
     merge_hits,
+    numbered,
     overfetch,
+    partial_hits,
+    partial_schema,
+    scan_tasks,
     with_tiles,
 )
 from nearfield.operators.rerank import rerank_exact
@@ -45,7 +48,8 @@ from nearfield.operators.topk import (
     to_matrix,
     without_spare_copies,
 )
-from nearfield.schema import VECTOR, require_positive, require_unique, vector_stats
+from nearfield.schema import VECTOR, require_positive, vector_stats
+from nearfield.session import materialise
 
 CODEBOOKS = T.StructType(
     [
@@ -54,7 +58,6 @@ CODEBOOKS = T.StructType(
         T.StructField("embedding", VECTOR),
     ]
 )
-SAMPLE_ROWS = 65_536
 
 
 @dataclass(frozen=True)
@@ -84,7 +87,7 @@ class PqIndex:
     codebooks: DataFrame
     settings: PqSettings
 
-    def save(self, path: str, files: int = 8, parts: int | None = None) -> None:
+    def save(self, path: str, files: int | None = None, parts: int | None = None) -> None:
         """Codes next to the saved lists, whose vectors serve the exact rescoring."""
         self.lists.save(path, files, parts)
         self.codebooks.write.mode("overwrite").parquet(f"{path}/codebooks")
@@ -107,14 +110,19 @@ class PqIndex:
         )
 
 
+def unit_rows(matrix: np.ndarray, unit: bool) -> np.ndarray:
+    matrix = matrix.astype(np.float64)
+    if not unit:
+        return matrix
+    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return matrix / np.where(norms == 0.0, 1.0, norms)
+
+
 class _Books:
-    """Centroids and codebooks as arrays, and the arithmetic on them."""
+    """Codebooks as arrays, and the arithmetic on them."""
 
-    def __init__(self, centroids: pa.Table, codebooks: pa.Table, m: int, unit: bool):
-        self.unit, self.m = unit, m
-        order = np.argsort(centroids["list_id"].to_numpy())
-        self.list_ids = centroids["list_id"].to_numpy()[order]
-        self.centers = to_matrix(centroids["embedding"])[order].astype(np.float64)
+    def __init__(self, codebooks: pa.Table, m: int):
+        self.m = m
         sub = codebooks["subspace"].to_numpy()
         code = codebooks["code"].to_numpy()
         values = to_matrix(codebooks["embedding"]).astype(np.float64)
@@ -123,19 +131,8 @@ class _Books:
         self.book = np.full((m, self.codes, values.shape[1]), np.inf)
         self.book[sub, code] = values
 
-    def unit_rows(self, matrix: np.ndarray) -> np.ndarray:
-        matrix = matrix.astype(np.float64)
-        if not self.unit:
-            return matrix
-        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-        return matrix / np.where(norms == 0.0, 1.0, norms)
-
-    def center(self, list_ids: np.ndarray) -> np.ndarray:
-        return self.centers[np.searchsorted(self.list_ids, list_ids)]
-
-    def encode(self, matrix: np.ndarray, list_ids: np.ndarray) -> np.ndarray:
-        residual = self.unit_rows(matrix) - self.center(list_ids)
-        out = np.empty((len(matrix), self.m), dtype=np.int64)
+    def encode(self, residual: np.ndarray) -> np.ndarray:
+        out = np.empty((len(residual), self.m), dtype=np.int64)
         for s, part in enumerate(np.split(residual, self.m, axis=1)):
             used = np.isfinite(self.book[s]).all(axis=1)
             book = self.book[s][used]
@@ -144,10 +141,9 @@ class _Books:
         return out
 
     def score(
-        self, asked: np.ndarray, list_id: int, codes: np.ndarray, metric: str
+        self, asked: np.ndarray, center: np.ndarray, codes: np.ndarray, metric: str
     ) -> np.ndarray:
         """Sort keys (smaller is better) of every asked vector against every coded row."""
-        center = self.center(np.array([list_id]))[0]
         book = np.where(np.isfinite(self.book), self.book, 0.0)
         parts = asked if metric != "l2" else asked - center
         keys = np.zeros((len(asked), len(codes)))
@@ -165,98 +161,115 @@ class _Books:
         return keys
 
 
-def _lloyd(points: np.ndarray, codes: int, seed: int, max_iter: int) -> np.ndarray:
-    """k-means of one subspace's bounded training sample."""
-    rng = np.random.default_rng(seed)
-    points = points.astype(np.float64)
-    distinct = np.unique(points, axis=0)
-    centers = distinct[rng.permutation(len(distinct))[:codes]]
-    for _ in range(max_iter):
-        gap = -2 * points @ centers.T + (centers**2).sum(1)[None, :]
-        nearest = np.argmin(gap, axis=1)
-        counts = np.bincount(nearest, minlength=len(centers))
-        sums = np.zeros_like(centers)
-        np.add.at(sums, nearest, points)
-        moved = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centers)
-        if np.allclose(moved, centers):
-            break
-        centers = moved
-    return centers
+def _with_centers(rows: DataFrame, lists: InvertedLists, limits: Limits, key: str = "list_id"):
+    """Rows with the ``center`` of their list; few centroids are broadcast, many are joined."""
+    centers = lists.centroids.select(
+        F.col("list_id").cast("long").alias(key), F.col("embedding").alias("center")
+    )
+    if _fits(lists, limits):
+        centers = F.broadcast(centers)
+    return rows.withColumn(key, F.col(key).cast("long")).join(centers, key)
+
+
+def _fits(lists: InvertedLists, limits: Limits) -> bool:
+    count, dim = vector_stats(lists.centroids)
+    return count <= limits.rows(limits.broadcast_bytes, dim)
 
 
 def _residuals(lists: InvertedLists, unit: bool, limits: Limits) -> DataFrame:
-    """``id, list_id, residual`` of every row, with the centroids broadcast to the tasks."""
-    context = lists.rows.sparkSession.sparkContext
-    centroids = context.broadcast(checked_table(lists.centroids, limits))
-    empty = pa.table(
-        {
-            "subspace": pa.array([0], pa.int32()),
-            "code": pa.array([0], pa.int32()),
-            "embedding": pa.array([[0.0]], pa.list_(pa.float32())),
-        }
-    )
+    """``id, list_id, embedding``: every row minus the centroid of its list."""
 
     def subtract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books = _Books(centroids.value, empty, 1, unit)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            at = batch["list_id"].to_numpy()
-            rest = books.unit_rows(to_matrix(batch["embedding"])) - books.center(at)
+            rest = unit_rows(to_matrix(batch["embedding"]), unit) - to_matrix(batch["center"])
             flat = pa.array(rest.astype(np.float32).reshape(-1))
             vectors = pa.FixedSizeListArray.from_arrays(flat, rest.shape[1])
             yield pa.RecordBatch.from_arrays(
-                [batch["id"], vectors.cast(pa.list_(pa.float32()))], names=["id", "residual"]
+                [batch["id"], batch["list_id"], vectors.cast(pa.list_(pa.float32()))],
+                names=["id", "list_id", "embedding"],
             )
 
-    out = T.StructType([lists.rows.schema["id"], T.StructField("residual", VECTOR)])
-    return lists.rows.select("id", "list_id", "embedding").mapInArrow(subtract, out)
+    out = T.StructType(
+        [
+            lists.rows.schema["id"],
+            T.StructField("list_id", T.LongType()),
+            T.StructField("embedding", VECTOR),
+        ]
+    )
+    rows = _with_centers(lists.rows.select("id", "list_id", "embedding"), lists, limits)
+    return rows.select("id", "list_id", "embedding", "center").mapInArrow(subtract, out)
 
 
 def train_codebooks(
     lists: InvertedLists,
     settings: PqSettings,
     *,
-    sample_rows: int = SAMPLE_ROWS,
     seed: int = 42,
     max_iter: int = 10,
     limits: Limits | None = None,
 ) -> DataFrame:
-    """``subspace, code, embedding``: one k-means per subspace, all subspaces in parallel.
+    """``subspace, code, embedding``: Lloyd's steps over the residuals of all rows.
 
-    Each subspace trains in its own task on the same bounded sample of residuals.
+    Tasks code the rows they read and add them up by subspace and code. Codebooks have at most
+    ``2**nbits`` vectors per subspace whatever the number of rows, so they travel to every task.
     """
     _, dim = vector_stats(lists.centroids)
     width = settings.width(dim)
-    unit = _unit(lists)
-    residuals = _residuals(lists, unit, limits or DEFAULT_LIMITS)
-    sample = training_sample(residuals, sample_rows, seed, lists.rows.count()).select(
-        "id",
-        F.posexplode(
-            F.transform(
-                F.sequence(F.lit(0), F.lit(settings.m - 1)),
-                lambda s: F.slice("residual", s * width + 1, width),
-            )
-        ).alias("subspace", "part"),
+    residuals = _residuals(lists, _unit(lists), limits or DEFAULT_LIMITS)
+    parts = F.transform(
+        F.sequence(F.lit(0), F.lit(settings.m - 1)),
+        lambda s: F.slice("embedding", s * width + 1, width),
+    )
+    start = first_by_digest(residuals, 1 << settings.nbits, seed).select(
+        F.col("place").cast("int").alias("code"), F.posexplode(parts).alias("subspace", "embedding")
+    )
+    # Equal vectors would be equal codes: the first of them stands for all.
+    books = materialise(
+        start.groupBy("subspace", "embedding")
+        .agg(F.min("code").alias("code"))
+        .select("subspace", "code", "embedding")
     )
-    codes = 1 << settings.nbits
-
-    def fit(keys: tuple, group: pa.Table) -> pa.Table:
-        subspace = keys[0].as_py()
-        # The order rows arrive in must not change the result.
-        group = group.sort_by("id")
-        centers = _lloyd(to_matrix(group["part"]), codes, seed + subspace, max_iter)
-        return pa.table(
-            {
-                "subspace": pa.array([subspace] * len(centers), pa.int32()),
-                "code": pa.array(range(len(centers)), pa.int32()),
-                "embedding": pa.array(
-                    list(centers.astype(np.float32)), pa.list_(pa.float32())
-                ),
-            }
+    for _ in range(max_iter):
+        means = group_means(_coded_parts(residuals, books, settings), "slot")
+        named = means.select(
+            F.floor(F.col("slot") / (1 << settings.nbits)).cast("int").alias("subspace"),
+            (F.col("slot") % (1 << settings.nbits)).cast("int").alias("code"),
+            "embedding",
+        )
+        moved = materialise(
+            books.withColumnRenamed("embedding", "old")
+            .join(named, ["subspace", "code"], "left")
+            .select("subspace", "code", F.coalesce("embedding", "old").alias("embedding"), "old")
         )
+        books = moved.drop("old")
+        if moved.where("embedding != old").isEmpty():
+            break
+    return books
+
+
+def _coded_parts(residuals: DataFrame, books: DataFrame, settings: PqSettings) -> DataFrame:
+    """``slot, embedding``: every subvector under the number of its subspace and nearest code."""
+    shared = residuals.sparkSession.sparkContext.broadcast(books.toArrow())
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = _Books(shared.value, settings.m)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            matrix = to_matrix(batch["embedding"])
+            slots = tables.encode(matrix.astype(np.float64))
+            slots += np.arange(settings.m) << settings.nbits
+            width = matrix.shape[1] // settings.m
+            vectors = pa.FixedSizeListArray.from_arrays(pa.array(matrix.reshape(-1)), width)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(slots.reshape(-1)), vectors.cast(pa.list_(pa.float32()))],
+                names=["slot", "embedding"],
+            )
 
-    return sample.groupBy("subspace").applyInArrow(fit, CODEBOOKS)
+    out = T.StructType([T.StructField("slot", T.LongType()), T.StructField("embedding", VECTOR)])
+    return residuals.select("embedding").mapInArrow(code, out)
 
 
 def _unit(lists: InvertedLists) -> bool:
@@ -271,18 +284,14 @@ def build_codes(
 ) -> PqIndex:
     """Encode every row in one narrow pass."""
     limits = limits or DEFAULT_LIMITS
-    session = lists.rows.sparkSession.sparkContext
-    centers = session.broadcast(checked_table(lists.centroids, limits))
-    books = session.broadcast(checked_table(codebooks, limits))
-    unit = _unit(lists)
+    books = lists.rows.sparkSession.sparkContext.broadcast(codebooks.toArrow())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _Books(centers.value, books.value, settings.m, unit)
+        tables = _Books(books.value, settings.m)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            at = batch["list_id"].to_numpy()
-            codes = tables.encode(to_matrix(batch["embedding"]), at)
+            codes = tables.encode(to_matrix(batch["embedding"]).astype(np.float64))
             packed = codes.astype(settings.code_type)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -300,8 +309,8 @@ def build_codes(
             T.StructField("codes", T.BinaryType()),
         ]
     )
-    coded = lists.rows.select("id", F.col("list_id").cast("long"), "embedding")
-    return PqIndex(lists, coded.mapInArrow(encode, out), codebooks, settings)
+    residuals = _residuals(lists, _unit(lists), limits)
+    return PqIndex(lists, residuals.mapInArrow(encode, out), codebooks, settings)
 
 
 def knn_ivf_pq(
@@ -321,8 +330,7 @@ def knn_ivf_pq(
     count, dim = vector_stats(queries)
     asked = held_if_small(probes(queries, lists, nprobe, limits), count, dim, limits)
     session = queries.sparkSession.sparkContext
-    centers = session.broadcast(checked_table(lists.centroids, limits))
-    books = session.broadcast(checked_table(index.codebooks, limits))
+    books = session.broadcast(index.codebooks.toArrow())
     unit, metric = _unit(lists), lists.metric
     id_type = to_arrow_type(index.codes.schema["id"].dataType)
     out = T.StructType(
@@ -338,7 +346,7 @@ def knn_ivf_pq(
         raw = b"".join(column.to_pylist())
         return np.frombuffer(raw, settings.code_type).reshape(len(column), settings.m)
 
-    def offer(state, tables, vectors, picked, list_id, found, codes, ids) -> None:
+    def offer(state, tables, vectors, picked, center, found, codes, ids) -> None:
         # Equal codes in a list score the same: only the smallest ids of a crowd can be returned.
         stamp = (codes[found].astype(np.int64) * np.arange(1, settings.m + 1)).sum(axis=1)
         kept = without_spare_copies(stamp, [codes[found]], ids.take(pa.array(found)), wider)
@@ -348,7 +356,7 @@ def knn_ivf_pq(
             step = max(256, (32 << 20) // (8 * len(asks)))
             for start in range(0, len(found), step):
                 part = found[start : start + step]
-                keys = tables.score(vectors[asks], list_id, codes[part], metric)
+                keys = tables.score(vectors[asks], center, codes[part], metric)
                 bound = state.reach[asks].copy()
                 open_ended = np.isinf(bound)
                 if len(part) > wider and open_ended.any():
@@ -359,19 +367,24 @@ def knn_ivf_pq(
 
     def prepared(table: pa.Table):
         matrix = to_matrix(table["embedding"])
-        tables = _Books(centers.value, books.value, settings.m, unit)
+        tables = _Books(books.value, settings.m)
         state = BestK(Vectors(matrix, metric, False), wider, metric, id_type)
-        return tables, tables.unit_rows(matrix), state
+        return tables, unit_rows(matrix, unit), state
 
-    if count <= limits.rows(limits.broadcast_bytes, dim):
-        shared = session.broadcast(asked.select("qid", "embedding", "cells").toArrow())
+    cells = cells_per_row(asked)
+    if _fits(lists, limits) and count <= limits.rows(limits.broadcast_bytes, dim, cells, wider):
+        table = numbered(asked.select("qid", "embedding", "cells").toArrow())
+        tasks = scan_tasks(index.codes, table.num_rows, wider)
+        shared = session.broadcast((table, lists.centroids.toArrow()))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = shared.value
+            table, centroids = shared.value
             if not table.num_rows:
                 return
             tables, vectors, state = prepared(table)
             cells = Cells.of_lists(table["cells"])
+            places = {key: at for at, key in enumerate(centroids["list_id"].to_pylist())}
+            centers = to_matrix(centroids["embedding"]).astype(np.float64)
             for batch in batches:
                 if not batch.num_rows:
                     continue
@@ -381,21 +394,21 @@ def knn_ivf_pq(
                     picked = cells.of_key(list_id)
                     if len(picked):
                         found = np.flatnonzero(at == list_id)
-                        offer(state, tables, vectors, picked, list_id, found, codes, batch["id"])
-            yield from state.result(table["qid"].combine_chunks(), HIT_NAMES).to_batches()
+                        center = centers[places[int(list_id)]]
+                        offer(state, tables, vectors, picked, center, found, codes, batch["id"])
+            yield from partial_hits(state, table).to_batches()
 
         partial = (
             probed_rows(index.codes, asked, lists.centroids)
             .select("id", "list_id", "codes")
-            .coalesce(MAX_SCAN_TASKS)
-            .mapInArrow(scan, out)
+            .coalesce(tasks)
+            .mapInArrow(scan, partial_schema(out))
         )
     else:
-        require_unique(index.codes, "id")
-        require_unique(asked, "qid")
         rows = index.codes.select("id", "codes", F.col("list_id").alias("cell"))
-        asked = asked.select("qid", "embedding", F.explode("cells").alias("cell"))
-        left, right = with_tiles(rows, asked, dim, limits)
+        own = materialise(asked.withColumn("asked", F.monotonically_increasing_id()))
+        own = own.select("qid", "asked", "embedding", F.explode("cells").alias("cell"))
+        left, right = with_tiles(rows, _with_centers(own, lists, limits, "cell"), dim, limits)
 
         def meet(coded: pa.Table, table: pa.Table) -> pa.Table:
             tables, vectors, state = prepared(table)
@@ -405,15 +418,15 @@ def knn_ivf_pq(
                     tables,
                     vectors,
                     np.arange(table.num_rows),
-                    table["cell"][0].as_py(),
+                    to_matrix(table["center"].slice(0, 1))[0].astype(np.float64),
                     np.arange(coded.num_rows),
                     unpack(coded["g_codes"].combine_chunks()),
                     coded["g_id"].combine_chunks(),
                 )
-            return state.result(table["qid"].combine_chunks(), HIT_NAMES)
+            return partial_hits(state, table)
 
-        partial = cogrouped_tiles(left, right).applyInArrow(meet, out)
-    hits = merge_hits(partial, wider, metric)
+        partial = cogrouped_tiles(left, right).applyInArrow(meet, partial_schema(out))
+    hits = merge_hits(partial, wider, metric, "asked")
     if rerank_k:
         gallery = lists.rows.select("id", "embedding")
         hits = rerank_exact(hits, gallery, queries, wider, metric, normalize=lists.normalize)

@@ -16,6 +16,8 @@ METRICS = ("l2", "ip", "cosine")
 SCREEN_BYTES = 32 << 20
 PAIR_BYTES = 32 << 20
 BLOCK_PAIRS = 512
+# Queries and rows of one screening block at most: 32 MiB of float32 scores.
+SCREEN_QUERIES = 16_384
 
 
 def smaller_is_better(metric: str) -> bool:
@@ -171,8 +173,12 @@ class BestK:
         rows = np.arange(block.rows) if rows is None else rows
         if not len(picked) or not len(rows):
             return
+        if len(picked) > SCREEN_QUERIES:
+            for start in range(0, len(picked), SCREEN_QUERIES):
+                self.offer(block, ids, picked[start : start + SCREEN_QUERIES], rows, keep_pair)
+            return
         slack = self._slack(picked, block)
-        tile = max(256, SCREEN_BYTES // (4 * len(picked)))
+        tile = max(1, SCREEN_BYTES // (4 * len(picked)))
         for start in range(0, len(rows), tile):
             part = rows[start : start + tile]
             approx = self._screen(picked, block, part)
@@ -265,20 +271,18 @@ class BestK:
         last = rank[inside] == self.k - 1
         self.reach[self.kept["q"].to_numpy()[last]] = self.kept["key"].to_numpy()[last]
 
-    def result(self, qids: pa.Array, names: tuple[str, str, str, str]) -> pa.Table:
-        """(qid, rank, id, score) in query and rank order; rank counts this task's rows only."""
+    def result(self, queries: dict[str, pa.Array]) -> pa.Table:
+        """The queries' columns, rank, id, score; in query and rank order of this task's rows."""
         self.flush()
-        q = self.kept["q"].to_numpy()
+        q = pa.array(self.kept["q"].to_numpy())
         keys = self.kept["key"].to_numpy()
-        score = keys if smaller_is_better(self.metric) else -keys + 0.0
         return pa.table(
-            [
-                qids.take(pa.array(q)),
-                pa.array((_rank_in_runs(q) + 1).astype(np.int32)),
-                self.kept["id"],
-                pa.array(score),
-            ],
-            names=list(names),
+            {
+                **{name: column.take(q) for name, column in queries.items()},
+                "rank": pa.array((_rank_in_runs(q.to_numpy()) + 1).astype(np.int32)),
+                "id": self.kept["id"],
+                "score": pa.array(keys if smaller_is_better(self.metric) else -keys + 0.0),
+            }
         )
 
 

@@ -169,8 +169,14 @@ def load_queries(spark: SparkSession, spec: QuerySpec) -> DataFrame:
         labels = relevance_labels(table, spec.relevance_column)
         table = table.withColumn("relevant_labels", labels)
         keep.append("relevant_labels")
-    vectors = project_embeddings(table, spec.id_column, spec.embedding_column, keep)
-    return row_index(vectors.withColumnRenamed("id", "qid"), ["qid"], "query_index")
+    # The index of a query is the position of its row: files by name, rows inside a file.
+    place = ["_file", "_row"]
+    table = table.withColumns(
+        {"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")}
+    )
+    vectors = project_embeddings(table, spec.id_column, spec.embedding_column, [*keep, *place])
+    numbered = row_index(vectors.withColumnRenamed("id", "qid"), place, "query_index")
+    return numbered.drop(*place)
 
 
 def evaluate_run(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, fields, replace
 from typing import Any, ClassVar
@@ -19,7 +21,7 @@ from nearfield.operators.knn import Limits, check_metric, nearest
 from nearfield.operators.lsh import HashTables, knn_lsh
 from nearfield.operators.pq import PqSettings, build_codes, knn_ivf_pq, train_codebooks
 from nearfield.schema import require_positive
-from nearfield.session import materialise
+from nearfield.session import materialise, shared_dir
 
 
 @dataclass(frozen=True)
@@ -165,9 +167,14 @@ def method_name(method: Mapping[str, Any], settings: _Settings) -> str:
     return str(method.get("name") or method.get("method") or settings.backend)
 
 
-def hash_tables(degree: int, effort: int) -> HashTables:
-    """Hash tables for a graph's knobs: more links or search effort means more tables."""
-    return HashTables(tables=max(4, min(32, effort // 8)), bits=max(4, min(10, 12 - degree // 8)))
+def hash_tables(degree: int, effort: int, rows: int) -> HashTables:
+    """Hash tables for a graph's knobs over so many rows.
+
+    Search effort is the number of tables (an eighth of it), and buckets are as fine as the gallery
+    is large: about 8 rows per link and bucket, so the work per query does not grow with the rows.
+    """
+    bits = math.ceil(math.log2(max(2.0, rows / (8 * degree))))
+    return HashTables(tables=max(1, -(-effort // 8)), bits=max(1, min(32, bits)))
 
 
 class Prepared:
@@ -177,6 +184,7 @@ class Prepared:
         self.settings, self.gallery, self.limits = settings, gallery, limits
         self.lists: InvertedLists | None = None
         self.index = None
+        self.rows = gallery.count() if self._hashed() else 0
         if isinstance(settings, FlatOrLists) and settings.method in ("ivf_flat", "ivf_pq"):
             self._file(settings.nlist)
             if settings.method == "ivf_pq":
@@ -187,13 +195,23 @@ class Prepared:
         elif isinstance(settings, TreeSettings) and settings.num_leaves is not None:
             self._file(settings.num_leaves)
 
+    def _hashed(self) -> bool:
+        s = self.settings
+        return isinstance(s, GraphSettings) or (
+            isinstance(s, FlatOrLists) and s.method in ("hnsw", "lsh")
+        )
+
     def _file(self, lists: int) -> None:
+        """Lists as saved folders: probing reads the folders it needs."""
         s = self.settings
-        centroids = train_centroids(self.gallery, lists, s.metric)
+        centroids = train_centroids(self.gallery, lists, s.metric, limits=self.limits)
         built = build_lists(
             self.gallery, centroids, s.metric, normalize=s.normalize, limits=self.limits
         )
-        self.lists = InvertedLists(centroids, materialise(built.rows), s.metric, s.normalize)
+        spark = self.gallery.sparkSession
+        path = f"{shared_dir(spark)}/lists-{uuid.uuid4().hex}"
+        built.save(path)
+        self.lists = InvertedLists.load(spark, path, s.metric, s.normalize)
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         s, common = self.settings, {"limits": self.limits}
@@ -208,7 +226,7 @@ class Prepared:
                 return nearest(
                     self.gallery, queries, k, s.metric, normalize=s.normalize, **common
                 )
-            config = hash_tables(s.hnsw_m, s.ef_search)
+            config = hash_tables(s.hnsw_m, s.ef_search, self.rows)
         elif isinstance(s, TreeSettings):
             return knn_tree_rerank(
                 self.gallery,
@@ -223,7 +241,7 @@ class Prepared:
                 **common,
             )
         else:
-            config = hash_tables(s.m, s.ef_search)
+            config = hash_tables(s.m, s.ef_search, self.rows)
         return knn_lsh(
             self.gallery, queries, k, s.metric, config=config, normalize=s.normalize, **common
         )

@@ -45,7 +45,7 @@ def test_settings_are_checked():
     tree = TreeSettings(num_leaves=10, num_leaves_to_search=50)
     assert tree.num_leaves_to_search == 10
     assert GraphSettings.from_mapping({"normalise": True}).normalize is True
-    assert hash_tables(32, 128).tables > hash_tables(16, 50).tables
+    assert hash_tables(32, 128, 1000).tables > hash_tables(16, 50, 1000).tables
 
 
 def test_expansion():

@@ -115,10 +115,16 @@ def test_zero_vector_scores_zero(vectors):
     assert [(r["id"], r["score"]) for r in hits.orderBy("rank").collect()] == [("0", 0.0), ("1", -1.0)]
 
 
-def test_duplicate_ids_are_refused_by_the_tiled_form(vectors):
-    twice = vectors(np.eye(2), ids=["a", "a"])
-    with pytest.raises(ValueError, match="Duplicate identifier"):
-        nearest(twice, vectors(np.eye(2), "qid"), 1, limits=TILES)
+@pytest.mark.parametrize("limits", [None, Limits(broadcast_bytes=100), TILES])
+def test_repeated_ids_are_answered_row_by_row(vectors, limits):
+    """Two queries of one id are two queries; two gallery rows of one id are two candidates."""
+    rng = np.random.default_rng(5)
+    rows = rng.normal(size=(3, 8))
+    gallery = vectors(rows, ids=["a", "a", "b"])
+    queries = vectors(rows[[0, 2, 2, 1, 0]], "qid", ids=["x", "x", "y", "z", "z"])
+    found = sorted((r["qid"], r["rank"], r["id"]) for r in nearest(gallery, queries, 1, limits=limits).collect())
+    assert found == [("x", 1, "a"), ("x", 1, "b"), ("y", 1, "b"), ("z", 1, "a"), ("z", 1, "a")]
+    assert nearest(gallery, queries, 3, limits=limits).where("id = 'a'").count() == 10
 
 
 def test_bruteforce_runs_each_metric_once(data):
@@ -195,6 +201,52 @@ def test_trained_centroids_are_capped_by_the_rows(vectors):
     assert train_centroids(gallery, 50).count() <= 3
 
 
+def test_training_uses_every_row_and_no_layout(data, lists):
+    _, gallery, _ = data
+
+    def trained(parts):
+        centroids = train_centroids(gallery.repartition(parts), 6, "cosine", max_iter=4)
+        return rows_of(centroids.select("list_id", F.col("embedding").cast("string")))
+
+    assert trained(1) == trained(3) == trained(8)
+    settings = PqSettings(m=2, nbits=3)
+    books = [
+        rows_of(
+            train_codebooks(build_lists(gallery.repartition(n), lists, "l2"), settings, max_iter=3)
+            .select("subspace", "code", F.col("embedding").cast("string"))
+        )
+        for n in (1, 7)
+    ]
+    assert books[0] == books[1]
+
+
+def test_codes_without_a_bound_on_centroids(data, lists):
+    """Centroids beyond the broadcast bound are joined; nothing stops and nothing changes."""
+    _, gallery, queries = data
+    built = build_lists(gallery, lists, "l2")
+    settings = PqSettings(m=2, nbits=3)
+    books = materialise(train_codebooks(built, settings))
+    near = knn_ivf_pq(build_codes(built, books, settings), queries, 4, nprobe=5)
+    far = knn_ivf_pq(build_codes(built, books, settings, TILES), queries, 4, nprobe=5, limits=TILES)
+    left, right = near.orderBy("qid", "rank").collect(), far.orderBy("qid", "rank").collect()
+    np.testing.assert_allclose([r["score"] for r in left], [r["score"] for r in right], atol=1e-9)
+
+
+def test_search_effort_has_no_ceiling(data):
+    from nearfield.plans.methods import hash_tables
+
+    _, gallery, queries = data
+    tables = [hash_tables(16, effort, 240).tables for effort in (8, 64, 256, 1024)]
+    assert tables == [1, 8, 32, 128]
+    assert hash_tables(16, 64, 10**9).bits > hash_tables(16, 64, 10**6).bits
+    truth = {q: set(ids) for q, ids in ids_of(nearest(gallery, queries, 5, "cosine")).items()}
+    recalls = []
+    for count in (tables[0], tables[-1]):
+        found = ids_of(knn_lsh(gallery, queries, 5, "cosine", config=HashTables(count, 5)))
+        recalls.append(sum(len(truth[q] & set(found.get(q, []))) for q in truth))
+    assert recalls[0] < recalls[1]
+
+
 def test_tree_without_leaves_is_exact_and_with_leaves_reorders(data, lists):
     _, gallery, queries = data
     exact = rows_of(nearest(gallery, queries, 4, "cosine"))

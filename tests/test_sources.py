@@ -176,6 +176,36 @@ def test_specs(spark, tmp_path):
     assert read_embeddings(spark, files).count() == 2
 
 
+def test_an_absent_split_is_an_error(spark, tmp_path):
+    def write(folder, name, ids):
+        folder.mkdir(parents=True, exist_ok=True)
+        rows = {"id": ids, "embedding": [[1.0, 2.0]] * len(ids)}
+        pq.write_table(pa.table(rows), folder / name)
+
+    def ids(**spec):
+        return sorted(r["id"] for r in read_embeddings(spark, CorpusSpec(**spec)).collect())
+
+    write(tmp_path / "one", "train-00000-of-00001.parquet", ["a"])
+    write(tmp_path / "plain", "part-00000-x.parquet", ["b"])
+    write(tmp_path / "plain", "data.parquet", ["c"])
+    write(tmp_path / "cols" / "split=train", "0.parquet", ["d"])
+    write(tmp_path / "cols" / "split=dev", "0.parquet", ["e"])
+    disk = str(tmp_path / "one")
+    assert ids(load_from_disk=disk) == ["a"]
+    assert ids(load_from_disk=disk, split=None) == ["a"]
+    assert ids(load_from_disk=str(tmp_path / "plain"), split="test") == ["b", "c"]
+    assert ids(load_from_disk=str(tmp_path / "cols"), split="dev") == ["e"]
+    files = {"dataset_name": "cols", "root": str(tmp_path), "data_files": ["split=dev/0.parquet"]}
+    assert ids(**files, split="dev") == ["e"]
+    for spec in (
+        {"load_from_disk": disk},
+        {"dataset_name": "one", "root": str(tmp_path)},
+        {"load_from_disk": str(tmp_path / "cols")},
+    ):
+        with pytest.raises(KeyError, match="test"):
+            ids(**spec, split="test")
+
+
 def test_splits(spark, tmp_path):
     rows = spark.createDataFrame([("a", "train"), ("b", "test")], "id string, split string")
     write_split_shards(rows, str(tmp_path / "s"), chunk_size=1)

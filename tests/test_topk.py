@@ -34,7 +34,7 @@ def select(queries, rows, ids, k, metric, normalize, cuts):
         if len(part):
             block = Vectors(rows[part], metric, normalize)
             state.offer(block, pa.array([ids[i] for i in part]))
-    table = state.result(pa.array(range(len(queries))), ("qid", "rank", "id", "score"))
+    table = state.result({"qid": pa.array(range(len(queries)))})
     found = [[] for _ in queries]
     for row in table.to_pylist():
         key = row["score"] if metric == "l2" else -row["score"]
