@@ -789,8 +789,14 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 def _(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch(spark, "split")
     rows = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("split"))
-    # One writer per split, so that the file count shows the chunk size.
-    write_split_shards(rows.repartition("split"), path, chunk_size=100)
+    # Chunks are dealt out whole, so that the file count shows the chunk size and no split has to
+    # pass through one task.
+    placed = captions_by_image(rows, ["doc_id"], "split").withColumn(
+        "chunk", F.floor(F.col("position") / 100)
+    )
+    write_split_shards(
+        placed.repartition("split", "chunk").select("doc_id", "split"), path, chunk_size=100
+    )
     return (
         spark.read.parquet(path)
         .withColumn("file", F.col("_metadata.file_path"))

@@ -28,6 +28,7 @@ from nearfield.operators.search import (
     search_results,
 )
 from nearfield.operators.store import VectorStore
+from nearfield.plans.prepare import prepare_queries
 from nearfield.plans.embed import embed_images, embed_texts
 from nearfield.sources.captions import (
     caption_line,
@@ -400,3 +401,55 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
         source, gallery(spark, sf), 5, output, scratch(spark, "answers-progress")
     ).awaitTermination()
     return rounded(spark.read.parquet(output))
+
+
+# Query preparation --------------------------------------------------------------------------
+
+
+@query(
+    "prepare_queries",
+    """WITH q AS (SELECT item_id, text, CASE WHEN item_id % 2 = 0 THEN 'train' ELSE 'test' END AS split
+      FROM benchmark),
+    f AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY split ORDER BY item_id) <= 15),
+    a AS (SELECT page_id % 50 AS item_id, 'img/' || page_id || '.jpg' AS path FROM pages)
+    SELECT CAST(f.item_id AS VARCHAR) AS id, f.item_id AS query_id,
+           regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS query_text, 'hash' AS model_name,
+           'pages' AS dataset_name, split, '' AS category,
+           CAST(count(path) AS INTEGER) AS labels, min(path) AS first_label, CAST(1 AS DOUBLE) AS norm
+    FROM f LEFT JOIN a USING (item_id) GROUP BY f.item_id, text, split""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark items as queries and pages as their annotations, written in two splits."""
+    items = table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("query_id"),
+        F.col("text").alias("query_text"),
+        F.lit(None).cast("string").alias("category"),
+    )
+    labels = table(spark, sf, "pages").select(
+        (F.col("page_id") % 50).alias("query_id"),
+        F.concat(F.lit("img/"), F.col("page_id").cast("string"), F.lit(".jpg")).alias("image_path"),
+    )
+    even = F.col("query_id") % 2 == 0
+    path = scratch(spark, "prepared")
+    prepare_queries(
+        {"train": (items.where(even), labels), "test": (items.where(~even), labels)},
+        get_encoder(ENCODER),
+        path,
+        dataset_name="pages",
+        limit=15,
+        chunk_size=4,
+    )
+    rows = spark.read.parquet(path)
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda n, x: n + x * x))
+    return rows.select(
+        "id",
+        "query_id",
+        "query_text",
+        "model_name",
+        "dataset_name",
+        "split",
+        "category",
+        F.size("image_id").alias("labels"),
+        F.array_min("image_id").alias("first_label"),
+        F.round(norm, 4).alias("norm"),
+    )

@@ -27,6 +27,7 @@ from nearfield.functions.ids import row_index
 from nearfield.functions.pooling import VISION_END, VISION_START, mean_pool, span_pool
 from nearfield.operators.dedup import zip_positional
 from nearfield.operators.ivf import (
+    InvertedLists,
     build_lists,
     knn_ivf_flat,
     knn_tree_rerank,
@@ -47,7 +48,7 @@ from nearfield.operators.lsh import HashTables, knn_lsh
 from nearfield.operators.pq import PqSettings, build_codes, knn_ivf_pq, train_codebooks
 from nearfield.operators.rerank import rerank_exact
 from nearfield.operators.search import search_by_image
-from nearfield.operators.store import store_search
+from nearfield.operators.store import VectorStore, store_search
 from nearfield.plans.evaluate import Evaluation, evaluate_methods, evaluate_run, report_table
 from nearfield.plans.methods import METHOD_PRESETS, distinct_metrics
 from nearfield.schema import vector_stats
@@ -518,6 +519,41 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(search_by_image(rows, ids, 6, "cosine"))
 
 
+@query("search_saved_lists", _lists_sql("cosine", 3, 6))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """A search mode answered by lists that were saved and loaded again."""
+    rows, path = gallery(spark, sf), scratch(spark, "saved")
+    build_lists(rows, label_centroids(rows), "cosine").save(path)
+    lists = InvertedLists.load(spark, path, "cosine")
+    ids = rows.select(F.col("id").alias("qid"), F.col("id").alias("image_id"))
+
+    def probing(_, queries: DataFrame, k: int, metric: str) -> DataFrame:
+        return knn_ivf_flat(lists, queries, k, nprobe=3)
+
+    return rounded(search_by_image(rows, ids, 6, "cosine", search=probing))
+
+
+@query(
+    "vector_store_search",
+    W + "," + knn_ctes("ip", 4) + """ SELECT qid, rank, id, round(score, 6) AS distance,
+    'given' AS model_name, 'vectors' AS dataset_name FROM h""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The store end to end: named fields, default output fields, metric from its settings."""
+    config = {
+        "dim": 64,
+        "metric_type": "COSINE",
+        "search": {"params": {"metric_type": "L2"}},
+        "fields": {"id": {"name": "key"}, "vector": {"name": "values"}},
+    }
+    store = VectorStore(spark, scratch(spark, "store"), config).create()
+    rows = gallery(spark, sf).select("id", "embedding")
+    store.add(rows, model_name="given", dataset_name="vectors")
+    # Parameters of the call win over those of the settings.
+    hits = store.search(asked(spark, sf), top_k=4, search_params={"metric_type": "IP"})
+    return rounded(hits, "model_name", "dataset_name", score="distance")
+
+
 FILTERED_SQL = (
     W + ", p AS (SELECT q.id AS qid, g.id AS id, list_dot_product(q.w, g.w) AS score"
     " FROM u q, u g WHERE g.label IN (1, 4, 7)) "

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions.vectors import l2_normalize
+from nearfield.session import short_table
 
 # Token ids that open and close an image span.
 VISION_START, VISION_END = 151652, 151653
@@ -47,7 +48,8 @@ def span_tokens(
     def marked(value: int, name: str) -> Column:
         return F.min(F.when(F.col(token) == value, F.col(position))).alias(name)
 
-    marks = tokens.groupBy(key).agg(marked(start, "_from"), marked(end, "_to"))
+    # Two numbers per item: broadcast while short, so a huge item stays where its tokens are.
+    marks = short_table(tokens.groupBy(key).agg(marked(start, "_from"), marked(end, "_to")))
     inside = F.col("_from").isNull() | F.col(position).between(F.col("_from"), F.col("_to"))
     return tokens.join(marks, key).where(inside).drop("_from", "_to")
 

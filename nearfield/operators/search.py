@@ -12,7 +12,7 @@ from nearfield.functions.ids import image_path, row_index
 from nearfield.functions.labels import strip
 from nearfield.functions.vectors import similarity_score
 from nearfield.operators.knn import nearest
-from nearfield.session import materialise
+from nearfield.session import materialise, short_table
 
 Search = Callable[..., DataFrame]
 CAPTIONS_PER_HIT = 5
@@ -79,7 +79,8 @@ def captions_by_image(
     """
     named = captions.where(F.col(image).isNotNull() & (F.col(image).cast("string") != ""))
     placed = row_index(named, [image, *order], "_row")
-    first = placed.groupBy(image).agg(F.min("_row").alias("_first"))
+    # One row per image: broadcast while short, so the crowded image is not hashed to one task.
+    first = short_table(placed.groupBy(image).agg(F.min("_row").alias("_first")))
     return (
         placed.join(first, image)
         .withColumn("position", F.col("_row") - F.col("_first"))

@@ -7,6 +7,7 @@ import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.functions import broadcast
 
 # Vector rows are wide: 4,096 of them at 1,024 floats are a 16 MB Arrow batch.
@@ -51,14 +52,17 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-# Rows of a short helper table that are still sent to every executor.
-BROADCAST_ROWS = 1_000_000
+# Rows and text bytes of a short helper table that are still sent to every executor.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
 def short_table(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Write a helper table once, count it, and broadcast it only if it is as short as expected."""
+    """Write a helper table once and broadcast it only if it is as short and narrow as expected."""
     held = materialise(df)
-    return broadcast(held) if held.count() <= rows else held
+    wide = [F.sum(F.octet_length(c)) for c, kind in held.dtypes if kind in ("string", "binary")]
+    total = sum((F.coalesce(part, F.lit(0)) for part in wide), F.lit(0))
+    size = held.agg(F.count(F.lit(1)).alias("n"), total.alias("bytes")).first()
+    return broadcast(held) if size["n"] <= rows and size["bytes"] <= BROADCAST_BYTES else held
 
 
 _shipped: set[str] = set()
