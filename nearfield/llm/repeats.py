@@ -30,7 +30,7 @@ from nearfield.llm.common import small, written
 LENGTH = 100
 ANCHOR = 48
 # Bytes of segments whose suffixes are sorted together; a bucket is never less than one anchor.
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 1 << 20
 # Rows of a helper table that are still sent to every executor.
 BROADCAST_ROWS = 1_500_000
 # Long texts are cut into segments block by block.
@@ -225,7 +225,7 @@ class Suffixes:
 
     @staticmethod
     def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         rank = np.empty(len(key), np.int32)
         if len(key):
             rank[order] = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
@@ -306,6 +306,9 @@ def repeat_scan(suffixes: Suffixes, least: int, age: np.ndarray):
 
 _CONTENTS = "anchor bigint, doc bigint, tie bigint, start int, body binary"
 _SPANS = "doc bigint, tie bigint, start int, stop int"
+_SPAN_TYPES = pa.schema(
+    [("doc", pa.int64()), ("tie", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())]
+)
 
 
 def _grouped(rows: pa.Table) -> pa.Table:
@@ -318,32 +321,68 @@ def _grouped(rows: pa.Table) -> pa.Table:
     return table.filter(pa.array(new))
 
 
+def _repeating_parts(bodies: list[bytes], length: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The parts of contents that hold windows found twice in the bucket, by window digests.
+
+    Returns the parts, the contents they come from and where they start in them. Windows outside
+    the parts are found once only, so no repeat can reach beyond a part.
+    """
+    sizes = np.array([len(b) for b in bodies])
+    whole = np.frombuffer(b"".join(bodies), np.uint8).astype(_U) + _U(1)
+    n = len(whole)
+    power, inverse = _power_tables(n + 1)
+    sums = np.zeros(n + 1, _U)
+    np.cumsum(whole * power[:n], out=sums[1:])
+    firsts = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(bodies)), sizes - length + 1)
+    windows = np.arange(len(owner)) + owner * (length - 1)  # places of windows in the whole
+    digest = _mix((sums[windows + length] - sums[windows]) * inverse[windows])
+    ordered = np.sort(digest)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if not len(twice):
+        return [], owner[:0], owner[:0]
+    at = np.minimum(np.searchsorted(twice, digest), len(twice) - 1)
+    repeated = np.flatnonzero(twice[at] == digest)
+    owner, places = owner[repeated], windows[repeated]
+    # One part from the first to the last such window of a content.
+    begin = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    end = np.concatenate([begin[1:], [len(owner)]]) - 1
+    owner = owner[begin]
+    start, stop = places[begin] - firsts[owner], places[end] - firsts[owner] + length
+    parts = [bodies[k][a:b] for k, a, b in zip(owner.tolist(), start.tolist(), stop.tolist(), strict=True)]
+    return parts, owner, start
+
+
 def _covered(length: int):
     def covered(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         table = _grouped(rows)
-        suffixes = Suffixes(table.column("body").to_pylist(), length)
+        parts, source, start = _repeating_parts(table.column("body").to_pylist(), length)
+        if not parts:
+            return pa.table({"doc": [], "tie": [], "start": [], "stop": []}).cast(_SPAN_TYPES)
+        suffixes = Suffixes(parts, length)
         # Contents are in order of age, so a smaller place is an earlier one.
         _, places, matches = repeat_scan(suffixes, length, np.arange(len(suffixes.symbols)))
         change = np.zeros(len(suffixes.symbols) + 1, np.int64)
         np.add.at(change, places, 1)
         np.add.at(change, places + matches, -1)
         inside = np.cumsum(change[:-1]) > 0
-        # Contents lie side by side: a covered run ends with its content.
-        starts_content = np.zeros(len(inside), bool)
-        starts_content[suffixes.firsts] = True
-        begin = np.flatnonzero(inside & (starts_content | ~np.concatenate([[False], inside[:-1]])))
-        ends_content = np.concatenate([starts_content[1:], [True]])
-        end = np.flatnonzero(inside & (ends_content | ~np.concatenate([inside[1:], [False]])))
-        owner = suffixes.owner[begin]
-        offset = table.column("start").to_numpy()[owner] - suffixes.firsts[owner]
+        # Parts lie side by side: a covered run ends with its part.
+        first_of_part = np.zeros(len(inside), bool)
+        first_of_part[suffixes.firsts] = True
+        begin = np.flatnonzero(inside & (first_of_part | ~np.concatenate([[False], inside[:-1]])))
+        last_of_part = np.concatenate([first_of_part[1:], [True]])
+        end = np.flatnonzero(inside & (last_of_part | ~np.concatenate([inside[1:], [False]])))
+        part = suffixes.owner[begin]
+        row = source[part]
+        offset = table.column("start").to_numpy()[row] + start[part] - suffixes.firsts[part]
         return pa.table(
             {
-                "doc": table.column("doc").to_numpy()[owner],
-                "tie": table.column("tie").to_numpy()[owner],
-                "start": (begin + offset).astype(np.int32),
-                "stop": (end + 1 + offset).astype(np.int32),
+                "doc": table.column("doc").to_numpy()[row],
+                "tie": table.column("tie").to_numpy()[row],
+                "start": begin + offset,
+                "stop": end + 1 + offset,
             }
-        )
+        ).cast(_SPAN_TYPES)
 
     return covered
 
