@@ -7,8 +7,8 @@ frequent elements alone rarely make equal; large sets, whose subsets would be to
 inverted lists of single elements (``c = 1``). The size that parts them is the one where both cost
 the same. Sets just below it take part in both, so no pair is lost across it.
 
-Groups never become all their pairs. Round one pairs every member of a list with the list's smallest
-set only; links found join sets into components. Round two pairs what is left: members of one list
+Groups never become all their pairs. Round one pairs every member of a list with one of them only,
+that which may share most; links found join sets into components. Round two pairs what is left: members of one list
 that are still in different components. A pair inside a component adds nothing, so the components
 are exact. Every pair passes an exact bound on its smallest hashes before whole sets are compared.
 """
@@ -27,10 +27,10 @@ from pyspark.sql import types as T
 from nearfield.llm.common import own_name, small, written
 
 SHINGLE = 3
-# Elements found in more lists than this come last in the order; at most so many are listed. Any
-# list is correct, a better one makes shorter inverted lists.
+# Elements of more sets than this come last in the order; at most so many are listed. Any list is
+# correct, a better one makes shorter inverted lists.
 FREQUENT = 96
-FREQUENT_ELEMENTS = 65_536
+FREQUENT_ELEMENTS = 262_144
 # Rows of a helper table that are still sent to every executor.
 BROADCAST_ROWS = 1_000_000
 # Sets below this size reach 0.9 with equal sets only.
@@ -70,7 +70,7 @@ def prefix_size(n: int | np.ndarray) -> int | np.ndarray:
 
 
 def _sketch_size(n: int) -> int:
-    return min(n, 2 * prefix_size(n) + 16)
+    return min(n, prefix_size(n) + 17)
 
 
 def _bodies(column: pa.Array) -> list[bytes]:
@@ -144,11 +144,6 @@ def boundary(counts: DataFrame) -> tuple[np.ndarray, int]:
     An element of a prefix of p costs one key and as many pairs as its list is long; a subset costs
     one key, and there are p + 1 over 2 of them. They meet where (p + 1) / 2 is a list's cost.
     """
-    top = counts.where(F.col("count") > FREQUENT).orderBy(F.col("count").desc(), "element")
-    frequent = np.array(
-        [row["element"] for row in top.select("element").limit(FREQUENT_ELEMENTS).collect()],
-        np.int64,
-    )
     rest = counts.where(F.col("count") <= FREQUENT).agg(
         F.sum(F.col("count") * (F.col("count") - 1)).alias("pairs"), F.sum("count").alias("all")
     )
@@ -156,21 +151,30 @@ def boundary(counts: DataFrame) -> tuple[np.ndarray, int]:
     companions = (row["pairs"] or 0) / max(1, row["all"] or 0)
     most = 2 * (1 + PAIR_COST * companions) - 1
     # prefix_size(n) is about n / 10 + 1
-    return np.sort(frequent.view(_U)), max(LEAST + 1, int(10 * most))
+    return most_frequent(counts), max(LEAST + 1, int(10 * most))
+
+
+def most_frequent(counts: DataFrame) -> np.ndarray:
+    top = counts.where(F.col("count") > FREQUENT).orderBy(F.col("count").desc(), "element")
+    listed = top.select("element").limit(FREQUENT_ELEMENTS).toArrow()["element"]
+    return np.sort(listed.to_numpy().view(_U))
 
 
-def prefix_keys(elements: np.ndarray, n: int, from_size: int) -> np.ndarray:
-    """Keys of a set whose first elements in the common order are given."""
+def prefix_keys(elements: np.ndarray, n: int, from_size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a set whose first elements in the common order are given, and for each key the
+    most that the set can share with another if the key's elements are the first they share."""
     p = int(prefix_size(n))
-    keys = []
+    keys, most = [], []
     if n < from_size:
         i, j = np.triu_indices(p + 1, 1)
         head = elements[: p + 1]
         low, high = np.minimum(head[i], head[j]), np.maximum(head[i], head[j])
         keys.append(_mix(_mix(low) + high))
+        most.append(n - j + 1)
     if 10 * n >= 9 * from_size:
         keys.append(_mix(elements[:p] + _U(1)))
-    return np.concatenate(keys)
+        most.append(n - np.arange(p))
+    return np.concatenate(keys), np.concatenate(most)
 
 
 def _in_order(elements: np.ndarray, frequent: np.ndarray, whole: bool, need: int):
@@ -188,15 +192,16 @@ def _in_order(elements: np.ndarray, frequent: np.ndarray, whole: bool, need: int
 
 def _key_batches(rows, frequent, from_size):
     """Key rows of (nid, n, elements, whole) rows; sets seen too little of get one null key."""
-    nids, sizes, parts = [], [], []
+    nids, sizes, parts, mosts = [], [], [], []
     short = []
     for nid, n, elements, whole in rows:
         head = _in_order(elements, frequent, whole, int(prefix_size(n)) + 1)
         if head is None:
             short.append((nid, n))
             continue
-        keys = prefix_keys(head, n, from_size)
+        keys, most = prefix_keys(head, n, from_size)
         parts.append(keys)
+        mosts.append(most)
         nids.append(np.full(len(keys), nid, np.int64))
         sizes.append(np.full(len(keys), n, np.int64))
     if parts:
@@ -205,8 +210,9 @@ def _key_batches(rows, frequent, from_size):
                 pa.array(np.concatenate(parts).view(np.int64)),
                 pa.array(np.concatenate(nids)),
                 pa.array(np.concatenate(sizes)),
+                pa.array(np.concatenate(mosts)),
             ],
-            ["key", "nid", "n"],
+            ["key", "nid", "n", "most"],
         )
     if short:
         yield pa.RecordBatch.from_arrays(
@@ -214,16 +220,19 @@ def _key_batches(rows, frequent, from_size):
                 pa.nulls(len(short), pa.int64()),
                 pa.array([s[0] for s in short], pa.int64()),
                 pa.array([s[1] for s in short], pa.int64()),
+                pa.nulls(len(short), pa.int64()),
             ],
-            ["key", "nid", "n"],
+            ["key", "nid", "n", "most"],
         )
 
 
-_KEYS = "key bigint, nid bigint, n bigint"
+_KEYS = "key bigint, nid bigint, n bigint, most bigint"
 
 
-def list_keys(docs: DataFrame, nodes: DataFrame, frequent: np.ndarray, from_size: int, text: str, key: str) -> DataFrame:
-    """All inverted lists as rows of ``key, nid, n``."""
+def list_keys(
+    docs: DataFrame, nodes: DataFrame, frequent: np.ndarray, from_size: int, text: str, key: str
+) -> DataFrame:
+    """The inverted lists with more than one member, as rows of ``key, nid, n, most``."""
 
     def of_sketches(batches):
         for batch in batches:
@@ -241,13 +250,31 @@ def list_keys(docs: DataFrame, nodes: DataFrame, frequent: np.ndarray, from_size
             rows = zip(batch.column("nid").to_pylist(), elements, strict=True)
             yield from _key_batches(((i, len(s), s, True) for i, s in rows), frequent, from_size)
 
-    first = written(
-        nodes.select("nid", "n", "sketch").mapInArrow(of_sketches, _KEYS), "join-keys"
+    def elements_of(batches):
+        for batch in batches:
+            flat = b"".join(batch.column("elements").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(flat, np.int64))], ["element"])
+
+    def first_keys():
+        # Keys are cheap to make again from the nodes, so they are not written.
+        return nodes.select("nid", "n", "sketch").mapInArrow(of_sketches, _KEYS)
+
+    # Sets whose smallest hashes are mostly frequent: their order needs the whole set. As they are
+    # near copies of each other, or full of common passages, their other elements are counted too.
+    short = written(first_keys().where("key IS NULL").select("nid"), "join-short")
+    sets = written(whole_sets(docs, nodes, short, key, text), "join-short-sets")
+    counted = sets.mapInArrow(elements_of, "element bigint").groupBy("element").count()
+    counted = written(counted.where(F.col("count") > FREQUENT), "join-short-counts")
+    # From here on the order is fixed for all sets.
+    frequent = np.union1d(frequent, most_frequent(counted))
+    more = written(
+        first_keys().where("key IS NULL").select("nid").join(short, "nid", "left_anti"), "join-more"
     )
-    # Sets whose smallest hashes are mostly frequent: their order needs the whole set.
-    short = written(first.where("key IS NULL").select("nid"), "join-short")
-    rest = whole_sets(docs, nodes, short, key, text).mapInArrow(of_sets, _KEYS)
-    return written(first.where("key IS NOT NULL").unionByName(rest), "join-lists")
+    sets = sets.unionByName(written(whole_sets(docs, nodes, more, key, text), "join-more-sets"))
+    every = first_keys().where("key IS NOT NULL").unionByName(sets.mapInArrow(of_sets, _KEYS))
+    # Most keys are found in one set only. Count keys alone, then keep the rows of the others.
+    shared = written(every.groupBy("key").count().where("count > 1").select("key"), "join-shared")
+    return written(every.join(small(shared, BROADCAST_ROWS), "key", "left_semi"), "join-lists")
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
@@ -278,19 +305,25 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, key: str, t
     return sets.dropDuplicates(["nid"])
 
 
-def _compatible(one: str, other: str):
-    return (10 * F.col(one) >= 9 * F.col(other)) & (10 * F.col(other) >= 9 * F.col(one))
+def _possible(n: str, most: str, other_n: str, other_most: str):
+    """Whether sets may reach the threshold if this key holds the first elements they share.
+
+    A pair that reaches it passes in the list of its first shared elements, so none is lost.
+    """
+    return 19 * F.least(most, other_most) >= 9 * (F.col(n) + F.col(other_n))
 
 
 def first_pairs(lists: DataFrame) -> DataFrame:
-    """Every member of a list with the list's smallest set."""
+    """Every member of a list with the one that may share most: the least edited of its copies."""
+    share = F.col("most") / F.col("n")
     centers = lists.groupBy("key").agg(
-        F.count("nid").alias("members"), F.min(F.struct("n", "nid")).alias("center")
+        F.max(F.struct(share.alias("share"), "n", "nid", "most")).alias("center")
     )
-    centers = written(centers.where("members > 1").drop("members"), "join-centers")
+    centers = written(centers, "join-centers")
     return (
         lists.join(small(centers, BROADCAST_ROWS), "key")
-        .where((F.col("nid") != F.col("center.nid")) & (10 * F.col("center.n") >= 9 * F.col("n")))
+        .where(F.col("nid") != F.col("center.nid"))
+        .where(_possible("n", "most", "center.n", "center.most"))
         .select(F.least("nid", "center.nid").alias("a"), F.greatest("nid", "center.nid").alias("b"))
         .distinct()
     )
@@ -301,25 +334,30 @@ def open_pairs(lists: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFra
     members = lists.join(small(labels, BROADCAST_ROWS), "nid", "left").withColumn(
         "comp", F.coalesce("comp", "nid")
     )
+    share = F.col("most") / F.col("n")
     mixed = (
         members.groupBy("key")
         .agg(
             F.min("comp").alias("low"),
             F.max("comp").alias("high"),
-            F.min_by("comp", F.struct("n", "nid")).alias("main"),
+            F.max(F.struct(share.alias("share"), "n", "nid", "comp")).alias("center"),
         )
         .where("low < high")
-        .select("key", "main")
+        .select("key", F.col("center.comp").alias("main"))
     )
     mixed = written(mixed, "join-mixed")
     rows = written(members.join(small(mixed, BROADCAST_ROWS), "key"), "join-members")
     # Of two components in a list, one at least is not the main one.
     aside = rows.where("comp != main").select(
-        "key", F.col("nid").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc")
+        "key",
+        F.col("nid").alias("x"),
+        F.col("n").alias("xn"),
+        F.col("most").alias("xm"),
+        F.col("comp").alias("xc"),
     )
     pairs = (
         aside.join(rows, "key")
-        .where((F.col("xc") != F.col("comp")) & _compatible("xn", "n"))
+        .where((F.col("xc") != F.col("comp")) & _possible("xn", "xm", "n", "most"))
         .select(F.least("x", "nid").alias("a"), F.greatest("x", "nid").alias("b"))
         .distinct()
     )
@@ -413,7 +451,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def linked_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: ``doc_id``, ``mark`` (digest of the text), ``n_shingles``, ``component_id``.
+    """Per document: ``doc_id``, ``n_shingles``, ``component_id``; also ``mark`` (digest of the
+    text) and ``group`` (digest that names the group even where ids repeat).
 
     Two documents link at a Jaccard similarity of 0.9 or more; the component is the smallest id
     reachable by links. Documents without words (null, empty or blank texts) have no shingles and
@@ -429,21 +468,25 @@ def linked_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     labels = written(components(found), "join-labels")
     more = links(docs, nodes, open_pairs(lists, labels, tried), key, text)
     labels = written(components(found.unionByName(more)), "join-groups")
-    # The smallest id over all nodes of a component, then over all documents of a node.
+    # The smallest id over all nodes of a component; its smallest digest names the group.
     comps = nodes.select("nid", "node", "rep").join(labels, "nid", "left").select(
         "node", "rep", F.coalesce("comp", "nid").alias("comp")
     )
-    least = comps.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    large_sets = comps.join(least, "comp").select("node", "component_id")
+    least = comps.groupBy("comp").agg(
+        F.min("rep").alias("component_id"), F.min("node").alias("group")
+    )
+    large_sets = comps.join(least, "comp").select("node", "component_id", "group")
     small_sets = (
         sets.where((F.col("n") > 0) & (F.col("n") < LEAST))
         .groupBy("node")
         .agg(F.min("doc_id").alias("component_id"))
+        .withColumn("group", F.col("node"))
     )
     groups = written(large_sets.unionByName(small_sets), "join-components")
     return sets.drop("sketch").join(small(groups, BROADCAST_ROWS), "node", "left").select(
         "doc_id",
         "mark",
+        "group",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
@@ -456,17 +499,16 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """
     groups = written(linked_groups(docs, key, text), "join-docs")
     worded = groups.where("n_shingles > 0")
-    # The kept row of a component: its smallest id and, should that repeat, the smallest digest.
+    # The kept row of a group: its smallest id and, should that repeat, the smallest digest.
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
-    kept = worded.groupBy("component_id").agg(F.min(order).alias("best"), F.count("mark").alias("rows"))
-    kept = written(kept, "join-kept")
-    crowded = kept.where("rows > 1").select(
-        F.col("component_id").alias("comp"), F.col("best.doc_id").alias("best_id"), "best.mark"
-    ).withColumnRenamed("mark", "best_mark")
-    ruled = worded.join(
-        small(written(crowded, "join-crowded"), BROADCAST_ROWS),
-        F.col("component_id").eqNullSafe(F.col("comp")),
+    kept = worded.groupBy("group").agg(F.min(order).alias("best"), F.count("mark").alias("rows"))
+    crowded = written(
+        kept.where("rows > 1").select(
+            "group", F.col("best.doc_id").alias("best_id"), F.col("best.mark").alias("best_mark")
+        ),
+        "join-crowded",
     )
+    ruled = worded.join(small(crowded, BROADCAST_ROWS), "group")
     is_best = F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("mark") == F.col("best_mark"))
     gone = written(ruled.where(~is_best).select("doc_id", "mark").distinct(), "join-gone")
     repeated = written(
