@@ -16,6 +16,7 @@ are exact. Every pair passes an exact bound on its smallest hashes before whole
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +27,12 @@ from pyspark.sql import types as T
 
 from nearfield.llm.common import own_name, small, written
 
-SHINGLE = 3
 # Elements of more sets than this come last in the order; at most so many are listed. Any list is
 # correct, a better one makes shorter inverted lists.
 FREQUENT = 96
 FREQUENT_ELEMENTS = 262_144
 # Rows of a helper table that are still sent to every executor.
 BROADCAST_ROWS = 1_000_000
-# Sets below this size reach 0.9 with equal sets only.
-LEAST = 9
 # What comparing one candidate costs, in keys written.
 PAIR_COST = 1.0
 
@@ -49,28 +47,64 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-def shingles(text: bytes) -> np.ndarray:
+@dataclass(frozen=True)
+class Law:
+    """When two documents link: words of a shingle, and the least Jaccard similarity in percent."""
+
+    words: int = 3
+    percent: int = 90
+
+    def __post_init__(self):
+        # From 60 on, sets that can link share two elements at least, which a key of two needs.
+        if self.words < 1 or not 60 <= self.percent <= 99:
+            raise ValueError(f"no such law: {self}")
+
+    @property
+    def least(self) -> int:
+        """Sets below this size link with equal sets only."""
+        return -(-self.percent // (100 - self.percent))
+
+    def least_shared(self, n: int | np.ndarray) -> int | np.ndarray:
+        """Elements a set of n must share with any partner, rounded up."""
+        return (self.percent * n + 99) // 100
+
+    def prefix_size(self, n: int | np.ndarray) -> int | np.ndarray:
+        return n - self.least_shared(n) + 1
+
+    def sketch_size(self, n: int) -> int:
+        return min(n, self.prefix_size(n) + 17)
+
+    def reaches(self, shared, sizes):
+        """Whether sets of ``sizes`` elements in sum link if they share ``shared``."""
+        return (100 + self.percent) * shared >= self.percent * sizes
+
+
+# The law of the query op6; the pipeline's stage has its own.
+EXACT = Law()
+
+
+def shingles(text: bytes, width: int = EXACT.words) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles; a shorter word sequence is one shingle."""
     words = text.translate(_LOWER).split()  # bytes split at space and five controls only
     if not words:
         return np.zeros(0, _U)
-    if len(words) < SHINGLE:
+    if len(words) < width:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], _U)
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), _U, len(words))
-    return np.unique(_mix(_mix(_mix(h[:-2]) + h[1:-1]) + h[2:]))
-
+    count = len(h) - width + 1
+    found = _mix(h[:count])
+    for k in range(1, width):
+        found = _mix(found + h[k : k + count])
+    return np.unique(found)
 
-def least_shared(n: int | np.ndarray) -> int | np.ndarray:
-    """Elements a set of n must share with any partner: ceil(0.9 n)."""
-    return (9 * n + 9) // 10
 
+def least_shared(n: int | np.ndarray, law: Law = EXACT) -> int | np.ndarray:
+    """Elements a set of n must share with any partner: ceil(0.9 n) for op6."""
+    return law.least_shared(n)
 
-def prefix_size(n: int | np.ndarray) -> int | np.ndarray:
-    return n - least_shared(n) + 1
 
-
-def _sketch_size(n: int) -> int:
-    return min(n, prefix_size(n) + 17)
+def prefix_size(n: int | np.ndarray, law: Law = EXACT) -> int | np.ndarray:
+    return law.prefix_size(n)
 
 
 def _bodies(column: pa.Array) -> list[bytes]:
@@ -94,22 +128,26 @@ def _node_of(elements: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(elements.tobytes())
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [shingles(body) for body in _bodies(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"),
-                batch.column("mark"),
-                pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([_node_of(s) if len(s) else None for s in sets], pa.binary()),
-                _longs([s[: _sketch_size(len(s))] if len(s) >= LEAST else s[:0] for s in sets]),
-            ],
-            ["doc_id", "mark", "n", "node", "sketch"],
-        )
+def _describe(law: Law):
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(body, law.words) for body in _bodies(batch.column("text"))]
+            heads = [s[: law.sketch_size(len(s))] if len(s) >= law.least else s[:0] for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    batch.column("mark"),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([_node_of(s) if len(s) else None for s in sets], pa.binary()),
+                    _longs(heads),
+                ],
+                ["doc_id", "mark", "n", "node", "sketch"],
+            )
+
+    return describe
 
 
-def described(docs: DataFrame, key: str, text: str) -> DataFrame:
+def described(docs: DataFrame, key: str, text: str, law: Law = EXACT) -> DataFrame:
     """Per document: size of its set, digest of the set, and its smallest hashes."""
     rows = docs.select(
         F.col(key).alias("doc_id"),
@@ -118,14 +156,14 @@ def described(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(
-        _describe, f"doc_id {kind}, mark bigint, n bigint, node binary, sketch array<bigint>"
+        _describe(law), f"doc_id {kind}, mark bigint, n bigint, node binary, sketch array<bigint>"
     )
 
 
-def distinct_sets(sets: DataFrame) -> DataFrame:
+def distinct_sets(sets: DataFrame, law: Law = EXACT) -> DataFrame:
     """One row per distinct set that can have links, with a number of its own."""
     merged = (
-        sets.where(F.col("n") >= LEAST)
+        sets.where(F.col("n") >= law.least)
         .groupBy("node")
         .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     )
@@ -138,7 +176,7 @@ def element_counts(nodes: DataFrame) -> DataFrame:
     return written(counted.where("count > 1"), "join-counts")
 
 
-def boundary(counts: DataFrame) -> tuple[np.ndarray, int]:
+def boundary(counts: DataFrame, law: Law = EXACT) -> tuple[np.ndarray, int]:
     """The frequent elements, and the size from which lists are scanned.
 
     An element of a prefix of p costs one key and as many pairs as its list is long; a subset costs
@@ -150,8 +188,8 @@ def boundary(counts: DataFrame) -> tuple[np.ndarray, int]:
     row = rest.first()
     companions = (row["pairs"] or 0) / max(1, row["all"] or 0)
     most = 2 * (1 + PAIR_COST * companions) - 1
-    # prefix_size(n) is about n / 10 + 1
-    return most_frequent(counts), max(LEAST + 1, int(10 * most))
+    # prefix_size(n) is about n / 10 + 1 at 90 percent
+    return most_frequent(counts), max(law.least + 1, int(100 * most) // (100 - law.percent))
 
 
 def most_frequent(counts: DataFrame) -> np.ndarray:
@@ -160,10 +198,12 @@ def most_frequent(counts: DataFrame) -> np.ndarray:
     return np.sort(listed.to_numpy().view(_U))
 
 
-def prefix_keys(elements: np.ndarray, n: int, from_size: int) -> tuple[np.ndarray, np.ndarray]:
+def prefix_keys(
+    elements: np.ndarray, n: int, from_size: int, law: Law = EXACT
+) -> tuple[np.ndarray, np.ndarray]:
     """Keys of a set whose first elements in the common order are given, and for each key the
     most that the set can share with another if the key's elements are the first they share."""
-    p = int(prefix_size(n))
+    p = int(law.prefix_size(n))
     keys, most = [], []
     if n < from_size:
         i, j = np.triu_indices(p + 1, 1)
@@ -171,7 +211,7 @@ def prefix_keys(elements: np.ndarray, n: int, from_size: int) -> tuple[np.ndarra
         low, high = np.minimum(head[i], head[j]), np.maximum(head[i], head[j])
         keys.append(_mix(_mix(low) + high))
         most.append(n - j + 1)
-    if 10 * n >= 9 * from_size:
+    if 100 * n >= law.percent * from_size:
         keys.append(_mix(elements[:p] + _U(1)))
         most.append(n - np.arange(p))
     return np.concatenate(keys), np.concatenate(most)
@@ -190,16 +230,16 @@ def _in_order(elements: np.ndarray, frequent: np.ndarray, whole: bool, need: int
     return np.concatenate([rare, elements[often]])[:need] if whole else None
 
 
-def _key_batches(rows, frequent, from_size):
+def _key_batches(rows, frequent, from_size, law):
     """Key rows of (nid, n, elements, whole) rows; sets seen too little of get one null key."""
     nids, sizes, parts, mosts = [], [], [], []
     short = []
     for nid, n, elements, whole in rows:
-        head = _in_order(elements, frequent, whole, int(prefix_size(n)) + 1)
+        head = _in_order(elements, frequent, whole, int(law.prefix_size(n)) + 1)
         if head is None:
             short.append((nid, n))
             continue
-        keys, most = prefix_keys(head, n, from_size)
+        keys, most = prefix_keys(head, n, from_size, law)
         parts.append(keys)
         mosts.append(most)
         nids.append(np.full(len(keys), nid, np.int64))
@@ -230,7 +270,13 @@ _KEYS = "key bigint, nid bigint, n bigint, most bigint"
 
 
 def list_keys(
-    docs: DataFrame, nodes: DataFrame, frequent: np.ndarray, from_size: int, text: str, key: str
+    docs: DataFrame,
+    nodes: DataFrame,
+    frequent: np.ndarray,
+    from_size: int,
+    text: str,
+    key: str,
+    law: Law = EXACT,
 ) -> DataFrame:
     """The inverted lists with more than one member, as rows of ``key, nid, n, most``."""
 
@@ -241,14 +287,16 @@ def list_keys(
                 batch.column("nid").to_pylist(), sizes, _unlisted(batch.column("sketch")), strict=True
             )
             yield from _key_batches(
-                ((i, n, s, len(s) == n) for i, n, s in rows), frequent, from_size
+                ((i, n, s, len(s) == n) for i, n, s in rows), frequent, from_size, law
             )
 
     def of_sets(batches):
         for batch in batches:
             elements = [np.frombuffer(b, _U) for b in batch.column("elements").to_pylist()]
             rows = zip(batch.column("nid").to_pylist(), elements, strict=True)
-            yield from _key_batches(((i, len(s), s, True) for i, s in rows), frequent, from_size)
+            yield from _key_batches(
+                ((i, len(s), s, True) for i, s in rows), frequent, from_size, law
+            )
 
     def elements_of(batches):
         for batch in batches:
@@ -262,7 +310,7 @@ def list_keys(
     # Sets whose smallest hashes are mostly frequent: their order needs the whole set. As they are
     # near copies of each other, or full of common passages, their other elements are counted too.
     short = written(first_keys().where("key IS NULL").select("nid"), "join-short")
-    sets = written(whole_sets(docs, nodes, short, key, text), "join-short-sets")
+    sets = written(whole_sets(docs, nodes, short, key, text, law), "join-short-sets")
     counted = sets.mapInArrow(elements_of, "element bigint").groupBy("element").count()
     counted = written(counted.where(F.col("count") > FREQUENT), "join-short-counts")
     # From here on the order is fixed for all sets.
@@ -270,14 +318,17 @@ def list_keys(
     more = written(
         first_keys().where("key IS NULL").select("nid").join(short, "nid", "left_anti"), "join-more"
     )
-    sets = sets.unionByName(written(whole_sets(docs, nodes, more, key, text), "join-more-sets"))
+    more_sets = written(whole_sets(docs, nodes, more, key, text, law), "join-more-sets")
+    sets = sets.unionByName(more_sets)
     every = first_keys().where("key IS NOT NULL").unionByName(sets.mapInArrow(of_sets, _KEYS))
     # Most keys are found in one set only. Count keys alone, then keep the rows of the others.
     shared = written(every.groupBy("key").count().where("count > 1").select("key"), "join-shared")
     return written(every.join(small(shared, BROADCAST_ROWS), "key", "left_semi"), "join-lists")
 
 
-def whole_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+def whole_sets(
+    docs: DataFrame, nodes: DataFrame, wanted: DataFrame, key: str, text: str, law: Law = EXACT
+) -> DataFrame:
     """``nid, elements`` of the wanted nodes, read from the texts of their representatives."""
 
     def elements(batches):
@@ -285,7 +336,7 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, key: str, t
             kept = []
             columns = (batch.column(c).to_pylist() for c in ("nid", "node"))
             for nid, node, body in zip(*columns, _bodies(batch.column("text")), strict=True):
-                found = shingles(body)
+                found = shingles(body, law.words)
                 # Rows that share an id need not share a text.
                 if len(found) and _node_of(found) == node:
                     kept.append((nid, found.tobytes()))
@@ -305,15 +356,15 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, key: str, t
     return sets.dropDuplicates(["nid"])
 
 
-def _possible(n: str, most: str, other_n: str, other_most: str):
+def _possible(n: str, most: str, other_n: str, other_most: str, law: Law):
     """Whether sets may reach the threshold if this key holds the first elements they share.
 
     A pair that reaches it passes in the list of its first shared elements, so none is lost.
     """
-    return 19 * F.least(most, other_most) >= 9 * (F.col(n) + F.col(other_n))
+    return law.reaches(F.least(most, other_most), F.col(n) + F.col(other_n))
 
 
-def first_pairs(lists: DataFrame) -> DataFrame:
+def first_pairs(lists: DataFrame, law: Law = EXACT) -> DataFrame:
     """Every member of a list with the one that may share most: the least edited of its copies."""
     share = F.col("most") / F.col("n")
     centers = lists.groupBy("key").agg(
@@ -323,13 +374,15 @@ def first_pairs(lists: DataFrame) -> DataFrame:
     return (
         lists.join(small(centers, BROADCAST_ROWS), "key")
         .where(F.col("nid") != F.col("center.nid"))
-        .where(_possible("n", "most", "center.n", "center.most"))
+        .where(_possible("n", "most", "center.n", "center.most", law))
         .select(F.least("nid", "center.nid").alias("a"), F.greatest("nid", "center.nid").alias("b"))
         .distinct()
     )
 
 
-def open_pairs(lists: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
+def open_pairs(
+    lists: DataFrame, labels: DataFrame, tried: DataFrame, law: Law = EXACT
+) -> DataFrame:
     """Pairs of a list that are in different components, but for those already compared."""
     members = lists.join(small(labels, BROADCAST_ROWS), "nid", "left").withColumn(
         "comp", F.coalesce("comp", "nid")
@@ -357,56 +410,64 @@ def open_pairs(lists: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFra
     )
     pairs = (
         aside.join(rows, "key")
-        .where((F.col("xc") != F.col("comp")) & _possible("xn", "xm", "n", "most"))
+        .where((F.col("xc") != F.col("comp")) & _possible("xn", "xm", "n", "most", law))
         .select(F.least("x", "nid").alias("a"), F.greatest("x", "nid").alias("b"))
         .distinct()
     )
     return pairs.join(tried, ["a", "b"], "left_anti")
 
 
-def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose smallest hashes still allow the threshold: an exact upper bound."""
-    for batch in batches:
-        sizes = zip(batch.column("an").to_pylist(), batch.column("bn").to_pylist(), strict=True)
-        sketches = zip(_unlisted(batch.column("as")), _unlisted(batch.column("bs")), strict=True)
-        keep = []
-        for (an, bn), (one, two) in zip(sizes, sketches, strict=True):
-            # Up to the smaller of the two last hashes both sets are known completely.
-            last = min(one[-1], two[-1])
-            one, two = one[one <= last], two[two <= last]
-            shared = len(np.intersect1d(one, two, assume_unique=True))
-            most = shared + min(an - len(one), bn - len(two))
-            keep.append(19 * most >= 9 * (an + bn))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        pairs = zip(batch.column("ae").to_pylist(), batch.column("be").to_pylist(), strict=True)
-        keep = []
-        for one, two in pairs:
-            one, two = np.frombuffer(one, _U), np.frombuffer(two, _U)
-            shared = len(np.intersect1d(one, two, assume_unique=True))
-            keep.append(100 * shared >= 90 * (len(one) + len(two) - shared))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
+def _promising(law: Law):
+    def promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs whose smallest hashes still allow the threshold: an exact upper bound."""
+        for batch in batches:
+            sizes = zip(batch.column("an").to_pylist(), batch.column("bn").to_pylist(), strict=True)
+            sketches = zip(_unlisted(batch.column("as")), _unlisted(batch.column("bs")), strict=True)
+            keep = []
+            for (an, bn), (one, two) in zip(sizes, sketches, strict=True):
+                # Up to the smaller of the two last hashes both sets are known completely.
+                last = min(one[-1], two[-1])
+                one, two = one[one <= last], two[two <= last]
+                shared = len(np.intersect1d(one, two, assume_unique=True))
+                most = shared + min(an - len(one), bn - len(two))
+                keep.append(law.reaches(most, an + bn))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return promising
+
+
+def _linked(law: Law):
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column("ae").to_pylist(), batch.column("be").to_pylist(), strict=True)
+            keep = []
+            for one, two in pairs:
+                one, two = np.frombuffer(one, _U), np.frombuffer(two, _U)
+                shared = len(np.intersect1d(one, two, assume_unique=True))
+                keep.append(law.reaches(shared, len(one) + len(two)))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return linked
+
+
+def links(
+    docs: DataFrame, nodes: DataFrame, pairs: DataFrame, key: str, text: str, law: Law = EXACT
+) -> DataFrame:
     """The pairs that reach the threshold, compared on their whole sets."""
     one = nodes.select(F.col("nid").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("as"))
     two = nodes.select(F.col("nid").alias("b"), F.col("n").alias("bn"), F.col("sketch").alias("bs"))
     likely = written(
-        pairs.join(one, "a").join(two, "b").mapInArrow(_promising, "a bigint, b bigint"),
+        pairs.join(one, "a").join(two, "b").mapInArrow(_promising(law), "a bigint, b bigint"),
         "join-likely",
     )
     wanted = written(
         likely.select(F.explode(F.array("a", "b")).alias("nid")).distinct(), "join-compared"
     )
-    sets = written(whole_sets(docs, nodes, wanted, key, text), "join-sets")
+    sets = written(whole_sets(docs, nodes, wanted, key, text, law), "join-sets")
     left = sets.select(F.col("nid").alias("a"), F.col("elements").alias("ae"))
     right = sets.select(F.col("nid").alias("b"), F.col("elements").alias("be"))
     both = likely.join(left, "a").join(right, "b")
-    return written(both.mapInArrow(_linked, "a bigint, b bigint"), "join-links")
+    return written(both.mapInArrow(_linked(law), "a bigint, b bigint"), "join-links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -450,23 +511,25 @@ def components(edges: DataFrame) -> DataFrame:
         )
 
 
-def linked_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def linked_groups(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", law: Law = EXACT
+) -> DataFrame:
     """Per document: ``doc_id``, ``n_shingles``, ``component_id``; also ``mark`` (digest of the
     text) and ``group`` (digest that names the group even where ids repeat).
 
-    Two documents link at a Jaccard similarity of 0.9 or more; the component is the smallest id
+    Two documents link as ``law`` says (op6: three words, 0.9 or more); the component is the smallest id
     reachable by links. Documents without words (null, empty or blank texts) have no shingles and
     are their own component. Repeated rows stay, a null id is the component only of documents that
     reach no other id, and an empty table gives no rows.
     """
-    sets = written(described(docs, key, text), "join-described")
-    nodes = distinct_sets(sets)
-    frequent, from_size = boundary(element_counts(nodes))
-    lists = list_keys(docs, nodes, frequent, from_size, text, key)
-    tried = written(first_pairs(lists), "join-tried")
-    found = links(docs, nodes, tried, key, text)
+    sets = written(described(docs, key, text, law), "join-described")
+    nodes = distinct_sets(sets, law)
+    frequent, from_size = boundary(element_counts(nodes), law)
+    lists = list_keys(docs, nodes, frequent, from_size, text, key, law)
+    tried = written(first_pairs(lists, law), "join-tried")
+    found = links(docs, nodes, tried, key, text, law)
     labels = written(components(found), "join-labels")
-    more = links(docs, nodes, open_pairs(lists, labels, tried), key, text)
+    more = links(docs, nodes, open_pairs(lists, labels, tried, law), key, text, law)
     labels = written(components(found.unionByName(more)), "join-groups")
     # The smallest id over all nodes of a component; its smallest digest names the group.
     comps = nodes.select("nid", "node", "rep").join(labels, "nid", "left").select(
@@ -477,7 +540,7 @@ def linked_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     )
     large_sets = comps.join(least, "comp").select("node", "component_id", "group")
     small_sets = (
-        sets.where((F.col("n") > 0) & (F.col("n") < LEAST))
+        sets.where((F.col("n") > 0) & (F.col("n") < law.least))
         .groupBy("node")
         .agg(F.min("doc_id").alias("component_id"))
         .withColumn("group", F.col("node"))
@@ -492,12 +555,14 @@ def linked_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     )
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", law: Law = EXACT
+) -> DataFrame:
     """One row of each group of linked documents: its smallest id, with all columns as they are.
 
     Every document without words stays. Of rows that repeat the kept id and its text, one stays.
     """
-    groups = written(linked_groups(docs, key, text), "join-docs")
+    groups = written(linked_groups(docs, key, text, law), "join-docs")
     worded = groups.where("n_shingles > 0")
     # The kept row of a group: its smallest id and, should that repeat, the smallest digest.
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
