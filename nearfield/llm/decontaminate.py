@@ -2,23 +2,29 @@
 
 Texts are canonicalised: numbers, names and units become typed placeholders, so a question with
 other numbers or names in it has the same template. Windows of the benchmark's templates are joined
-by hash with those of the documents. A match stands if the slots are consistent: along one
-alignment every value of the benchmark answers to one value of the document, and the other way
-round. DataFrame functions only.
+by hash with those of the documents. Matched windows of neighbouring alignments count together, so
+an edited copy is found, and a verbatim run counts whatever the item's length. Slots are consistent
+if along one alignment every value of the benchmark answers to one value of the document; where one
+does not, the windows without its slots are left. DataFrame functions only.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from nearfield.llm.common import own_name, small, written
 
 # Tokens of a template window; shorter items are one window, down to LEAST tokens.
 WINDOW = 8
 LEAST = 5
-# Share of an item's windows that must match along one alignment.
+# Share of an item's windows that must match along neighbouring alignments.
 SHARE = 0.3
+# The same where windows with slots of contradicted alignments are counted too.
+CONTRADICTED_SHARE = 0.5
+# Tokens in a row that count as a leak of any item, if their slots hold the item's own values.
+RUN = 13
 # Benchmark windows that are still sent to every executor (about 100 bytes each).
 BROADCAST_WINDOWS = 400_000
 BROADCAST_TEXTS = 1_000_000
@@ -126,8 +132,11 @@ def contaminated(
     """Pairs of a document and a benchmark item that it contains.
 
     Result, one row per pair: ``doc_id``, ``mark`` (digest of id and text), ``item_id``,
-    ``matched`` and ``windows`` (those of the item that match along the best alignment, and all it
-    has). Null and empty texts on either side match nothing; items below ``LEAST`` tokens, or
+    ``matched`` and ``windows`` (those of the item that match along the best neighbourhood of
+    alignments, and all it has). Alignments are neighbours if they are less than the item's tokens
+    apart. A neighbourhood counts from ``share`` of the windows on, from ``CONTRADICTED_SHARE`` if
+    some have slots of an alignment in which another slot is contradicted, or with ``RUN`` tokens
+    in a row as the item has them. Null and empty texts on either side match nothing; items below ``LEAST`` tokens, or
     without a window that is half literal, cannot be told from ordinary text and match nothing;
     repeated rows give one row; equal items match alike; an empty side gives no rows.
     """
@@ -150,25 +159,67 @@ def contaminated(
         )
         hits = part if hits is None else hits.unionByName(part)
     # A window that an item repeats matches at several shifts; an alignment is one shift.
-    lines = hits.groupBy("doc_id", "mark", "item_id", "item_mark", "shift").agg(
-        F.collect_set("at").alias("ats")
-    ).withColumn("matched", F.size("ats"))
+    pair = ["doc_id", "mark", "item_id", "item_mark"]
+    lines = hits.groupBy(*pair, "shift").agg(F.array_sort(F.collect_set("at")).alias("ats"))
     sizes = windows.groupBy("item_id", "item_mark").agg(
         F.count_distinct("at").alias("windows"),
         F.first("width").alias("width"),
         F.first("tokens").alias("tokens"),
         F.first("values").alias("values"),
     )
-    lines = lines.join(
+    # What cannot count with all its windows, wherever they are, goes before slots are looked at.
+    grouped = lines.groupBy(*pair).agg(F.collect_list(F.struct("shift", "ats")).alias("lines"))
+    able = grouped.join(
         small(written(sizes, "bench-sizes"), BROADCAST_TEXTS), ["item_id", "item_mark"]
     ).where(
-        F.col("matched") >= F.col("windows") * share
+        (F.size(F.array_distinct(F.flatten("lines.ats"))) >= F.col("windows") * share)
+        | F.exists("lines", lambda line: _in_a_row(line["ats"], F.col("width")))
     )
+    lines = able.select(
+        *pair, "windows", "width", "tokens", "values", F.explode("lines").alias("line")
+    ).select("*", "line.shift", "line.ats")
     lines = written(
-        lines.select("doc_id", "mark", "item_id", "shift", "matched", "windows", slots().alias("slots")),
+        lines.select(
+            *pair,
+            "shift",
+            "ats",
+            "windows",
+            "width",
+            F.size("tokens").alias("length"),
+            slots().alias("slots"),
+        ),
         "bench-lines",
     )
-    return _consistent(docs, lines, key, text)
+    held = _held(docs, lines, key, text)
+    # Neighbouring alignments are those of one stretch of the document.
+    order = Window.partitionBy(*pair).orderBy("shift")
+    far = F.coalesce(F.col("shift") - F.lag("shift").over(order) >= F.col("length"), F.lit(False))
+    stretches = (
+        held.withColumn("far", far.cast("int"))
+        .withColumn("stretch", F.sum("far").over(order))
+        .groupBy(*pair, "stretch")
+        .agg(
+            *[F.size(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("sure", "left")],
+            F.max("run").alias("run"),
+            F.first("windows").alias("windows"),
+        )
+    )
+    return (
+        stretches.where(
+            (F.col("sure") >= F.col("windows") * share)
+            | (F.col("left") >= F.col("windows") * F.greatest(F.lit(share), F.lit(CONTRADICTED_SHARE)))
+            | F.col("run")
+        )
+        .groupBy("doc_id", "mark", "item_id")
+        .agg(F.max("left").alias("matched"), F.max("windows").alias("windows"))
+    )
+
+
+def _in_a_row(ats: Column, width: Column) -> Column:
+    """Whether sorted distinct places hold ``RUN`` tokens in a row."""
+    more = F.lit(RUN) - width
+    starts = F.sequence(F.lit(0), F.greatest(F.size(ats) - more - 1, F.lit(0)))
+    return (F.size(ats) > more) & F.exists(starts, lambda i: F.get(ats, i + more) - F.get(ats, i) == more)
 
 
 def slots() -> Column:
@@ -186,9 +237,16 @@ def slots() -> Column:
     )
 
 
-def _consistent(docs: DataFrame, lines: DataFrame, key: str, text: str) -> DataFrame:
-    """Drop alignments whose slots pair one value with two."""
-    plain = lines.where(F.size("slots") == 0)
+def _held(docs: DataFrame, lines: DataFrame, key: str, text: str) -> DataFrame:
+    """The windows of each alignment that its slots allow.
+
+    ``left`` has no window with a slot whose value answers to two values of the document; ``sure``
+    has of such an alignment only the windows without slots, else all; ``run`` says whether ``RUN``
+    tokens in a row are as the item has them.
+    """
+    plain = lines.where(F.size("slots") == 0).select(
+        "*", F.col("ats").alias("sure"), F.col("ats").alias("left"), F.col("ats").alias("same")
+    )
     slotted = lines.where(F.size("slots") > 0)
     marks = written(slotted.select("mark").distinct(), "bench-marks")
     texts = (
@@ -201,28 +259,56 @@ def _consistent(docs: DataFrame, lines: DataFrame, key: str, text: str) -> DataF
     pairs = F.transform(
         "slots",
         lambda s: F.struct(
+            s["at"].alias("at"),
             s["kind"].alias("kind"),
             s["value"].alias("theirs"),
             F.get(F.col("own"), s["at"] + F.col("shift")).alias("ours"),
         ),
     )
-    checked = slotted.join(texts, "mark").withColumn("pairs", F.array_distinct(pairs))
-    held = checked.where(
-        (
-            F.size("pairs")
-            == F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p["theirs"]))))
+
+    def same_value(one: Column, two: Column) -> Column:
+        return (one["kind"] == two["kind"]) & (one["theirs"] == two["theirs"])
+
+    def same_answer(one: Column, two: Column) -> Column:
+        return (one["kind"] == two["kind"]) & (one["ours"] == two["ours"])
+
+    def outside(windows: str, places: str) -> Column:
+        """The windows that hold none of the places."""
+        return F.filter(
+            windows,
+            lambda a: ~F.exists(places, lambda s: (a <= s["at"]) & (s["at"] < a + F.col("width"))),
         )
-        & (
-            F.size("pairs")
-            == F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p["ours"]))))
+
+    checked = (
+        slotted.join(texts, "mark")
+        .withColumn("pairs", pairs)
+        .withColumn(
+            "answers",
+            F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p["theirs"], p["ours"]))),
+        )
+        .withColumn(
+            "torn",
+            F.filter(
+                "answers",
+                lambda one: F.size(
+                    F.filter("answers", lambda two: same_value(one, two) | same_answer(one, two))
+                )
+                > 1,
+            ),
         )
+        .withColumn(
+            "odd", F.filter("pairs", lambda p: F.exists("torn", lambda one: same_value(one, p)))
+        )
+        .withColumn("changed", F.filter("pairs", lambda p: ~p["theirs"].eqNullSafe(p["ours"])))
+        .where(F.size("odd") == 0)
+        .withColumn("left", F.col("ats"))
+        .withColumn("sure", F.col("ats"))
+        .withColumn("same", outside("left", "changed"))
     )
-    columns = ["doc_id", "mark", "item_id", "matched", "windows"]
     return (
-        plain.select(*columns)
-        .unionByName(held.select(*columns))
-        .groupBy("doc_id", "mark", "item_id")
-        .agg(F.max("matched").alias("matched"), F.max("windows").alias("windows"))
+        plain.unionByName(checked.select(*plain.columns))
+        .where(F.size("left") > 0)
+        .withColumn("run", _in_a_row(F.col("same"), F.col("width")))
     )
 
 
