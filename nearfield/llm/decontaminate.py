@@ -269,9 +269,6 @@ def _held(docs: DataFrame, lines: DataFrame, key: str, text: str) -> DataFrame:
     def same_value(one: Column, two: Column) -> Column:
         return (one["kind"] == two["kind"]) & (one["theirs"] == two["theirs"])
 
-    def same_answer(one: Column, two: Column) -> Column:
-        return (one["kind"] == two["kind"]) & (one["ours"] == two["ours"])
-
     def outside(windows: str, places: str) -> Column:
         """The windows that hold none of the places."""
         return F.filter(
@@ -290,19 +287,17 @@ def _held(docs: DataFrame, lines: DataFrame, key: str, text: str) -> DataFrame:
             "torn",
             F.filter(
                 "answers",
-                lambda one: F.size(
-                    F.filter("answers", lambda two: same_value(one, two) | same_answer(one, two))
-                )
-                > 1,
+                lambda one: F.size(F.filter("answers", lambda two: same_value(one, two))) > 1,
             ),
         )
         .withColumn(
             "odd", F.filter("pairs", lambda p: F.exists("torn", lambda one: same_value(one, p)))
         )
         .withColumn("changed", F.filter("pairs", lambda p: ~p["theirs"].eqNullSafe(p["ours"])))
-        .where(F.size("odd") == 0)
-        .withColumn("left", F.col("ats"))
-        .withColumn("sure", F.col("ats"))
+        .withColumn("left", outside("ats", "odd"))
+        .withColumn(
+            "sure", F.when(F.size("odd") == 0, F.col("ats")).otherwise(outside("ats", "slots"))
+        )
         .withColumn("same", outside("left", "changed"))
     )
     return (

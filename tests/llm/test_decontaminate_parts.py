@@ -1,4 +1,4 @@
-"""Leaks that are parts of an item or edited copies of it."""
+"""Leaks that are parts of an item, edited copies of it, or contradict one of its slots."""
 
 from __future__ import annotations
 
@@ -30,6 +30,9 @@ def test_parts_and_edits(make_docs, spark, prose):
         (1, about(" ".join(words[20:33]), 10)),  # 13 tokens in a row
         (2, about(" ".join(words[20:32]), 20)),  # 12 only
         (3, about(cut(12), 30)),  # shifts of 5 windows each
+        (4, about(two_numbers.replace("3", "4").replace("5", "4"), 40)),
+        (5, about(named.replace("Alice", "Carol", 1), 50)),
+        (6, about(numbered(5000, "Carol", "Alice"), 60)),  # other numbers, one name with two values
         (7, about("", 70)),
         (8, about(numbered(5000, "Carol", "Carol"), 80)),
         # Two parts too small alone, further apart than the item is long.
@@ -40,7 +43,7 @@ def test_parts_and_edits(make_docs, spark, prose):
         (r["doc_id"], r["item_id"]): (r["matched"], r["windows"])
         for r in decontaminate.contaminated(docs, benchmark).collect()
     }
-    assert set(found) == {(1, 0), (3, 0), (8, 3)}
+    assert set(found) == {(1, 0), (3, 0), (4, 1), (5, 2), (6, 3), (8, 3)}
     assert found[1, 0] == (6, 53) and found[3, 0] == (25, 53)
     assert found[8, 3][0] == found[8, 3][1]
     kept = decontaminate.without_benchmark(docs, benchmark)
