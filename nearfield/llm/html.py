@@ -31,6 +31,10 @@ TRAIN_PAGES = 300
 LAYOUTS = 3
 SPACE = 1 << 13
 STEPS = 250
+# The attribute by which pages made for training say what is content; no other page is asked.
+LABEL = "data-nearfield-label"
+# Python reads no number of more digits than 4,300; all from eight on are beyond the characters.
+_LONG_REFERENCE = re.compile("&#([0-9]{4000,})")
 
 # Elements of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -75,8 +79,9 @@ class Page:
 
 
 class _Builder(HTMLParser):
-    def __init__(self):
+    def __init__(self, labelled: bool):
         super().__init__(convert_charrefs=True)
+        self.labelled = labelled
         self.page = Page()
         self.open: list[int] = []
         self.silent = 0
@@ -93,7 +98,7 @@ class _Builder(HTMLParser):
             if name in ("class", "id", "role", "itemprop") and value:
                 apart = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()
                 found += re.findall(r"[a-z]+", apart)
-            elif name == "data-label":
+            elif self.labelled and name == LABEL and value in ("0", "1"):
                 label = int(value)
         page.words.append(found)
         page.labels.append(label)
@@ -156,9 +161,21 @@ class _Builder(HTMLParser):
             self.page.texts.append((self.open[-1], self.block, data))
 
 
-def parse(html: str) -> Page:
-    builder = _Builder()
-    builder.feed(html)
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:  # an unknown section is a comment up to the next ">"
+            return self.parse_bogus_comment(i, report)
+
+
+def _short_reference(match: re.Match) -> str:
+    return "&#" + (match[1].lstrip("0")[:8] or "0")
+
+
+def parse(html: str, labelled: bool = True) -> Page:
+    """Elements and texts of a page; labels only of a page that was made for training."""
+    builder = _Builder(labelled)
+    builder.feed(_LONG_REFERENCE.sub(_short_reference, html))
     builder.close()
     return builder.page
 
@@ -262,7 +279,7 @@ class Model:
 
 def main_text(html: str, model: Model) -> str:
     """Blocks of content in page order, white space inside them folded, joined by empty lines."""
-    page = parse(html)
+    page = parse(html, labelled=False)
     if not page.texts:
         return ""
     content = [p >= 0.5 for p in model.marginals(page)]
@@ -331,7 +348,7 @@ def _pieces(page: Page) -> tuple[list[str], list[str]]:
 
 
 def other_layout(content: list[str], other: list[str], elsewhere: list[str], draw: random.Random) -> str:
-    """The same article in another layout; ``data-label`` says what is content."""
+    """The same article in another layout; ``LABEL`` says what is content."""
     pick = draw.choice
 
     def some(low: int, high: int) -> str:
@@ -393,7 +410,7 @@ def other_layout(content: list[str], other: list[str], elsewhere: list[str], dra
                 inner += f"<{child}{own}>" + pick(["", f"<b>{some(1, 2)}</b> "])
                 inner += some(5, 60) if child == "p" else f"<p>{some(5, 80)}</p>"
                 inner += f"</{child}>"
-        return f'<{tag}{name} data-label="0">{inner}</{tag}>'
+        return f'<{tag}{name} {LABEL}="0">{inner}</{tag}>'
 
     def body_block(text: str, first: bool) -> str:
         words = escape(text)
@@ -437,11 +454,11 @@ def other_layout(content: list[str], other: list[str], elsewhere: list[str], dra
     )
     if tag == "div" and draw.random() < 0.3:
         name = ""
-    article = f'<{tag}{name} data-label="1">{"".join(blocks)}</{tag}>'
+    article = f'<{tag}{name} {LABEL}="1">{"".join(blocks)}</{tag}>'
     if draw.random() < 0.4:
         article = f'<div class="{pick(["container", "wrapper", "row", "page", "layout"])}">{article}</div>'
     if draw.random() < 0.1:  # a bare page
-        return f'<html><body data-label="1">{"".join(blocks)}</body></html>'
+        return f'<html><body {LABEL}="1">{"".join(blocks)}</body></html>'
     head = f"<html><head><title>{some(2, 8)}</title></head><body>"
     return f'{head}{"".join(before)}{article}{"".join(after)}</body></html>'
 
@@ -449,7 +466,7 @@ def other_layout(content: list[str], other: list[str], elsewhere: list[str], dra
 def fit(pages: list[str], layouts: int = LAYOUTS) -> Model:
     """Fit both potentials on the pages as they are and in other layouts."""
     labelled: list[Page] = []
-    parsed = [(p, _pieces(p)) for p in map(parse, pages)]
+    parsed = [(p, _pieces(p)) for p in (parse(html, labelled=False) for html in pages)]
     elsewhere = [t for _, (content, other) in parsed for t in content + other] or ["some text"]
     draw = random.Random(7)
     for page, (content, other) in parsed:
