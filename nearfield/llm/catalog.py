@@ -13,6 +13,7 @@ from nearfield.llm import (
     jaccard,
     lm,
     mixing,
+    packing,
     pii,
     quality,
     repeats,
@@ -112,3 +113,17 @@ def op10_external_shuffle(spark, sf_dir):
         "slot",
         "grown_shard",
     )
+
+
+@query
+def op12_packing(spark, sf_dir):
+    pieces = packing.packed(table(spark, sf_dir, "documents"))
+    return pieces.select(
+        "doc_id",
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )
