@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm import (
+    align,
     decontaminate,
     html,
     jaccard,
@@ -115,6 +116,22 @@ def op10_external_shuffle(spark, sf_dir):
     )
 
 
+@query
+def op11_tokenizer_alignment(spark, sf_dir):
+    found = align.aligned(table(spark, sf_dir, "documents"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise(F.lit(""))
+    return found.select(
+        "doc_id",
+        "n_a",
+        "n_b",
+        "n_groups",
+        "n_links",
+        "n_best",
+        "count_sum",
+        digest.alias("groups_sha256"),
+    )
+
+
 @query
 def op12_packing(spark, sf_dir):
     pieces = packing.packed(table(spark, sf_dir, "documents"))
