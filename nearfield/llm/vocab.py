@@ -21,6 +21,10 @@ CACHE_STRETCHES, CACHE_IDS = 400_000, 4_000_000
 CHUNK_BYTES = 4 << 20
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+# A word and the marks behind it: a word tokenizer never joins the two.
+_MARKED = re.compile(r"(.*[A-Za-z0-9])([.,;:!?]+)", re.DOTALL)
+# Words that are encoded as one text.
+_RUN = 2048
 
 
 def decoded(column: pa.Array) -> list[str]:
@@ -43,8 +47,12 @@ def chunks(sizes: list[int], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
 class Stretches:
     """Encoder of texts over a function that encodes a list of stretches."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
-        self.encode = encode
+    def __init__(
+        self,
+        encode: Callable[[list[str]], list[list[int]]],
+        cut: Callable[[str], list[str]] = _CUT.split,
+    ):
+        self.encode, self.cut = encode, cut
         self.forget()
 
     def forget(self) -> None:
@@ -63,15 +71,13 @@ class Stretches:
         """Ids of all texts in one array, ids per text, place of each stretch, stretches per text."""
         if len(self.places) > CACHE_STRETCHES or len(self.ids) > CACHE_IDS:
             self.forget()
-        cut = [_CUT.split(text) if text else [] for text in texts]
+        cut = [self.cut(text) if text else [] for text in texts]
         parts = np.array([len(own) for own in cut], np.int64)
-        kinds = pa.array([s for own in cut for s in own], pa.large_string()).dictionary_encode()
-        distinct = kinds.dictionary.to_pylist()
-        new = [s for s in distinct if s not in self.places]
+        flat = [s for own in cut for s in own]
+        new = set(flat).difference(self.places)
         if new:
-            self._learn(new)
-        number = np.fromiter(map(self.places.__getitem__, distinct), np.int64, len(distinct))
-        places = number[kinds.indices.to_numpy(zero_copy_only=False)] if distinct else number
+            self._learn(sorted(new))
+        places = np.fromiter(map(self.places.__getitem__, flat), np.int64, len(flat))
         sizes = self.bounds[places + 1] - self.bounds[places]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
@@ -104,7 +110,43 @@ def piece_model(path: str):
     return _loaded[path]
 
 
+class _Words:
+    """Encodes distinct words of a tokenizer that ends each word with a token of its own kind.
+
+    Runs of plain words are encoded as one text and told apart by their last tokens; whatever else
+    there is (digits, signs, marks inside a word) is encoded by itself.
+    """
+
+    def __init__(self, path: str):
+        self.tokenizer = json_tokenizer(path)
+        names = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(names.values()) + 1, bool)
+        self.closes[[i for name, i in names.items() if name.endswith("</w>")]] = True
+
+    def _alone(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _run(self, words: list[str]) -> list[list[int]]:
+        ids = self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids
+        ends = (np.flatnonzero(self.closes[ids]) + 1).tolist()
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return self._alone(words)
+        return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def __call__(self, new: list[str]) -> list[list[int]]:
+        halves = [m.groups() if (m := _MARKED.fullmatch(s)) else (s, "") for s in new]
+        # ASCII letters have one lower case, whatever stands around them.
+        halves = [(h.lower() if h.isascii() else h, tail) for h, tail in halves]
+        parts = dict.fromkeys(h for pair in halves for h in pair)
+        plain = [s for s in parts if s.isalpha()]
+        odd = [s for s in parts if not s.isalpha()]
+        for a in range(0, len(plain), _RUN):
+            run = plain[a : a + _RUN]
+            parts.update(zip(run, self._run(run), strict=True))
+        parts.update(zip(odd, self._alone(odd), strict=True))
+        return [parts[h] + parts[tail] for h, tail in halves]
+
+
 def word_stretches(path: str) -> Stretches:
-    """Encoder of a word tokenizer, which drops white space."""
-    tokenizer = json_tokenizer(path)
-    return Stretches(lambda new: [e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)])
+    """Encoder of a word tokenizer, which drops white space: spaces and line feeds part the text."""
+    return Stretches(_Words(path), lambda text: text.replace("\n", " ").split(" "))
