@@ -20,6 +20,7 @@ from nearfield.llm import (
     repeats,
     sharding,
     tokens,
+    trie,
 )
 from nearfield.llm.common import table
 from nearfield.session import ship_package
@@ -144,3 +145,44 @@ def op12_packing(spark, sf_dir):
         "sequence_id",
         "offset",
     )
+
+
+@query
+def op13_conversation_trie(spark, sf_dir):
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+SQL["op13_conversation_trie"] = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+                            coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(struct_pack(r := r, x := x) ORDER BY pos) AS turns FROM t GROUP BY 1),
+-- CRC-32 of the decimal id, bit by bit
+h AS (SELECT conv_id, turns, xor(4294967295, list_reduce(
+        list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, strlen(CAST(conv_id AS VARCHAR)) + 1),
+          lambda i: CAST(ascii(substr(CAST(conv_id AS VARCHAR), i, 1)) AS BIGINT))),
+        lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)),
+          lambda v, k: xor(v >> 1, 3988292384 * (v & 1))))) % 4 AS h
+      FROM own),
+c AS (SELECT h.conv_id, list_concat(coalesce(b.turns, h.turns[1:0])[1:h.h], h.turns[h.h + 1:]) AS seq
+      FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 20),
+p AS (SELECT conv_id, len(seq) AS n, unnest(range(0, len(seq) + 1)) AS depth, seq FROM c),
+n AS (SELECT seq[1:depth] AS node, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+             sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)
+                             FILTER (n = depth), '')) AS ends_sha256
+      FROM p GROUP BY 1, 2),
+w AS (SELECT *, CASE WHEN depth = 0 THEN 0
+             ELSE len(regexp_extract_all(node[depth].x, '[^\x20\x09-\x0D]+')) END AS words FROM n),
+k AS (SELECT node[1:depth - 1] AS node, count(*) AS n_children FROM w WHERE depth > 0 GROUP BY 1),
+f AS (SELECT w.*, coalesce(k.n_children, 0) AS n_children FROM w LEFT JOIN k ON k.node = w.node),
+a AS (SELECT f.*, unnest(range(0, depth + 1)) AS up FROM f),
+s AS (SELECT node[1:up] AS node, CAST(count(*) FILTER (n_children = 0) AS BIGINT) AS n_leaves,
+             CAST(sum((n_convs - 1) * words) AS BIGINT) AS saved_tokens
+      FROM a GROUP BY 1)
+SELECT f.conv_id, f.depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves,
+       s.saved_tokens, f.ends_sha256
+FROM f JOIN s ON s.node = f.node
+LEFT JOIN f u ON f.depth > 0 AND u.node = f.node[1:f.depth - 1]
+"""
