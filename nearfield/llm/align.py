@@ -12,6 +12,7 @@ counts, and tasks write them as sorted arrays that later tasks map into memory.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,41 +24,34 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.common import scratch, written
 from nearfield.llm.files import mapped, own_file, save
-from nearfield.llm.vocab import FOLDER, Stretches, chunks, decoded, json_tokenizer, piece_model
+from nearfield.llm.vocab import (
+    FOLDER,
+    Rows,
+    Stretches,
+    at_single_spaces,
+    by_words,
+    byte_entries,
+    chunks,
+    decoded,
+    in_runs,
+    json_tokenizer,
+    pair_encoder,
+    piece_model,
+)
 
 BYTE_TOKENIZER = f"{FOLDER}/byte_bpe_50k.json"
 PIECE_TOKENIZER = f"{FOLDER}/piece_bpe_32k.model"
 # Tokens that are joined at a time, different pairs that a task gathers, and pairs of one file.
-SLICE_TOKENS = 1 << 20
-GATHERED_PAIRS = 2_000_000
+SLICE_TOKENS = 1 << 18
+GATHERED_PAIRS = 500_000
 SHARD_PAIRS = 2_000_000
 
-
-def byte_symbols() -> dict[str, int]:
-    """The byte that each character of a byte-level vocabulary stands for.
-
-    Printable characters stand for themselves; the other bytes take the characters from 256 on.
-    """
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in set(plain)]
-    return {**{chr(b): b for b in plain}, **{chr(256 + i): b for i, b in enumerate(others)}}
+_SPACE = re.compile(r"\s")
 
 
 _entries: dict[str, list[bytes]] = {}
 
 
-def byte_entries(path: str) -> list[bytes]:
-    """Bytes of each id of a byte-level vocabulary."""
-    if path not in _entries:
-        symbols = byte_symbols()
-        names = json_tokenizer(path).get_vocab(with_added_tokens=False)
-        out = [b""] * (max(names.values()) + 1)
-        for name, number in names.items():
-            out[number] = bytes(symbols[c] for c in name) if all(c in symbols for c in name) else name.encode()
-        _entries[path] = out
-    return _entries[path]
-
-
 def piece_entries(path: str) -> list[bytes]:
     """Bytes of each id of a piece vocabulary."""
     if path not in _entries:
@@ -70,62 +64,106 @@ def piece_entries(path: str) -> list[bytes]:
     return _entries[path]
 
 
-class _Coder:
-    """Encodes texts with a space before them; knows which stretches give their bytes back."""
-
-    def __init__(self, encode, entries: list[bytes]):
-        self.stretches, self.entries = Stretches(encode), entries
-
-    def __call__(self, texts: list[str], bodies: list[bytes]) -> list[np.ndarray | None]:
-        """Ids of each text, none where their joined bytes are not the space and the text."""
-        ids, sizes, _, _ = self.stretches.texts(texts)
-        entries = self.entries
-        out, at = [], 0
-        for body, size in zip(bodies, sizes.tolist(), strict=True):
-            own = ids[at : at + size]
-            at += size
-            whole = b"".join([entries[i] for i in own.tolist()])
-            out.append(own if whole == b" " + body else None)
-        return out
+class _Pair:
+    """Both tokenizers on stretches that have a space before them."""
+
+    def __init__(self, one: str, two: str):
+        self.tokenizer, self.model = json_tokenizer(one), piece_model(two)
+        self.entries = byte_entries(one), piece_entries(two)
+        self.pairs = pair_encoder(self.entries[0], " [^ ]+")
+        self.sizes = [np.array([len(e) for e in own]) for own in self.entries]
+        # A stretch without white space opens with its only token that starts with a space.
+        self.opens = [np.array([e.startswith(b" ") for e in own]) for own in self.entries]
+
+    def _each(self, new: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+
+    def _plain(self, words: list[str]) -> Rows:
+        one = self.pairs.encode_ordinary
+        each = lambda run: self._each([f" {s}" for s in run])
+        return in_runs(words, lambda text: one(f" {text}"), each, self.opens[0])
+
+    def _pieces(self, text: str) -> list[int]:
+        return self.model.encode(text)  # the model puts a space of its own before it
+
+    def _each_pieces(self, new: list[str]) -> list[list[int]]:
+        return self.model.encode(new, num_threads=1)
+
+    def joined(self, side: int, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.entries[side].__getitem__, ids.tolist()))
+
+    def _returned(self, side: int, rows: Rows, bodies: list[bytes]) -> np.ndarray:
+        """Rows whose ids give the bytes of their stretch."""
+        upto = np.concatenate([[0], np.cumsum(self.sizes[side][rows.ids])])
+        sizes = np.diff(upto[rows.bounds])
+        same = sizes == np.fromiter(map(len, bodies), np.int64, len(bodies))
+        if same.all() and self.joined(side, rows.ids) == b"".join(bodies):
+            return same
+        edges = zip(rows.bounds.tolist(), rows.bounds[1:].tolist(), bodies, strict=False)
+        return np.array([self.joined(side, rows.ids[a:b]) == body for a, b, body in edges])
+
+    def __call__(self, new: list[str]) -> tuple[list[str], list[Rows], np.ndarray]:
+        ordered, tokens = by_words(
+            new,
+            self._plain,
+            lambda marks: Rows.of(self._each(marks)),
+            lambda rest: Rows.of(self._each([f" {s}" for s in rest])),
+        )
+        # In the pieces' order, stretches with white space inside come last.
+        inner = np.fromiter((not s or _SPACE.search(s) is not None for s in ordered), bool, len(ordered))
+        order = np.argsort(inner, kind="stable")
+        ordered = [ordered[i] for i in order.tolist()]
+        whole, rest = ordered[: len(inner) - inner.sum()], ordered[len(inner) - inner.sum() :]
+        pieces = in_runs(whole, self._pieces, self._each_pieces, self.opens[1])
+        rows = [tokens.take(order), pieces.plus(Rows.of(self._each_pieces(rest)))]
+        bodies = [f" {s}".encode() for s in ordered]
+        return ordered, rows, self._returned(0, rows[0], bodies) & self._returned(1, rows[1], bodies)
 
 
-_coders: dict[tuple[str, str], tuple[_Coder, _Coder]] = {}
+_coders: dict[tuple[str, str], tuple[_Pair, Stretches]] = {}
 
 
-def coders(one: str, two: str) -> tuple[_Coder, _Coder]:
-    """Encoders of the byte-level vocabulary and of the piece vocabulary, kept by the worker."""
+def coders(one: str, two: str) -> tuple[_Pair, Stretches]:
+    """The two tokenizers and their cache, kept by the worker."""
     if (one, two) not in _coders:
-        tokenizer, model = json_tokenizer(one), piece_model(two)
+        pair = _Pair(one, two)
+        _coders[one, two] = pair, Stretches(pair, 2, at_single_spaces)
+    return _coders[one, two]
 
-        def by_bytes(new: list[str]) -> list[list[int]]:
-            spaced = [f" {s}" for s in new]
-            return [e.ids for e in tokenizer.encode_batch_fast(spaced, add_special_tokens=False)]
 
-        _coders[one, two] = (
-            _Coder(by_bytes, byte_entries(one)),
-            _Coder(lambda new: model.encode(new, num_threads=1), piece_entries(two)),
-        )
-    return _coders[one, two]
+def tokenised(texts: list[str], bodies: list[bytes], one: str, two: str) -> tuple[Rows, Rows]:
+    """Ids of texts by both tokenizers; none where joined bytes are not the space and the text."""
+    pair, stretches = coders(one, two)
+    rows, good = stretches.texts(texts)
+    kept = np.array([bool(body) for body in bodies])
+    for i in range(len(texts)):
+        if kept[i] and not (good[i] and texts[i].encode() == bodies[i]):
+            kept[i] = all(
+                pair.joined(side, r.ids[r.bounds[i] : r.bounds[i + 1]]) == b" " + bodies[i]
+                for side, r in enumerate(rows)
+            )
+    if kept.all():
+        return tuple(rows)
+    empty = np.zeros(1, np.int64)
+    return tuple(
+        r.plus(Rows(r.ids[:0], empty.repeat(2))).take(np.where(kept, np.arange(len(texts)), len(texts)))
+        for r in rows
+    )
 
 
 def _encode(one: str, two: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second = coders(one, two)
-        kind = pa.list_(pa.int32())
         for batch in batches:
             column = batch.column("text").cast(pa.binary())
             texts = decoded(column)
             for at, end in chunks([len(t) for t in texts]):
                 bodies = [v or b"" for v in column.slice(at, end - at).to_pylist()]
-                pairs = zip(first(texts[at:end], bodies), second(texts[at:end], bodies), strict=True)
-                kept = [p if p[0] is not None and p[1] is not None else ((), ()) for p in pairs]
+                lists = [
+                    pa.ListArray.from_arrays(pa.array(r.bounds.astype(np.int32)), pa.array(r.ids))
+                    for r in tokenised(texts[at:end], bodies, one, two)
+                ]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(at, end - at),
-                        pa.array([p[0] for p in kept], kind),
-                        pa.array([p[1] for p in kept], kind),
-                    ],
-                    ["doc_id", "a", "b"],
+                    [batch.column("doc_id").slice(at, end - at), *lists], ["doc_id", "a", "b"]
                 )
 
     return encode

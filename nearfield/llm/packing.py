@@ -35,10 +35,9 @@ def _encode(tokenizer: str, end: int):
         for batch in batches:
             texts = decoded(batch.column("text"))
             for a, b in chunks([len(t) for t in texts]):
-                ids, sizes, _, _ = stretches.texts(texts[a:b])
-                upto = np.cumsum(sizes)
-                ids = np.insert(ids, upto, end).astype("<u4")
-                bounds = np.concatenate([[0], upto + np.arange(1, b - a + 1)])
+                (rows,), _ = stretches.texts(texts[a:b])
+                ids = np.insert(rows.ids, rows.bounds[1:], end).astype("<u4")
+                bounds = rows.bounds + np.arange(b - a + 1)
                 n = np.diff(bounds)
                 yield pa.RecordBatch.from_arrays(
                     [

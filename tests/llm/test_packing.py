@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from nearfield.llm import catalog, packing
-from nearfield.llm.vocab import Stretches, json_tokenizer, word_stretches
+from nearfield.llm.vocab import Rows, Stretches, json_tokenizer, word_stretches
 
 COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
@@ -89,15 +89,18 @@ def test_stretches_encode_like_the_whole_text(text):
     text = text.encode("utf-8", "replace").decode()
     got = word_stretches(packing.TOKENIZER).texts([text, "", text])
     want = json_tokenizer(packing.TOKENIZER).encode(text, add_special_tokens=False).ids
-    assert got[0].tolist() == want + want
-    assert got[1].tolist() == [len(want), 0, len(want)]
+    assert got[0][0].ids.tolist() == want + want
+    assert np.diff(got[0][0].bounds).tolist() == [len(want), 0, len(want)]
 
 
 def test_the_cache_starts_anew(monkeypatch):
     monkeypatch.setattr("nearfield.llm.vocab.CACHE_STRETCHES", 3)
-    coder = Stretches(lambda new: [[len(s)] for s in new])
+    coder = Stretches(
+        lambda new: (new, [Rows.of([[len(s)] for s in new])], np.array([s != "bb" for s in new])), 1, str.split
+    )
     for _ in range(3):
-        assert coder.texts(["a bb ccc dddd", "bb eeeee"])[0].tolist() == [1, 2, 3, 4, 2, 5]
+        (rows,), flagged = coder.texts(["a bb ccc dddd", "", "ccc eeeee"])
+        assert rows.ids.tolist() == [1, 2, 3, 4, 3, 5] and flagged.tolist() == [False, True, True]
 
 
 def test_sequences_are_padded(make_docs):
