@@ -37,6 +37,7 @@ from nearfield.llm.vocab import (
     json_tokenizer,
     pair_encoder,
     piece_model,
+    text_chunks,
 )
 
 BYTE_TOKENIZER = f"{FOLDER}/byte_bpe_50k.json"
@@ -45,6 +46,8 @@ PIECE_TOKENIZER = f"{FOLDER}/piece_bpe_32k.model"
 SLICE_TOKENS = 1 << 18
 GATHERED_PAIRS = 500_000
 SHARD_PAIRS = 2_000_000
+# Stretches that a worker remembers.
+CACHE_STRETCHES = 150_000
 
 _SPACE = re.compile(r"\s")
 
@@ -127,7 +130,7 @@ def coders(one: str, two: str) -> tuple[_Pair, Stretches]:
     """The two tokenizers and their cache, kept by the worker."""
     if (one, two) not in _coders:
         pair = _Pair(one, two)
-        _coders[one, two] = pair, Stretches(pair, 2, at_single_spaces)
+        _coders[one, two] = pair, Stretches(pair, 2, at_single_spaces, CACHE_STRETCHES)
     return _coders[one, two]
 
 
@@ -154,13 +157,10 @@ def tokenised(texts: list[str], bodies: list[bytes], one: str, two: str) -> tupl
 def _encode(one: str, two: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column("text").cast(pa.binary())
-            texts = decoded(column)
-            for at, end in chunks([len(t) for t in texts]):
-                bodies = [v or b"" for v in column.slice(at, end - at).to_pylist()]
+            for at, end, bodies in text_chunks(batch.column("text")):
                 lists = [
                     pa.ListArray.from_arrays(pa.array(r.bounds.astype(np.int32)), pa.array(r.ids))
-                    for r in tokenised(texts[at:end], bodies, one, two)
+                    for r in tokenised(decoded(bodies), bodies, one, two)
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(at, end - at), *lists], ["doc_id", "a", "b"]

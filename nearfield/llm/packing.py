@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import small, written
-from nearfield.llm.vocab import FOLDER, chunks, decoded, word_stretches
+from nearfield.llm.vocab import FOLDER, decoded, text_chunks, word_stretches
 
 TOKENIZER = f"{FOLDER}/word_bpe_49k.json"
 # The id behind every document, and the length of a sequence.
@@ -33,9 +33,8 @@ def _encode(tokenizer: str, end: int):
         stretches = word_stretches(tokenizer)
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = decoded(batch.column("text"))
-            for a, b in chunks([len(t) for t in texts]):
-                (rows,), _ = stretches.texts(texts[a:b])
+            for a, b, bodies in text_chunks(batch.column("text")):
+                (rows,), _ = stretches.texts(decoded(bodies))
                 ids = np.insert(rows.ids, rows.bounds[1:], end).astype("<u4")
                 bounds = rows.bounds + np.arange(b - a + 1)
                 n = np.diff(bounds)

@@ -15,10 +15,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 FOLDER = "/opt/tokenizers"
-# Stretches and ids that are kept between texts; beyond, the cache starts anew.
-CACHE_STRETCHES, CACHE_IDS = 800_000, 8_000_000
+# Stretches that are kept between texts; beyond, the cache starts anew.
+CACHE_STRETCHES = 600_000
 # Text bytes that are cut and encoded at a time.
 CHUNK_BYTES = 4 << 20
 
@@ -32,9 +33,16 @@ _MARKED = re.compile(f"([{_LATIN}]+)([.,;:!?]*)")
 _RUN = 2048
 
 
-def decoded(column: pa.Array) -> list[str]:
-    """Texts of a column; a null is empty, bytes that are no UTF-8 are replaced."""
-    return [(v or b"").decode("utf-8", "replace") for v in column.cast(pa.binary()).to_pylist()]
+def text_chunks(column: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Runs of rows with some ``CHUNK_BYTES`` of text, and their texts as bytes; a null is empty."""
+    raw = column.cast(pa.binary())
+    for a, b in chunks(pc.fill_null(pc.binary_length(raw), 0).to_pylist()):
+        yield a, b, [v or b"" for v in raw.slice(a, b - a).to_pylist()]
+
+
+def decoded(bodies: list[bytes]) -> list[str]:
+    """Bytes that are no UTF-8 are replaced."""
+    return [v.decode("utf-8", "replace") for v in bodies]
 
 
 def chunks(sizes: list[int], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
@@ -107,8 +115,10 @@ class Stretches:
     tokenizer and a flag per stretch.
     """
 
-    def __init__(self, encode, tokenizers: int, cut: Callable[[str], list[str]]):
+    def __init__(self, encode, tokenizers: int, cut: Callable[[str], list[str]], most: int | None = None):
+        """The cache starts anew when it holds more than ``most`` stretches."""
         self.encode, self.tokenizers, self.cut = encode, tokenizers, cut
+        self.most = CACHE_STRETCHES if most is None else most
         self.forget()
 
     def forget(self) -> None:
@@ -124,7 +134,7 @@ class Stretches:
 
     def texts(self, texts: list[str]) -> tuple[list[Rows], np.ndarray]:
         """Ids of each text by each tokenizer, and whether all stretches of a text are flagged."""
-        if len(self.places) > CACHE_STRETCHES or sum(len(r.ids) for r in self.rows) > CACHE_IDS:
+        if len(self.places) > self.most:
             self.forget()
         cut = [self.cut(text) if text else [] for text in texts]
         counts = np.array([len(own) for own in cut], np.int64)
