@@ -27,6 +27,7 @@ from nearfield.functions.ids import row_index
 from nearfield.functions.pooling import VISION_END, VISION_START, mean_pool, span_pool
 from nearfield.operators.dedup import zip_positional
 from nearfield.operators.ivf import (
+    CentroidTree,
     InvertedLists,
     build_lists,
     knn_ivf_flat,
@@ -246,8 +247,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("knn_exact", W + "," + knn_ctes("cosine", 10) + HITS + "h")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    """The form for two large sides: tiles of both tables meet through an equi key."""
-    small = Limits(broadcast_bytes=1, query_tile_bytes=256 << 10, gallery_tile_bytes=128 << 10)
+    """The form for two large sides: the gallery is scanned in place once per tile of queries."""
+    small = Limits(broadcast_bytes=1, query_tile_bytes=2 << 20, gallery_tile_bytes=128 << 10)
     rows = gallery(spark, sf)
     return rounded(nearest(rows, asked(spark, sf), 10, "cosine", limits=small))
 
@@ -355,6 +356,65 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(knn_ivf_flat(lists, asked(spark, sf), 10, nprobe=3, limits=small))
 
 
+# Filtered search over lists: probes count matching rows only.
+FILTERED_LISTS_SQL = (
+    WC + "," + probes_sql("cosine", "home", 1)
+    + f""",
+m AS (SELECT home.id, list_id FROM home JOIN e ON e.id = home.id WHERE v[1] > 0.29),
+mc AS (SELECT list_id, count(*) AS matches FROM m GROUP BY 1),
+o AS (SELECT q.id, g.list_id, matches, row_number() OVER (PARTITION BY q.id
+        ORDER BY {score_sql("cosine")} DESC, g.list_id) AS r
+      FROM u q, c g JOIN mc ON mc.list_id = g.list_id),
+b AS (SELECT *, coalesce(sum(matches) OVER (PARTITION BY id ORDER BY r
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o),
+p AS (SELECT b.id AS qid, m.id AS id, {score_sql("cosine")} AS score
+      FROM b JOIN m ON m.list_id = b.list_id JOIN u q ON q.id = b.id JOIN u g ON g.id = m.id
+      WHERE r <= 1 OR before < 3)"""
+    + HITS + f"({ranked_sql('p', 'cosine', 3)})"
+)
+
+
+@query("filtered_search_lists", FILTERED_LISTS_SQL)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """A rare predicate over saved lists: queries open lists until enough rows match."""
+    rows = gallery(spark, sf).withColumn("first", F.col("embedding")[0].cast("double"))
+    path = scratch(spark, "filtered-lists")
+    build_lists(rows, label_centroids(rows), "cosine", attributes=["first"]).save(path)
+    lists = InvertedLists.load(spark, path, "cosine")
+    return rounded(
+        knn_ivf_flat(lists, asked(spark, sf), 3, nprobe=1, where="first > 0.29")
+    )
+
+
+TREE_SQL = (
+    WC + f""",
+te AS (SELECT label // 4 AS top, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM e),
+tm AS (SELECT top, pos, CAST(CAST(round(avg(x), 6) AS FLOAT) AS DOUBLE) AS x FROM te GROUP BY 1, 2),
+tv AS (SELECT top, list(x ORDER BY pos) AS v FROM tm GROUP BY 1),
+tn AS (SELECT *, sqrt(list_dot_product(v, v)) AS len FROM tv),
+t AS (SELECT top, list_transform(v, lambda x: x / CASE WHEN len = 0 THEN 1 ELSE len END) AS w FROM tn),
+ts AS (SELECT q.id, g.top, {score_sql("cosine")} AS s FROM u q, t g),
+beam AS (SELECT id, top FROM ts QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, top) <= 2),
+lp AS (SELECT q.id, g.list_id, {score_sql("cosine")} AS s FROM beam
+       JOIN u q ON q.id = beam.id JOIN c g ON g.list_id // 4 = beam.top),
+lr AS (SELECT id, list_id, row_number() OVER (PARTITION BY id ORDER BY s DESC, list_id) AS r FROM lp),
+p AS (SELECT a.id AS qid, b.id AS id, {score_sql("cosine")} AS score
+      FROM lr a JOIN lr b ON b.list_id = a.list_id AND b.r = 1 AND a.r <= 3
+      JOIN u q ON q.id = a.id JOIN u g ON g.id = b.id)"""
+    + HITS + f"({ranked_sql('p', 'cosine', 10)})"
+)
+
+
+@query("knn_ivf_tree", TREE_SQL)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Two levels of centroids: rows and queries meet the lists of their two best tops only."""
+    rows = gallery(spark, sf)
+    tops = label_centroids(rows.withColumn("label", F.floor(F.col("label") / 4).cast("int")))
+    leaves = label_centroids(rows).withColumn("top_id", F.floor(F.col("list_id") / 4).cast("long"))
+    lists = build_lists(rows, CentroidTree(tops, leaves, beam=2), "cosine")
+    return rounded(knn_ivf_flat(lists, asked(spark, sf), 10, nprobe=3))
+
+
 @query(
     "probe_join",
     WC + "," + probes_sql("l2", "home", 1) + "," + probes_sql("l2", "pr", 3)

@@ -5,8 +5,10 @@ Every method returns long form ``qid, rank, id, score`` and shares one engine:
 * queries fit the broadcast bound: they are sent to the tasks that scan the gallery. The gallery
   is read once, in place, and never shuffled; only k rows per query and task are merged.
 * the gallery fits instead: it is sent to the tasks that scan the queries. No shuffle at all.
-* neither fits: both sides are cut into tiles of bounded size and each pair of tiles meets in
-  one task through an equi key. Nothing is collected and no group outgrows a task.
+* neither fits, and every query sees every row: the queries are cut into tiles of bounded size.
+  The gallery is scanned in place once per tile, and a query's states merge across the tasks.
+* neither fits, and queries look into cells: both sides are cut into tiles and each pair of tiles
+  meets in one task through an equi key. Nothing is collected and no group outgrows a task.
 
 Pairs are never emitted: tasks reduce them to the best k. All forms answer query by query, not
 id by id: a query id that occurs twice is two queries. Every gallery row is a candidate of its own,
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +44,8 @@ from nearfield.session import materialise, short_table
 # Every scanning task emits k rows per query. Scans are folded (no shuffle) into so few tasks that
 # the merge gets about this many rows, but never into fewer than there are cores.
 MERGE_ROWS, MOST_TASKS = 1 << 31, 1 << 20
+# A scan of the whole gallery answers so many queries at least, whatever the bounds.
+LEAST_ASKED = 64
 # What a query takes besides its vector: per kept hit, and per cell it looks into.
 HIT_BYTES, CELL_BYTES = 48, 16
 
@@ -277,26 +282,38 @@ def cogrouped_tiles(left: DataFrame, right: DataFrame):
     return left.groupBy(*keys).cogroup(right.groupBy(*TILE_KEYS))
 
 
-def _tile_pairs(
+def _scan_by_tile(
     gallery: DataFrame, queries: DataFrame, match: Match, out, asked: int, dim: int, limits: Limits
+) -> DataFrame:
+    """Both sides large, no cells: one scan of the gallery, where it lies, per tile of queries.
+
+    A tile's answers are written before the next tile is sent, so at most one tile of queries is
+    held by the driver and by each executor, and a lost executor costs one scan at most.
+    """
+    each = max(LEAST_ASKED, limits.rows(limits.query_tile_bytes, dim, 0, match.k))
+    tiles = max(1, -(-asked // each))
+    # Written once and by tile, as the numbers must be the same wherever they are read.
+    number = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(tiles)).cast("int")
+    held = materialise(queries.withColumn("tile", number))
+    answers = []
+    for tile in range(tiles):
+        own = held.where(F.col("tile") == tile).drop("tile")
+        answers.append(materialise(_scan_gallery(gallery, own, match, out)))
+    return reduce(DataFrame.unionAll, answers)
+
+
+def _tile_pairs(
+    gallery: DataFrame, queries: DataFrame, match: Match, out, dim: int, limits: Limits
 ) -> DataFrame:
     """Both sides large: tiles meet through (cell, gallery tile, query tile)."""
     # Written once, as the numbers must be the same wherever they are read.
     queries = materialise(queries.withColumn("asked", F.monotonically_increasing_id()))
-    if match.routing is None:
-        # One cell: its counts are known, nothing has to be joined.
-        n_gt = max(1, -(-gallery.count() // limits.rows(limits.gallery_tile_bytes, dim)))
-        n_qt = max(1, -(-asked // limits.rows(limits.query_tile_bytes, dim)))
-        whole = {"cell": F.lit(0).cast("long"), "n_gt": F.lit(n_gt), "n_qt": F.lit(n_qt)}
-        left = place(gallery.withColumns(whole), gallery.columns, "gt", "qt")
-        right = place(queries.withColumns(whole), ["asked"], "qt", "gt")
-    else:
-        left, right = with_tiles(
-            gallery.withColumn("cell", F.explode("cells")),
-            queries.withColumn("cell", F.explode("cells")),
-            dim,
-            limits,
-        )
+    left, right = with_tiles(
+        gallery.withColumn("cell", F.explode("cells")),
+        queries.withColumn("cell", F.explode("cells")),
+        dim,
+        limits,
+    )
     # Inside a group the cell is fixed; only the hash rule must look at the other tables.
     aligned = match.routing == "hash"
 
@@ -327,10 +344,6 @@ def _tile_pairs(
     return merge_hits(partial, match.k, match.metric, "asked")
 
 
-def cells_per_row(df: DataFrame) -> int:
-    return df.agg(F.max(F.size("cells"))).first()[0] or 0
-
-
 def nearest(
     gallery: DataFrame,
     queries: DataFrame,
@@ -339,13 +352,15 @@ def nearest(
     *,
     normalize: bool | None = None,
     routing: str | None = None,
+    cells: int = 0,
     tie_decimals: int | None = None,
     limits: Limits | None = None,
 ) -> DataFrame:
     """Best ``k`` gallery rows per query among the candidates that ``routing`` allows.
 
     ``gallery`` holds ``id, embedding`` and ``queries`` ``qid, embedding``; with routing both
-    also hold ``cells`` (ARRAY<BIGINT>). Fewer than k candidates give fewer hits.
+    also hold ``cells`` (ARRAY<BIGINT>), at most ``cells`` of them per query. Fewer than k candidates
+    give fewer hits.
     """
     require_positive(top_k=k)
     metric = check_metric(metric)
@@ -365,14 +380,15 @@ def nearest(
     out = _hits_schema(queries, gallery)
 
     asked, dim = vector_stats(queries)
-    cells = cells_per_row(queries) if routing else 0
     if asked <= limits.rows(limits.broadcast_bytes, dim, cells, match.k):
         return _scan_gallery(gallery, queries, match, out)
     # Counting stops one row above the bound, so a huge gallery is not scanned for it.
     fitting = limits.rows(limits.broadcast_bytes, dim, 1 if routing else 0)
     if gallery.select("id").limit(fitting + 1).count() <= fitting:
         return _scan_queries(gallery, queries, match, out)
-    return _tile_pairs(gallery, queries, match, out, asked, dim, limits)
+    if routing is None:
+        return _scan_by_tile(gallery, queries, match, out, asked, dim, limits)
+    return _tile_pairs(gallery, queries, match, out, dim, limits)
 
 
 def knn_flat(gallery: DataFrame, queries: DataFrame, k: int, metric: str = "l2", **options):
@@ -396,61 +412,68 @@ def with_nearest(
     metric: str,
     *,
     normalize: bool | None = None,
+    within: bool = False,
     limits: Limits | None = None,
 ) -> DataFrame:
     """Append ``cells``: the ``n`` best centroids of each row, best first.
 
     ``centroids`` holds ``list_id BIGINT, embedding``. While they fit the broadcast bound this is
-    one narrow pass; a larger set goes through the general search and a join on the row key.
+    one narrow pass; a larger set meets the rows tile by tile and is joined back on a row number.
+    ``within``: rows come with ``cells`` already, and only centroids whose ``top_id`` is among
+    them are compared; the new cells take the place of the old.
     """
     require_positive(n=n)
     metric = check_metric(metric)
     limits = limits or DEFAULT_LIMITS
-    lists = centroids.select(F.col("list_id").cast("long").alias("id"), "embedding")
+    above = F.col("top_id").cast("long") if within else F.lit(0).cast("long")
+    lists = centroids.select(
+        F.col("list_id").cast("long").alias("id"), "embedding", F.array(above).alias("cells")
+    )
     count, dim = vector_stats(lists)
     match = Match(
         k=min(int(n), max(count, 1)),
         metric=metric,
         normalize=metric == "cosine" if normalize is None else bool(normalize),
         id_type=pa.int64(),
+        routing="list" if within else None,
     )
     if count > limits.rows(limits.broadcast_bytes, dim):
         # The key of the rows need not be unique: a number of their own joins the answers back.
         own = "_row"
         df = materialise(df.withColumn(own, F.monotonically_increasing_id()))
-        found = nearest(
-            lists,
-            df.select(F.col(own).alias("qid"), "embedding"),
-            match.k,
-            metric,
-            normalize=match.normalize,
-            limits=limits,
-        )
+        cells = F.col("cells") if within else F.array(F.lit(0).cast("long"))
+        rows = df.select(F.col(own).alias("qid"), "embedding", cells.alias("cells"))
+        rule = Match(match.k, metric, match.normalize, match.id_type, "list")
+        out = _hits_schema(rows, lists)
+        found = _tile_pairs(lists, rows, rule, out, dim, limits)
         cells = found.groupBy("qid").agg(
             F.transform(
                 F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda s: s["id"]
             ).alias("cells")
         )
-        return df.join(cells.withColumnRenamed("qid", own), own).drop(own)
+        return df.drop("cells").join(cells.withColumnRenamed("qid", own), own).drop(own)
 
     shared = df.sparkSession.sparkContext.broadcast(lists.toArrow())
-    out = T.StructType([*df.schema.fields, T.StructField("cells", T.ArrayType(T.LongType()))])
+    kept = [name for name in df.columns if name != "cells"] if within else df.columns
+    out = T.StructType(
+        [*[df.schema[name] for name in kept], T.StructField("cells", T.ArrayType(T.LongType()))]
+    )
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = shared.value.combine_chunks()
-        block, ids = match.vectors(rows), rows["id"].combine_chunks()
+        block = match.vectors(rows)
         for batch in batches:
             if _empty(batch):
                 continue
             state = match.state(match.vectors(batch))
-            state.offer(block, ids)
+            _Route(match, batch).offer(state, block, rows)
             state.flush()
             sizes = np.bincount(state.kept["q"].to_numpy(), minlength=batch.num_rows)
             offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
             cells = pa.ListArray.from_arrays(
                 pa.array(offsets), state.kept["id"].combine_chunks()
             )
-            yield batch.append_column("cells", cells)
+            yield batch.select(kept).append_column("cells", cells)
 
     return df.mapInArrow(route, out)
 

@@ -82,6 +82,7 @@ def knn_lsh(
         check_metric(metric),
         normalize=normalize,
         routing="hash",
+        cells=config.tables,
         limits=limits,
         **options,
     )

@@ -19,6 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from nearfield.operators.ivf import (
     InvertedLists,
+    filtered_probes,
     first_by_digest,
     group_means,
     probed_rows,
@@ -28,7 +29,6 @@ from nearfield.operators.ivf import (
 from nearfield.operators.knn import (
     DEFAULT_LIMITS,
     Limits,
-    cells_per_row,
     cogrouped_tiles,
     held_if_small,
     keep_first,
@@ -177,7 +177,8 @@ def _fits(lists: InvertedLists, limits: Limits) -> bool:
 
 
 def _residuals(lists: InvertedLists, unit: bool, limits: Limits) -> DataFrame:
-    """``id, list_id, embedding``: every row minus the centroid of its list."""
+    """``id, list_id, embedding`` and attributes: every row minus the centroid of its list."""
+    more = lists.attributes
 
     def subtract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,8 +188,13 @@ def _residuals(lists: InvertedLists, unit: bool, limits: Limits) -> DataFrame:
             flat = pa.array(rest.astype(np.float32).reshape(-1))
             vectors = pa.FixedSizeListArray.from_arrays(flat, rest.shape[1])
             yield pa.RecordBatch.from_arrays(
-                [batch["id"], batch["list_id"], vectors.cast(pa.list_(pa.float32()))],
-                names=["id", "list_id", "embedding"],
+                [
+                    batch["id"],
+                    batch["list_id"],
+                    vectors.cast(pa.list_(pa.float32())),
+                    *[batch[c] for c in more],
+                ],
+                names=["id", "list_id", "embedding", *more],
             )
 
     out = T.StructType(
@@ -196,10 +202,11 @@ def _residuals(lists: InvertedLists, unit: bool, limits: Limits) -> DataFrame:
             lists.rows.schema["id"],
             T.StructField("list_id", T.LongType()),
             T.StructField("embedding", VECTOR),
+            *[lists.rows.schema[c] for c in more],
         ]
     )
-    rows = _with_centers(lists.rows.select("id", "list_id", "embedding"), lists, limits)
-    return rows.select("id", "list_id", "embedding", "center").mapInArrow(subtract, out)
+    rows = _with_centers(lists.rows.select("id", "list_id", "embedding", *more), lists, limits)
+    return rows.select("id", "list_id", "embedding", "center", *more).mapInArrow(subtract, out)
 
 
 def train_codebooks(
@@ -282,8 +289,9 @@ def build_codes(
     settings: PqSettings,
     limits: Limits | None = None,
 ) -> PqIndex:
-    """Encode every row in one narrow pass."""
+    """Encode every row in one narrow pass; attributes of the lists go along."""
     limits = limits or DEFAULT_LIMITS
+    more = lists.attributes
     books = lists.rows.sparkSession.sparkContext.broadcast(codebooks.toArrow())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,8 +306,9 @@ def build_codes(
                     batch["id"],
                     batch["list_id"],
                     pa.array([row.tobytes() for row in packed], pa.binary()),
+                    *[batch[c] for c in more],
                 ],
-                names=["id", "list_id", "codes"],
+                names=["id", "list_id", "codes", *more],
             )
 
     out = T.StructType(
@@ -307,6 +316,7 @@ def build_codes(
             lists.rows.schema["id"],
             T.StructField("list_id", T.LongType()),
             T.StructField("codes", T.BinaryType()),
+            *[lists.rows.schema[c] for c in more],
         ]
     )
     residuals = _residuals(lists, _unit(lists), limits)
@@ -320,15 +330,25 @@ def knn_ivf_pq(
     *,
     nprobe: int = 32,
     rerank_k: int | None = None,
+    where: str | None = None,
     limits: Limits | None = None,
 ) -> DataFrame:
-    """Approximate scores from codes; with ``rerank_k`` the candidates are rescored exactly."""
+    """Approximate scores from codes; with ``rerank_k`` the candidates are rescored exactly.
+
+    ``where`` is a predicate over the attributes filed with the lists; see ``knn_ivf_flat``.
+    """
     require_positive(top_k=k)
     limits = limits or DEFAULT_LIMITS
     lists, settings = index.lists, index.settings
     wider = overfetch(k, rerank_k)
     count, dim = vector_stats(queries)
-    asked = held_if_small(probes(queries, lists, nprobe, limits), count, dim, limits)
+    coded = index.codes
+    if where:
+        coded = coded.where(where)
+        asked, cells = filtered_probes(queries, lists, coded, nprobe, wider, limits)
+    else:
+        asked, cells = probes(queries, lists, nprobe, limits), nprobe
+    asked = held_if_small(asked, count, dim, limits)
     session = queries.sparkSession.sparkContext
     books = session.broadcast(index.codebooks.toArrow())
     unit, metric = _unit(lists), lists.metric
@@ -371,10 +391,9 @@ def knn_ivf_pq(
         state = BestK(Vectors(matrix, metric, False), wider, metric, id_type)
         return tables, unit_rows(matrix, unit), state
 
-    cells = cells_per_row(asked)
     if _fits(lists, limits) and count <= limits.rows(limits.broadcast_bytes, dim, cells, wider):
         table = numbered(asked.select("qid", "embedding", "cells").toArrow())
-        tasks = scan_tasks(index.codes, table.num_rows, wider)
+        tasks = scan_tasks(coded, table.num_rows, wider)
         shared = session.broadcast((table, lists.centroids.toArrow()))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,13 +418,13 @@ def knn_ivf_pq(
             yield from partial_hits(state, table).to_batches()
 
         partial = (
-            probed_rows(index.codes, asked, lists.centroids)
+            probed_rows(coded, asked, lists.centroids)
             .select("id", "list_id", "codes")
             .coalesce(tasks)
             .mapInArrow(scan, partial_schema(out))
         )
     else:
-        rows = index.codes.select("id", "codes", F.col("list_id").alias("cell"))
+        rows = coded.select("id", "codes", F.col("list_id").alias("cell"))
         own = materialise(asked.withColumn("asked", F.monotonically_increasing_id()))
         own = own.select("qid", "asked", "embedding", F.explode("cells").alias("cell"))
         left, right = with_tiles(rows, _with_centers(own, lists, limits, "cell"), dim, limits)

@@ -180,8 +180,16 @@ def hash_tables(degree: int, effort: int, rows: int) -> HashTables:
 class Prepared:
     """A method with whatever it builds over the gallery, ready to search."""
 
-    def __init__(self, settings: _Settings, gallery: DataFrame, limits: Limits | None = None):
+    def __init__(
+        self,
+        settings: _Settings,
+        gallery: DataFrame,
+        limits: Limits | None = None,
+        attributes: Sequence[str] = (),
+    ):
+        """``attributes`` are columns of the gallery that searches may filter by."""
         self.settings, self.gallery, self.limits = settings, gallery, limits
+        self.attributes = list(attributes)
         self.lists: InvertedLists | None = None
         self.index = None
         self.rows = gallery.count() if self._hashed() else 0
@@ -206,26 +214,37 @@ class Prepared:
         s = self.settings
         centroids = train_centroids(self.gallery, lists, s.metric, limits=self.limits)
         built = build_lists(
-            self.gallery, centroids, s.metric, normalize=s.normalize, limits=self.limits
+            self.gallery,
+            centroids,
+            s.metric,
+            normalize=s.normalize,
+            attributes=self.attributes,
+            limits=self.limits,
         )
         spark = self.gallery.sparkSession
         path = f"{shared_dir(spark)}/lists-{uuid.uuid4().hex}"
         built.save(path)
         self.lists = InvertedLists.load(spark, path, s.metric, s.normalize)
 
-    def search(self, queries: DataFrame, k: int) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, where: str | None = None) -> DataFrame:
+        """Best ``k`` rows per query, among those that meet the predicate ``where``."""
         s, common = self.settings, {"limits": self.limits}
+        gallery = self.gallery.where(where) if where else self.gallery
         if isinstance(s, FlatOrLists):
             if s.method == "ivf_flat":
-                return knn_ivf_flat(self.lists, queries, k, nprobe=s.nprobe, **common)
+                return knn_ivf_flat(self.lists, queries, k, nprobe=s.nprobe, where=where, **common)
             if s.method == "ivf_pq":
                 return knn_ivf_pq(
-                    self.index, queries, k, nprobe=s.nprobe, rerank_k=s.rerank_k, **common
+                    self.index,
+                    queries,
+                    k,
+                    nprobe=s.nprobe,
+                    rerank_k=s.rerank_k,
+                    where=where,
+                    **common,
                 )
             if s.method == "flat":
-                return nearest(
-                    self.gallery, queries, k, s.metric, normalize=s.normalize, **common
-                )
+                return nearest(gallery, queries, k, s.metric, normalize=s.normalize, **common)
             config = hash_tables(s.hnsw_m, s.ef_search, self.rows)
         elif isinstance(s, TreeSettings):
             return knn_tree_rerank(
@@ -238,10 +257,11 @@ class Prepared:
                 num_neighbors=s.num_neighbors,
                 reorder_k=s.reorder_k,
                 normalize=s.normalize,
+                where=where,
                 **common,
             )
         else:
             config = hash_tables(s.m, s.ef_search, self.rows)
         return knn_lsh(
-            self.gallery, queries, k, s.metric, config=config, normalize=s.normalize, **common
+            gallery, queries, k, s.metric, config=config, normalize=s.normalize, **common
         )
