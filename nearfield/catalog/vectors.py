@@ -131,10 +131,43 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return elements(rows.withColumn("embedding", V.l2_normalize_eps(tiny)))
 
 
-@query("cast_half")
+# Half precision in SQL: spacing by exponent, ties to even.
+HALF_SQL = """WITH x AS (SELECT CAST(vec_id AS VARCHAR) AS id, generate_subscripts(embedding, 1) - 1 AS pos,
+    CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+p AS (SELECT *, greatest(-14, CASE WHEN v = 0 THEN -14 ELSE floor(log2(abs(v))) END) AS power FROM x),
+h AS (SELECT id, pos, v, power, round_even(abs(v) / pow(2, power - 10), 0) AS size FROM p)"""
+
+
+@query(
+    "cast_half",
+    HALF_SQL + " SELECT id, CAST(pos AS INTEGER) AS pos, CASE WHEN v < 0 THEN -1 ELSE 1 END * size"
+    " * pow(2, power - 10) AS value FROM h",
+)
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    rows = gallery(spark, sf)
-    return elements(rows.withColumn("embedding", V.cast_half("embedding")))
+    halves = gallery(spark, sf).select("id", F.posexplode(V.cast_half("embedding")).alias("pos", "value"))
+    return halves.withColumn("value", F.col("value").cast("double"))
+
+
+@query(
+    "pack_half",
+    HALF_SQL + """, b AS (SELECT id, pos, CAST((power + 14) * 1024 + size AS BIGINT)
+      + CASE WHEN v < 0 THEN 32768 ELSE 0 END AS bits FROM h)
+    SELECT id, string_agg(printf('%02X%02X', bits & 255, bits >> 8), '' ORDER BY pos) AS packed
+    FROM b GROUP BY 1""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Two bytes per element."""
+    return gallery(spark, sf).select("id", F.hex(V.pack_half("embedding")).alias("packed"))
+
+
+@query("unpack_half", HALF_SQL + " SELECT id, CAST(pos AS INTEGER) AS pos, CASE WHEN v < 0 THEN -1"
+       " ELSE 1 END * size * pow(2, power - 10) AS value FROM h")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Packed vectors written, read back and unpacked."""
+    path = scratch(spark, "halves")
+    gallery(spark, sf).select("id", V.pack_half("embedding").alias("packed")).write.parquet(path)
+    back = spark.read.parquet(path).select("id", F.posexplode(V.unpack_half("packed")).alias("pos", "value"))
+    return back.withColumn("value", F.col("value").cast("double"))
 
 
 NEXT_SQL = """ SELECT q.id AS qid, g.id AS id, round({score}, 6) AS score

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.session import materialise
@@ -82,6 +82,34 @@ def row_index(df: DataFrame, order: Sequence[str], name: str = "index") -> DataF
     )
 
 
+def running_before(df: DataFrame, order: Sequence[str], value: str, name: str = "before") -> DataFrame:
+    """Sum of ``value`` over all rows before a row in the given total order, in two levels.
+
+    Rows are range partitioned, sorted and written once. The blocks are summed, a block starts with
+    the sum of the blocks before it, and only rows of one block are summed one by one.
+    """
+    ordered = materialise(
+        df.repartitionByRange(*[F.col(c) for c in order])
+        .sortWithinPartitions(*order)
+        .withColumn("_part", F.spark_partition_id())
+        .withColumn("_at", F.monotonically_increasing_id())
+    )
+    # One row per block of the shuffle, whatever the number of rows.
+    totals = ordered.groupBy("_part").agg(F.coalesce(F.sum(value), F.lit(0)).cast("long").alias("n"))
+    starts, total = [], 0
+    for row in totals.orderBy("_part").collect():
+        starts.append((row["_part"], total))
+        total += row["n"]
+    shift = df.sparkSession.createDataFrame(starts, "_part int, _start long")
+    before = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum(value).over(before), F.lit(0)).cast("long")
+    return (
+        ordered.join(F.broadcast(shift), "_part")
+        .withColumn(name, F.col("_start") + inside)
+        .drop("_part", "_at", "_start")
+    )
+
+
 def resolve_image_id(
     df: DataFrame,
     id_column: str | None = IMAGE_ID_COLUMNS[0],

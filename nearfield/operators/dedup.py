@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from nearfield.functions.ids import running_before
 from nearfield.schema import require_columns
 
 
@@ -52,15 +53,15 @@ def caption_limit(df: DataFrame, order: Sequence[str], images: int | None) -> Da
 def running_limit(shards: DataFrame, budget: int | None) -> DataFrame:
     """Rows each shard may write under one budget, in shard order.
 
-    ``shards`` holds one row per shard (``shard, n_rows, skipped``), so the running total is over
-    a handful of rows; skipped shards use none of the budget.
+    ``shards`` holds one row per shard (``shard, n_rows, skipped``); skipped shards use none of the
+    budget. The running total is taken in two levels, so any number of shards will do.
     """
     used = F.when(F.col("skipped"), F.lit(0)).otherwise(F.col("n_rows"))
     if budget is None:
         return shards.withColumn("n_write", used)
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.lit(int(budget)) - F.coalesce(F.sum(used).over(before), F.lit(0))
-    return shards.withColumn("n_write", F.greatest(F.lit(0), F.least(used, left)))
+    totals = running_before(shards.withColumn("_used", used), ["shard"], "_used", "_before")
+    left = F.lit(int(budget)) - F.col("_before")
+    return totals.withColumn("n_write", F.greatest(F.lit(0), F.least("_used", left))).drop("_used", "_before")
 
 
 def lookup(df: DataFrame, keys: DataFrame | Sequence, key: str = "id") -> DataFrame:

@@ -12,6 +12,7 @@ from nearfield.functions.ids import image_path, row_index
 from nearfield.functions.labels import strip
 from nearfield.functions.vectors import similarity_score
 from nearfield.operators.knn import nearest
+from nearfield.operators.rerank import join_popular
 from nearfield.session import materialise, short_table
 
 Search = Callable[..., DataFrame]
@@ -117,7 +118,9 @@ def attach_captions(
     )
     lists = first_captions(needed, order, image)
     none = F.array().cast(lists.schema["captions"].dataType)
-    return hits.join(lists, "id", "left").withColumn("captions", F.coalesce("captions", none))
+    # A popular image is hit by many queries: its captions travel to the hits.
+    joined = join_popular(hits, lists, "id", "left")
+    return joined.withColumn("captions", F.coalesce("captions", none))
 
 
 def search_results(

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.functions.ids import caption_id, image_id_of
+from nearfield.functions.ids import caption_id, image_id_of, running_before
 from nearfield.schema import CAPTION_ROW
 from nearfield.session import materialise, short_table
 
@@ -31,11 +31,10 @@ def number_in_file_order(rows: DataFrame) -> DataFrame:
     """
     held = materialise(rows.withColumn("_at", F.monotonically_increasing_id()))
     splits = held.groupBy("_file", "_block").agg(F.count("*").alias("n"), F.min("_at").alias("low"))
-    # One row per split of the input, whatever its size: a running total over a short table.
-    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = splits.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    # One row per split of the input, summed in two levels: no task gets all of them.
+    starts = running_before(splits, ["_file", "_block"], "n", "start").drop("n")
     return (
-        held.join(short_table(starts.drop("n")), ["_file", "_block"])
+        held.join(short_table(starts), ["_file", "_block"])
         .withColumn("index", F.col("start") + F.col("_at") - F.col("low"))
         .drop("_file", "_block", "_at", "low", "start")
     )

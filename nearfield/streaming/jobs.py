@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from nearfield.functions.encoders import Encoder, encode_column
@@ -21,18 +22,30 @@ def stream_ingest(
     content: str,
     dataset_name: str,
     newest: Sequence[Column] = (),
+    version: str | None = None,
     name: str = "ingest",
 ) -> StreamingQuery:
     """Encode arriving ``id, <content>`` rows and upsert them; drains the source, then stops.
 
     Each micro-batch writes one tagged change folder, so a batch that is run again after a
-    failure replaces its own output.
+    failure replaces its own output. ``newest`` picks among rows of one batch. ``version`` names a
+    column that orders the rows of an id over the whole stream: its state keeps the newest encoded
+    row of each id, so a late row with an older version changes nothing, whichever batch it comes
+    with. Rows of equal version are ordered by their other columns.
     """
 
+    if version is not None:
+        # Encoded first, so that the state holds vectors of fixed width and no contents.
+        encoded = encode_column(rows, content, encoder).drop(content)
+        others = [c for c in encoded.columns if c not in ("id", version)]
+        latest = encoded.groupBy("id").agg(F.max(F.struct(version, *others)).alias("row"))
+        rows = latest.select("id", "row.*")
+
     def write(batch: DataFrame, epoch: int) -> None:
-        encoded = encode_column(batch, content, encoder).drop(content)
+        if version is None:
+            batch = encode_column(batch, content, encoder).drop(content)
         store.add(
-            encoded,
+            batch,
             model_name=encoder.name,
             dataset_name=dataset_name,
             newest=newest,
@@ -41,6 +54,7 @@ def stream_ingest(
 
     return (
         rows.writeStream.foreachBatch(write)
+        .outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
