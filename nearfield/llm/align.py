@@ -43,7 +43,7 @@ from nearfield.llm.vocab import (
 BYTE_TOKENIZER = f"{FOLDER}/byte_bpe_50k.json"
 PIECE_TOKENIZER = f"{FOLDER}/piece_bpe_32k.model"
 # Tokens that are joined at a time, different pairs that a task gathers, and pairs of one file.
-SLICE_TOKENS = 1 << 18
+SLICE_TOKENS = 1 << 17
 GATHERED_PAIRS = 500_000
 SHARD_PAIRS = 2_000_000
 # Stretches that a worker remembers.
@@ -229,6 +229,20 @@ def joined(a: pa.Array, b: pa.Array, a_bytes: pa.Array, b_bytes: pa.Array) -> Jo
     return Joined(links, sides)
 
 
+# What may follow an id in the text of a document's groups.
+MARKS = (",", "|", ";", "")
+_known_decimals: list[pa.Array] = []
+
+
+def _decimals(most: int) -> pa.Array:
+    """Decimal ids below ``most`` (at least), each with every mark behind it; kept by the worker."""
+    if not _known_decimals or len(_known_decimals[0]) < most * len(MARKS):
+        room = 1 << most.bit_length()
+        made = pa.array([f"{i}{m}" for i in range(room) for m in MARKS], pa.large_string())
+        _known_decimals[:] = [made]
+    return _known_decimals[0]
+
+
 def group_texts(rows: int, part: Joined) -> pa.Array:
     """Per document ``a1,a2|b1;a3|b2,b3``: the ids of each group, in order; without tokens empty."""
     links = part.links
@@ -246,16 +260,14 @@ def group_texts(rows: int, part: Joined) -> pa.Array:
     order = np.empty(total, np.int64)
     order[place_a] = np.arange(len(place_a))
     order[place_b] = len(place_a) + np.arange(len(place_b))
-    names = pa.concat_arrays([t[k].combine_chunks() for t, k in zip(part.sides, "ab", strict=True)])
-    names = names.take(pa.array(order)).cast(pa.large_string())
+    ids = np.concatenate([t[k].to_numpy() for t, k in zip(part.sides, "ab", strict=True)])[order]
     mark = np.zeros(total, np.int64)  # the character behind a token
     mark[upto[0] + (upto[1] - size[1]) - 1] = 1
     mark[upto[0] + upto[1] - 1] = 2
     last = shared_ends >> 40
     closing = np.append(last[1:] != last[:-1], True) if len(last) else last.astype(bool)
     mark[(upto[0] + upto[1] - 1)[closing]] = 3
-    marks = pa.array([",", "|", ";", ""], pa.large_string()).take(pa.array(mark))
-    words = pc.binary_join_element_wise(names, marks, pa.scalar("", pa.large_string()))
+    words = _decimals(int(ids.max(initial=0)) + 1).take(pa.array(len(MARKS) * ids.astype(np.int64) + mark))
     docs = np.concatenate([t["doc"].to_numpy() for t in part.sides])
     bounds = np.concatenate([[0], np.cumsum(np.bincount(docs, minlength=rows))])
     assert both.sum() == len(shared_ends)
