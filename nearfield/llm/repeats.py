@@ -11,6 +11,8 @@ whole corpus never meet in one place; four steps bring together only those that
    meet in one bucket, where an enhanced suffix array is built over them. One stack scan finds the
    intervals of common prefixes; those whose occurrences differ in the byte before are the maximal
    repeats. In each interval every occurrence but the earliest loses, once, at its longest match.
+   An anchor with more contents than a bucket should hold (a passage that very many texts share, in
+   different surroundings) is settled by the digests of its windows instead, spread over all tasks.
 4. The covered places of a document are merged and cut out of its text.
 """
 
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +32,12 @@ from nearfield.llm.common import small, written
 
 LENGTH = 100
 ANCHOR = 48
-# Bytes of segments whose suffixes are sorted together; a bucket is never less than one anchor.
+# Bytes of segments whose suffixes are sorted together.
 BUCKET_BYTES = 1 << 20
+# Bytes of different contents from which on an anchor is crowded: its windows are compared by digest.
+CROWDED_BYTES = BUCKET_BYTES // 4
+# Text bytes that are cut into segments at a time.
+CUT_BYTES = 2 << 20
 # Rows of a helper table that are still sent to every executor.
 BROADCAST_ROWS = 1_500_000
 # Long texts are cut into segments block by block.
@@ -119,54 +126,75 @@ _ROWS = "anchor bigint, content bigint, doc bigint, tie bigint, place bigint, st
 _UNIQUE, _GONE = 0, 1  # states; from 2 on: needs its text even when alone
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Rows of a batch with some ``CUT_BYTES`` of text at a time."""
+    raw = batch.column("text").cast(pa.binary())
+    begin = size = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(raw), 0).to_pylist()):
+        size += n
+        if size >= CUT_BYTES or i + 1 == len(raw):
+            part = batch.slice(begin, i + 1 - begin)
+            yield part, _bodies(part.column("text"))
+            begin, size = i + 1, 0
+
+
 def _cut(length: int, anchor: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs = batch.column("doc").to_numpy()
-            ties = batch.column("tie").to_numpy()
-            parts = []
-            for doc, tie, body in zip(docs, ties, _bodies(batch.column("text")), strict=True):
-                anchors, contents, start, count, inside = segments(body, length, anchor)
-                if len(start):
-                    place = (start << 32) | count
-                    parts.append((anchors, contents, np.full(len(start), doc), np.full(len(start), tie), place, inside))
-            if not parts:
-                continue
-            anchors, contents, doc, tie, place, inside = (
-                np.concatenate(p) for p in zip(*parts, strict=True)
-            )
-            state = np.where(inside, 2, _UNIQUE).astype(np.int32)
-            # Equal segments of one batch: all but the first are settled here, so a crowded one
-            # reaches its group once per batch. Settled rows travel under keys of their own.
-            both = anchors ^ _mix(contents)
-            order = np.argsort(both, kind="stable")
-            same = both[order][1:] == both[order][:-1]
-            crowd = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-            if len(crowd):
-                crowd = crowd[np.lexsort((place[crowd], tie[crowd], doc[crowd], contents[crowd], anchors[crowd]))]
-                again = (anchors[crowd][1:] == anchors[crowd][:-1]) & (contents[crowd][1:] == contents[crowd][:-1])
-                # Rows of one document and place are one segment, however often they are read.
-                head = np.maximum.accumulate(np.where(np.concatenate([[False], again]), 0, np.arange(len(crowd))))
-                lead = crowd[head]
-                other = (doc[lead] != doc[crowd]) | (tie[lead] != tie[crowd]) | (place[lead] != place[crowd])
-                gone = crowd[other]
-                state[gone] = _GONE
-                anchors[gone] = _mix(doc[gone].view(_U) * _M2 + place[gone].view(_U))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(anchors.view(np.int64)),
-                    pa.array(contents.view(np.int64)),
-                    pa.array(doc),
-                    pa.array(tie),
-                    pa.array(place),
-                    pa.array(state),
-                ],
-                ["anchor", "content", "doc", "tie", "place", "state"],
-            )
+            for part, bodies in _runs(batch):
+                found = _segments_of(part, bodies, length, anchor)
+                if found is not None:
+                    yield found
 
     return cut
 
 
+def _segments_of(batch: pa.RecordBatch, bodies: list[bytes], length: int, anchor: int):
+    docs = batch.column("doc").to_numpy()
+    ties = batch.column("tie").to_numpy()
+    parts = []
+    for doc, tie, body in zip(docs, ties, bodies, strict=True):
+        anchors, contents, start, count, inside = segments(body, length, anchor)
+        if len(start):
+            place = (start << 32) | count
+            parts.append((anchors, contents, np.full(len(start), doc), np.full(len(start), tie), place, inside))
+    if not parts:
+        return None
+    anchors, contents, doc, tie, place, inside = (np.concatenate(p) for p in zip(*parts, strict=True))
+    state = np.where(inside, 2, _UNIQUE).astype(np.int32)
+    # Equal segments of one run: all but the first are settled here, so a crowded one reaches its
+    # group once per run. Settled rows travel under keys of their own.
+    gone = _later((anchors, contents), (doc, tie, place))
+    state[gone] = _GONE
+    anchors[gone] = _mix(doc[gone].view(_U) * _M2 + place[gone].view(_U))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(anchors.view(np.int64)),
+            pa.array(contents.view(np.int64)),
+            pa.array(doc),
+            pa.array(tie),
+            pa.array(place),
+            pa.array(state),
+        ],
+        ["anchor", "content", "doc", "tie", "place", "state"],
+    )
+
+
+def _later(key: tuple[np.ndarray, np.ndarray], order: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Rows whose two-part key an earlier row has; rows that agree in all columns are one."""
+    both = key[0] ^ _mix(key[1])
+    by_key = np.argsort(both, kind="stable")
+    same = both[by_key][1:] == both[by_key][:-1]
+    crowd = by_key[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+    if not len(crowd):
+        return crowd
+    crowd = crowd[np.lexsort((*[c[crowd] for c in order[::-1]], key[1][crowd], key[0][crowd]))]
+    again = (key[0][crowd][1:] == key[0][crowd][:-1]) & (key[1][crowd][1:] == key[1][crowd][:-1])
+    head = np.maximum.accumulate(np.where(np.concatenate([[False], again]), 0, np.arange(len(crowd))))
+    lead = crowd[head]
+    return crowd[np.any([c[lead] != c[crowd] for c in order], axis=0)]
+
+
 def settled(rows: DataFrame) -> DataFrame:
     """Rows that matter: ``whole`` (repeated as a whole) or to be compared by their texts."""
     first = Window.partitionBy("anchor", "content").orderBy("doc", "tie", "place")
@@ -321,12 +349,8 @@ def _grouped(rows: pa.Table) -> pa.Table:
     return table.filter(pa.array(new))
 
 
-def _repeating_parts(bodies: list[bytes], length: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The parts of contents that hold windows found twice in the bucket, by window digests.
-
-    Returns the parts, the contents they come from and where they start in them. Windows outside
-    the parts are found once only, so no repeat can reach beyond a part.
-    """
+def _window_digests(bodies: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window of each content: the content, the window's digest and its place there."""
     sizes = np.array([len(b) for b in bodies])
     whole = np.frombuffer(b"".join(bodies), np.uint8).astype(_U) + _U(1)
     n = len(whole)
@@ -337,18 +361,28 @@ def _repeating_parts(bodies: list[bytes], length: int) -> tuple[list[bytes], np.
     owner = np.repeat(np.arange(len(bodies)), sizes - length + 1)
     windows = np.arange(len(owner)) + owner * (length - 1)  # places of windows in the whole
     digest = _mix((sums[windows + length] - sums[windows]) * inverse[windows])
+    return owner, digest, windows - firsts[owner]
+
+
+def _repeating_parts(bodies: list[bytes], length: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The parts of contents that hold windows found twice in the bucket, by window digests.
+
+    Returns the parts, the contents they come from and where they start in them. Windows outside
+    the parts are found once only, so no repeat can reach beyond a part.
+    """
+    owner, digest, offset = _window_digests(bodies, length)
     ordered = np.sort(digest)
     twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
     if not len(twice):
         return [], owner[:0], owner[:0]
     at = np.minimum(np.searchsorted(twice, digest), len(twice) - 1)
     repeated = np.flatnonzero(twice[at] == digest)
-    owner, places = owner[repeated], windows[repeated]
+    owner, places = owner[repeated], offset[repeated]
     # One part from the first to the last such window of a content.
     begin = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
     end = np.concatenate([begin[1:], [len(owner)]]) - 1
     owner = owner[begin]
-    start, stop = places[begin] - firsts[owner], places[end] - firsts[owner] + length
+    start, stop = places[begin], places[end] + length
     parts = [bodies[k][a:b] for k, a, b in zip(owner.tolist(), start.tolist(), stop.tolist(), strict=True)]
     return parts, owner, start
 
@@ -387,6 +421,60 @@ def _covered(length: int):
     return covered
 
 
+_WINDOWS = "anchor bigint, window bigint, doc bigint, tie bigint, start int, gone boolean"
+
+
+def _windows(length: int):
+    """Digests of all windows of contents; those with an earlier equal in the batch are settled."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = batch.column("body").to_pylist()
+            if not bodies:
+                continue
+            row, digest, offset = _window_digests(bodies, length)
+            anchor, doc, tie, start = (batch.column(c).to_numpy()[row] for c in ("anchor", "doc", "tie", "start"))
+            start = start + offset
+            gone = np.zeros(len(row), bool)
+            gone[_later((anchor.view(_U), digest), (doc, tie, start))] = True
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(anchor),
+                    pa.array(digest.view(np.int64)),
+                    pa.array(doc),
+                    pa.array(tie),
+                    pa.array(start.astype(np.int32)),
+                    pa.array(gone),
+                ],
+                ["anchor", "window", "doc", "tie", "start", "gone"],
+            )
+
+    return windows
+
+
+def crowded_spans(contents: DataFrame, length: int) -> DataFrame:
+    """Spans of contents of crowded anchors: every window but the earliest of its kind goes.
+
+    Windows are grouped by anchor and digest, so an anchor's contents never meet in one task; a
+    window that many contents share reaches its group once per batch.
+    """
+    windows = written(contents.mapInArrow(_windows(length), _WINDOWS), "repeat-windows")
+    place = F.struct("doc", "tie", "start")
+    first = (
+        windows.where("NOT gone")
+        .groupBy("anchor", "window")
+        .agg(F.min(place).alias("first"), F.max(place).alias("last"))
+        .where(F.col("first") != F.col("last"))
+        .drop("last")
+    )
+    later = windows.where("NOT gone").join(first, ["anchor", "window"]).where(place != F.col("first"))
+    return (
+        windows.where("gone").select("doc", "tie", "start")
+        .unionByName(later.select("doc", "tie", "start"))
+        .withColumn("stop", (F.col("start") + length).cast("int"))
+    )
+
+
 def _bodies_of_segments(length: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -464,26 +552,39 @@ def removed_spans(
     cut = single.select("doc", "tie", "text").mapInArrow(_cut(length, anchor), _ROWS)
     marks = written(settled(cut), "repeat-marks")
 
-    open_parts = marks.where("NOT whole")
+    size = F.col("count") + length - 1
+    every = marks.where("NOT whole")
+    crowded = written(
+        every.groupBy("anchor").agg(F.sum(size).alias("bytes")).where(F.col("bytes") > CROWDED_BYTES).select("anchor"),
+        "repeat-crowded",
+    )
+    hot = not crowded.isEmpty()
+    open_parts = every.join(small(crowded, BROADCAST_ROWS), "anchor", "left_anti") if hot else every
+
+    def contents_of(chosen: DataFrame, rows_most: int) -> DataFrame:
+        parts = written(
+            chosen.groupBy("doc", "tie").agg(F.collect_list(F.struct("anchor", "start", "count")).alias("parts")),
+            "repeat-parts",
+        )
+        hint = F.broadcast(parts) if rows_most <= BROADCAST_ROWS else parts
+        return (
+            single.select("doc", "tie", "text")
+            .join(hint, ["doc", "tie"])
+            .mapInArrow(_bodies_of_segments(length), _CONTENTS)
+        )
+
     open_bytes = open_parts.agg(
-        F.coalesce(F.sum(F.col("count") + length - 1), F.lit(0)).alias("bytes"), F.count("doc").alias("rows")
+        F.coalesce(F.sum(size), F.lit(0)).alias("bytes"), F.count("doc").alias("rows")
     ).first()
     buckets = max(1, math.ceil(open_bytes["bytes"] / BUCKET_BYTES))
-    parts = written(
-        open_parts.groupBy("doc", "tie").agg(
-            F.collect_list(F.struct("anchor", "start", "count")).alias("parts")
-        ),
-        "repeat-parts",
-    )
-    hint = F.broadcast(parts) if open_bytes["rows"] <= BROADCAST_ROWS else parts
-    contents = (
-        single.select("doc", "tie", "text")
-        .join(hint, ["doc", "tie"])
-        .mapInArrow(_bodies_of_segments(length), _CONTENTS)
-        .withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)).cast("int"))
+    contents = contents_of(open_parts, open_bytes["rows"]).withColumn(
+        "bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)).cast("int")
     )
     # The same anchor only: others of the bucket differ in their anchors, hence in every window.
     found = contents.groupBy("bucket").applyInArrow(_covered(length), _SPANS)
+    if hot:
+        theirs = every.join(small(crowded, BROADCAST_ROWS), "anchor", "left_semi")
+        found = found.unionByName(crowded_spans(contents_of(theirs, theirs.count()), length))
     spans = (
         marks.where("whole")
         .select("doc", "tie", "start", (F.col("start") + F.col("count") + length - 1).alias("stop"))

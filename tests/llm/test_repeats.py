@@ -129,3 +129,25 @@ def test_maximal_repeats(letters):
         if n >= 3:
             wanted |= set(range(p, p + n))
     assert covered == wanted
+
+
+def test_a_passage_in_a_third_of_the_texts(make_docs, prose, monkeypatch):
+    """Its ends give anchors with a content per text: settled by windows, whatever their number."""
+    monkeypatch.setattr(repeats, "CROWDED_BYTES", 2_000)
+    passage = prose(60, 77)
+    rows = [
+        (i, prose(12, i) + (passage[i % 5 :] if i % 3 == 0 else "") + prose(12, i + 5000))
+        for i in range(240)
+    ]
+    rows += [(300, rows[3][1]), (301, passage), (302, passage + passage)]
+    assert figures(make_docs(rows, parts=6)) == brute.repeated_bytes(rows)
+
+
+@pytest.mark.parametrize("crowded", [0, 300])
+def test_windows_settle_like_suffix_arrays(make_docs, prose, monkeypatch, crowded):
+    monkeypatch.setattr(repeats, "CROWDED_BYTES", crowded)
+    monkeypatch.setattr(repeats, "CUT_BYTES", 3_000)
+    draw = random.Random(crowded)
+    pieces = ["".join(draw.choices("ab", k=draw.randint(30, 160))) for _ in range(5)] + [prose(30, 3)]
+    rows = [(i, "".join(draw.choices(pieces, k=draw.randint(1, 6)))) for i in range(60)]
+    assert figures(make_docs(rows, parts=4)) == brute.repeated_bytes(rows)
