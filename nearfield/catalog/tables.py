@@ -15,7 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearfield.catalog.base import elements, gallery, query, scratch, table
-from nearfield.functions.ids import image_path, prompt_prefix, resolve_image_id, row_index
+from nearfield.functions.ids import (
+    image_path,
+    prompt_prefix,
+    resolve_image_id,
+    row_index,
+    running_before,
+)
 from nearfield.functions.labels import (
     label_set,
     normalize_label,
@@ -53,6 +59,7 @@ from nearfield.sources.embeddings import project_relevance, read_split
 from nearfield.sources.images import get_dataset, image_rows, image_rows_by_name
 from nearfield.sources.shards import (
     checked_pairs,
+    npy_manifest,
     convert_rows,
     convert_shards,
     pair_shards,
@@ -726,29 +733,24 @@ def write_shards(spark: SparkSession, sf: str) -> tuple[str, str, list[str]]:
 
 
 SHARD_SQL = """SELECT 'img/' || vec_id || '.jpg' AS id, 'img/' || vec_id || '.jpg' AS image_path,
-  'm' AS model_name, 'd' AS dataset_name, round(CAST(embedding[1] AS DOUBLE), 6) AS first_value,
-  round(CAST(embedding[64] AS DOUBLE), 6) AS last_value FROM embeddings"""
-
-
-def ends(rows: DataFrame) -> DataFrame:
-    return rows.select(
-        "id",
-        "image_path",
-        "model_name",
-        "dataset_name",
-        F.round(F.col("embedding")[0].cast("double"), 6).alias("first_value"),
-        F.round(F.col("embedding")[63].cast("double"), 6).alias("last_value"),
-    )
+  'm' AS model_name, 'd' AS dataset_name, CAST(pos - 1 AS INTEGER) AS pos,
+  round(CAST(x AS DOUBLE), 6) AS value
+  FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings)"""
 
 
 @query(
     "read_npy_shards",
-    """SELECT CAST(pos - 1 AS INTEGER) AS pos, round(CAST(x AS DOUBLE), 6) AS value FROM
-       (SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings)""",
+    """SELECT row, CAST(pos - 1 AS INTEGER) AS pos, round(CAST(x AS DOUBLE), 6) AS value FROM
+       (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row, embedding FROM embeddings) r,
+       LATERAL (SELECT unnest(r.embedding) AS x, generate_subscripts(r.embedding, 1) AS pos)""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Every element under the row of the whole table: the rows of earlier files, then those before it."""
     _, _, paths = write_shards(spark, sf)
-    return elements(read_npy_shards(spark, paths, 100), "row_pos").select("pos", "value")
+    files = npy_manifest(spark.createDataFrame([(p,) for p in paths], "path string"))
+    starts = running_before(files, ["path"], "rows", "start").select("path", "start")
+    rows = read_npy_shards(spark, paths, 100).join(F.broadcast(starts), "path")
+    return elements(rows.withColumn("row", F.col("start") + F.col("row_pos")), "row")
 
 
 @query("convert_shards", SHARD_SQL)
@@ -757,7 +759,10 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     whole = convert_shards(
         spark, meta, vectors, scratch(spark, "out"), model_name="m", dataset_name="d"
     )
-    return ends(whole)
+    names = ["id", "image_path", "model_name", "dataset_name"]
+    return whole.select(*names, F.posexplode("embedding").alias("pos", "value")).withColumn(
+        "value", F.round(F.col("value").cast("double"), 6)
+    )
 
 
 @query(

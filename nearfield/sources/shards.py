@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,11 +13,25 @@ import pyarrow.parquet as pq
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    LessThan,
+    LessThanOrEqual,
+)
 
 from nearfield.operators.dedup import running_limit
+from nearfield.session import materialise
 
 ROWS_PER_PARTITION = 262_144
+# Headers that one task reads.
+HEADERS_PER_TASK = 64
 ROWS_PER_BATCH = 4096
 
 
@@ -47,7 +62,10 @@ class _RowRange(InputPartition):
 
 
 class NpySource(DataSource):
-    """``spark.read.format("npy").option("paths", "a.npy\\nb.npy")``: one task per row range."""
+    """``spark.read.format("npy")``: matrix files listed with their rows, one task per row range.
+
+    The option ``manifest`` has a line ``path<tab>rows`` per file, as ``read_npy_shards`` makes it.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -61,18 +79,39 @@ class NpySource(DataSource):
 
 
 class _NpyReader(DataSourceReader):
+    """Filters on path and row position decide which ranges are read at all."""
+
     def __init__(self, options) -> None:
-        self.paths = [p for p in options.get("paths", "").split("\n") if p]
+        lines = [line.split("\t") for line in options.get("manifest", "").split("\n") if line]
+        self.files = [(path, int(rows)) for path, rows in lines]
         self.rows = int(options.get("rowsPerPartition", ROWS_PER_PARTITION))
+        self.low, self.high = 0, None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802 (Spark's name)
+        for item in filters:
+            if not self._taken(item):
+                yield item
+
+    def _taken(self, item: Filter) -> bool:
+        name, value = getattr(item, "attribute", ()), getattr(item, "value", None)
+        if name == ("path",) and isinstance(item, (EqualTo, In)):
+            wanted = {value} if isinstance(item, EqualTo) else set(value)
+            self.files = [f for f in self.files if f[0] in wanted]
+            return True
+        if name != ("row_pos",) or not isinstance(value, int):
+            return False
+        if isinstance(item, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+            self.low = max(self.low, value + isinstance(item, GreaterThan))
+        if isinstance(item, (EqualTo, LessThan, LessThanOrEqual)):
+            stop = value + (not isinstance(item, LessThan))
+            self.high = stop if self.high is None else min(self.high, stop)
+        return isinstance(item, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual))
 
     def partitions(self) -> list[InputPartition]:
         ranges: list[InputPartition] = []
-        for path in self.paths:
-            with _open(path) as handle:
-                (total, _), _, _ = _npy_header(handle)
-            ranges += [
-                _RowRange(path, at, min(at + self.rows, total)) for at in range(0, total, self.rows)
-            ]
+        for path, total in self.files:
+            stop = total if self.high is None else min(total, self.high)
+            ranges += [_RowRange(path, at, min(at + self.rows, stop)) for at in range(self.low, stop, self.rows)]
         return ranges or [_RowRange("", 0, 0)]
 
     def read(self, partition: _RowRange) -> Iterator[pa.RecordBatch]:
@@ -89,72 +128,100 @@ class _NpyReader(DataSourceReader):
             at += rows
 
 
+def npy_manifest(files: DataFrame) -> DataFrame:
+    """``path, rows`` of matrix files, from headers that tasks read."""
+
+    def headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path in batch["path"].to_pylist():
+                with _open(path) as handle:
+                    rows.append(_npy_header(handle)[0][0])
+            yield pa.RecordBatch.from_arrays([batch["path"], pa.array(rows, pa.int64())], ["path", "rows"])
+
+    return _dealt(files.select("path"), HEADERS_PER_TASK).mapInArrow(headers, "path string, rows bigint")
+
+
+def _dealt(listing: DataFrame, each: int) -> DataFrame:
+    """A listing over so many tasks that each gets about ``each`` of its rows."""
+    return listing.repartition(max(1, math.ceil(listing.count() / each)))
+
+
 def read_npy_shards(spark: SparkSession, paths: list[str], rows_per_partition: int | None = None):
+    """``path, row_pos, embedding`` of matrix files; filters on path and position skip what they can."""
     spark.dataSource.register(NpySource)
-    reader = spark.read.format("npy").option("paths", "\n".join(paths))
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    listed = npy_manifest(spark.createDataFrame([(p,) for p in paths], "path string"))
+    rows = {r["path"]: r["rows"] for r in listed.collect()}
+    reader = spark.read.format("npy").option("manifest", "\n".join(f"{p}\t{rows[p]}" for p in paths))
     if rows_per_partition:
         reader = reader.option("rowsPerPartition", str(rows_per_partition))
     return reader.load()
 
 
-@dataclass
-class _ZipRange(InputPartition):
-    shard: int
-    meta_path: str
-    npy_path: str
-    start: int
-    stop: int
-
-
-class ZippedShards(DataSource):
-    """Metadata rows next to their matrix rows: each task reads one row range of both files.
-
-    Row i belongs to row i, so nothing has to be joined or shuffled.
-    """
+def shard_sizes(pairs: DataFrame) -> DataFrame:
+    """Pairs with ``n_rows`` and ``n_vectors``, from headers that tasks read."""
 
-    @classmethod
-    def name(cls) -> str:
-        return "zipped_shards"
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, vectors = [], []
+            for meta, npy in zip(batch["meta_path"].to_pylist(), batch["npy_path"].to_pylist(), strict=True):
+                with _open(meta) as left, _open(npy) as right:
+                    rows.append(pq.ParquetFile(left).metadata.num_rows)
+                    vectors.append(_npy_header(right)[0][0])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(rows, pa.int64()), pa.array(vectors, pa.int64())],
+                [*batch.schema.names, "n_rows", "n_vectors"],
+            )
 
-    def schema(self) -> str:
-        return "shard bigint, row_pos bigint, image_path string, embedding array<float>"
+    listed = _dealt(pairs.select("shard", "meta_path", "npy_path"), HEADERS_PER_TASK)
+    return listed.mapInArrow(
+        sizes, "shard bigint, meta_path string, npy_path string, n_rows bigint, n_vectors bigint"
+    )
 
-    def reader(self, schema) -> DataSourceReader:
-        return _ZipReader(self.options)
 
+def zipped_rows(quotas: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
+    """Metadata rows next to their matrix rows: ``shard, row_pos, image_path, embedding``.
 
-class _ZipReader(DataSourceReader):
-    def __init__(self, options) -> None:
-        # Options keep strings only: one line per shard.
-        lines = [line.split("\t") for line in options.get("pairs", "").split("\n") if line]
-        self.pairs = [(int(n), meta, npy, int(rows)) for n, meta, npy, rows in lines]
-        self.rows = int(options.get("rowsPerPartition", ROWS_PER_PARTITION))
+    ``quotas`` names both files of a shard and how many rows to take (``n_write``). Each task reads
+    row ranges of both files: row i belongs to row i, so nothing is joined or shuffled but ranges.
+    """
+    each = F.lit(int(rows_per_partition))
+    ranges = quotas.where("n_write > 0").select(
+        "shard",
+        "meta_path",
+        "npy_path",
+        "n_write",
+        F.explode(F.sequence(F.lit(0), F.floor((F.col("n_write") - 1) / each))).alias("range"),
+    )
+    ranges = ranges.select(
+        "shard",
+        "meta_path",
+        "npy_path",
+        (F.col("range") * each).alias("start"),
+        F.least((F.col("range") + 1) * each, "n_write").alias("stop"),
+    )
 
-    def partitions(self) -> list[InputPartition]:
-        ranges: list[InputPartition] = [
-            _ZipRange(shard, meta, npy, at, min(at + self.rows, total))
-            for shard, meta, npy, total in self.pairs
-            for at in range(0, total, self.rows)
-        ]
-        return ranges or [_ZipRange(0, "", "", 0, 0)]
-
-    def read(self, partition: _ZipRange) -> Iterator[pa.RecordBatch]:
-        if partition.start >= partition.stop:
-            return
-        names = _column_range(partition.meta_path, "image_path", partition.start, partition.stop)
-        matrix = _row_range(partition.npy_path, partition.start, partition.stop)
-        at = partition.start
-        for name, vectors in _in_step(names, matrix):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(len(name), partition.shard, np.int64)),
-                    pa.array(np.arange(at, at + len(name), dtype=np.int64)),
-                    name,
-                    vectors,
-                ],
-                names=["shard", "row_pos", "image_path", "embedding"],
-            )
-            at += len(name)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                names = _column_range(row["meta_path"], "image_path", row["start"], row["stop"])
+                matrix = _row_range(row["npy_path"], row["start"], row["stop"])
+                at = row["start"]
+                for name, vectors in _in_step(names, matrix):
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(len(name), row["shard"], np.int64)),
+                            pa.array(np.arange(at, at + len(name), dtype=np.int64)),
+                            name,
+                            vectors,
+                        ],
+                        names=["shard", "row_pos", "image_path", "embedding"],
+                    )
+                    at += len(name)
+
+    schema = "shard bigint, row_pos bigint, image_path string, embedding array<float>"
+    return _dealt(ranges, 1).mapInArrow(read, schema)
 
 
 def _in_step(names: Iterator[pa.Array], matrix: Iterator[pa.Array]):
@@ -195,12 +262,6 @@ def _column_range(path: str, column: str, start: int, stop: int) -> Iterator[pa.
             first += rows
 
 
-def shard_sizes(row: dict) -> tuple[int, int]:
-    """Rows of both files of a shard, from their headers."""
-    with _open(row["meta_path"]) as meta, _open(row["npy_path"]) as npy:
-        return pq.ParquetFile(meta).metadata.num_rows, _npy_header(npy)[0][0]
-
-
 def read_half_parquet(files: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Parquet files whose vectors are float16, which Spark's own reader refuses.
 
@@ -348,26 +409,19 @@ def convert_shards(
         except Exception as error:
             if "PATH_NOT_FOUND" not in str(error):
                 raise
-    # The listing is one row per file pair, and only headers are read here.
-    listed = [row.asDict() for row in pairs.orderBy("shard").collect()]
-    sizes = []
-    for row in listed:
-        n_rows, n_vectors = shard_sizes(row)
-        skipped = row["shard"] in done
-        if n_rows != n_vectors and not skipped:
-            raise ValueError(
-                f"Shard size mismatch: {row['meta_path']} has {n_rows} rows,"
-                f" {row['npy_path']} has {n_vectors}"
-            )
-        sizes.append((row["shard"], n_rows, skipped))
-    counts = spark.createDataFrame(sizes, "shard bigint, n_rows bigint, skipped boolean")
-    quota = {r["shard"]: r["n_write"] for r in running_limit(counts, budget).collect()}
-    lines = [
-        f"{row['shard']}\t{row['meta_path']}\t{row['npy_path']}\t{quota[row['shard']]}"
-        for row in listed
-    ]
-    spark.dataSource.register(ZippedShards)
-    zipped = spark.read.format("zipped_shards").option("pairs", "\n".join(lines)).load()
+    marks = spark.createDataFrame([(n,) for n in sorted(done)], "shard bigint")
+    sized = materialise(
+        shard_sizes(pairs).join(F.broadcast(marks.withColumn("skipped", F.lit(True))), "shard", "left")
+        .withColumn("skipped", F.coalesce("skipped", F.lit(False)))
+    )
+    uneven = sized.where("n_rows <> n_vectors and not skipped").head(1)
+    if uneven:
+        row = uneven[0]
+        raise ValueError(
+            f"Shard size mismatch: {row['meta_path']} has {row['n_rows']} rows,"
+            f" {row['npy_path']} has {row['n_vectors']}"
+        )
+    zipped = zipped_rows(running_limit(sized, budget))
     rows = embedding_rows(zipped, model_name, dataset_name)
     (
         rows.write.mode("overwrite" if overwrite else "append")
