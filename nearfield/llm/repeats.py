@@ -33,9 +33,9 @@ from nearfield.llm.common import small, written
 LENGTH = 100
 ANCHOR = 48
 # Bytes of segments whose suffixes are sorted together.
-BUCKET_BYTES = 1 << 20
+BUCKET_BYTES = 1 << 18
 # Bytes of different contents from which on an anchor is crowded: its windows are compared by digest.
-CROWDED_BYTES = BUCKET_BYTES // 4
+CROWDED_BYTES = BUCKET_BYTES // 2
 # Text bytes that are cut into segments at a time.
 CUT_BYTES = 2 << 20
 # Rows of a helper table that are still sent to every executor.
@@ -126,15 +126,17 @@ _ROWS = "anchor bigint, content bigint, doc bigint, tie bigint, place bigint, st
 _UNIQUE, _GONE = 0, 1  # states; from 2 on: needs its text even when alone
 
 
-def _runs(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Rows of a batch with some ``CUT_BYTES`` of text at a time."""
-    raw = batch.column("text").cast(pa.binary())
+def _runs(
+    batch: pa.RecordBatch, name: str = "text", most: int = CUT_BYTES
+) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Rows of a batch with some ``most`` bytes of the named column at a time."""
+    raw = batch.column(name).cast(pa.binary())
     begin = size = 0
     for i, n in enumerate(pc.fill_null(pc.binary_length(raw), 0).to_pylist()):
         size += n
-        if size >= CUT_BYTES or i + 1 == len(raw):
+        if size >= most or i + 1 == len(raw):
             part = batch.slice(begin, i + 1 - begin)
-            yield part, _bodies(part.column("text"))
+            yield part, _bodies(part.column(name))
             begin, size = i + 1, 0
 
 
@@ -228,13 +230,13 @@ class Suffixes:
     def __init__(self, contents: list[bytes], least: int):
         sizes = np.array([len(c) for c in contents])
         self.firsts = np.cumsum(sizes) - sizes
-        symbols = np.frombuffer(b"".join(contents), np.uint8).astype(np.int64) + 1
+        symbols = np.frombuffer(b"".join(contents), np.uint8).astype(np.int16) + 1
         n = len(symbols)
         self.symbols = symbols
         self.owner = np.repeat(np.arange(len(contents)), sizes)
         self.left = (self.firsts + sizes)[self.owner] - np.arange(n)  # bytes up to the end
         key = np.zeros(n, np.int64)
-        padded = np.concatenate([symbols, np.zeros(7, np.int64)])
+        padded = np.concatenate([symbols, np.zeros(7, np.int16)])
         for i in range(7):
             key = key * 257 + np.where(self.left > i, padded[i : n + i], 0)
         self.levels: list[tuple[int, np.ndarray]] = []
@@ -428,12 +430,9 @@ def _windows(length: int):
     """Digests of all windows of contents; those with an earlier equal in the batch are settled."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bodies = batch.column("body").to_pylist()
-            if not bodies:
-                continue
+        for part, bodies in (run for batch in batches for run in _runs(batch, "body", BUCKET_BYTES)):
             row, digest, offset = _window_digests(bodies, length)
-            anchor, doc, tie, start = (batch.column(c).to_numpy()[row] for c in ("anchor", "doc", "tie", "start"))
+            anchor, doc, tie, start = (part.column(c).to_numpy()[row] for c in ("anchor", "doc", "tie", "start"))
             start = start + offset
             gone = np.zeros(len(row), bool)
             gone[_later((anchor.view(_U), digest), (doc, tie, start))] = True
@@ -477,10 +476,10 @@ def crowded_spans(contents: DataFrame, length: int) -> DataFrame:
 
 def _bodies_of_segments(length: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part, bodies in (run for batch in batches for run in _runs(batch)):
             out = []
-            columns = (batch.column(c).to_pylist() for c in ("doc", "tie", "parts"))
-            for doc, tie, parts, body in zip(*columns, _bodies(batch.column("text")), strict=True):
+            columns = (part.column(c).to_pylist() for c in ("doc", "tie", "parts"))
+            for doc, tie, parts, body in zip(*columns, bodies, strict=True):
                 out += [
                     (p["anchor"], doc, tie, p["start"], body[p["start"] : p["start"] + p["count"] + length - 1])
                     for p in parts
@@ -601,9 +600,9 @@ def removed_spans(
 
 
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for part, bodies in (run for batch in batches for run in _runs(batch)):
         rows = []
-        for body, spans in zip(_bodies(batch.column("text")), batch.column("spans").to_pylist(), strict=True):
+        for body, spans in zip(bodies, part.column("spans").to_pylist(), strict=True):
             kept, at = hashlib.sha256(), 0
             for span in spans or ():
                 kept.update(body[at : span["start"]])
@@ -614,7 +613,7 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
         columns = zip(*rows, strict=True) if rows else [[]] * 4
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *(pa.array(list(c), t) for c, t in zip(columns, types, strict=True))],
+            [part.column("doc_id"), *(pa.array(list(c), t) for c, t in zip(columns, types, strict=True))],
             ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
         )
 
