@@ -423,11 +423,47 @@ def _covered(length: int):
     return covered
 
 
-_WINDOWS = "anchor bigint, window bigint, doc bigint, tie bigint, start int, gone boolean"
+_PARTS = "anchor bigint, doc bigint, tie bigint, start int, stop int, twice boolean, body binary"
+_WINDOWS = "anchor bigint, window bigint, doc bigint, tie bigint, start int, stop int, gone boolean"
+
+
+def _finer(length: int, anchor: int):
+    """Contents cut again by longer anchors; a part with an earlier equal in its run has no body.
+
+    A window that is found twice lies in parts of one longer anchor, and few parts share theirs.
+    """
+
+    def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, bodies in (run for batch in batches for run in _runs(batch, "body", BUCKET_BYTES)):
+            found = [segments(body, length, anchor) for body in bodies]
+            row = np.repeat(np.arange(len(bodies)), [len(f[0]) for f in found])
+            anchors, contents, first, count, twice = (np.concatenate(f) for f in zip(*found, strict=True))
+            doc, tie, start = (batch.column(c).to_numpy()[row] for c in ("doc", "tie", "start"))
+            start, size = start + first, count + length - 1
+            gone = np.zeros(len(row), bool)
+            gone[_later((anchors, contents), (doc, tie, start))] = True
+            parts = [
+                None if g else bodies[k][at : at + n]
+                for k, at, n, g in zip(row.tolist(), first.tolist(), size.tolist(), gone.tolist(), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(anchors.view(np.int64)),
+                    pa.array(doc),
+                    pa.array(tie),
+                    pa.array(start.astype(np.int32)),
+                    pa.array((start + size).astype(np.int32)),
+                    pa.array(twice),
+                    pa.array(parts, pa.binary()),
+                ],
+                ["anchor", "doc", "tie", "start", "stop", "twice", "body"],
+            )
+
+    return finer
 
 
 def _windows(length: int):
-    """Digests of all windows of contents; those with an earlier equal in the batch are settled."""
+    """Digests of all windows of contents. Neighbours with earlier equals in the run are one row."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, bodies in (run for batch in batches for run in _runs(batch, "body", BUCKET_BYTES)):
@@ -436,16 +472,20 @@ def _windows(length: int):
             start = start + offset
             gone = np.zeros(len(row), bool)
             gone[_later((anchor.view(_U), digest), (doc, tie, start))] = True
+            joined = gone[1:] & gone[:-1] & (row[1:] == row[:-1])
+            first = np.flatnonzero(np.concatenate([[True], ~joined]))
+            last = np.concatenate([first[1:] - 1, [len(row) - 1]])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(anchor),
-                    pa.array(digest.view(np.int64)),
-                    pa.array(doc),
-                    pa.array(tie),
-                    pa.array(start.astype(np.int32)),
-                    pa.array(gone),
+                    pa.array(anchor[first]),
+                    pa.array(digest[first].view(np.int64)),
+                    pa.array(doc[first]),
+                    pa.array(tie[first]),
+                    pa.array(start[first].astype(np.int32)),
+                    pa.array((start[last] + length).astype(np.int32)),
+                    pa.array(gone[first]),
                 ],
-                ["anchor", "window", "doc", "tie", "start", "gone"],
+                ["anchor", "window", "doc", "tie", "start", "stop", "gone"],
             )
 
     return windows
@@ -454,10 +494,22 @@ def _windows(length: int):
 def crowded_spans(contents: DataFrame, length: int) -> DataFrame:
     """Spans of contents of crowded anchors: every window but the earliest of its kind goes.
 
-    Windows are grouped by anchor and digest, so an anchor's contents never meet in one task; a
-    window that many contents share reaches its group once per batch.
+    The contents are cut again by anchors longer by three quarters of what a window has beside its
+    anchor; parts that share theirs are compared window by window, grouped by anchor and digest. So
+    an anchor's contents never meet in one task, and what many contents share reaches its group once
+    per run.
     """
-    windows = written(contents.mapInArrow(_windows(length), _WINDOWS), "repeat-windows")
+    longer = length - (length - ANCHOR) // 4 if length > ANCHOR + 4 else length
+    parts = written(contents.mapInArrow(_finer(length, longer), _PARTS), "repeat-finer")
+    anchors = parts.where("body IS NOT NULL").groupBy("anchor")
+    shared = written(
+        anchors.agg(F.count("doc").alias("parts"), F.max("twice").alias("twice"))
+        .where("parts > 1 OR twice")
+        .select("anchor"),
+        "repeat-finer-shared",
+    )
+    rest = parts.where("body IS NOT NULL").join(small(shared, BROADCAST_ROWS), "anchor", "left_semi")
+    windows = written(rest.select("anchor", "doc", "tie", "start", "body").mapInArrow(_windows(length), _WINDOWS), "repeat-windows")
     place = F.struct("doc", "tie", "start")
     first = (
         windows.where("NOT gone")
@@ -467,10 +519,12 @@ def crowded_spans(contents: DataFrame, length: int) -> DataFrame:
         .drop("last")
     )
     later = windows.where("NOT gone").join(first, ["anchor", "window"]).where(place != F.col("first"))
+    columns = ["doc", "tie", "start", "stop"]
     return (
-        windows.where("gone").select("doc", "tie", "start")
-        .unionByName(later.select("doc", "tie", "start"))
-        .withColumn("stop", (F.col("start") + length).cast("int"))
+        parts.where("body IS NULL")
+        .select(*columns)
+        .unionByName(windows.where("gone").select(*columns))
+        .unionByName(later.select(*columns))
     )
 
 
