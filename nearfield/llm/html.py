@@ -15,6 +15,7 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
 from html import escape
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 
 # Pages the model is fitted on: those with the smallest digests.
 TRAIN_PAGES = 300
+# Bytes of these pages in all; one that does not fit is passed over.
+TRAIN_BYTES = 32 << 20
 LAYOUTS = 3
 SPACE = 1 << 13
 STEPS = 250
@@ -44,16 +47,26 @@ INLINE = frozenset(
     " ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 CONTROLS = frozenset("input button select textarea option fieldset legend".split())
-# Start tags that end an open element of these kinds, up to the given boundary.
-CLOSES = {
-    "li": ({"li"}, {"ul", "ol", "menu"}),
-    "dt": ({"dt", "dd"}, {"dl"}),
-    "dd": ({"dt", "dd"}, {"dl"}),
-    "tr": ({"tr", "td", "th"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
-    "option": ({"option"}, {"select"}),
-}
+# What may stand in a head; any other start tag ends an open one.
+IN_HEAD = frozenset("title base link meta style script noscript template".split())
+# Rules by which a start tag ends an open element: its kinds, and the boundary it is sought up to.
+RULES = (
+    ({"li"}, {"ul", "ol", "menu"}),
+    ({"dt", "dd"}, {"dl"}),
+    ({"tr", "td", "th"}, {"table"}),
+    ({"td", "th"}, {"tr", "table"}),
+    ({"option"}, {"select"}),
+    ({"p"}, {"table", "td", "th", "li", "div", "article", "section", "button"}),
+    ({"svg"}, {"foreignobject"}),
+)
+# The rule of a start tag; any other block ends a paragraph, and any block but these an svg.
+CLOSES = {"li": 0, "dt": 1, "dd": 1, "tr": 2, "td": 3, "th": 3, "option": 4}
+PARAGRAPH, DRAWING = 5, 6
+BREAKS_OUT = frozenset(
+    "article aside blockquote body center dd div dl dt footer h1 h2 h3 h4 h5 h6 header hr li main nav"
+    " ol p pre section table ul".split()
+)
+_RULED = frozenset().union(*(kinds | until for kinds, until in RULES))
 # Attribute words that name a role.
 ASIDE_WORDS = frozenset(
     "ad ads advert advertisement sponsor sponsored promo banner nav navbar navigation menu topbar"
@@ -84,8 +97,13 @@ class _Builder(HTMLParser):
         self.labelled = labelled
         self.page = Page()
         self.open: list[int] = []
+        # Open elements of each tag, and for each open element the depth that every rule would end.
+        # Both spare walks up the open elements, whose number a page does not bound.
+        self.count: Counter[str] = Counter()
+        self.ends: list[tuple[int, ...]] = []
         self.silent = 0
         self.block = 0
+        self.bodied = False
         self._add("#page", [])
 
     def _add(self, tag: str, attrs) -> None:
@@ -102,46 +120,85 @@ class _Builder(HTMLParser):
                 label = int(value)
         page.words.append(found)
         page.labels.append(label)
+        depth = len(self.open)
+        ends = self.ends[-1] if self.ends else (0,) * len(RULES)
+        if tag in _RULED:
+            ends = tuple(
+                depth if tag in kinds else 0 if tag in until else above
+                for (kinds, until), above in zip(RULES, ends, strict=True)
+            )
+        self.ends.append(ends)
         self.open.append(len(page.tags) - 1)
+        self.count[tag] += 1
 
     def _pop(self) -> None:
         tag = self.page.tags[self.open.pop()]
+        self.ends.pop()
+        self.count[tag] -= 1
         if tag in SILENT:
             self.silent -= 1
         if tag not in INLINE:
             self.block += 1
 
-    def _close(self, kinds: set[str], until: set[str]) -> None:
-        for depth in range(len(self.open) - 1, 0, -1):
-            tag = self.page.tags[self.open[depth]]
-            if tag in kinds:
-                while len(self.open) > depth:
-                    self._pop()
-                return
-            if tag in until:
-                return
+    def _pop_from(self, depth: int) -> None:
+        while len(self.open) > depth:
+            self._pop()
+
+    def _close(self, rule: int) -> None:
+        if self.ends[-1][rule]:
+            self._pop_from(self.ends[-1][rule])
+
+    def _end_head(self) -> None:
+        """Close a head, and an unclosed title in it, whose end tag was left out."""
+        self.handle_endtag("title")
+        if self.count["head"] and self.page.tags[self.open[-1]] == "head":
+            self._pop()
+
+    def _start_body(self) -> None:
+        """The html and body elements that every page has, whether it names them or not."""
+        if self.count["head"]:
+            self._end_head()
+        if not self.bodied and not self.silent:
+            self._root()
+            self.bodied = True
+            self._add("body", [])
+
+    def _root(self) -> None:
+        if len(self.page.tags) == 1:
+            self._add("html", [])
 
     def handle_starttag(self, tag: str, attrs) -> None:
+        if tag in ("html", "body") and self.count[tag]:
+            return
+        if tag == "body":
+            if self.count["head"]:
+                self._end_head()
+            self.bodied = True
+        elif tag not in IN_HEAD and tag not in ("html", "head"):
+            self._start_body()
+        if tag != "html":
+            self._root()
         if tag in VOID:
-            if tag in ("input",):
+            if tag == "input":
                 self._add(tag, attrs)
                 self.open.pop()
+                self.ends.pop()
+                self.count[tag] -= 1
             elif tag == "hr":
                 self.block += 1
             elif tag == "br":
                 self.handle_data("\n")
             return
+        if tag in BREAKS_OUT:
+            self._close(DRAWING)
         if tag in CLOSES:
-            self._close(*CLOSES[tag])
+            self._close(CLOSES[tag])
         elif tag not in INLINE:
-            self._close({"p"}, {"table", "td", "th", "li", "div", "article", "section", "button"})
+            self._close(PARAGRAPH)
         if tag not in INLINE:
             self.block += 1
         if tag in SILENT:
-            # An unclosed head ends where the body starts.
             self.silent += 1
-        elif tag == "body" and self.silent:
-            self._close({"head"}, set())
         self._add(tag, attrs)
 
     def handle_startendtag(self, tag: str, attrs) -> None:
@@ -150,17 +207,19 @@ class _Builder(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.page.tags[self.open[depth]] == tag:
-                while len(self.open) > depth:
-                    self._pop()
-                return
+        if self.count[tag]:  # what the walk passes is closed with it
+            depth = len(self.open) - 1
+            while self.page.tags[self.open[depth]] != tag:
+                depth -= 1
+            self._pop_from(depth)
 
     def handle_data(self, data: str) -> None:
+        if (self.count["head"] or not self.bodied) and not data.isspace():
+            if self.page.tags[self.open[-1]] in ("head", "html", "#page"):
+                self._start_body()
         if not self.silent and data:
             self.page.texts.append((self.open[-1], self.block, data))
 
-
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         try:
             return super().parse_marked_section(i, report)
@@ -503,15 +562,24 @@ def fit(pages: list[str], layouts: int = LAYOUTS) -> Model:
     return Model(weights, np.log(given) - np.log(alone)[:, None, :])
 
 
-def train(pages: DataFrame, rows: int = TRAIN_PAGES, html: str = "html") -> Model:
-    """Fit on at most ``rows`` pages, chosen by digest."""
-    sample = (
-        pages.where(F.col(html).isNotNull() & (F.col(html) != ""))
-        .select(F.col(html).alias("html"), F.xxhash64(html).alias("turn"))
-        .orderBy("turn", "html")
-        .limit(rows)
+def train(
+    pages: DataFrame, rows: int = TRAIN_PAGES, html: str = "html", most: int = TRAIN_BYTES
+) -> Model:
+    """Fit on at most ``rows`` different pages of at most ``most`` bytes, chosen by digest.
+
+    Digests are chosen first, so that only chosen pages leave their tasks.
+    """
+    marked = pages.where(F.col(html).isNotNull() & (F.col(html) != "")).select(
+        F.xxhash64(html).alias("turn"), F.col(html).alias("html")
     )
-    return fit([row["html"] for row in sample.collect()])
+    sizes = marked.groupBy("turn").agg(F.max(F.octet_length("html")).alias("bytes"))
+    chosen, left = [], most
+    for row in sizes.orderBy("turn").limit(rows).collect():
+        if row["bytes"] <= left:
+            chosen.append(row["turn"])
+            left -= row["bytes"]
+    sample = marked.where(F.col("turn").isin(chosen)).groupBy("turn").agg(F.min("html").alias("html"))
+    return fit([row["html"] for row in sample.orderBy("turn").collect()])
 
 
 def extracted(pages: DataFrame, model: Model) -> DataFrame:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -87,3 +88,41 @@ def test_table(spark, model):
     assert html.extracted(pages.limit(0), model).collect() == []
     empty = html.train(pages.limit(0))
     assert isinstance(html.main_text(page("<p>x"), empty), str)
+
+
+BODY = f"<h1>A title</h1><p>{TEXT}</p><p>{TEXT}</p>"
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        f"<html><head><title>T</title><article>{BODY}</article></html>",
+        f"<head><link><style>x</style><main>{BODY}</main>",
+        f"<head><title>T<article>{BODY}</article>",
+        f"<html><head><title>T</title></head><body><svg><path><article>{BODY}</article>",
+        f"<html><head><meta charset=x><noscript>no</noscript><body><article>{BODY}</article>",
+        f"<article>{BODY}</article><body class=x>",
+    ],
+)
+def test_end_tags_left_out(model, source):
+    parsed = html.parse(source)
+    assert [t for _, _, t in parsed.texts] == ["A title", TEXT, TEXT]
+    assert parsed.tags.count("html") == parsed.tags.count("body") == 1
+    assert html.main_text(source, model) == f"A title\n\n{TEXT}\n\n{TEXT}"
+
+
+@pytest.mark.parametrize("one", ["<div></x>", "<p><table>", "<foo></bar>", "<li><b></i>"])
+def test_many_open_elements(one):
+    """A walk up the open elements per tag would take minutes here."""
+    start = time.process_time()
+    assert len(html.parse(one * 100_000).tags) > 100_000
+    assert time.process_time() - start < 20
+
+
+def test_training_sample_is_bounded(spark, model):
+    pages = spark.createDataFrame(
+        [(page(f"<article><p>{TEXT} {i % 30}</p></article>" + "<p>x" * 100 * (i % 5)),) for i in range(60)], "html string"
+    )
+    few = html.train(pages.repartition(3), rows=10, most=3000)
+    again = html.train(pages.repartition(1), rows=10, most=3000)
+    assert (few.weights == again.weights).all()
