@@ -31,8 +31,10 @@ from nearfield.llm.common import own_name, small, written
 # correct, a better one makes shorter inverted lists.
 FREQUENT = 96
 FREQUENT_ELEMENTS = 262_144
-# Rows of a helper table that are still sent to every executor.
+# Rows of a helper table that are still sent to every executor: those that pick texts, which would
+# have to be shuffled else, and those that pick keys, which are narrow.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_KEYS = 65_536
 # What comparing one candidate costs, in keys written.
 PAIR_COST = 1.0
 
@@ -72,7 +74,8 @@ class Law:
         return n - self.least_shared(n) + 1
 
     def sketch_size(self, n: int) -> int:
-        return min(n, self.prefix_size(n) + 17)
+        """Smallest hashes kept: a prefix though a third of them be frequent, whatever the size."""
+        return min(n, self.prefix_size(n) * 3 // 2 + 17)
 
     def reaches(self, shared, sizes):
         """Whether sets of ``sizes`` elements in sum link if they share ``shared``."""
@@ -323,7 +326,7 @@ def list_keys(
     every = first_keys().where("key IS NOT NULL").unionByName(sets.mapInArrow(of_sets, _KEYS))
     # Most keys are found in one set only. Count keys alone, then keep the rows of the others.
     shared = written(every.groupBy("key").count().where("count > 1").select("key"), "join-shared")
-    return written(every.join(small(shared, BROADCAST_ROWS), "key", "left_semi"), "join-lists")
+    return written(every.join(small(shared, BROADCAST_KEYS), "key", "left_semi"), "join-lists")
 
 
 def whole_sets(
@@ -372,7 +375,7 @@ def first_pairs(lists: DataFrame, law: Law = EXACT) -> DataFrame:
     )
     centers = written(centers, "join-centers")
     return (
-        lists.join(small(centers, BROADCAST_ROWS), "key")
+        lists.join(small(centers, BROADCAST_KEYS), "key")
         .where(F.col("nid") != F.col("center.nid"))
         .where(_possible("n", "most", "center.n", "center.most", law))
         .select(F.least("nid", "center.nid").alias("a"), F.greatest("nid", "center.nid").alias("b"))
@@ -399,7 +402,7 @@ def open_pairs(
         .select("key", F.col("center.comp").alias("main"))
     )
     mixed = written(mixed, "join-mixed")
-    rows = written(members.join(small(mixed, BROADCAST_ROWS), "key"), "join-members")
+    rows = written(members.join(small(mixed, BROADCAST_KEYS), "key"), "join-members")
     # Of two components in a list, one at least is not the main one.
     aside = rows.where("comp != main").select(
         "key",
