@@ -408,32 +408,6 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "prepare_queries",
-    """WITH q AS (SELECT item_id, text, CASE WHEN item_id % 2 = 0 THEN 'train' ELSE 'test' END AS split
-      FROM benchmark),
-    f AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY split ORDER BY item_id) <= 15),
-    a AS (SELECT page_id % 50 AS item_id, 'img/' || page_id || '.jpg' AS path FROM pages)
-    SELECT CAST(f.item_id AS VARCHAR) AS id, f.item_id AS query_id,
-           regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS query_text, 'hash' AS model_name,
-           'pages' AS dataset_name, split, '' AS category,
-           CAST(count(path) AS INTEGER) AS labels, min(path) AS first_label, CAST(1 AS DOUBLE) AS norm
-    FROM f LEFT JOIN a USING (item_id) GROUP BY f.item_id, text, split""",
-)
-def _(spark: SparkSession, sf: str) -> DataFrame:
-    """Benchmark items as queries and pages as their annotations, written in two splits."""
-    items = table(spark, sf, "benchmark").select(
-        F.col("item_id").alias("query_id"),
-        F.col("text").alias("query_text"),
-        F.lit(None).cast("string").alias("category"),
-    )
-    labels = table(spark, sf, "pages").select(
-        (F.col("page_id") % 50).alias("query_id"),
-        F.concat(F.lit("img/"), F.col("page_id").cast("string"), F.lit(".jpg")).alias("image_path"),
-    )
-    return _prepared(spark, items, labels, limit=15)
-
-
-@query(
-    "prepare_queries_whole",
     """WITH q AS (SELECT item_id, text, CASE WHEN item_id % 2 = 0 THEN 'train' ELSE 'test' END AS split
       FROM benchmark),
     a AS (SELECT page_id % (SELECT max(item_id) + 1 FROM benchmark) AS item_id,
@@ -451,17 +425,15 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
         F.col("text").alias("query_text"),
         F.lit(None).cast("string").alias("category"),
     )
-    ids = F.broadcast(items.agg((F.max("query_id") + 1).alias("ids")))
-    labels = table(spark, sf, "pages").crossJoin(ids).select(
-        (F.col("page_id") % F.col("ids")).alias("query_id"),
+    ids = items.agg((F.max("query_id") + 1).alias("ids")).first()["ids"]
+    labels = table(spark, sf, "pages").select(
+        (F.col("page_id") % F.lit(ids)).alias("query_id"),
         F.concat(F.lit("img/"), F.col("page_id").cast("string"), F.lit(".jpg")).alias("image_path"),
     )
-    return _prepared(spark, items, labels, limit=None)
+    return _prepared(spark, items, labels)
 
 
-def _prepared(
-    spark: SparkSession, items: DataFrame, labels: DataFrame, limit: int | None
-) -> DataFrame:
+def _prepared(spark: SparkSession, items: DataFrame, labels: DataFrame) -> DataFrame:
     """The prepared rows of both splits, read back from their shards."""
     even = F.col("query_id") % 2 == 0
     path = scratch(spark, "prepared")
@@ -470,7 +442,6 @@ def _prepared(
         get_encoder(ENCODER),
         path,
         dataset_name="pages",
-        limit=limit,
         chunk_size=4,
     )
     rows = spark.read.parquet(path)

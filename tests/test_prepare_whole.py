@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_every_item_is_prepared(spark):
-    name = "prepare_queries_whole"
+    name = "prepare_queries"
     count, _, problem = differences(spark, SF, name, queries()[name], oracle_sql()[name])
     assert problem is None
     assert count == spark.read.parquet(f"{SF}/benchmark.parquet").count() > 30
