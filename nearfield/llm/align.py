@@ -134,6 +134,11 @@ def coders(one: str, two: str) -> tuple[_Pair, Stretches]:
     return _coders[one, two]
 
 
+def release() -> None:
+    """Give the tokenizers and their cache back where a worker has ids only to read."""
+    _coders.clear()
+
+
 def tokenised(texts: list[str], bodies: list[bytes], one: str, two: str) -> tuple[Rows, Rows]:
     """Ids of texts by both tokenizers; none where joined bytes are not the space and the text."""
     pair, stretches = coders(one, two)
@@ -298,6 +303,7 @@ def _of(part: pa.RecordBatch, name: str) -> pa.Array:
 
 def _partial(one: str, two: str):
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         lengths = _lengths(one, two)
         held: list[pa.Table] = []
 
@@ -380,6 +386,7 @@ def stored_counts(pairs: DataFrame) -> Counts:
 
 def _figures(one: str, two: str, counts: Counts):
     def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         lengths = _lengths(one, two)
         for batch in batches:
             for part in _slices(batch):
