@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import broadcast
 
 from nearfield.session import shared_dir
@@ -13,6 +14,9 @@ from nearfield.session import shared_dir
 # A word: a run of characters other than space and the five ASCII controls that break lines.
 WORD = r"[^\x20\x09-\x0D]+"
 
+# Estimated bytes of a table that is still sent to every executor.
+BROADCAST_BYTES = 96 << 20
+
 # The test tables as declared; a declared schema spares the scan of file footers.
 TABLES = {
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
@@ -49,11 +53,20 @@ def own_name(taken: list[str], stem: str) -> str:
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
-    """Hint a broadcast only where the counted rows stay within the bound; else a shuffled join.
+    """Hint a broadcast only where counted rows and bytes stay within bounds; else a shuffled join.
 
     ``df`` should be a written table, as it is counted here and read again by the join.
     """
-    return broadcast(df) if df.count() <= rows else df
+    width = F.lit(16 + 8 * len(df.columns))
+    for field in df.schema:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            column = F.to_json(F.struct(column))
+        elif not isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            continue
+        width = width + F.coalesce(F.octet_length(column), F.lit(0))
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.sum(width.cast("long")).alias("bytes")).first()
+    return broadcast(df) if size["n"] <= rows and (size["bytes"] or 0) <= BROADCAST_BYTES else df
 
 
 def picked(docs: DataFrame, ids: DataFrame, key: str, rows: int) -> DataFrame:

@@ -21,8 +21,6 @@ WINDOW = 8
 LEAST = 5
 # Share of an item's windows that must match along neighbouring alignments.
 SHARE = 0.3
-# The same where windows with slots of contradicted alignments are counted too.
-CONTRADICTED_SHARE = 0.5
 # Tokens in a row that count as a leak of any item, if their slots hold the item's own values.
 RUN = 13
 # Benchmark windows that are still sent to every executor (about 100 bytes each).
@@ -44,11 +42,14 @@ _PLACE = f"[{NAME}-{UNIT}]"
 # Everything but letters with their marks, digits and placeholders.
 _GAP = rf"[^\p{{L}}\p{{M}}\p{{N}}{NAME}-{UNIT}]+"
 _ALONE = r"(?![\p{L}\p{M}\p{N}])"
+# A number with its unit or the ending of an ordinal written to it.
+_ATTACHED = rf"(?<![\p{{L}}\p{{M}}\p{{N}}])([0-9]++)(?=(?i:{UNITS}|st|nd|rd|th){_ALONE})"
 
 
 def _plain(text: Column) -> Column:
-    """Numbers without marks inside, so that each is one token."""
-    return F.regexp_replace(text, "(?<=[0-9])[.,](?=[0-9])", "")
+    """Numbers without marks inside and apart from their units, so that each is one token."""
+    joined = F.regexp_replace(text, "(?<=[0-9])[.,](?=[0-9])", "")
+    return F.regexp_replace(joined, _ATTACHED, "$1 ")
 
 
 def template(text: Column) -> Column:
@@ -134,9 +135,8 @@ def contaminated(
     Result, one row per pair: ``doc_id``, ``mark`` (digest of id and text), ``item_id``,
     ``matched`` and ``windows`` (those of the item that match along the best neighbourhood of
     alignments, and all it has). Alignments are neighbours if they are less than the item's tokens
-    apart. A neighbourhood counts from ``share`` of the windows on, from ``CONTRADICTED_SHARE`` if
-    some have slots of an alignment in which another slot is contradicted, or with ``RUN`` tokens
-    in a row as the item has them. Null and empty texts on either side match nothing; items below ``LEAST`` tokens, or
+    apart. Windows whose slots are contradicted do not count; a neighbourhood counts from ``share``
+    of the windows on, or with ``RUN`` tokens in a row as the item has them. Null and empty texts on either side match nothing; items below ``LEAST`` tokens, or
     without a window that is half literal, cannot be told from ordinary text and match nothing;
     repeated rows give one row; equal items match alike; an empty side gives no rows.
     """
@@ -199,17 +199,13 @@ def contaminated(
         .withColumn("stretch", F.sum("far").over(order))
         .groupBy(*pair, "stretch")
         .agg(
-            *[F.size(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("sure", "left")],
+            F.size(F.array_distinct(F.flatten(F.collect_list("left")))).alias("left"),
             F.max("run").alias("run"),
             F.first("windows").alias("windows"),
         )
     )
     return (
-        stretches.where(
-            (F.col("sure") >= F.col("windows") * share)
-            | (F.col("left") >= F.col("windows") * F.greatest(F.lit(share), F.lit(CONTRADICTED_SHARE)))
-            | F.col("run")
-        )
+        stretches.where((F.col("left") >= F.col("windows") * share) | F.col("run"))
         .groupBy("doc_id", "mark", "item_id")
         .agg(F.max("left").alias("matched"), F.max("windows").alias("windows"))
     )
@@ -240,12 +236,11 @@ def slots() -> Column:
 def _held(docs: DataFrame, lines: DataFrame, key: str, text: str) -> DataFrame:
     """The windows of each alignment that its slots allow.
 
-    ``left`` has no window with a slot whose value answers to two values of the document; ``sure``
-    has of such an alignment only the windows without slots, else all; ``run`` says whether ``RUN``
-    tokens in a row are as the item has them.
+    ``left`` has no window with a slot whose value answers to two values of the document; ``run``
+    says whether ``RUN`` tokens in a row are as the item has them.
     """
     plain = lines.where(F.size("slots") == 0).select(
-        "*", F.col("ats").alias("sure"), F.col("ats").alias("left"), F.col("ats").alias("same")
+        "*", F.col("ats").alias("left"), F.col("ats").alias("same")
     )
     slotted = lines.where(F.size("slots") > 0)
     marks = written(slotted.select("mark").distinct(), "bench-marks")
@@ -295,9 +290,6 @@ def _held(docs: DataFrame, lines: DataFrame, key: str, text: str) -> DataFrame:
         )
         .withColumn("changed", F.filter("pairs", lambda p: ~p["theirs"].eqNullSafe(p["ours"])))
         .withColumn("left", outside("ats", "odd"))
-        .withColumn(
-            "sure", F.when(F.size("odd") == 0, F.col("ats")).otherwise(outside("ats", "slots"))
-        )
         .withColumn("same", outside("left", "changed"))
     )
     return (
