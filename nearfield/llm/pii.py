@@ -1,9 +1,10 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby words adjust the score.
 
 DataFrame functions only. A pattern's matches and the gaps between them come from one ``split`` and
-one ``regexp_extract_all``; an aggregate over the two turns lengths into positions in code points.
-Patterns are possessive wherever what follows cannot match inside, so texts of any length take
-linear time and constant stack.
+one ``regexp_extract_all``; aggregates over the two turn lengths into positions in code points.
+Patterns are possessive wherever what follows cannot match inside, so matching takes linear time and
+constant stack for texts of any length. n matches are gathered in blocks of the square root of n, so
+lists are copied n to the power 1.5 times at most.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ ACCEPT_FROM = 0.6
 CONTEXT = 48
 # What a context word adds to the score.
 CONTEXT_BONUS = 0.3
+# Bits a character of a secret needs at least, over the secret's own characters.
+SECRET_BITS = 3.0
 
 
 def _digits(hit: Column) -> Column:
@@ -62,6 +65,14 @@ def _octets(hit: Column) -> Column:
     )
 
 
+def entropy(word: Column) -> Column:
+    """Bits a character by the word's own counts of characters."""
+    size = F.length(word)
+    kinds = F.array_distinct(F.filter(F.split(word, ""), lambda c: c != ""))
+    share = F.transform(kinds, lambda c: (size - F.length(F.replace(word, c, F.lit("")))) / size)
+    return F.aggregate(share, F.lit(0.0), lambda total, p: total - p * F.log2(p))
+
+
 @dataclass(frozen=True)
 class Kind:
     """A pattern, the check that confirms a match, its score, and words that raise the score."""
@@ -128,40 +139,90 @@ ADDED = (
         0.4,
         "phone|tel|call|mobile|fax",
     ),
+    Kind(
+        "secret",
+        # What is assigned to a name for secrets; the value alone is the span.
+        r"(?<=[\"'=: ])(?=[A-Za-z0-9+/_=-]{16})"
+        r"(?<=(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key)"
+        r"[\"']? ?[=:] ?[\"']?)[A-Za-z0-9+/_=-]{16,512}+(?![A-Za-z0-9+/_=-])",
+        lambda hit: hit.rlike("[0-9]") & hit.rlike("[A-Za-z]") & (entropy(hit) >= SECRET_BITS),
+        0.7,
+        "token|secret|passw|pwd|key",
+    ),
 )
 
 _SPANS = "array<struct<start:int,rank:int,kind:string,end:int,score:double>>"
+_PLACED = "array<struct<start:int,hit:string,before:string>>"
 
 
-def spans_of(text: Column, kind: Kind, rank: int) -> Column:
-    """Confirmed spans of one kind in order, with their scores."""
-    pairs = F.arrays_zip(
-        F.split(text, kind.pattern, -1).alias("gap"),
-        F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("hit"),
-    )
-    nothing = F.struct(
-        F.lit(0).alias("at"), F.lit(None).cast("array<struct<start:int,hit:string>>").alias("found")
-    )
+def _tail(*parts: Column) -> Column:
+    return F.right(F.concat(*parts), F.lit(CONTEXT))
+
+
+def _state(at: Column, tail: Column, found: Column) -> Column:
+    return F.struct(at.cast("int").alias("at"), tail.alias("tail"), found.alias("found"))
+
+
+def _placed(pairs: Column) -> Column:
+    """Every match with its start and the ``CONTEXT`` characters before it.
+
+    The list of a block grows by copying, and so does the list of blocks; both are short.
+    """
+    none = F.lit(None).cast(_PLACED)
 
     def follow(seen: Column, pair: Column) -> Column:
         start = (seen["at"] + F.length(pair["gap"])).cast("int")
-        more = F.array(F.struct(start.alias("start"), pair["hit"].alias("hit")))
+        before = _tail(seen["tail"], pair["gap"])
+        one = F.array(
+            F.struct(start.alias("start"), pair["hit"].alias("hit"), before.alias("before"))
+        )
         return F.when(pair["hit"].isNull(), seen).otherwise(
-            F.struct(
-                (start + F.length(pair["hit"])).cast("int").alias("at"),
-                F.when(seen["found"].isNull(), more)
-                .otherwise(F.concat(seen["found"], more))
-                .alias("found"),
+            _state(
+                start + F.length(pair["hit"]),
+                _tail(before, pair["hit"]),
+                F.when(seen["found"].isNull(), one).otherwise(F.concat(seen["found"], one)),
             )
         )
 
-    found = F.aggregate(pairs, nothing, follow, lambda seen: seen["found"])
+    def block(seen: Column, part: Column) -> Column:
+        inner = F.aggregate(part, _state(seen["at"], seen["tail"], none), follow)
+        one = lambda got: F.array(F.coalesce(got["found"], F.array().cast(_PLACED)))
+        # One element, so that the inner list is made once and used three times.
+        joined = F.transform(
+            F.array(inner),
+            lambda got: _state(
+                got["at"],
+                got["tail"],
+                F.when(seen["found"].isNull(), one(got)).otherwise(
+                    F.concat(seen["found"], one(got))
+                ),
+            ),
+        )
+        return F.get(joined, F.lit(0))
+
+    def in_blocks(all_pairs: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(all_pairs))).cast("int")
+        return F.transform(
+            F.sequence(F.lit(1), F.size(all_pairs), width),
+            lambda first: F.slice(all_pairs, first, width),
+        )
+
+    blocks = F.get(F.transform(F.array(pairs), in_blocks), F.lit(0))
+    nothing = _state(F.lit(0), F.lit(""), F.lit(None).cast(f"array<{_PLACED}>"))
+    return F.aggregate(blocks, nothing, block, lambda seen: F.flatten(seen["found"]))
+
+
+def spans_of(text: Column, kind: Kind, rank: int) -> Column:
+    """Confirmed spans of one kind in order, with their scores."""
+    pairs = F.arrays_zip(
+        F.split(text, kind.pattern, -1).alias("gap"),
+        F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("hit"),
+    )
+    found = _placed(pairs)
     near = rf"(?i)\b(?:{kind.words})"
 
     def scored(span: Column) -> Column:
-        first = F.greatest(span["start"] - CONTEXT, F.lit(0))
-        before = F.substring(text, first + 1, span["start"] - first)
-        bonus = F.when(before.rlike(near), F.lit(CONTEXT_BONUS)).otherwise(F.lit(0.0))
+        bonus = F.when(span["before"].rlike(near), F.lit(CONTEXT_BONUS)).otherwise(F.lit(0.0))
         return F.struct(
             span["start"].alias("start"),
             F.lit(rank).alias("rank"),
