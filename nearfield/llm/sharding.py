@@ -12,6 +12,8 @@ more shard takes rows only into itself.
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import broadcast
 
-from nearfield.llm.common import scratch
+from nearfield.llm.common import scratch, small, written
 
 # Text bytes of one bucket: a task holds the bucket and its shuffled copy.
 BUCKET_BYTES = 24 << 20
+# Equal rows with more bytes than this share of a bucket spread over buckets.
+CROWDED_SHARE = 0.25
+# Crowded rows, known by their marks, that are still sent to every executor.
+BROADCAST_MARKS = 1_000_000
 # Buckets whose offsets are still sent to every executor (24 bytes each).
 BROADCAST_BUCKETS = 200_000
 
@@ -59,6 +65,32 @@ def _hashable(kind: T.DataType) -> bool:
     return not isinstance(kind, (T.MapType, T.VariantType))
 
 
+def _copies_numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replace ``crowded`` by ``copy``: a running number of equal crowded rows, else null.
+
+    Rows of one mark are equal, so it does not matter which of them gets which number; they are
+    counted for each input partition, so that a task that runs again sends as many to each bucket.
+    """
+    seen: Counter = Counter()
+    for batch in batches:
+        crowded = batch.column("crowded").to_numpy(zero_copy_only=False).astype(bool)
+        groups = np.stack([np.asarray(batch.column(c))[crowded] for c in ("mark", "part")], axis=1)
+        kinds, which, counts = np.unique(groups, axis=0, return_inverse=True, return_counts=True)
+        kinds = [tuple(kind) for kind in kinds.tolist()]
+        first = np.array([seen[kind] for kind in kinds], np.int64)
+        order = np.argsort(which, kind="stable")
+        within = np.empty(len(groups), np.int64)
+        within[order] = np.arange(len(groups)) - np.repeat(np.cumsum(counts) - counts, counts)
+        seen.update(dict(zip(kinds, counts.tolist(), strict=True)))
+        copy = np.zeros(batch.num_rows, np.int64)
+        copy[crowded] = first[which] + within
+        names = [name for name in batch.schema.names if name != "crowded"]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(name) for name in names), pa.array(copy, mask=~crowded)],
+            names=[*names, "copy"],
+        )
+
+
 def _shuffled(seed: int):
     def fisher_yates(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         shard, bucket = (int(part.as_py()) for part in key)
@@ -87,12 +119,12 @@ def shuffle_to_shards(
     ``text_crc32``, ``shard``, ``grown_shard`` (the shard were there one more) and ``slot``
     (the row's place in its shard, gapless from 0). A null text has no bytes; a null key is a key;
     repeated rows are kept, each with a slot of its own; an empty table gives no rows. Columns of
-    the input stay inside ``rec``, so no name can clash. Equal texts and a crowded key spread over
-    buckets by the whole row and the input partition that holds it.
+    the input stay inside ``rec``, so no name can clash. Rows of a crowded key spread over buckets
+    by the whole row; equal rows that would crowd a bucket are numbered within their input partition
+    and spread by that number. Other rows' buckets, and without crowded copies all slots, do not
+    depend on the layout of the input. A row longer than a bucket is a bucket of its own length.
     """
     spark = docs.sparkSession
-    total = docs.select(F.sum(text_bytes(F.col(text)))).first()[0] or 0
-    buckets = max(1, math.ceil(total / bucket_bytes / shards))
     whole = [F.col(f"`{f.name}`") for f in docs.schema if _hashable(f.dataType)]
     rows = docs.select(
         F.struct(*_storable(docs)).alias("rec"),
@@ -103,9 +135,29 @@ def shuffle_to_shards(
         rendezvous(F.col(key), shards + 1, seed).alias("grown_shard"),
         F.spark_partition_id().alias("part"),
     )
-    scattered = rows.withColumn(
-        "bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "mark", "part"), F.lit(buckets)).cast("int")
-    ).drop("part")
+    totals = dict(rows.groupBy("shard").agg(F.sum("size")).collect())  # one row per shard
+    buckets = [max(1, math.ceil(totals.get(j, 0) / bucket_bytes)) for j in range(shards)]
+    crowded = written(
+        rows.groupBy("mark")
+        .agg(F.sum("size").alias("bytes"))
+        .where(F.col("bytes") > CROWDED_SHARE * bucket_bytes)
+        .select("mark", F.lit(True).alias("crowded")),
+        "crowded-rows",
+    )
+    marked = rows.join(small(crowded, BROADCAST_MARKS), "mark", "left").withColumn(
+        "crowded", F.coalesce("crowded", F.lit(False))
+    )
+    counted = marked.mapInArrow(
+        _copies_numbered,
+        T.StructType(
+            [f for f in marked.schema if f.name != "crowded"] + [T.StructField("copy", T.LongType())]
+        ),
+    )
+    place = F.xxhash64(
+        F.lit(seed + 1), F.col("mark"), F.when(F.col("copy").isNotNull(), F.col("part")), F.col("copy")
+    )
+    per_shard = F.get(F.array(*map(F.lit, buckets)), F.col("shard"))
+    scattered = counted.withColumn("bucket", F.pmod(place, per_shard).cast("int")).drop("part", "copy")
     schema = T.StructType(
         [f for f in scattered.schema if f.name != "mark"] + [T.StructField("place", T.LongType())]
     )
@@ -117,7 +169,7 @@ def shuffle_to_shards(
         .partitionBy("shard")
         .parquet(path)
     )
-    return numbered(spark.read.schema(schema).parquet(path), shards * buckets)
+    return numbered(spark.read.schema(schema).parquet(path), sum(buckets))
 
 
 def numbered(shuffled: DataFrame, buckets: int) -> DataFrame:

@@ -50,6 +50,35 @@ def test_a_crowded_id_spreads_over_buckets(make_docs):
     assert sharding.shuffle_to_shards(docs.limit(0)).collect() == []
 
 
+def test_no_bucket_is_far_above_its_bytes(spark, make_docs, prose, monkeypatch):
+    """Equal rows of one input partition, nine tenths of all, spread like any others."""
+    rows = [(1, "x" * 999)] * 3600 + [(i, prose(180, i)) for i in range(10, 410)]
+    docs = make_docs(rows, parts=1)
+    seen = []
+    monkeypatch.setattr(sharding, "numbered", lambda shuffled, buckets: seen.append((shuffled, buckets)))
+    sharding.shuffle_to_shards(docs, bucket_bytes=40_000)
+    shuffled, buckets = seen[0]
+    largest = shuffled.groupBy("shard", "bucket").sum("size").agg({"sum(size)": "max"}).first()[0]
+    assert largest <= 3 * 40_000
+    assert shuffled.count() == len(rows) and buckets < 120
+
+
+def test_slots_do_not_depend_on_the_layout(make_docs, prose):
+    rows = [(i, prose(20, i)) for i in range(200)] + [(3, prose(20, 3))] * 2
+    columns = ["shard", "slot", "rec.doc_id", "text_crc32"]
+    one, two = (
+        rows_of(sharding.shuffle_to_shards(make_docs(rows, parts=n).drop("copy"), bucket_bytes=4_000), *columns)
+        for n in (1, 7)
+    )
+    assert one == two
+
+
+def test_very_long_text(make_docs):
+    docs = make_docs([(1, "é" * 400_000), (2, "a"), (3, None), (4, "é" * 400_000)])
+    got = rows_of(sharding.shuffle_to_shards(docs, bucket_bytes=1_000), "rec.doc_id", "size")
+    assert got == [(1, 800_001), (2, 2), (3, 1), (4, 800_001)]
+
+
 def test_columns_without_a_type(make_docs):
     docs = make_docs([(1, "a")]).selectExpr("*", "NULL AS nothing")
     assert sharding.shuffle_to_shards(docs).first()["rec"]["nothing"] is None
