@@ -55,6 +55,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def arriving(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The files of a table as a stream, whether the table is one file or a folder of files.
+
+    The pattern matches that one name: a stream takes no plain file as its path, and a name filter
+    would apply to the files inside a folder.
+    """
+    return spark.readStream.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.[p]arquet")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder in the shared scratch space."""
     return f"{shared_dir(spark)}/nearfield-{name}-{uuid.uuid4().hex}"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from nearfield.catalog.base import (
     VECTORS,
+    arriving,
     asked,
     block_ctes,
     elements,
@@ -368,11 +369,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """Documents arrive as a file stream and end up in a vector store."""
     store = VectorStore(spark, scratch(spark, "ingest"), {"dim": 64}).create()
-    source = (
-        spark.readStream.schema(table(spark, sf, "documents").schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(sf)
-        .select(F.col("doc_id").cast("string").alias("id"), "text")
+    source = arriving(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), "text"
     )
     stream_ingest(
         source,
@@ -390,11 +388,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     f"WITH {VECTORS}, {knn_ctes('cosine', 5)} SELECT qid, rank, id, round(score, 6) AS score FROM h",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    source = (
-        spark.readStream.schema(table(spark, sf, "embeddings").schema)
-        .option("pathGlobFilter", "embeddings.parquet")
-        .parquet(sf)
-        .select(F.col("vec_id").cast("string").alias("qid"), "embedding")
+    source = arriving(spark, sf, "embeddings").select(
+        F.col("vec_id").cast("string").alias("qid"), "embedding"
     )
     output = scratch(spark, "answers")
     stream_search(
