@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from nearfield.functions.encoders import spread
 from nearfield.operators.topk import (
     METRICS,
     BestK,
@@ -43,25 +44,43 @@ from nearfield.session import materialise, short_table
 
 # Every scanning task emits k rows per query. Scans are folded (no shuffle) into so few tasks that
 # the merge gets about this many rows, but never into fewer than there are cores.
-MERGE_ROWS, MOST_TASKS = 1 << 31, 1 << 20
+MERGE_ROWS, MOST_TASKS = 1 << 22, 1 << 20
+# Every tile is one more copy of the other side (or one more scan of it). Bounds below the default
+# ones cut into so many tiles at most; from there on tiles grow, up to the default bounds.
+MOST_TILES = 4
 # A scan of the whole gallery answers so many queries at least, whatever the bounds.
 LEAST_ASKED = 64
+# Hits kept at once by a task that answers its queries one piece after the other.
+PIECE_HITS = 1 << 17
 # What a query takes besides its vector: per kept hit, and per cell it looks into.
 HIT_BYTES, CELL_BYTES = 48, 16
 
 
 @dataclass(frozen=True)
 class Limits:
-    """Byte bounds (vectors, ids, cells and kept hits) that decide between the physical forms."""
+    """Byte bounds (vectors, ids, cells and kept hits) that decide between the physical forms.
 
-    broadcast_bytes: int = 64 << 20
-    query_tile_bytes: int = 64 << 20
-    gallery_tile_bytes: int = 32 << 20
+    A task takes about five times a bound: the vectors as sent, as a matrix and as screened, and the
+    hits as kept, as new ones and while they are sorted. A worker runs one task per core.
+    """
+
+    broadcast_bytes: int = 16 << 20
+    query_tile_bytes: int = 16 << 20
+    gallery_tile_bytes: int = 16 << 20
 
     def rows(self, budget: int, dim: int, cells: int = 0, hits: int = 0) -> int:
         each = 4 * max(1, dim) + CELL_BYTES * cells + HIT_BYTES * hits
         return max(1, budget // each)
 
+    def query_rows(self, dim: int, cells: int = 0, hits: int = 0) -> tuple[int, int]:
+        """Rows of a tile of queries by the own bound, and by the default one if that is larger."""
+        own = self.rows(self.query_tile_bytes, dim, cells, hits)
+        return own, max(own, self.rows(Limits.query_tile_bytes, dim, cells, hits))
+
+    def gallery_rows(self, dim: int) -> tuple[int, int]:
+        own = self.rows(self.gallery_tile_bytes, dim)
+        return own, max(own, self.rows(Limits.gallery_tile_bytes, dim))
+
 
 DEFAULT_LIMITS = Limits()
 
@@ -106,6 +125,11 @@ def check_metric(metric: str) -> str:
     return metric
 
 
+def tiles_of(rows: int, own: int, full: int) -> int:
+    """Tiles of so many rows: of ``own`` rows up to ``MOST_TILES``, else larger, to ``full`` rows."""
+    return max(1, min(-(-rows // own), max(MOST_TILES, -(-rows // full))))
+
+
 def _whole(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
@@ -144,6 +168,13 @@ def _empty(batch: pa.RecordBatch | pa.Table) -> bool:
     return batch.num_rows == 0
 
 
+def pieces(batch: pa.RecordBatch, k: int) -> Iterator[pa.RecordBatch]:
+    """A batch of queries cut so that a piece keeps a bounded number of hits."""
+    step = max(64, PIECE_HITS // k)
+    for start in range(0, batch.num_rows, step):
+        yield batch.slice(start, step)
+
+
 def _columns(df: DataFrame, key: str, match: Match) -> list[str]:
     return [key, "embedding"] + (["cells"] if match.routing else [])
 
@@ -226,32 +257,34 @@ def _scan_queries(gallery: DataFrame, queries: DataFrame, match: Match, out) ->
             return
         block, rows = match.block(rows)  # once per task, however many batches follow
         for batch in batches:
-            if _empty(batch):
-                continue
-            state = match.state(match.vectors(batch))
-            _Route(match, batch).offer(state, block, rows)
-            yield from state.result({"qid": batch["qid"]}).select(list(HIT_NAMES)).to_batches()
+            for part in pieces(batch, match.k):
+                state = match.state(match.vectors(part))
+                _Route(match, part).offer(state, block, rows)
+                yield from state.result({"qid": part["qid"]}).select(list(HIT_NAMES)).to_batches()
 
     return queries.mapInArrow(scan, out)
 
 
 def with_tiles(
-    gallery: DataFrame, queries: DataFrame, dim: int, limits: Limits
+    gallery: DataFrame, queries: DataFrame, dim: int, limits: Limits, hits: int
 ) -> tuple[DataFrame, DataFrame]:
     """Both sides (``cell``; queries also ``asked``) placed and copied so that their tiles meet.
 
-    How many tiles a cell is cut into comes from its counts. That table has one row per cell; it
-    is written once and counted, so the broadcast below rests on a checked size. A join on the
-    cell itself would send a crowded cell to a single task.
+    How many tiles a cell is cut into comes from its counts (see ``tiles_of``); queries count with
+    room for their hits. That table has one row per cell; it is written once and counted, so the
+    broadcast below rests on a checked size. A join on the cell itself would send a crowded cell to
+    a single task.
     """
 
-    def counts(df: DataFrame, name: str, rows: int) -> DataFrame:
-        return df.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(rows)).cast("int").alias(name))
+    def counts(df: DataFrame, name: str, own: int, full: int) -> DataFrame:
+        few = F.greatest(F.lit(MOST_TILES), F.ceil(F.count("*") / F.lit(full)))
+        tiles = F.least(F.ceil(F.count("*") / F.lit(own)), few)
+        return df.groupBy("cell").agg(tiles.cast("int").alias(name))
 
-    g_rows = limits.rows(limits.gallery_tile_bytes, dim)
-    q_rows = limits.rows(limits.query_tile_bytes, dim)
     tiles = short_table(
-        counts(gallery, "n_gt", g_rows).join(counts(queries, "n_qt", q_rows), "cell")
+        counts(gallery, "n_gt", *limits.gallery_rows(dim)).join(
+            counts(queries, "n_qt", *limits.query_rows(dim, 1, hits)), "cell"
+        )
     )
     return (
         place(gallery.join(tiles, "cell"), gallery.columns, "gt", "qt"),
@@ -290,11 +323,16 @@ def _scan_by_tile(
     A tile's answers are written before the next tile is sent, so at most one tile of queries is
     held by the driver and by each executor, and a lost executor costs one scan at most.
     """
-    each = max(LEAST_ASKED, limits.rows(limits.query_tile_bytes, dim, 0, match.k))
-    tiles = max(1, -(-asked // each))
+    own, full = limits.query_rows(dim, 0, match.k)
+    tiles = tiles_of(asked, max(LEAST_ASKED, own), max(LEAST_ASKED, full))
     # Written once and by tile, as the numbers must be the same wherever they are read.
     number = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(tiles)).cast("int")
     held = materialise(queries.withColumn("tile", number))
+    if tiles > 1:
+        # Every tile scans the gallery, which may be derived (encoded texts, a join): computed once.
+        held_rows = materialise(gallery)
+        wide = spread(held_rows)
+        gallery = held_rows if wide is held_rows else materialise(wide)
     answers = []
     for tile in range(tiles):
         own = held.where(F.col("tile") == tile).drop("tile")
@@ -313,6 +351,7 @@ def _tile_pairs(
         queries.withColumn("cell", F.explode("cells")),
         dim,
         limits,
+        match.k,
     )
     # Inside a group the cell is fixed; only the hash rule must look at the other tables.
     aligned = match.routing == "hash"

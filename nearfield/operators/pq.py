@@ -427,7 +427,7 @@ def knn_ivf_pq(
         rows = coded.select("id", "codes", F.col("list_id").alias("cell"))
         own = materialise(asked.withColumn("asked", F.monotonically_increasing_id()))
         own = own.select("qid", "asked", "embedding", F.explode("cells").alias("cell"))
-        left, right = with_tiles(rows, _with_centers(own, lists, limits, "cell"), dim, limits)
+        left, right = with_tiles(rows, _with_centers(own, lists, limits, "cell"), dim, limits, wider)
 
         def meet(coded: pa.Table, table: pa.Table) -> pa.Table:
             tables, vectors, state = prepared(table)

@@ -13,11 +13,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 METRICS = ("l2", "ip", "cosine")
-SCREEN_BYTES = 32 << 20
-PAIR_BYTES = 32 << 20
+SCREEN_BYTES = 8 << 20
+PAIR_BYTES = 4 << 20
 BLOCK_PAIRS = 512
-# Queries and rows of one screening block at most: 32 MiB of float32 scores.
-SCREEN_QUERIES = 16_384
+# Queries of one screening block at most, so that its 8 MiB of float32 scores span many rows.
+SCREEN_QUERIES = 4096
 
 
 def smaller_is_better(metric: str) -> bool:
@@ -49,19 +49,26 @@ class Vectors:
     def __init__(self, matrix: np.ndarray, metric: str, normalize: bool):
         self.rows, self.dim = matrix.shape
         self.matrix = matrix
-        self.squared = np.square(matrix, dtype=np.float64).sum(axis=1)
+        # A part of the rows at a time: the doubles of a whole block would take twice its room.
+        step = max(1, PAIR_BYTES // (8 * max(1, self.dim)))
+        parts = [slice(start, start + step) for start in range(0, self.rows, step)]
+        self.squared = np.empty(self.rows)
+        for part in parts:
+            self.squared[part] = np.square(matrix[part], dtype=np.float64).sum(axis=1)
         self.fingerprint = self.squared
         norms = np.sqrt(self.squared)
         self.scale = None
-        screen = matrix
         if normalize:
             self.scale = np.where(norms == 0.0, 1.0, norms)
-            screen = matrix / self.scale[:, None]
+            self.screen = np.empty(matrix.shape, dtype=np.float32)
+            for part in parts:
+                self.screen[part] = matrix[part] / self.scale[part, None]
             self.squared = np.where(norms == 0.0, 0.0, 1.0)
             norms = self.squared
+        else:
+            wide = norms.size and norms.max() > 1e18
+            self.screen = np.ascontiguousarray(matrix, dtype=np.float64 if wide else np.float32)
         self.norms = norms
-        wide = norms.size and norms.max() > 1e18
-        self.screen = np.ascontiguousarray(screen, dtype=np.float64 if wide else np.float32)
 
     def take(self, rows: np.ndarray) -> np.ndarray:
         block = self.matrix[rows].astype(np.float64)
