@@ -27,7 +27,9 @@ from nearfield.operators.ivf import (
     write_by_list,
 )
 from nearfield.operators.knn import (
+    CELL_BYTES,
     DEFAULT_LIMITS,
+    HIT_NAMES,
     Limits,
     cogrouped_tiles,
     held_if_small,
@@ -37,11 +39,13 @@ from nearfield.operators.knn import (
     overfetch,
     partial_hits,
     partial_schema,
+    pieces,
     scan_tasks,
     with_tiles,
 )
 from nearfield.operators.rerank import rerank_exact
 from nearfield.operators.topk import (
+    SCREEN_BYTES,
     BestK,
     Cells,
     Vectors,
@@ -51,6 +55,9 @@ from nearfield.operators.topk import (
 from nearfield.schema import VECTOR, require_positive, vector_stats
 from nearfield.session import materialise
 
+# What the id of a coded row takes about.
+CODED_ID_BYTES = 16
+
 CODEBOOKS = T.StructType(
     [
         T.StructField("subspace", T.IntegerType()),
@@ -140,25 +147,62 @@ class _Books:
             out[:, s] = np.flatnonzero(used)[np.argmin(gap, axis=1)]
         return out
 
-    def score(
-        self, asked: np.ndarray, center: np.ndarray, codes: np.ndarray, metric: str
-    ) -> np.ndarray:
-        """Sort keys (smaller is better) of every asked vector against every coded row."""
+    def tables(self, parts: np.ndarray) -> list[np.ndarray]:
+        """Partial dot products, one (asked, code) table per subspace."""
         book = np.where(np.isfinite(self.book), self.book, 0.0)
-        parts = asked if metric != "l2" else asked - center
-        keys = np.zeros((len(asked), len(codes)))
-        for s, part in enumerate(np.split(parts, self.m, axis=1)):
-            if metric == "l2":
-                table = -2.0 * (part @ book[s].T) + (book[s] ** 2).sum(axis=1)
-                table += (part**2).sum(axis=1)[:, None]
-            else:
-                table = -(part @ book[s].T)
-            keys += table[:, codes[:, s]]
-        if metric != "l2":
-            keys -= (asked @ center)[:, None]
+        return [part @ book[s].T for s, part in enumerate(np.split(parts, self.m, axis=1))]
+
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        """The residuals that codes stand for."""
+        return np.hstack([self.book[s][codes[:, s]] for s in range(self.m)])
+
+
+class _Asked:
+    """Some asked vectors against the coded rows of one list."""
+
+    def __init__(self, books: _Books, asked: np.ndarray, center: np.ndarray, metric: str):
+        self.books, self.metric, self.center = books, metric, center
+        self.parts = asked if metric != "l2" else asked - center
+        self.tables = books.tables(self.parts)
+        if metric == "l2":
+            book = np.where(np.isfinite(books.book), books.book, 0.0)
+            for s, part in enumerate(np.split(self.parts, books.m, axis=1)):
+                table = -2.0 * self.tables[s] + (book[s] ** 2).sum(axis=1)
+                self.tables[s] = table + (part**2).sum(axis=1)[:, None]
+            self.base = None
+        else:
+            self.tables = [-table for table in self.tables]
+            self.base = asked @ center
+        self.norms = np.sqrt((self.parts**2).sum(axis=1))
+
+    def keys(self, qi: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Sort keys (smaller is better) of single pairs: asked vector ``qi[i]`` and ``codes[i]``."""
+        keys = np.zeros(len(qi))
+        for s, table in enumerate(self.tables):
+            keys += table[qi, codes[:, s]]
+        return np.maximum(keys, 0.0) if self.base is None else keys - self.base[qi]
+
+    def screen(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of all pairs by a matrix product, and a bound on their error for each asked vector."""
+        rows = self.books.decode(codes)
+        if self.metric != "l2":
+            rows = rows + self.center
+        squared = (rows**2).sum(axis=1)
+        top = np.sqrt(squared.max(initial=0.0))
+        wide = max(top, self.norms.max(initial=0.0)) > 1e18
+        kind = np.float64 if wide else np.float32
+        keys = self.parts.astype(kind) @ rows.astype(kind).T
+        size = self.norms * top
+        if self.metric == "l2":
+            keys *= -2
+            keys += (self.norms**2).astype(kind)[:, None]
+            keys += squared.astype(kind)[None, :]
+            size = (self.norms + top) ** 2
         else:
-            np.maximum(keys, 0.0, out=keys)
-        return keys
+            np.negative(keys, out=keys)
+            size = size + self.norms * np.sqrt((self.center**2).sum())
+        dim = self.parts.shape[1]
+        return keys, 4.0 * (dim + 16) * 2.0**-24 * size + dim * 1e-44
 
 
 def _with_centers(rows: DataFrame, lists: InvertedLists, limits: Limits, key: str = "list_id"):
@@ -224,7 +268,10 @@ def train_codebooks(
     """
     _, dim = vector_stats(lists.centroids)
     width = settings.width(dim)
-    residuals = _residuals(lists, _unit(lists), limits or DEFAULT_LIMITS)
+    # Written once: every step reads them, and no task runs the filing beside the coding.
+    residuals = materialise(
+        _residuals(lists, _unit(lists), limits or DEFAULT_LIMITS).select("id", "embedding")
+    )
     parts = F.transform(
         F.sequence(F.lit(0), F.lit(settings.m - 1)),
         lambda s: F.slice("embedding", s * width + 1, width),
@@ -289,7 +336,7 @@ def build_codes(
     settings: PqSettings,
     limits: Limits | None = None,
 ) -> PqIndex:
-    """Encode every row in one narrow pass; attributes of the lists go along."""
+    """Encode every row in one narrow pass, written once; attributes of the lists go along."""
     limits = limits or DEFAULT_LIMITS
     more = lists.attributes
     books = lists.rows.sparkSession.sparkContext.broadcast(codebooks.toArrow())
@@ -320,7 +367,7 @@ def build_codes(
         ]
     )
     residuals = _residuals(lists, _unit(lists), limits)
-    return PqIndex(lists, residuals.mapInArrow(encode, out), codebooks, settings)
+    return PqIndex(lists, materialise(residuals.mapInArrow(encode, out)), codebooks, settings)
 
 
 def knn_ivf_pq(
@@ -373,17 +420,22 @@ def knn_ivf_pq(
         found = found if kept is None else found[kept]
         # Tiles keep the score block within bounds when a list is long or probed by many.
         for asks in np.array_split(picked, -(-len(picked) // 2048)):
-            step = max(256, (32 << 20) // (8 * len(asks)))
+            own = _Asked(tables, vectors[asks], center, metric)
+            step = max(256, SCREEN_BYTES // (4 * len(asks)))
             for start in range(0, len(found), step):
                 part = found[start : start + step]
-                keys = tables.score(vectors[asks], center, codes[part], metric)
-                bound = state.reach[asks].copy()
+                near, slack = own.screen(codes[part])
+                bound = state.reach[asks] + slack
                 open_ended = np.isinf(bound)
                 if len(part) > wider and open_ended.any():
-                    kth = np.partition(keys[open_ended], wider - 1, axis=1)[:, wider - 1]
-                    bound[open_ended] = kth
-                at_q, at_g = np.nonzero(keys <= bound[:, None])
-                state.add(asks[at_q], keys[at_q, at_g], part[at_g], ids)
+                    kth = np.partition(near[open_ended], wider - 1, axis=1)[:, wider - 1]
+                    bound[open_ended] = kth + 2 * slack[open_ended]
+                # Compared in the block's own type, rounded so that no candidate is lost.
+                reach = np.nextafter(bound.astype(near.dtype), np.inf, dtype=near.dtype)
+                at = np.flatnonzero(near <= reach[:, None])
+                if len(at):
+                    at_q, at_g = at // len(part), part[at % len(part)]
+                    state.add(asks[at_q], own.keys(at_q, codes[at_g]), at_g, ids)
 
     def prepared(table: pa.Table):
         matrix = to_matrix(table["embedding"])
@@ -391,6 +443,18 @@ def knn_ivf_pq(
         state = BestK(Vectors(matrix, metric, False), wider, metric, id_type)
         return tables, unit_rows(matrix, unit), state
 
+    def offer_lists(state, tables, vectors, asked_cells, places, centers, rows) -> None:
+        codes, at = unpack(rows["codes"]), rows["list_id"].to_numpy()
+        for list_id in np.unique(at):
+            picked = asked_cells.of_key(list_id)
+            if len(picked):
+                found = np.flatnonzero(at == list_id)
+                center = centers[places[int(list_id)]]
+                offer(state, tables, vectors, picked, center, found, codes, rows["id"])
+
+    # Counting stops one row above the bound. Codes are held once, not several times like vectors.
+    coded_bytes = settings.m * np.dtype(settings.code_type).itemsize + CELL_BYTES + CODED_ID_BYTES
+    fitting = max(1, 4 * limits.broadcast_bytes // coded_bytes)
     if _fits(lists, limits) and count <= limits.rows(limits.broadcast_bytes, dim, cells, wider):
         table = numbered(asked.select("qid", "embedding", "cells").toArrow())
         tasks = scan_tasks(coded, table.num_rows, wider)
@@ -405,16 +469,8 @@ def knn_ivf_pq(
             places = {key: at for at, key in enumerate(centroids["list_id"].to_pylist())}
             centers = to_matrix(centroids["embedding"]).astype(np.float64)
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                codes = unpack(batch["codes"])
-                at = batch["list_id"].to_numpy()
-                for list_id in np.unique(at):
-                    picked = cells.of_key(list_id)
-                    if len(picked):
-                        found = np.flatnonzero(at == list_id)
-                        center = centers[places[int(list_id)]]
-                        offer(state, tables, vectors, picked, center, found, codes, batch["id"])
+                if batch.num_rows:
+                    offer_lists(state, tables, vectors, cells, places, centers, batch)
             yield from partial_hits(state, table).to_batches()
 
         partial = (
@@ -423,6 +479,27 @@ def knn_ivf_pq(
             .coalesce(tasks)
             .mapInArrow(scan, partial_schema(out))
         )
+        hits = merge_hits(partial, wider, metric, "asked")
+    elif _fits(lists, limits) and coded.select("id").limit(fitting + 1).count() <= fitting:
+        rows = coded.select("id", "list_id", "codes").toArrow().combine_chunks()
+        shared = session.broadcast((rows, lists.centroids.toArrow()))
+
+        def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows, centroids = shared.value
+            if not rows.num_rows:
+                return
+            rows = rows.combine_chunks().to_batches()[0]
+            places = {key: at for at, key in enumerate(centroids["list_id"].to_pylist())}
+            centers = to_matrix(centroids["embedding"]).astype(np.float64)
+            for batch in batches:
+                for part in pieces(batch, wider):
+                    tables, vectors, state = prepared(part)
+                    cells = Cells.of_lists(part["cells"])
+                    offer_lists(state, tables, vectors, cells, places, centers, rows)
+                    yield from state.result({"qid": part["qid"]}).select(list(HIT_NAMES)).to_batches()
+
+        # Ranks are final in the task: no row is shuffled.
+        hits = asked.select("qid", "embedding", "cells").mapInArrow(answer, out)
     else:
         rows = coded.select("id", "codes", F.col("list_id").alias("cell"))
         own = materialise(asked.withColumn("asked", F.monotonically_increasing_id()))
@@ -445,7 +522,7 @@ def knn_ivf_pq(
             return partial_hits(state, table)
 
         partial = cogrouped_tiles(left, right).applyInArrow(meet, partial_schema(out))
-    hits = merge_hits(partial, wider, metric, "asked")
+        hits = merge_hits(partial, wider, metric, "asked")
     if rerank_k:
         gallery = lists.rows.select("id", "embedding")
         hits = rerank_exact(hits, gallery, queries, wider, metric, normalize=lists.normalize)
