@@ -31,6 +31,7 @@ from nearfield.operators.search import (
 from nearfield.operators.store import VectorStore
 from nearfield.plans.prepare import prepare_queries
 from nearfield.plans.embed import embed_images, embed_texts
+from nearfield.session import materialise
 from nearfield.sources.captions import (
     caption_line,
     explode_captions,
@@ -272,8 +273,9 @@ def text_search_sql(queries: str, key: str, k: int) -> str:
 
 
 def document_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Encoded once: a search counts the vectors and then reads them."""
     rows = documents(spark, sf)
-    return encode_column(rows, "text", get_encoder(ENCODER)).select("id", "embedding")
+    return materialise(encode_column(rows, "text", get_encoder(ENCODER)).select("id", "embedding"))
 
 
 @query("search_by_text", text_search_sql("benchmark", "item_id", 10))

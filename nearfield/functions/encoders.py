@@ -88,6 +88,9 @@ class HashEncoder:
         return out.astype(np.float32)
 
 
+# Bytes of contents that are encoded at a time: their words take several times that room.
+ENCODE_BYTES = 8 << 20
+
 ENCODERS: dict[str, Callable[..., Encoder]] = {"hash": HashEncoder}
 
 
@@ -149,6 +152,13 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() * 2 <= cores else scan
 
 
+def pieces(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch cut so that the contents of a piece take about ``most`` bytes."""
+    step = max(1, batch.num_rows * most // max(most, batch[column].nbytes))
+    for start in range(0, batch.num_rows, step):
+        yield batch.slice(start, step)
+
+
 def encode_column(
     df: DataFrame, column: str, encoder: Encoder, output: str = "embedding"
 ) -> DataFrame:
@@ -157,11 +167,11 @@ def encode_column(
     images = isinstance(df.schema[column].dataType, T.BinaryType)
     out = T.StructType([*df.schema.fields, T.StructField(output, VECTOR)])
 
+    most = ENCODE_BYTES
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = worker_encoder(encoder)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in pieces(whole, column, most)):
             values = batch[column]
             matrix = (
                 ready.encode_batch(images=values)

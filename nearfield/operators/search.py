@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.functions.encoders import Encoder, encode_column
+from nearfield.functions.encoders import Encoder, encode_column, spread
 from nearfield.functions.ids import image_path, row_index
 from nearfield.functions.labels import strip
 from nearfield.functions.vectors import similarity_score
@@ -46,7 +46,8 @@ def vectors_of(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     absent = found.where(F.col("embedding").isNull()).head(1)
     if absent:
         raise KeyError(absent[0]["_key"])
-    return found.select("qid", "embedding")
+    # A join of short rows ends in few partitions, each of which one core would search.
+    return spread(found.select("qid", "embedding"))
 
 
 def search_by_image(
