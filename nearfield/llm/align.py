@@ -1,6 +1,7 @@
 """Alignment of two tokenizers over the same bytes, as an Arrow pipeline.
 
-Each batch of documents is a pair of list columns. The lists are flattened, parent indices tell the
+The ids are written as binary values of two (four) bytes an id; each batch of documents is then a
+pair of list columns. The lists are flattened, parent indices tell the
 document of a token, and a cumulative sum of token lengths that restarts with each document gives
 the place where a token ends. A hash join of the two tables of ends on (document, end) finds the
 places where tokens of both end: they cut the tokens into groups. The outer form of the same join
@@ -11,6 +12,7 @@ counts, and tasks write them as sorted arrays that later tasks map into memory.
 
 from __future__ import annotations
 
+import ctypes
 import math
 import re
 from collections.abc import Iterator
@@ -33,6 +35,7 @@ from nearfield.llm.vocab import (
     byte_entries,
     chunks,
     decoded,
+    forget,
     in_runs,
     json_tokenizer,
     pair_encoder,
@@ -46,6 +49,8 @@ PIECE_TOKENIZER = f"{FOLDER}/piece_bpe_32k.model"
 SLICE_TOKENS = 1 << 17
 GATHERED_PAIRS = 500_000
 SHARD_PAIRS = 2_000_000
+# Text bytes that are cut and encoded at a time.
+CHUNK_BYTES = 1 << 20
 # Bits of a place that tell the byte at which a token ends; those above tell the document.
 PLACE_BITS = 40
 # Stretches that a worker remembers.
@@ -137,8 +142,17 @@ def coders(one: str, two: str) -> tuple[_Pair, Stretches]:
 
 
 def release() -> None:
-    """Give the tokenizers and their cache back where a worker has ids only to read."""
+    """Give the tokenizers and their cache back where a worker has ids only to read.
+
+    What is freed stays with the allocators of Arrow and C, so both are asked to return it: a worker
+    lives on, and its memory counts beside the executor's own.
+    """
     _coders.clear()
+    _entries.clear()
+    forget()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def tokenised(texts: list[str], bodies: list[bytes], one: str, two: str) -> tuple[Rows, Rows]:
@@ -161,16 +175,41 @@ def tokenised(texts: list[str], bodies: list[bytes], one: str, two: str) -> tupl
     )
 
 
+def id_type(entries: int) -> pa.DataType:
+    """How an id of so many is written."""
+    return pa.uint16() if entries <= 1 << 16 else pa.int32()
+
+
+def _packed(rows: Rows, kind: pa.DataType) -> pa.Array:
+    """Rows of ids as binary values: Spark copies a value whole, but a list id by id."""
+    edges = (rows.bounds * (kind.bit_width // 8)).astype(np.int32)
+    ids = rows.ids.astype(kind.to_pandas_dtype())
+    return pa.Array.from_buffers(
+        pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(ids)]
+    )
+
+
+def _of(part: pa.RecordBatch, name: str, kind: pa.DataType) -> pa.ListArray:
+    """Ids of the rows of a slice as lists, without the rest of its batch."""
+    column, width = part.column(name).cast(pa.binary()), kind.bit_width // 8
+    _, edges, body = column.buffers()
+    edges = np.frombuffer(edges, np.int32)[column.offset : column.offset + len(column) + 1] // width
+    count = int(edges[-1] - edges[0])
+    ids = pa.array([], pa.int32())
+    if count:
+        ids = pa.Array.from_buffers(kind, count, [None, body], offset=int(edges[0])).cast(pa.int32())
+    return pa.ListArray.from_arrays(pa.array(edges - edges[0], pa.int32()), ids)
+
+
 def _encode(one: str, two: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, end, bodies in text_chunks(batch.column("text")):
-                lists = [
-                    pa.ListArray.from_arrays(pa.array(r.bounds.astype(np.int32)), pa.array(r.ids))
-                    for r in tokenised(decoded(bodies), bodies, one, two)
-                ]
+            for at, end, bodies in text_chunks(batch.column("text"), CHUNK_BYTES):
+                rows = tokenised(decoded(bodies), bodies, one, two)
+                kinds = [id_type(len(e)) for e in (byte_entries(one), piece_entries(two))]
+                packed = [_packed(r, kind) for r, kind in zip(rows, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(at, end - at), *lists], ["doc_id", "a", "b"]
+                    [batch.column("doc_id").slice(at, end - at), *packed], ["doc_id", "a", "b"]
                 )
 
     return encode
@@ -183,11 +222,11 @@ def encoded(
     key: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """Ids of each document by both tokenizers, written: ``doc_id``, ``a``, ``b``."""
+    """Ids of each document by both tokenizers, written: ``doc_id``, ``a``, ``b`` (see ``id_type``)."""
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return written(
-        rows.mapInArrow(_encode(one, two), f"doc_id {kind}, a array<int>, b array<int>"), "align-ids"
+        rows.mapInArrow(_encode(one, two), f"doc_id {kind}, a binary, b binary"), "align-ids"
     )
 
 
@@ -300,22 +339,42 @@ def group_texts(rows: int, part: Joined) -> pa.Array:
     return pc.binary_join(lists, pa.scalar("", pa.large_string())).cast(pa.string())
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    sizes = pc.add(pc.list_value_length(batch.column("a")), pc.list_value_length(batch.column("b")))
-    for at, end in chunks(sizes.to_pylist(), SLICE_TOKENS):
-        yield batch.slice(at, end - at)
+@dataclass
+class Vocabulary:
+    """What is needed to read ids: the bytes of each, and how the ids are written."""
 
+    a_bytes: pa.Array
+    b_bytes: pa.Array
 
-def _lengths(one: str, two: str) -> tuple[pa.Array, pa.Array]:
-    return tuple(
-        pa.array([len(e) for e in entries], pa.int64())
-        for entries in (byte_entries(one), piece_entries(two))
-    )
+    def __post_init__(self):
+        self.kinds = id_type(len(self.a_bytes)), id_type(len(self.b_bytes))
+
+    def slices(self, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, pa.Array, pa.Array]]:
+        """Parts of a batch with some ``SLICE_TOKENS``, and their lists of ids."""
+        a, b = (
+            pc.divide(pc.binary_length(batch.column(name)), kind.bit_width // 8)
+            for name, kind in zip("ab", self.kinds, strict=True)
+        )
+        for at, end in chunks(pc.add(a, b).to_pylist(), SLICE_TOKENS):
+            part = batch.slice(at, end - at)
+            yield part, *(_of(part, name, kind) for name, kind in zip("ab", self.kinds, strict=True))
 
+    def joined(self, a: pa.Array, b: pa.Array) -> Joined:
+        return joined(a, b, self.a_bytes, self.b_bytes)
 
-def _of(part: pa.RecordBatch, name: str) -> pa.Array:
-    """The list column of a slice, without the rest of its batch."""
-    return pa.concat_arrays([part.column(name)])
+
+_vocabularies: dict[tuple[str, str], Vocabulary] = {}
+
+
+def _vocabulary(one: str, two: str) -> Vocabulary:
+    """Kept by the worker, in place of the tokenizers."""
+    if (one, two) not in _vocabularies:
+        sides = byte_entries(one), piece_entries(two)
+        _vocabularies[one, two] = Vocabulary(
+            *[pa.array([len(e) for e in entries], pa.int64()) for entries in sides]
+        )
+    release()
+    return _vocabularies[one, two]
 
 
 # Counts over the corpus ---------------------------------------------------------------------
@@ -323,8 +382,7 @@ def _of(part: pa.RecordBatch, name: str) -> pa.Array:
 
 def _partial(one: str, two: str):
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        lengths = _lengths(one, two)
+        known = _vocabulary(one, two)
         held: list[pa.Table] = []
 
         def merged() -> pa.Table:
@@ -337,8 +395,8 @@ def _partial(one: str, two: str):
             yield from pa.table([*ids, rows["n"]], ["a", "b", "n"]).to_batches(1 << 16)
 
         for batch in batches:
-            for part in _slices(batch):
-                own = joined(_of(part, "a"), _of(part, "b"), *lengths).counts()
+            for _, a, b in known.slices(batch):
+                own = known.joined(a, b).counts()
                 held.append(own.rename_columns(["pair", "n"]))
                 if sum(t.num_rows for t in held) > GATHERED_PAIRS:
                     held = [merged()]
@@ -412,12 +470,10 @@ def stored_counts(pairs: DataFrame) -> Counts:
 
 def _figures(one: str, two: str, counts: Counts):
     def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        lengths = _lengths(one, two)
+        known = _vocabulary(one, two)
         for batch in batches:
-            for part in _slices(batch):
-                a, b, rows = _of(part, "a"), _of(part, "b"), part.num_rows
-                met = joined(a, b, *lengths)
+            for part, a, b in known.slices(batch):
+                rows, met = part.num_rows, known.joined(a, b)
                 doc = met.links["doc"].to_numpy()
                 count = counts.look_up(met.links["a"].to_numpy(), met.links["b"].to_numpy())
                 both = met.links["both"].to_numpy()

@@ -33,10 +33,12 @@ _MARKED = re.compile(f"([{_LATIN}]+)([.,;:!?]*)")
 _RUN = 2048
 
 
-def text_chunks(column: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
-    """Runs of rows with some ``CHUNK_BYTES`` of text, and their texts as bytes; a null is empty."""
+def text_chunks(
+    column: pa.Array, limit: int = CHUNK_BYTES
+) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Runs of rows with some ``limit`` bytes of text, and their texts as bytes; a null is empty."""
     raw = column.cast(pa.binary())
-    for a, b in chunks(pc.fill_null(pc.binary_length(raw), 0).to_pylist()):
+    for a, b in chunks(pc.fill_null(pc.binary_length(raw), 0).to_pylist(), limit):
         yield a, b, [v or b"" for v in raw.slice(a, b - a).to_pylist()]
 
 
@@ -265,6 +267,11 @@ def by_words(
     return [*known, *rest], rows.plus(odd(rest))
 
 
+def forget() -> None:
+    """Drop the tokenizers and vocabularies that the worker has loaded."""
+    _loaded.clear()
+
+
 class _Words:
     """Encodes distinct stretches by a tokenizer that ends each word with an id of its own kind.
 

@@ -10,8 +10,8 @@ from conftest import rows_of
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from nearfield.llm import align, catalog
-from nearfield.llm.vocab import json_tokenizer, piece_model
+from nearfield.llm import align, catalog, vocab
+from nearfield.llm.vocab import Rows, json_tokenizer, piece_model
 
 PAIR = (align.BYTE_TOKENIZER, align.PIECE_TOKENIZER)
 FIGURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
@@ -124,6 +124,22 @@ def test_gathered_counts_are_handed_on(make_docs, monkeypatch):
     assert sum(got.values()) == sum(r[4] for r in brute(ROWS))
 
 
+def test_a_worker_that_reads_ids_keeps_no_tokenizer():
+    align.tokenised(["a b"], [b"a b"], *PAIR)
+    align._vocabulary(*PAIR)
+    assert not align._coders and not align._entries and not vocab._loaded
+
+
+@pytest.mark.parametrize("kind", [align.id_type(1 << 16), align.id_type((1 << 16) + 1)])
+def test_ids_come_back_from_their_bytes(kind):
+    lists = [[1, 2, 65535], [], [7], [], [4, 4]]
+    batch = pa.RecordBatch.from_arrays([align._packed(Rows.of(lists), kind)], ["a"])
+    assert batch.column("a").nbytes <= 4 * 6 + kind.bit_width // 8 * 6
+    for at in range(len(lists)):
+        for size in range(1, len(lists) - at + 1):
+            assert align._of(batch.slice(at, size), "a", kind).to_pylist() == lists[at : at + size]
+
+
 def test_an_empty_table_has_no_rows(make_docs):
     assert align.aligned(make_docs(ROWS).limit(0)).collect() == []
 
