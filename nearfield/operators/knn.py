@@ -50,6 +50,9 @@ MERGE_ROWS, MOST_TASKS = 1 << 22, 1 << 20
 MOST_TILES = 4
 # A scan of the whole gallery answers so many queries at least, whatever the bounds.
 LEAST_ASKED = 64
+# What a scan without cells sends to every task at most, whatever the bounds. Such a scan moves no rows
+# of the side it reads, so a smaller piece costs no more than one further scan.
+SCAN_BYTES = 8 << 20
 # Hits kept at once by a task that answers its queries one piece after the other.
 PIECE_HITS = 1 << 17
 # What a query takes besides its vector: per kept hit, and per cell it looks into.
@@ -77,6 +80,10 @@ class Limits:
         own = self.rows(self.query_tile_bytes, dim, cells, hits)
         return own, max(own, self.rows(Limits.query_tile_bytes, dim, cells, hits))
 
+    def scan_rows(self, budget: int, dim: int, hits: int = 0) -> int:
+        """Rows that a scan without cells sends by a bound."""
+        return self.rows(min(budget, SCAN_BYTES), dim, 0, hits)
+
     def gallery_rows(self, dim: int) -> tuple[int, int]:
         own = self.rows(self.gallery_tile_bytes, dim)
         return own, max(own, self.rows(Limits.gallery_tile_bytes, dim))
@@ -323,7 +330,8 @@ def _scan_by_tile(
     A tile's answers are written before the next tile is sent, so at most one tile of queries is
     held by the driver and by each executor, and a lost executor costs one scan at most.
     """
-    own, full = limits.query_rows(dim, 0, match.k)
+    own = limits.scan_rows(limits.query_tile_bytes, dim, match.k)
+    full = limits.scan_rows(SCAN_BYTES, dim, match.k)
     tiles = tiles_of(asked, max(LEAST_ASKED, own), max(LEAST_ASKED, full))
     # Written once and by tile, as the numbers must be the same wherever they are read.
     number = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(tiles)).cast("int")
@@ -419,10 +427,15 @@ def nearest(
     out = _hits_schema(queries, gallery)
 
     asked, dim = vector_stats(queries)
-    if asked <= limits.rows(limits.broadcast_bytes, dim, cells, match.k):
+    if routing:
+        fits = limits.rows(limits.broadcast_bytes, dim, cells, match.k)
+        fitting = limits.rows(limits.broadcast_bytes, dim, 1)
+    else:
+        fits = limits.scan_rows(limits.broadcast_bytes, dim, match.k)
+        fitting = limits.scan_rows(limits.broadcast_bytes, dim)
+    if asked <= fits:
         return _scan_gallery(gallery, queries, match, out)
     # Counting stops one row above the bound, so a huge gallery is not scanned for it.
-    fitting = limits.rows(limits.broadcast_bytes, dim, 1 if routing else 0)
     if gallery.select("id").limit(fitting + 1).count() <= fitting:
         return _scan_queries(gallery, queries, match, out)
     if routing is None:
