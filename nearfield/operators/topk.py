@@ -16,8 +16,9 @@ METRICS = ("l2", "ip", "cosine")
 SCREEN_BYTES = 8 << 20
 PAIR_BYTES = 4 << 20
 BLOCK_PAIRS = 512
-# Queries of one screening block at most, so that its 8 MiB of float32 scores span many rows.
-SCREEN_QUERIES = 4096
+# Pairs and rows of a screening block at most, rows of one of its products, and rows of a run, of which
+# only the best score is compared at first.
+SCREEN_PAIRS, SCREEN_ROWS, SCREEN_STRIP, SCREEN_RUN = 1 << 21, 1 << 13, 1 << 10, 1 << 8
 
 
 def smaller_is_better(metric: str) -> bool:
@@ -72,7 +73,20 @@ class Vectors:
 
     def take(self, rows: np.ndarray) -> np.ndarray:
         block = self.matrix[rows].astype(np.float64)
-        return block if self.scale is None else block / self.scale[rows, None]
+        if self.scale is not None:
+            block /= self.scale[rows, None]
+        return block
+
+
+def _strips(rows: np.ndarray) -> np.ndarray:
+    """Rows of a block (vectors or numbers) in strips of one length, zeros behind the last row."""
+    strip = min(len(rows), SCREEN_STRIP)
+    if strip > SCREEN_RUN:
+        strip = -(-strip // SCREEN_RUN) * SCREEN_RUN
+    strips = -(-len(rows) // strip)
+    if len(rows) < strips * strip:
+        rows = np.concatenate([rows, np.zeros((strips * strip - len(rows), *rows.shape[1:]), rows.dtype)])
+    return rows.reshape(strips, strip, *rows.shape[1:])
 
 
 def without_spare_copies(
@@ -128,8 +142,9 @@ class BestK:
         self.waiting: list[pa.Table] = []
         self.waiting_rows = 0
         self.flush_rows = max(50_000, queries.rows * self.k)
+        self.room: np.ndarray | None = None
 
-    def _slack(self, picked: np.ndarray, block: Vectors) -> np.ndarray:
+    def _slack(self, picked: slice | np.ndarray, block: Vectors) -> np.ndarray:
         """Bound on |float32 score - exact score| per query against this block."""
         dim = self.queries.dim
         top = block.norms.max(initial=0.0)
@@ -138,14 +153,23 @@ class BestK:
         tie = 0.0 if self.tie_decimals is None else 10.0**-self.tie_decimals
         return 2.0 * (dim + 16) * 2.0**-24 * size + dim * 1e-44 + tie
 
-    def _screen(self, picked: np.ndarray, block: Vectors, rows: np.ndarray) -> np.ndarray:
-        product = self.queries.screen[picked] @ block.screen[rows].T
-        if self.metric != "l2":
-            return np.negative(product, out=product)
-        product *= -2
-        product += self.queries.squared[picked].astype(product.dtype)[:, None]
-        product += block.squared[rows].astype(product.dtype)[None, :]
-        return product
+    def _screen(self, left: np.ndarray, right: np.ndarray, squared: np.ndarray, rows: int) -> np.ndarray:
+        """Scores by strip, query and row of the strip; smaller is better, rows that only fill up have none.
+
+        Those of l2 lack the query's own square, as its bound does. All blocks are written to the
+        same room: fresh pages would cost as much as the product.
+        """
+        strips, strip = right.shape[:2]
+        shape, kind = (strips, len(left), strip), np.result_type(left, right)
+        size = strips * len(left) * strip
+        if self.room is None or self.room.dtype != kind or self.room.size < size:
+            self.room = np.empty(size, dtype=kind)
+        approx = self.room[:size].reshape(shape)
+        np.matmul(left, right.transpose(0, 2, 1), out=approx)
+        if self.metric == "l2":
+            approx += squared.astype(kind)[:, None, :]
+        approx[-1, :, rows - (strips - 1) * strip :] = np.inf
+        return approx
 
     def exact(self, block: Vectors, qi: np.ndarray, gi: np.ndarray) -> np.ndarray:
         """Sort key (smaller is better) of each (query, row) pair in double precision."""
@@ -176,34 +200,64 @@ class BestK:
             raise ValueError(
                 f"Expected vectors of dimension {self.queries.dim}, received {block.dim}"
             )
-        picked = np.arange(self.queries.rows) if picked is None else picked
-        rows = np.arange(block.rows) if rows is None else rows
-        if not len(picked) or not len(rows):
-            return
-        if len(picked) > SCREEN_QUERIES:
-            for start in range(0, len(picked), SCREEN_QUERIES):
-                self.offer(block, ids, picked[start : start + SCREEN_QUERIES], rows, keep_pair)
-            return
-        slack = self._slack(picked, block)
-        tile = max(1, SCREEN_BYTES // (4 * len(picked)))
-        for start in range(0, len(rows), tile):
-            part = rows[start : start + tile]
-            approx = self._screen(picked, block, part)
-            bound = self.reach[picked] + slack
-            open_ended = np.isinf(bound)
-            if len(part) > self.k and open_ended.any():
-                kth = np.partition(approx[open_ended], self.k - 1, axis=1)[:, self.k - 1]
-                bound[open_ended] = kth + 2 * slack[open_ended]
-            # Compared in the block's own type, rounded so that no candidate is lost.
-            reach = np.nextafter(bound.astype(approx.dtype), np.inf, dtype=approx.dtype)
-            near = np.flatnonzero(approx <= reach[:, None])
-            if not len(near):
+        asked = self.queries.rows if picked is None else len(picked)
+        offered = block.rows if rows is None else len(rows)
+        for part in np.array_split(np.arange(offered), -(-offered // SCREEN_ROWS) or 1):
+            part = part if rows is None else rows[part]
+            if not len(part):
                 continue
-            qi, gi = picked[near // len(part)], part[near % len(part)]
-            if keep_pair is not None:
-                keep = keep_pair(qi, gi)
-                qi, gi = qi[keep], gi[keep]
-            self.add(qi, self.exact(block, qi, gi), gi, ids)
+            right, squared = _strips(block.screen[part]), _strips(block.squared[part])
+            step = max(1, SCREEN_PAIRS // squared.size)
+            for start in range(0, asked, step):
+                some = slice(start, min(asked, start + step))
+                some = some if picked is None else picked[some]
+                qi, gi = self._near(some, right, squared, len(part), self._slack(some, block))
+                if not len(qi):
+                    continue
+                qi, gi = qi + start if picked is None else some[qi], part[gi]
+                if keep_pair is not None:
+                    keep = keep_pair(qi, gi)
+                    qi, gi = qi[keep], gi[keep]
+                self.add(qi, self.exact(block, qi, gi), gi, ids)
+
+    def _near(
+        self,
+        some: slice | np.ndarray,
+        right: np.ndarray,
+        squared: np.ndarray,
+        rows: int,
+        slack: np.ndarray,
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the pairs of some queries and a block's rows that may enter a best k.
+
+        The best score of each run is found first. The k-th of them bounds the k-th of all scores, and
+        only runs whose best is within the bound are compared: few of them, once many rows were seen.
+        """
+        k = self.k
+        left = self.queries.screen[some] * (-2 if self.metric == "l2" else -1)
+        approx = self._screen(left, right, squared, rows)
+        strips, asked, strip = approx.shape
+        run = min(strip, SCREEN_RUN)
+        runs = approx.reshape(strips, asked, -1, run)
+        best = runs.min(axis=3).transpose(1, 0, 2).reshape(asked, -1)
+        bound = self.reach[some] + slack
+        if self.metric == "l2":
+            bound -= self.queries.squared[some]
+        if best.shape[1] >= k:
+            kth = np.partition(best, k - 1, axis=1)[:, k - 1]
+            bound = np.fmin(bound, kth + 2 * slack)
+        open_ended = np.isinf(bound)
+        if rows > k and open_ended.any():
+            whole = approx[:, open_ended].transpose(1, 0, 2).reshape(-1, strips * strip)
+            bound[open_ended] = np.partition(whole, k - 1, axis=1)[:, k - 1] + 2 * slack[open_ended]
+        # Compared in the block's own type, rounded so that no candidate is lost.
+        reach = np.nextafter(bound.astype(approx.dtype), np.inf, dtype=approx.dtype)
+        # A best score that is no number hides the others of its run, so that run is compared.
+        q, at = np.divmod(np.flatnonzero(~(best > reach[:, None])), best.shape[1])
+        met = runs[at // runs.shape[2], q, at % runs.shape[2]]
+        near, place = np.divmod(np.flatnonzero(met <= reach[q, None]), run)
+        qi, gi = q[near], at[near] * run + place
+        return (qi, gi) if rows == strips * strip else (qi[gi < rows], gi[gi < rows])
 
     def offer_cells(
         self, block: Vectors, ids: pa.Array, asked: Cells, held: Cells, keep_pair=None

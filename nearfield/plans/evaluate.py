@@ -93,6 +93,8 @@ def evaluate_methods(
     """
     spark = gallery.sparkSession
     points = recall_points(recall_at)
+    # Every method reads the queries several times, and they may be derived: computed once.
+    queries = materialise(queries)
     total, dim = vector_stats(gallery)
     _, q_dim = vector_stats(queries)
     if total and q_dim and dim != q_dim:
