@@ -6,7 +6,7 @@ Every method returns long form ``qid, rank, id, score`` and shares one engine:
   is read once, in place, and never shuffled; only k rows per query and task are merged.
 * the gallery fits instead: it is sent to the tasks that scan the queries. No shuffle at all.
 * neither fits, and every query sees every row: the queries are cut into tiles of bounded size.
-  The gallery is scanned in place once per tile, and a query's states merge across the tasks.
+  The gallery is scanned in place once per tile, by one task while there are few cores.
 * neither fits, and queries look into cells: both sides are cut into tiles and each pair of tiles
   meets in one task through an equi key. Nothing is collected and no group outgrows a task.
 
@@ -18,6 +18,7 @@ so an id that occurs twice in the gallery may be returned twice.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -27,8 +28,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.util import inheritable_thread_target
 
-from nearfield.functions.encoders import spread
 from nearfield.operators.topk import (
     METRICS,
     BestK,
@@ -50,6 +51,8 @@ MERGE_ROWS, MOST_TASKS = 1 << 22, 1 << 20
 MOST_TILES = 4
 # A scan of the whole gallery answers so many queries at least, whatever the bounds.
 LEAST_ASKED = 64
+# Tiles that the driver sends at a time at most, when there are several.
+SCANS_AT_ONCE = 16
 # What a scan without cells sends to every task at most, whatever the bounds. Such a scan moves no rows
 # of the side it reads, so a smaller piece costs no more than one further scan.
 SCAN_BYTES = 8 << 20
@@ -233,10 +236,12 @@ def merge_hits(partial: DataFrame, k: int, metric: str, by: str = "qid") -> Data
     )
 
 
-def _scan_gallery(gallery: DataFrame, queries: DataFrame, match: Match, out) -> DataFrame:
+def _scan_gallery(
+    gallery: DataFrame, queries: DataFrame, match: Match, out, tasks: int | None = None
+) -> DataFrame:
     """Queries broadcast (their size is already checked), gallery scanned in place."""
     table = numbered(queries.toArrow())
-    tasks = scan_tasks(gallery, table.num_rows, match.k)
+    tasks = tasks or scan_tasks(gallery, table.num_rows, match.k)
     shared = queries.sparkSession.sparkContext.broadcast(table)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,6 +256,8 @@ def _scan_gallery(gallery: DataFrame, queries: DataFrame, match: Match, out) ->
         yield from partial_hits(state, table).to_batches()
 
     partial = gallery.coalesce(tasks).mapInArrow(scan, partial_schema(out))
+    if tasks == 1:
+        return partial.select(*HIT_NAMES)  # one task saw all rows: ranks are final
     return merge_hits(partial, match.k, match.metric, "asked")
 
 
@@ -327,24 +334,37 @@ def _scan_by_tile(
 ) -> DataFrame:
     """Both sides large, no cells: one scan of the gallery, where it lies, per tile of queries.
 
-    A tile's answers are written before the next tile is sent, so at most one tile of queries is
-    held by the driver and by each executor, and a lost executor costs one scan at most.
+    As many tiles are answered at a time as there are cores (``SCANS_AT_ONCE`` at most), each by one
+    task that reads the whole gallery: its ranks are final, and a row that cannot stay is soon found
+    out. With more cores a scan is cut into a few tasks. A tile's answers are written before the next
+    tile is sent in its place, so a lost executor costs the scans under way at most.
     """
     own = limits.scan_rows(limits.query_tile_bytes, dim, match.k)
     full = limits.scan_rows(SCAN_BYTES, dim, match.k)
     tiles = tiles_of(asked, max(LEAST_ASKED, own), max(LEAST_ASKED, full))
+    cores = gallery.sparkSession.sparkContext.defaultParallelism
+    tasks = -(-cores // SCANS_AT_ONCE)
+    at_once = -(-cores // tasks)
+    if tiles > 1:
+        tiles = -(-tiles // at_once) * at_once
     # Written once and by tile, as the numbers must be the same wherever they are read.
     number = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(tiles)).cast("int")
     held = materialise(queries.withColumn("tile", number))
-    if tiles > 1:
-        # Every tile scans the gallery, which may be derived (encoded texts, a join): computed once.
-        held_rows = materialise(gallery)
-        wide = spread(held_rows)
-        gallery = held_rows if wide is held_rows else materialise(wide)
-    answers = []
-    for tile in range(tiles):
+    if tiles == 1:
+        return materialise(_scan_gallery(gallery, held.drop("tile"), match, out))
+    # Every tile scans the gallery, which may be derived (encoded texts, a join): computed once, and
+    # in even parts.
+    rows = materialise(gallery.repartition(cores))
+
+    def answer(tile: int) -> DataFrame:
         own = held.where(F.col("tile") == tile).drop("tile")
-        answers.append(materialise(_scan_gallery(gallery, own, match, out)))
+        found = _scan_gallery(rows, own, match, out, tasks)
+        # Tables of one partition each would be united to a table of one partition.
+        return materialise(found.repartition(cores) if tasks == 1 else found)
+
+    with ThreadPoolExecutor(at_once) as pool:
+        threads = inheritable_thread_target(gallery.sparkSession)
+        answers = list(pool.map(threads(answer), range(tiles)))
     return reduce(DataFrame.unionAll, answers)
 
 
